@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from airshed.functions.units import snap
 from airshed.constants import (
     AQI_BREAKPOINTS,
     AQI_CAP,
@@ -35,7 +36,7 @@ def _interp(c: Column, band) -> Column:
 
 
 def aqi_strict(c: Column | str, pollutant: str) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
+    c = snap(F.col(c) if isinstance(c, str) else c)
     bands = AQI_BREAKPOINTS.get(pollutant)
     if not bands:
         return F.when(c.isNull(), F.lit(None).cast("int")).otherwise(F.lit(0))

@@ -51,7 +51,7 @@ def _key(row):
     return tuple((x is None, str(type(x).__name__), x if x is not None else 0) for x in row)
 
 
-def compare(spark_df, con, sql: str, digits: int = 3):
+def compare(spark_df, con, sql: str, digits: int = 6):
     """Return (ok, message)."""
     s_cols = list(spark_df.columns)
     s_rows = [tuple(r) for r in spark_df.collect()]
