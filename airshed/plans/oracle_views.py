@@ -273,5 +273,5 @@ def r4(body: str, doubles: list[str]) -> str:
     """Round the named double columns the way ``airshed.plans.finish`` does."""
     if not doubles:
         return body
-    rep = ", ".join(f"floor({c} * 10000e0 + 0.500123456e0) / 10000e0 AS {c}" for c in doubles)
+    rep = ", ".join(f'floor("{c}" * 10000e0 + 0.500123456e0) / 10000e0 AS "{c}"' for c in doubles)
     return f"SELECT * REPLACE ({rep}) FROM (\n{body}\n) q"

@@ -261,9 +261,8 @@ FROM merged, (SELECT min(date) AS d0 FROM merged) m""")
 def rolling_folds(spark, d):
     """Rolling-origin fold id from date arithmetic (30-day windows)."""
     m = merged(spark, d)
-    d0 = m.agg(F.min("date").alias("d0"))
-    return m.join(F.broadcast(d0), how="inner", on=F.lit(True)).select(
-        "city_name", "date", F.floor(F.datediff("date", "d0") / 30).cast("int").alias("fold"))
+    d0 = m.agg(F.min("date").alias("d0")).first()["d0"]  # one fitted scalar
+    return m.select("city_name", "date", F.floor(F.datediff("date", F.lit(d0)) / 30).cast("int").alias("fold"))
 
 
 # ------------------------------------------------------------- row features
