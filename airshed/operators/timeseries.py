@@ -138,3 +138,43 @@ def days_since(cond: Column, key: str = "city_name", date: str = "date") -> Colu
 def ewm_span_rows(span: int, tol: float = 1e-17) -> int:
     alpha = 2.0 / (span + 1.0)
     return int(math.ceil(math.log(tol) / math.log(1.0 - alpha)))
+
+
+# --------------------------------------------------------------- hourly feed
+def hourly_means(hourly: DataFrame, key: str = "location_id", ts_col: str = "ts", value: str = "pm25") -> DataFrame:
+    hour = F.floor(F.unix_timestamp(F.col(ts_col).cast("timestamp")) / 3600).cast("long")
+    return hourly.groupBy(key, hour.alias("hour_idx")).agg(F.avg(value).alias("c"))
+
+
+def nowcast(hourly: DataFrame, key: str = "location_id", hours: int = 12) -> DataFrame:
+    """EPA NowCast per hour with data: w = max(0.5, min/max) over the last 12 hours,
+    sum(w^i c_i) / sum(w^i) over present hours, and at least 2 of the last 3 hours present.
+    Missing hours are rows of an hourly spine (so lags are hours, not rows)."""
+    hr = hourly_means(hourly, key)
+    bounds = hr.groupBy(key).agg(F.min("hour_idx").alias("_lo"), F.max("hour_idx").alias("_hi"))
+    spine = bounds.select(key, F.explode(F.sequence("_lo", "_hi")).alias("hour_idx"))
+    s = spine.join(hr, [key, "hour_idx"], "left")
+    w = Window.partitionBy(key).orderBy("hour_idx")
+    lags = [F.col("c")] + [F.lag("c", i).over(w) for i in range(1, hours)]
+    s = s.select(key, "hour_idx", *[lg.alias(f"_c{i}") for i, lg in enumerate(lags)])
+    cs = [F.col(f"_c{i}") for i in range(hours)]
+    hi, lo = F.greatest(*cs), F.least(*cs)
+    wt = F.when(hi == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.5), lo / hi))
+    num = None
+    den = None
+    for i, c in enumerate(cs):
+        t_num = F.when(c.isNotNull(), F.pow(wt, F.lit(float(i))) * c).otherwise(F.lit(0.0))
+        t_den = F.when(c.isNotNull(), F.pow(wt, F.lit(float(i)))).otherwise(F.lit(0.0))
+        num = t_num if num is None else num + t_num
+        den = t_den if den is None else den + t_den
+    recent = sum(c.isNotNull().cast("int") for c in cs[:3])
+    return s.where(F.col("_c0").isNotNull()).select(key, "hour_idx", F.when(recent >= 2, num / den).alias("nowcast"))
+
+
+def rolling_8h_daily_max(hourly: DataFrame, key: str = "location_id") -> DataFrame:
+    """8-hour running mean (range frame over hour index, hours present) and its daily maximum."""
+    hr = hourly_means(hourly, key)
+    w = Window.partitionBy(key).orderBy("hour_idx").rangeBetween(-7, 0)
+    r = hr.select(key, "hour_idx", F.avg("c").over(w).alias("avg8h"))
+    day = F.to_date(F.timestamp_seconds(F.col("hour_idx") * 3600))
+    return r.groupBy(key, day.alias("date")).agg(F.max("avg8h").alias("max_8h_mean"))

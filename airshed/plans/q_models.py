@@ -1 +1,248 @@
-"""Registered queries."""
+"""Registered queries: modelling (pyspark.ml).  Rows-only except the routing rule."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from airshed.operators import features as FE
+from airshed.operators import ml as ML
+from airshed.operators import split as SP
+from airshed.plans.oracle_views import with_views as V
+from airshed.plans.pipeline import CityPipeline
+from airshed.plans.registry import query
+from airshed.session import checkpoint_dir
+
+
+def merged(spark, d):
+    return CityPipeline(spark, d).merged()
+
+
+GRID_SCHEMA = ("mode string, algorithm string, target string, val_rmse double, val_mae double, val_r2 double, "
+               "test_rmse double, test_mae double, test_r2 double")
+
+
+def _grid_df(spark, rows):
+    cols = ["mode", "algorithm", "target", "val_rmse", "val_mae", "val_r2", "test_rmse", "test_mae", "test_r2"]
+    for c in cols:
+        if c not in rows.columns:
+            rows[c] = None
+    return spark.createDataFrame(rows[cols].astype(object).where(rows[cols].notna(), None), GRID_SCHEMA)
+
+
+@query("experiment_grid")
+def experiment_grid(spark, d):
+    """Modes GTS / GHS / GHM x the five algorithms (small tree settings), val/test
+    metrics on the original scale.  Driver loop over cached feature tables; the fits are Spark jobs."""
+    rows = ML.experiment_grid(merged(spark, d), ["GTS", "GHS", "GHM"], ML.ALGORITHMS, small=True)
+    return _grid_df(spark, rows)
+
+
+@query("modes")
+def modes(spark, d):
+    """The eight modes as a table, with the number of city-day rows each can train on."""
+    m = merged(spark, d)
+    n_pm = m.where(F.col("pm25").isNotNull()).count()
+    n_multi = m.where(F.col("pm25").isNotNull() & F.col("o3").isNotNull()).count()
+    rows = [r + (n_multi if r[3] == "multi" else n_pm,) for r in ML.mode_rows()]
+    return spark.createDataFrame(rows, "mode string, scope string, history string, targets string, "
+                                       "experiment string, horizon int, target_list string, n_rows long")
+
+
+@query("feature_importance")
+def feature_importance(spark, d):
+    """Random-forest importances (sorted), on the full feature set."""
+    feats = FE.build_features(merged(spark, d), "full", ["pm25"], horizon=1)
+    cols = FE.feature_columns("full", ["pm25"])
+    feats = ML.as_double(feats, cols)
+    est = ML.make_estimator("RandomForest", "pm25_log", 0, 0.0, small=True)
+    model = ML.feature_pipeline(cols, est).fit(feats)
+    imp = model.stages[-1].featureImportances.toArray().tolist()
+    rows = sorted(zip(cols, [float(x) for x in imp]), key=lambda t: -t[1])
+    return spark.createDataFrame(rows, "feature string, importance double")
+
+
+@query("linear_coefficients")
+def linear_coefficients(spark, d):
+    """L5 for linear models: |coefficient| per feature (Ridge), sorted."""
+    feats = FE.build_features(merged(spark, d), "weather", ["pm25"], horizon=0)
+    cols = FE.feature_columns("weather", ["pm25"])
+    feats = ML.as_double(feats, cols)
+    sigma, n = ML.label_std(feats, "pm25_log")
+    model = ML.feature_pipeline(cols, ML.make_estimator("Ridge", "pm25_log", n, sigma)).fit(feats)
+    coef = model.stages[-1].coefficients.toArray().tolist()
+    rows = sorted(zip(cols, [abs(float(x)) for x in coef]), key=lambda t: -t[1])
+    return spark.createDataFrame(rows, "feature string, abs_coefficient double")
+
+
+@query("multi_output")
+def multi_output(spark, d):
+    """One model per target on rows where every target is present (same X)."""
+    mode = ML.MODE_TABLE["GHM"]
+    feats = FE.build_features(merged(spark, d), mode.experiment, mode.target_list, horizon=1)
+    cols = FE.feature_columns(mode.experiment, mode.target_list)
+    feats = ML.as_double(feats, cols).cache()
+    split = SP.chrono_split(feats)
+    train = split.where(F.col("split") == "train")
+    outs = []
+    for t in mode.target_list:
+        sigma, n = ML.label_std(train, f"{t}_log")
+        model = ML.feature_pipeline(cols, ML.make_estimator("Ridge", f"{t}_log", n, sigma)).fit(train)
+        m = ML.evaluate(model.transform(split.where(F.col("split") != "train")), t, ["split"])
+        outs.append(m.select(F.lit(t).alias("target"), "*"))
+    res = outs[0].unionByName(outs[1])
+    return res
+
+
+@query("city_models")
+def city_models(spark, d):
+    """Per-city ridge via grouped normal equations (one aggregate + a k x k solve per city)."""
+    feats = FE.build_features(merged(spark, d), "weather", ["pm25"], horizon=0)
+    cols = FE.feature_columns("weather", ["pm25"])
+    return ML.city_ridge(feats, cols, "pm25_log", alpha=1.0)
+
+
+@query("city_tree_models")
+def city_tree_models(spark, d):
+    """L7 for trees: one small forest per eligible city (>= 100 rows), fitted on a city filter."""
+    feats = FE.build_features(merged(spark, d), "weather", ["pm25"], horizon=0)
+    cols = FE.feature_columns("weather", ["pm25"])
+    feats = ML.as_double(feats, cols).cache()
+    cities = [r[0] for r in SP.eligible_cities(feats, min_rows=100, min_target=100)
+              .orderBy("city_name").limit(3).collect()]  # the city list is bounded by the catalogue
+    outs = []
+    for c in cities:
+        sub = feats.where(F.col("city_name") == c)
+        split = SP.chrono_split(sub)
+        train = split.where(F.col("split") == "train")
+        model = ML.feature_pipeline(cols, ML.make_estimator("RandomForest", "pm25_log", 0, 0.0, True)).fit(train)
+        m = ML.evaluate(model.transform(split.where(F.col("split") != "train")), "pm25", ["split"])
+        outs.append(m.select(F.lit(c).alias("city_name"), "*"))
+    res = outs[0]
+    for o in outs[1:]:
+        res = res.unionByName(o)
+    return res
+
+
+@query("batch_scoring")
+def batch_scoring(spark, d):
+    """Features -> predict -> expm1 -> predicted_pm25 -> AQI / category of the prediction."""
+    feats = FE.build_features(merged(spark, d), "weather", ["pm25"], horizon=0)
+    cols = FE.feature_columns("weather", ["pm25"])
+    feats = ML.as_double(feats, cols)
+    train = SP.chrono_split(feats).where(F.col("split") == "train")
+    sigma, n = ML.label_std(train, "pm25_log")
+    model = ML.feature_pipeline(cols, ML.make_estimator("Ridge", "pm25_log", n, sigma)).fit(train)
+    return ML.score_with_aqi(model, feats, ["city_name", "date", "pm25"])
+
+
+@query("production_fit")
+def production_fit(spark, d):
+    """Fit on all data, save the PipelineModel + metadata under the shared checkpoint folder,
+    load it back and score (proves the artefact round-trips)."""
+    import json
+    import os
+    import uuid
+    from pyspark.ml import PipelineModel
+    feats = FE.build_features(merged(spark, d), "weather", ["pm25"], horizon=0)
+    cols = FE.feature_columns("weather", ["pm25"])
+    feats = ML.as_double(feats, cols)
+    sigma, n = ML.label_std(feats, "pm25_log")
+    model = ML.feature_pipeline(cols, ML.make_estimator("Ridge", "pm25_log", n, sigma)).fit(feats)
+    base = os.path.join(checkpoint_dir(spark), "models", f"GTS-{uuid.uuid4().hex[:8]}")
+    model.write().overwrite().save(base)
+    meta = {"mode": "GTS", "algorithm": "Ridge", "features": cols, "n_train": n}
+    spark.createDataFrame([(json.dumps(meta),)], "metadata string").write.mode("overwrite").text(base + "_meta")
+    loaded = PipelineModel.load(base)
+    return ML.score_with_aqi(loaded, feats, ["city_name", "date"])
+
+
+@query("route_mode", V("merged") + """
+SELECT city_name, count(pm25) AS history_rows,
+  CASE WHEN count(pm25) >= 7 THEN 'GHS' WHEN count(*) > 0 THEN 'GTS' END AS route FROM merged GROUP BY city_name""")
+def route_mode(spark, d):
+    """>= 7 history rows -> GHS, else GTS."""
+    m = merged(spark, d)
+    return m.groupBy("city_name").agg(F.count("pm25").cast("long").alias("history_rows"), F.count("*").alias("_n")) \
+        .select("city_name", "history_rows",
+                F.when(F.col("history_rows") >= 7, "GHS").when(F.col("_n") > 0, "GTS").alias("route"))
+
+
+@query("rolling_forecast")
+def rolling_forecast(spark, d):
+    """3-step rolling forecast per city; each step's prediction is fed back as lag-1.
+    A bounded loop of column transforms over the last-history rows (no per-row Python)."""
+    m = merged(spark, d)
+    w = Window.partitionBy("city_name").orderBy("date")
+    hist = m.select("city_name", "date", "pm25", F.lag("pm25", 1).over(w).alias("pm25_lag1")) \
+        .where(F.col("pm25").isNotNull() & F.col("pm25_lag1").isNotNull())
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    va = VectorAssembler(inputCols=["pm25_lag1"], outputCol="features")
+    lr = LinearRegression(featuresCol="features", labelCol="pm25", regParam=0.0)
+    model = lr.fit(va.transform(hist))
+    a, b = float(model.intercept), float(model.coefficients[0])
+    last = m.where(F.col("pm25").isNotNull()).groupBy("city_name").agg(
+        F.max_by("pm25", "date").alias("v0"), F.max("date").alias("d0"))
+    steps = []
+    cur = F.col("v0")
+    for h in range(1, 4):
+        cur = F.lit(a) + F.lit(b) * cur
+        steps.append(F.struct(F.lit(h).alias("step"), F.date_add("d0", h).alias("date"), cur.alias("forecast")))
+    return last.select("city_name", F.explode(F.array(*steps)).alias("s")).select("city_name", "s.*")
+
+
+@query("ablation")
+def ablation(spark, d):
+    """Ablation ladder weather -> +lags/rolling -> +interactions; RMSE per rung (Ridge)."""
+    m = merged(spark, d)
+    out = []
+    for rung, exp in enumerate(["weather", "lag", "full"]):
+        feats = FE.build_features(m, exp, ["pm25"], horizon=0 if exp == "weather" else 1)
+        cols = FE.feature_columns(exp, ["pm25"])
+        feats = ML.as_double(feats, cols)
+        split = SP.chrono_split(feats)
+        train = split.where(F.col("split") == "train")
+        sigma, n = ML.label_std(train, "pm25_log")
+        model = ML.feature_pipeline(cols, ML.make_estimator("Ridge", "pm25_log", n, sigma)).fit(train)
+        r = ML.evaluate(model.transform(split.where(F.col("split") == "val")), "pm25", ["split"])
+        out.append(r.select(F.lit(rung).alias("rung"), F.lit(exp).alias("feature_set"), "rmse", "mae", "r2"))
+    res = out[0]
+    for o in out[1:]:
+        res = res.unionByName(o)
+    return res
+
+
+@query("one_hot_train_fit")
+def one_hot_train_fit(spark, d):
+    """One-hot fitted on the training period; unseen categories -> all-zero vector."""
+    m = merged(spark, d).select("city_name", "date", "pm25")
+    train = m.where(F.col("date") < F.lit("1999-01-01").cast("date"))
+    enc = ML.one_hot_train_fit(train, m, "city_name")
+    from pyspark.ml.functions import vector_to_array
+    return enc.select("city_name", "date", vector_to_array("city_name_vec").alias("city_onehot"))
+
+
+@query("split_xy")
+def split_xy(spark, d):
+    """X (assembled feature vector) / y (log target)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    feats = FE.build_features(merged(spark, d), "weather", ["pm25"], horizon=0)
+    cols = FE.feature_columns("weather", ["pm25"])
+    feats = ML.as_double(feats, cols)
+    va = VectorAssembler(inputCols=cols, outputCol="X", handleInvalid="keep")
+    return va.transform(feats).select("city_name", "date", vector_to_array("X").alias("X"),
+                                      F.col("pm25_log").alias("y"))
+
+
+@query("feature_select")
+def feature_select(spark, d):
+    """Numeric feature selection by schema; all-NULL columns dropped (one count aggregate)."""
+    feats = FE.build_features(merged(spark, d), "full", ["pm25"], horizon=1)
+    numeric = [f.name for f in feats.schema.fields
+               if f.dataType.typeName() in ("double", "integer", "long", "float")
+               and f.name not in ("pm25", "pm25_log")]
+    counts = feats.agg(*[F.count(c).alias(c) for c in numeric]).first().asDict()
+    keep = [c for c in numeric if counts[c] > 0]
+    return spark.createDataFrame([(c, int(counts[c])) for c in keep], "feature string, non_null long")
