@@ -130,19 +130,16 @@ UTC_FORMAT = "yyyy-MM-dd'T'HH:mm:ssXXX"
 
 
 def parse_air(raw: DataFrame) -> DataFrame:
-    """Parse ISO timestamps with offsets (bad -> dropped), UTC day, numeric value, unit conversion."""
+    """Parse ISO timestamps with offsets (bad -> dropped), UTC day, numeric value, unit conversion.
+
+    The filter only references the parsed timestamp and the coerced raw value (conversion never
+    turns a value into NULL), so the optimizer does not copy the unit CASE into the predicate."""
     ts = F.try_to_timestamp(F.col("datetime"), F.lit(UTC_FORMAT))
-    val = numeric(F.col("value"))
-    return (
-        raw.select("*", ts.alias("ts_utc"), val.alias("_v"))
+    keep = [c for c in raw.columns if c != "value"]
+    valid = raw.select(*keep, ts.alias("ts_utc"), numeric(F.col("value")).alias("_v")) \
         .where(F.col("ts_utc").isNotNull() & F.col("_v").isNotNull())
-        .select(
-            *[c for c in raw.columns if c not in ("value",)],
-            F.col("ts_utc"),
-            F.to_date(F.col("ts_utc")).alias("date"),
-            convert_to_target(F.col("_v"), F.col("units"), F.col("parameter")).alias("value"),
-        )
-    )
+    return valid.select(*keep, "ts_utc", F.to_date("ts_utc").alias("date"),
+                        convert_to_target(F.col("_v"), F.col("units"), F.col("parameter")).alias("value"))
 
 
 def pollutant_range(parameter: Column) -> tuple[Column, Column]:

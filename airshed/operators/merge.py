@@ -25,11 +25,11 @@ from airshed.constants import (
 
 def weather_station_days(clean: DataFrame, stations: DataFrame) -> DataFrame:
     """One row per (station, day): several raw rows of a day are averaged (NULLs skipped),
-    outlier flags OR-ed; station coordinates come from the catalogue."""
+    outlier flags OR-ed; station coordinates come from the catalogue.  Only fixed-width
+    buffers (doubles, booleans), so the aggregate stays a hash aggregate."""
     aggs = [F.avg(c).alias(c) for c in WEATHER_COLS]
     aggs += [F.max(F.col(f"{c}_is_outlier")).alias(f"{c}_is_outlier") for c in WEATHER_COLS
              if f"{c}_is_outlier" in clean.columns]
-    aggs.append(F.max("weather_flags").alias("weather_flags"))
     days = clean.groupBy("station_id", "date").agg(*aggs)
     coords = stations.select("station_id", F.col("lat"), F.col("lon"), F.col("elev_m"))
     return days.join(coords, "station_id", "left")

@@ -148,7 +148,7 @@ def _station_day() -> str:
     aggs += [f"bool_or({c}_is_outlier) AS {c}_is_outlier" for c in _wcols() if c in _RANGES]
     return f"""
   SELECT d.*, s.lat, s.lon, s.elev_m
-  FROM (SELECT station_id, date, {', '.join(aggs)}, max(weather_flags) AS weather_flags
+  FROM (SELECT station_id, date, {', '.join(aggs)}
         FROM gsod_clean GROUP BY station_id, date) d
   LEFT JOIN active_station s ON d.station_id = s.station_id"""
 

@@ -7,15 +7,21 @@ a pruned scan.  Parameters default to the reference pipeline's settings.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import os
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airshed.constants import COVERAGE_MIN
 from airshed.operators import clean, merge, stations
+from airshed.session import checkpoint_dir
 from airshed.sources import domain
 
+# bump when the ETL semantics change so stored tables are rebuilt
+ETL_VERSION = "merged-v1"
+
 
 @dataclass
 class CityPipeline:
@@ -74,3 +80,35 @@ class CityPipeline:
 def hourly_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = domain.hourly(spark, sf_dir)
     return h.select("location_id", "ts", F.to_date("ts").alias("date"), "pm25", "event_id")
+
+
+def _path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p))
+
+
+def _inputs_key(sf_dir: str, params: dict) -> str:
+    stamp = []
+    for t in ("lineitem", "supplier", "nation"):
+        f = os.path.join(sf_dir, f"{t}.parquet")
+        try:
+            st = os.stat(f)
+            stamp.append(f"{t}:{st.st_size}:{int(st.st_mtime)}")
+        except OSError:
+            stamp.append(f"{t}:?")
+    raw = "|".join([ETL_VERSION, os.path.abspath(sf_dir), repr(sorted(params.items())), *stamp])
+    return hashlib.sha1(raw.encode()).hexdigest()[:16]
+
+
+def stored_merged(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
+    """The merged city-day table as the ETL writes it (Parquet partitioned by city_name, year)
+    in the shared folder named by ``spark.checkpoint.dir``; built once per (inputs, parameters),
+    then every reader is a pruned scan.  A crashed write has no ``_SUCCESS`` and is rebuilt."""
+    p = CityPipeline(spark, sf_dir, **params)
+    settings = {f.name: getattr(p, f.name) for f in fields(p) if f.name not in ("spark", "sf_dir")}
+    root = os.path.join(checkpoint_dir(spark), "tables", f"merged-{_inputs_key(sf_dir, settings)}")
+    if not _path_exists(spark, root + "/_SUCCESS"):
+        p.merged().write.mode("overwrite").partitionBy("city_name", "year").parquet(root)
+    return spark.read.parquet(root)

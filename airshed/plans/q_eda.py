@@ -12,7 +12,7 @@ from airshed.constants import POLLUTANTS, POLLUTION_LEVELS, VISIBILITY_BINS, WEA
 from airshed.operators import eda as E
 from airshed.operators import features as FE
 from airshed.plans.oracle_views import with_views as V
-from airshed.plans.pipeline import CityPipeline
+from airshed.plans.pipeline import CityPipeline, stored_merged
 from airshed.plans.registry import query
 from airshed.plans.sqlgen import dlit
 from airshed.plans.sqlgen import snap_sql as S
@@ -22,7 +22,8 @@ VARS = ["pm25", "pm10", "o3", "temp_avg_c", "visibility_km", "wind_speed_kmh"]
 
 
 def merged(spark, d):
-    return CityPipeline(spark, d).merged()
+    """The stored merged city-day table (written once by the ETL, then scanned)."""
+    return stored_merged(spark, d)
 
 
 def _union(parts):
@@ -200,16 +201,8 @@ def _spearman_sql(a, b):
 def corr_spearman(spark, d):
     """Spearman rho (pairwise complete, average ranks for ties) with strength labels.
     Ranks are range-bucketed (no global single-partition sort)."""
-    m = merged(spark, d).select(*sorted({c for p in _SP for c in p})).cache()
-    parts = []
-    for a, b in _SP:
-        r = E.spearman_pair(m, a, b)
-        parts.append(r.select(F.lit(a).alias("var1"), F.lit(b).alias("var2"), "rho", "n",
-                              E.strength(F.col("rho")).alias("strength")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    r = E.spearman_pairs(merged(spark, d), _SP)
+    return r.select("var1", "var2", "rho", "n", E.strength(F.col("rho")).alias("strength"))
 
 
 _LAGS = list(range(1, 8))

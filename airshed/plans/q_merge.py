@@ -10,7 +10,7 @@ from airshed.functions import aqi as A
 from airshed.operators import merge, stations
 from airshed.plans.oracle_views import with_views as V
 from airshed.plans.oracle_views import _hav, _near
-from airshed.plans.pipeline import CityPipeline
+from airshed.plans.pipeline import CityPipeline, stored_merged
 from airshed.plans.registry import query
 from airshed.plans.sqlgen import aqi_sql, category_sql, greatest_sql
 from airshed.sources import domain
@@ -142,7 +142,7 @@ FROM merged m JOIN (SELECT replace(city_name, '_', ' ') AS city_name, lat, lng,
   ON m.city_name = c.city_name""", ["pm25", "lat", "lng"])
 def city_metadata_join(spark, d):
     """Static city attributes joined to the fact table (bounded dimension, broadcast)."""
-    m = CityPipeline(spark, d).merged().select("city_name", "date", "pm25")
+    m = stored_merged(spark, d).select("city_name", "date", "pm25")
     c = domain.cities(spark, d).select(merge.normalise_city_name(F.col("city_name")).alias("city_name"),
                                        "lat", "lng", "population")
     return m.join(F.broadcast(c), "city_name")
@@ -155,7 +155,7 @@ SELECT s.city_name, s.date, m.pm25, m.temp_avg_c, m.date IS NULL AS is_filled FR
 LEFT JOIN merged m ON s.city_name = m.city_name AND s.date = m.date""", ["pm25", "temp_avg_c"])
 def fill_missing_dates(spark, d):
     """Per-city calendar spine (min..max) LEFT JOIN data."""
-    m = CityPipeline(spark, d).merged().select("city_name", "date", "pm25", "temp_avg_c",
+    m = stored_merged(spark, d).select("city_name", "date", "pm25", "temp_avg_c",
                                                F.lit(True).alias("_present"))
     out = merge.fill_missing_dates(m, "city_name", "date")
     return out.select("city_name", "date", "pm25", "temp_avg_c", F.col("_present").isNull().alias("is_filled"))
@@ -180,14 +180,14 @@ def fill_missing_dates_all(spark, d):
        WEATHER_COLS + POLLUTANTS)
 def load_city_year(spark, d):
     """One city-year slice (a partition filter on the city/year partitioned table)."""
-    return CityPipeline(spark, d).merged().where((F.col("city_name") == "NATION 7") & (F.col("year") == 1999))
+    return stored_merged(spark, d).where((F.col("city_name") == "NATION 7") & (F.col("year") == 1999))
 
 
 @query("load_all", V("merged") + "SELECT * FROM merged WHERE city_name IN ('NATION 1', 'NATION 2', 'NATION 3')",
        WEATHER_COLS + POLLUTANTS)
 def load_all(spark, d):
     """Selected cities, all years (isin filter, no sort until a sink)."""
-    return CityPipeline(spark, d).merged().where(F.col("city_name").isin("NATION 1", "NATION 2", "NATION 3"))
+    return stored_merged(spark, d).where(F.col("city_name").isin("NATION 1", "NATION 2", "NATION 3"))
 
 
 @query("filter_window", V("air_parsed") + """

@@ -9,13 +9,14 @@ from airshed.operators import features as FE
 from airshed.operators import ml as ML
 from airshed.operators import split as SP
 from airshed.plans.oracle_views import with_views as V
-from airshed.plans.pipeline import CityPipeline
+from airshed.plans.pipeline import CityPipeline, stored_merged
 from airshed.plans.registry import query
 from airshed.session import checkpoint_dir
 
 
 def merged(spark, d):
-    return CityPipeline(spark, d).merged()
+    """The stored merged city-day table (written once by the ETL, then scanned)."""
+    return stored_merged(spark, d)
 
 
 GRID_SCHEMA = ("mode string, algorithm string, target string, val_rmse double, val_mae double, val_r2 double, "

@@ -22,7 +22,7 @@ from airshed.operators import split as SP
 from airshed.operators import timeseries as ts
 from airshed.operators.clean import clip_ranges
 from airshed.plans.oracle_views import with_views as V
-from airshed.plans.pipeline import CityPipeline
+from airshed.plans.pipeline import CityPipeline, stored_merged
 from airshed.plans.registry import query
 from airshed.plans.sqlgen import snap_sql as S
 
@@ -32,7 +32,8 @@ FWD = f"({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
 
 
 def merged(spark, d):
-    return CityPipeline(spark, d).merged()
+    """The stored merged city-day table (written once by the ETL, then scanned)."""
+    return stored_merged(spark, d)
 
 
 # ------------------------------------------------------------- SQL helpers

@@ -40,4 +40,4 @@ def query(name: str, sql: str | None = None, doubles: list[str] | tuple = ()):
 
 def load_all() -> None:
     """Import every query module (registration happens at import)."""
-    from airshed.plans import q_core, q_merge, q_series, q_eda, q_models, q_stream  # noqa: F401,E401
+    from airshed.plans import q_core, q_merge, q_series, q_eda, q_models, q_stream, q_io  # noqa: F401,E401

@@ -100,16 +100,17 @@ PARAMETER_ORDER = ["pm25", "pm10", "o3", "no2", "so2", "co"]
 def openaq_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw hourly air-quality measurements in long form with mixed units/offsets."""
     li = table(spark, sf_dir, "lineitem")
-    param = F.element_at(F.array(*[F.lit(p) for p in PARAMETER_ORDER]), (F.col("l_orderkey") % 6 + 1).cast("int"))
+    k = F.col("l_orderkey") % 6                      # parameter index into PARAMETER_ORDER
+    param = F.element_at(F.array(*[F.lit(p) for p in PARAMETER_ORDER]), (k + 1).cast("int"))
     alt_unit = (F.col("l_linenumber") % 2) == 1
+    pm = k <= 1                                      # pm25, pm10
     spike = F.when(F.col("l_partkey") % 50 == 0, F.lit(10.0)).otherwise(F.lit(1.0))
     base = (
-        F.when(param.isin("pm25", "pm10"), F.col("l_extendedprice") / F.lit(400.0))
-        .when(param == "co", F.col("l_extendedprice") / F.lit(2500.0))
+        F.when(pm, F.col("l_extendedprice") / F.lit(400.0))
+        .when(k == 5, F.col("l_extendedprice") / F.lit(2500.0))
         .otherwise(F.col("l_extendedprice") / F.lit(250000.0))
         * spike
     )
-    pm = param.isin("pm25", "pm10")
     value = F.when(alt_unit & pm, base / F.lit(1000.0)).when(alt_unit, base * F.lit(1000.0)).otherwise(base)
     units = (
         F.when(pm & alt_unit, F.lit("mg/m³")).when(pm, F.lit("µg/m³"))
