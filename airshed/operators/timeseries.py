@@ -178,3 +178,20 @@ def rolling_8h_daily_max(hourly: DataFrame, key: str = "location_id") -> DataFra
     r = hr.select(key, "hour_idx", F.avg("c").over(w).alias("avg8h"))
     day = F.to_date(F.timestamp_seconds(F.col("hour_idx") * 3600))
     return r.groupBy(key, day.alias("date")).agg(F.max("avg8h").alias("max_8h_mean"))
+
+
+def ewm_mean(df: DataFrame, value: str, span: int, key: str = "city_name", date: str = "date",
+             out: str | None = None) -> DataFrame:
+    """Exponentially weighted mean (adjust=True, NULLs skipped but counted in the decay):
+    sum(q^(t-j) x_j) / sum(q^(t-j)) over present x_j, q = 1 - 2/(span+1).  The window is cut
+    at K rows where q^K < 1e-17, below double precision relative to the newest weight."""
+    q = 1.0 - 2.0 / (span + 1.0)
+    k = ewm_span_rows(span)
+    w = spec(key, date)
+    base = df.select("*", F.row_number().over(w).alias("_p"))
+    items = F.collect_list(F.struct(F.col("_p").alias("p"), F.col(value).alias("v"))).over(w.rowsBetween(-k, 0))
+    present = F.filter(items, lambda e: e["v"].isNotNull())
+    num = F.aggregate(present, F.lit(0.0), lambda acc, e: acc + F.pow(F.lit(q), F.col("_p") - e["p"]) * e["v"])
+    den = F.aggregate(present, F.lit(0.0), lambda acc, e: acc + F.pow(F.lit(q), F.col("_p") - e["p"]))
+    res = F.when(F.size(present) > 0, num / den)
+    return base.select(*df.columns, res.alias(out or f"{value}_ewm{span}"))

@@ -331,3 +331,28 @@ def worst_days(spark, d):
     w = Window.partitionBy("location_id").orderBy(F.col("aqi").desc(), F.col("pm25").desc(), F.col("date"))
     return a.select("location_id", "date", "pm25", "aqi", "category", F.row_number().over(w).alias("rk")) \
         .where(F.col("rk") <= 3)
+
+
+_BP_ROWS = " UNION ALL ".join(
+    f"SELECT '{p}' AS pollutant, {b} AS band, {c_lo!r}e0 AS c_low, {c_hi!r}e0 AS c_high, {i_lo} AS i_low, {i_hi} AS i_high"
+    for p, b, c_lo, c_hi, i_lo, i_hi in A.breakpoint_rows())
+
+
+@query("aqi_breakpoint_join", V("air_parsed", extra=[("dm", _DAILY_SQL), ("bp", _BP_ROWS)]) + """
+SELECT dm.location_id, dm.parameter, dm.date, dm.value, bp.band,
+  CAST(round_even((bp.i_high - bp.i_low) / (bp.c_high - bp.c_low) * (floor(dm.value * 1e9 + 0.5e0) / 1e9 - bp.c_low)
+       + bp.i_low, 0) AS INTEGER) AS band_aqi
+FROM dm LEFT JOIN bp ON dm.parameter = bp.pollutant
+  AND floor(dm.value * 1e9 + 0.5e0) / 1e9 BETWEEN bp.c_low AND bp.c_high""", ["value"])
+def aqi_breakpoint_join(spark, d):
+    """The 33-row breakpoint table as data -- a broadcast range join of daily means with
+    their band (no band = a gap or above the table) and the in-band AQI."""
+    from airshed.functions.units import snap
+    dm = merge.daily_mean_long(CityPipeline(spark, d).air_parsed()).drop("n_obs")
+    bp = spark.createDataFrame(A.breakpoint_rows(),
+                               "pollutant string, band int, c_low double, c_high double, i_low int, i_high int")
+    v = snap(F.col("value"))
+    j = dm.join(F.broadcast(bp), (dm.parameter == bp.pollutant) & v.between(bp.c_low, bp.c_high), "left")
+    slope = (F.col("i_high") - F.col("i_low")) / (F.col("c_high") - F.col("c_low"))
+    return j.select("location_id", "parameter", "date", "value", "band",
+                    F.rint(slope * (v - F.col("c_low")) + F.col("i_low")).cast("int").alias("band_aqi"))

@@ -516,3 +516,22 @@ HAVING count(*) >= 100 AND count(pm25) >= 100""")
 def eligible_cities(spark, d):
     """Minimum-size guards (city rows >= 100, non-NULL target >= 100)."""
     return SP.eligible_cities(merged(spark, d))
+
+
+def _ewm_sql(span):
+    q = 1.0 - 2.0 / (span + 1.0)
+    k = ts.ewm_span_rows(span)
+    lst = f"list({{'p': pos, 'v': pm25}}) OVER (PARTITION BY city_name ORDER BY date ROWS BETWEEN {k} PRECEDING AND CURRENT ROW)"
+    pres = f"list_filter({lst}, lambda e: e.v IS NOT NULL)"
+    num = f"list_sum(list_transform({pres}, lambda e: pow({q!r}e0, pos - e.p) * e.v))"
+    den = f"list_sum(list_transform({pres}, lambda e: pow({q!r}e0, pos - e.p)))"
+    return f"{num} / {den} AS pm25_ewm{span}"
+
+
+@query("ewm", V("merged", extra=[("mp", "SELECT *, row_number() OVER (PARTITION BY city_name ORDER BY date) AS pos "
+                                        "FROM merged")]) +
+       f"SELECT city_name, date, pm25, {_ewm_sql(3)}, {_ewm_sql(7)} FROM mp", ["pm25", "pm25_ewm3", "pm25_ewm7"])
+def ewm(spark, d):
+    """Exponentially weighted means of PM2.5 with spans 3 and 7 per city."""
+    m = merged(spark, d).select("city_name", "date", "pm25")
+    return ts.ewm_mean(ts.ewm_mean(m, "pm25", 3), "pm25", 7)
