@@ -100,8 +100,9 @@ def grouped_avg_rank(df: DataFrame, group: str, col: str, out: str, n_buckets: i
 def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int = 64) -> DataFrame:
     """Spearman rho for many pairs in one pass: long form (pair, x, y) on rows where both are
     present (pairwise complete), grouped average ranks of x and of y, then corr per pair."""
-    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"),
-                                        F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)]))
+    # ranks are taken on values snapped to 1e-9 so ties do not depend on summation order
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), snap(F.col(a).cast("double")).alias("x"),
+                                        snap(F.col(b).cast("double")).alias("y")) for i, (a, b) in enumerate(pairs)]))
     long = df.select(rows.alias("r")).select("r.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
     rx = grouped_avg_rank(long, "pair", "x", "_rx", n_buckets)
     ry = grouped_avg_rank(rx, "pair", "y", "_ry", n_buckets)

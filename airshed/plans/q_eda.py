@@ -192,9 +192,9 @@ def _spearman_sql(a, b):
     return (f"SELECT '{a}' AS var1, '{b}' AS var2, corr(ra, rb) AS rho, count(*) AS n, "
             f"CASE WHEN abs(corr(ra, rb)) > 0.5 THEN 'strong' WHEN abs(corr(ra, rb)) > 0.3 THEN 'moderate' "
             f"ELSE 'weak' END AS strength FROM ("
-            f"SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2e0 AS ra, "
-            f"rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2e0 AS rb "
-            f"FROM merged WHERE {a} IS NOT NULL AND {b} IS NOT NULL) t")
+            f"SELECT rank() OVER (ORDER BY sa) + (count(*) OVER (PARTITION BY sa) - 1) / 2e0 AS ra, "
+            f"rank() OVER (ORDER BY sb) + (count(*) OVER (PARTITION BY sb) - 1) / 2e0 AS rb "
+            f"FROM (SELECT {S(a)} AS sa, {S(b)} AS sb FROM merged WHERE {a} IS NOT NULL AND {b} IS NOT NULL) s) t")
 
 
 @query("corr_spearman", V("merged") + _union([_spearman_sql(a, b) for a, b in _SP]), ["rho"])
