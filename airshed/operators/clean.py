@@ -42,8 +42,7 @@ CANONICAL_WEATHER = [
 
 def numeric(c: Column) -> Column:
     """Coerce to double, bad text -> NULL, NaN -> NULL (invariant: no NaN)."""
-    v = c.try_cast("double")
-    return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
+    return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
 
 
 def sentinel_null(df: DataFrame) -> DataFrame:
@@ -178,16 +177,15 @@ def clip_ranges(df: DataFrame, target: str | None = "pm25") -> DataFrame:
 
 def coverage_filter(station_days: DataFrame, city_stations: DataFrame, min_coverage: float,
                     cols=COVERAGE_COLS) -> DataFrame:
-    """Keep a (city, station) when its mean non-NULL share over ``cols`` >= min_coverage,
-    or when the city has a single station.  One aggregate + a semi join."""
+    """Keep a (city, station) when the station's mean non-NULL share over ``cols`` >= min_coverage,
+    or when the city has a single candidate station.  Coverage is one per-station aggregate
+    (partial aggregation before the shuffle); the per-city count is a window over the small map."""
+    from pyspark.sql import Window
     share = sum(F.avg(F.col(c).isNotNull().cast("double")) for c in cols) / F.lit(float(len(cols)))
-    cov = (station_days.join(city_stations.select("city_id", "station_id"), "station_id")
-           .groupBy("city_id", "station_id").agg(share.alias("coverage")))
-    n = city_stations.groupBy("city_id").agg(F.count("*").alias("n_stations"))
-    keep = (cov.join(n, "city_id")
-            .where((F.col("coverage") >= F.lit(min_coverage)) | (F.col("n_stations") == 1))
-            .select("city_id", "station_id"))
-    return city_stations.join(keep, ["city_id", "station_id"], "left_semi")
+    cov = station_days.groupBy("station_id").agg(share.alias("_coverage"))
+    m = city_stations.select("*", F.count(F.lit(1)).over(Window.partitionBy("city_id")).alias("_n"))
+    return m.join(cov, "station_id").where((F.col("_coverage") >= F.lit(min_coverage)) | (F.col("_n") == 1)) \
+        .select(*city_stations.columns)
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["WEATHER_COLS"]

@@ -90,8 +90,8 @@ def _idw(rows: DataFrame, cols: list[str], weight: Column, key: str, outlier_col
 
 
 def with_city_station_count(city_map: DataFrame) -> DataFrame:
-    n = city_map.groupBy("city_id").agg(F.count("*").alias("n_city_stations"))
-    return city_map.join(n, "city_id")
+    """Stations per city as a window over the (small, city-partitioned) map."""
+    return city_map.select("*", F.count(F.lit(1)).over(Window.partitionBy("city_id")).alias("n_city_stations"))
 
 
 def idw_weather(station_days: DataFrame, city_map: DataFrame) -> DataFrame:
