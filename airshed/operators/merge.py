@@ -67,8 +67,10 @@ def _idw(rows: DataFrame, cols: list[str], weight: Column, key: str, outlier_col
     aggs.append(F.count("*").cast("long").alias("station_count"))
     aggs.append(F.max("n_city_stations").alias("n_city_stations"))
     if "lat" in rows.columns:
-        first = F.min_by(F.struct("lat", "lon", "elev_m"), F.when(F.col("lat").isNotNull(), F.col("rank")))
-        aggs.append(first.alias("_loc"))
+        # three scalar min_by's (fixed-width buffers keep this a hash aggregate); the ordering key
+        # (rank within the city) is unique, so all three come from the same station
+        located = F.when(F.col("lat").isNotNull(), F.col("rank"))
+        aggs += [F.min_by(c, located).alias(f"_loc_{c}") for c in ("lat", "lon", "elev_m")]
     g = rows.groupBy("city_id", "date").agg(*aggs)
     single = F.col("n_city_stations") == 1
     valid = sum(F.col(c).isNotNull().cast("int") for c in cols)
@@ -80,7 +82,7 @@ def _idw(rows: DataFrame, cols: list[str], weight: Column, key: str, outlier_col
         if outlier_cols and f"{c}_is_outlier" in rows.columns:
             out.append(F.col(f"{c}_is_outlier"))
     if "lat" in rows.columns:
-        out += [F.col("_loc.lat").alias("lat"), F.col("_loc.lon").alias("lon"), F.col("_loc.elev_m").alias("elev_m")]
+        out += [F.col(f"_loc_{c}").alias(c) for c in ("lat", "lon", "elev_m")]
     out += [
         F.col("station_count"),
         F.when(single, F.lit("single_station")).otherwise(F.lit("weighted_average")).alias("data_source"),
@@ -90,8 +92,12 @@ def _idw(rows: DataFrame, cols: list[str], weight: Column, key: str, outlier_col
 
 
 def with_city_station_count(city_map: DataFrame) -> DataFrame:
-    """Stations per city as a window over the (small, city-partitioned) map."""
-    return city_map.select("*", F.count(F.lit(1)).over(Window.partitionBy("city_id")).alias("n_city_stations"))
+    """Stations per city as a window over the (small, city-partitioned) map.
+
+    The map is broadcast: its size is bounded by max_stations x cities (a top-n per city), not
+    by the observation volume, so the large station-day side is joined without a reshuffle."""
+    m = city_map.select("*", F.count(F.lit(1)).over(Window.partitionBy("city_id")).alias("n_city_stations"))
+    return F.broadcast(m)
 
 
 def idw_weather(station_days: DataFrame, city_map: DataFrame) -> DataFrame:

@@ -54,17 +54,23 @@ def future_target(target: str, h: int, key: str = "city_name") -> Column:
     return F.lead(target, h).over(spec(key)).alias(f"{target}_future_{h}d")
 
 
-def _neighbours(c: str, w, position: Column, day: Column):
+def _neighbours(c: str, w, position: Column, day: Column, key: str, date: str):
+    """Previous / next non-NULL value of ``c`` with its position and day.
+
+    Both directions use running frames (unbounded preceding .. current row); the "next" side runs
+    over the descending order.  A frame ending at unbounded following would be re-evaluated for
+    every row (quadratic in the partition size); this stays linear, at the cost of one more sort
+    over the same partitioning (no extra exchange)."""
     back = w.rowsBetween(UNB, 0)
-    fwd = w.rowsBetween(0, UNF)
+    rev = Window.partitionBy(key).orderBy(F.col(date).desc()).rowsBetween(UNB, 0)
     present = F.col(c).isNotNull()
     return dict(
         prev_v=F.last(F.col(c), ignorenulls=True).over(back),
         prev_p=F.last(F.when(present, position), ignorenulls=True).over(back),
         prev_d=F.last(F.when(present, day), ignorenulls=True).over(back),
-        next_v=F.first(F.col(c), ignorenulls=True).over(fwd),
-        next_p=F.first(F.when(present, position), ignorenulls=True).over(fwd),
-        next_d=F.first(F.when(present, day), ignorenulls=True).over(fwd),
+        next_v=F.last(F.col(c), ignorenulls=True).over(rev),
+        next_p=F.last(F.when(present, position), ignorenulls=True).over(rev),
+        next_d=F.last(F.when(present, day), ignorenulls=True).over(rev),
     )
 
 
@@ -75,7 +81,7 @@ def interpolate_linear(df: DataFrame, cols: list[str], key: str = "city_name", d
     pos = F.col("_pos")
     out = []
     for c in cols:
-        n = _neighbours(c, w, pos, pos)
+        n = _neighbours(c, w, pos, pos, key, date)
         lin = n["prev_v"] + (n["next_v"] - n["prev_v"]) * (pos - n["prev_p"]) / (n["next_p"] - n["prev_p"])
         filled = F.coalesce(F.col(c), lin, n["prev_v"], n["next_v"])
         out.append(filled.alias(c))
@@ -92,7 +98,7 @@ def interpolate_time_limit(df: DataFrame, cols: list[str], key: str = "city_name
     pos, day = F.col("_pos"), F.col("_day")
     out = []
     for c in cols:
-        n = _neighbours(c, w, pos, day)
+        n = _neighbours(c, w, pos, day, key, date)
         inside = n["prev_v"] + (n["next_v"] - n["prev_v"]) * (day - n["prev_d"]) / (n["next_d"] - n["prev_d"])
         gap_rank = pos - n["prev_p"]
         fill = F.when(F.col(c).isNull() & n["prev_v"].isNotNull() & (gap_rank <= limit),
