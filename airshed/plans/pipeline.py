@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from airshed.session import checkpoint_dir
 from airshed.sources import domain
 
 # bump when the ETL semantics change so stored tables are rebuilt
-ETL_VERSION = "merged-v1"
+ETL_VERSION = "merged-v2"
 
 
 @dataclass
@@ -82,13 +83,25 @@ def hourly_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("location_id", "ts", F.to_date("ts").alias("date"), "pm25", "event_id")
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _path_exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
     return bool(fs.exists(p))
 
 
+def _publish(spark: SparkSession, tmp: str, final: str) -> None:
+    """Rename a finished write into place; if another writer won the race, drop ours."""
+    src, fs = _fs(spark, tmp)
+    dst, _ = _fs(spark, final)
+    if fs.exists(dst) or not fs.rename(src, dst):
+        fs.delete(src, True)
+
+
 def _inputs_key(sf_dir: str, params: dict) -> str:
     stamp = []
     for t in ("lineitem", "supplier", "nation"):
@@ -110,5 +123,9 @@ def stored_merged(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
     settings = {f.name: getattr(p, f.name) for f in fields(p) if f.name not in ("spark", "sf_dir")}
     root = os.path.join(checkpoint_dir(spark), "tables", f"merged-{_inputs_key(sf_dir, settings)}")
     if not _path_exists(spark, root + "/_SUCCESS"):
-        p.merged().write.mode("overwrite").partitionBy("city_name", "year").parquet(root)
+        if _path_exists(spark, root):          # a crashed earlier write: no _SUCCESS marker
+            _fs(spark, root)[1].delete(_fs(spark, root)[0], True)
+        tmp = f"{root}.tmp-{uuid.uuid4().hex[:8]}"
+        p.merged().write.mode("errorifexists").partitionBy("city_name", "year").parquet(tmp)
+        _publish(spark, tmp, root)
     return spark.read.parquet(root)
