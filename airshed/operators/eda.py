@@ -78,23 +78,30 @@ def distributed_avg_rank(df: DataFrame, col: str, out: str, n_buckets: int = 64)
 
 def grouped_avg_rank(df: DataFrame, group: str, col: str, out: str, n_buckets: int = 64,
                      accuracy: int = 10000) -> DataFrame:
-    """Average rank of ``col`` within each ``group`` without sorting a group in one task:
-    per-group approximate cut points (one aggregate, n_buckets values per group) assign each
-    value to a range bucket; per-(group, bucket) counts give the bucket offsets; ranks are
-    local to (group, bucket).  Equal values always share a bucket, so ties are exact."""
+    """Average rank of ``col`` within each ``group`` without sorting a group in one task.
+
+    1. count rows per distinct (group, value) -- partial aggregation, so a hot value (even a
+       third of all rows) becomes one row;
+    2. range-bucket the distinct values on per-group approximate cut points and take per-bucket
+       offsets (a table of groups x n_buckets rows);
+    3. inside a bucket, a running sum over the distinct values gives the rows strictly below,
+       so avg_rank(v) = below(v) + (count(v) + 1) / 2;
+    4. join the ranks back on (group, value) -- an equi-join that AQE's skew handling can split."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.groupBy(group).agg(F.array_sort(F.array_distinct(
+    vals = df.groupBy(group, col).agg(F.count(F.lit(1)).alias("_cnt"))
+    cuts = vals.groupBy(group).agg(F.array_sort(F.array_distinct(
         F.percentile_approx(col, probs, accuracy))).alias("_cuts"))
-    b = df.join(F.broadcast(cuts), group).select(
-        *df.columns, F.size(F.filter("_cuts", lambda c: c < F.col(col))).alias("_bucket"))
-    counts = b.groupBy(group, "_bucket").agg(F.count("*").alias("_cnt"))
+    b = vals.join(F.broadcast(cuts), group).select(
+        group, col, "_cnt", F.size(F.filter("_cuts", lambda c: c < F.col(col))).alias("_bucket"))
+    per_bucket = b.groupBy(group, "_bucket").agg(F.sum("_cnt").alias("_bcnt"))
     # offsets over (group, bucket) rows: bounded by groups x n_buckets
     ow = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(group, "_bucket", F.coalesce(F.sum("_cnt").over(ow), F.lit(0)).alias("_off"))
-    w = Window.partitionBy(group, "_bucket").orderBy(col)
-    ties = Window.partitionBy(group, "_bucket", col)
-    return b.join(F.broadcast(offsets), [group, "_bucket"]).select(
-        *df.columns, (F.col("_off") + F.rank().over(w) + (F.count("*").over(ties) - 1) / F.lit(2.0)).alias(out))
+    offsets = per_bucket.select(group, "_bucket", F.coalesce(F.sum("_bcnt").over(ow), F.lit(0)).alias("_off"))
+    w = Window.partitionBy(group, "_bucket").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = b.join(F.broadcast(offsets), [group, "_bucket"]).select(
+        group, col, (F.col("_off") + F.coalesce(F.sum("_cnt").over(w), F.lit(0))
+                     + (F.col("_cnt") + 1) / F.lit(2.0)).alias(out))
+    return df.join(ranks, [group, col]).select(*df.columns, out)
 
 
 def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int = 64) -> DataFrame:
