@@ -105,24 +105,28 @@ def city_models(spark, d):
 
 @query("city_tree_models")
 def city_tree_models(spark, d):
-    """L7 for trees: one small forest per eligible city (>= 100 rows), fitted on a city filter."""
+    """L7 for trees: one small forest per eligible city (>= 100 rows, >= 100 targets), fitted on
+    a city filter of the cached feature table.  Every eligible city is fitted; the fits are
+    independent Spark jobs submitted from a small thread pool so they share the cluster."""
+    from concurrent.futures import ThreadPoolExecutor
     feats = FE.build_features(merged(spark, d), "weather", ["pm25"], horizon=0)
     cols = FE.feature_columns("weather", ["pm25"])
     feats = ML.as_double(feats, cols).cache()
-    cities = [r[0] for r in SP.eligible_cities(feats, min_rows=100, min_target=100)
-              .orderBy("city_name").limit(3).collect()]  # the city list is bounded by the catalogue
-    outs = []
-    for c in cities:
+    # the city list is bounded by the city catalogue
+    cities = [r[0] for r in SP.eligible_cities(feats, min_rows=100, min_target=100).select("city_name").collect()]
+
+    def fit(c):
         sub = feats.where(F.col("city_name") == c)
         split = SP.chrono_split(sub)
         train = split.where(F.col("split") == "train")
         model = ML.feature_pipeline(cols, ML.make_estimator("RandomForest", "pm25_log", 0, 0.0, True)).fit(train)
         m = ML.evaluate(model.transform(split.where(F.col("split") != "train")), "pm25", ["split"])
-        outs.append(m.select(F.lit(c).alias("city_name"), "*"))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
+        return [(c, r["split"], r["rmse"], r["mae"], r["r2"]) for r in m.collect()]
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        rows = [row for part in pool.map(fit, sorted(cities)) for row in part]
+    feats.unpersist()
+    return spark.createDataFrame(rows, "city_name string, split string, rmse double, mae double, r2 double")
 
 
 @query("batch_scoring")
