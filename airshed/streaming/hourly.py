@@ -101,8 +101,9 @@ def _nowcast(values: list[float | None]) -> float | None:
 
 def nowcast_state_fn(key, pdfs, state):
     """Per location: keep (hour -> running sum, count) for the last 24 hours in state and emit
-    the NowCast of every hour touched by this micro-batch (a re-touched hour is re-emitted;
-    the latest emission wins)."""
+    the NowCast of every hour whose 12-hour window contains an hour touched by this micro-batch,
+    so data arriving late (within the retention) also corrects the later hours it feeds; the
+    latest emission of an hour wins."""
     loc = key[0]
     hours: dict[int, list[float]] = {}
     if state.exists:
@@ -117,8 +118,9 @@ def nowcast_state_fn(key, pdfs, state):
             acc[0] += float(v)
             acc[1] += 1
             touched.add(int(h))
+    affected = {t + k for t in touched for k in range(NOWCAST_HOURS) if (t + k) in hours}
     out = []
-    for h in sorted(touched):
+    for h in sorted(affected):
         vals = [(hours[h - i][0] / hours[h - i][1]) if (h - i) in hours else None for i in range(NOWCAST_HOURS)]
         out.append((loc, h, _nowcast(vals)))
     if hours:
