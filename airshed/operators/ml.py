@@ -40,13 +40,14 @@ def make_estimator(name: str, label: str, n_rows: int, sigma_y: float, small: bo
         alpha = 1.0
         reg = alpha * sigma_y / max(n_rows, 1)
         return LinearRegression(regParam=reg, elasticNetParam=0.0, standardization=False, solver="normal", **common)
+    iters = 50 if small else 200
     if name == "Lasso":
-        return LinearRegression(regParam=1.0, elasticNetParam=1.0, standardization=False, maxIter=200, **common)
+        return LinearRegression(regParam=1.0, elasticNetParam=1.0, standardization=False, maxIter=iters, **common)
     if name == "ElasticNet":
         alpha, l1 = 1.0, 0.5
         lam1, lam2 = alpha * l1, alpha * (1 - l1) * sigma_y
         return LinearRegression(regParam=lam1 + lam2, elasticNetParam=lam1 / (lam1 + lam2), standardization=False,
-                                maxIter=200, **common)
+                                maxIter=iters, **common)
     if name == "RandomForest":
         return RandomForestRegressor(numTrees=10 if small else 100, maxDepth=6 if small else 15, seed=42, **common)
     if name == "GradientBoosting":
