@@ -76,9 +76,9 @@ def distributed_avg_rank(df: DataFrame, col: str, out: str, n_buckets: int = 64)
     return ranked
 
 
-def grouped_avg_rank(df: DataFrame, group: str, col: str, out: str, n_buckets: int = 64,
-                     accuracy: int = 10000) -> DataFrame:
-    """Average rank of ``col`` within each ``group`` without sorting a group in one task.
+def avg_rank_table(df: DataFrame, group: str, col: str, out: str, n_buckets: int = 64,
+                   accuracy: int = 10000) -> DataFrame:
+    """(group, value, average rank) for every distinct value, without sorting a group in one task.
 
     1. count rows per distinct (group, value) -- partial aggregation, so a hot value (even a
        third of all rows) becomes one row;
@@ -86,7 +86,8 @@ def grouped_avg_rank(df: DataFrame, group: str, col: str, out: str, n_buckets: i
        offsets (a table of groups x n_buckets rows);
     3. inside a bucket, a running sum over the distinct values gives the rows strictly below,
        so avg_rank(v) = below(v) + (count(v) + 1) / 2;
-    4. join the ranks back on (group, value) -- an equi-join that AQE's skew handling can split."""
+    4. callers join the ranks back on (group, value) -- an equi-join on a unique key that AQE's
+       skew handling can split."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
     vals = df.groupBy(group, col).agg(F.count(F.lit(1)).alias("_cnt"))
     cuts = vals.groupBy(group).agg(F.array_sort(F.array_distinct(
@@ -98,10 +99,14 @@ def grouped_avg_rank(df: DataFrame, group: str, col: str, out: str, n_buckets: i
     ow = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(group, "_bucket", F.coalesce(F.sum("_bcnt").over(ow), F.lit(0)).alias("_off"))
     w = Window.partitionBy(group, "_bucket").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = b.join(F.broadcast(offsets), [group, "_bucket"]).select(
+    return b.join(F.broadcast(offsets), [group, "_bucket"]).select(
         group, col, (F.col("_off") + F.coalesce(F.sum("_cnt").over(w), F.lit(0))
                      + (F.col("_cnt") + 1) / F.lit(2.0)).alias(out))
-    return df.join(ranks, [group, col]).select(*df.columns, out)
+
+
+def grouped_avg_rank(df: DataFrame, group: str, col: str, out: str, n_buckets: int = 64) -> DataFrame:
+    """``df`` with the average rank of ``col`` within ``group`` attached (see ``avg_rank_table``)."""
+    return df.join(avg_rank_table(df, group, col, out, n_buckets), [group, col]).select(*df.columns, out)
 
 
 def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int = 64) -> DataFrame:
@@ -111,9 +116,11 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int =
     rows = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), snap(F.col(a).cast("double")).alias("x"),
                                         snap(F.col(b).cast("double")).alias("y")) for i, (a, b) in enumerate(pairs)]))
     long = df.select(rows.alias("r")).select("r.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    rx = grouped_avg_rank(long, "pair", "x", "_rx", n_buckets)
-    ry = grouped_avg_rank(rx, "pair", "y", "_ry", n_buckets)
-    res = ry.groupBy("pair").agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").cast("long").alias("n"))
+    # both rank tables come straight from the long form and are unique on their join keys
+    rx = avg_rank_table(long, "pair", "x", "_rx", n_buckets)
+    ry = avg_rank_table(long, "pair", "y", "_ry", n_buckets)
+    ranked = long.join(rx, ["pair", "x"]).join(ry, ["pair", "y"])
+    res = ranked.groupBy("pair").agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").cast("long").alias("n"))
     names = F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2")) for a, b in pairs])
     return res.select(F.element_at(names, F.col("pair") + 1).alias("v"), "rho", "n").select("v.*", "rho", "n")
 
