@@ -16,7 +16,6 @@ from airshed.constants import (
     GSOD_SENTINELS,
     POLLUTANT_RANGES,
     TARGET_CLIP,
-    WEATHER_COLS,
     WEATHER_RANGES,
 )
 from airshed.functions.units import convert_to_target, f_to_c, inch_to_mm, knot_to_kmh, mile_to_km
@@ -188,5 +187,3 @@ def coverage_filter(station_days: DataFrame, city_stations: DataFrame, min_cover
     return cov.join(F.broadcast(m), "station_id") \
         .where((F.col("_coverage") >= F.lit(min_coverage)) | (F.col("_n") == 1)).select(*city_stations.columns)
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["WEATHER_COLS"]

@@ -3,9 +3,9 @@
 Most reports are one ``agg`` (partial aggregation before the shuffle) or a
 ``groupBy(city)``; wide-to-long reshaping uses ``unpivot`` so one aggregate
 covers every variable.  Global ranks (Spearman) are computed without a global
-single-partition window: values are range-bucketed on approximate quantile
-boundaries, per-bucket counts give each bucket's offset, and ranks are local
-to the bucket (``distributed_avg_rank``).
+single-partition window: distinct values are range-bucketed on approximate
+quantile cut points, per-bucket counts give each bucket's offset, and ranks
+are local to the bucket (``avg_rank_table``).
 """
 
 from __future__ import annotations
@@ -46,36 +46,6 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
         F.col("_q")[2].alias("q75"), "max")
 
 
-def bucket_boundaries(df: DataFrame, col: str, n_buckets: int, accuracy: int = 10000) -> list[float]:
-    """Approximate quantile cut points (a bounded list: n_buckets - 1 values)."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(F.percentile_approx(col, probs, accuracy).alias("b")).first()
-    bounds = sorted(set(v for v in (row["b"] or []) if v is not None))
-    return bounds
-
-
-def distributed_avg_rank(df: DataFrame, col: str, out: str, n_buckets: int = 64) -> DataFrame:
-    """Average rank (ties share the mean rank, 1-based) of ``col`` over the whole frame,
-    computed bucket-locally.  Rows with NULL ``col`` are dropped.
-
-    bucket(v) = number of cut points < v, so equal values always share a bucket."""
-    d = df.where(F.col(col).isNotNull())
-    bounds = bucket_boundaries(d, col, n_buckets)
-    arr = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    bucket = F.size(F.filter(arr, lambda b: b < F.col(col)))
-    b = d.select("*", bucket.alias("_bucket"))
-    counts = b.groupBy("_bucket").agg(F.count("*").alias("_cnt"))
-    # offsets over <= n_buckets rows (bounded): single-partition window is fine here
-    ow = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_cnt").over(ow), F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_bucket").orderBy(col)
-    ties = Window.partitionBy("_bucket", col)
-    ranked = b.join(F.broadcast(offsets), "_bucket").select(
-        *df.columns,
-        (F.col("_off") + F.rank().over(w) + (F.count("*").over(ties) - 1) / F.lit(2.0)).alias(out))
-    return ranked
-
-
 def avg_rank_table(df: DataFrame, group: str, col: str, out: str, n_buckets: int = 64,
                    accuracy: int = 10000) -> DataFrame:
     """(group, value, average rank) for every distinct value, without sorting a group in one task.

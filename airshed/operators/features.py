@@ -8,8 +8,6 @@ columns a set does not use are pruned by Catalyst before execution.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -186,11 +184,3 @@ def one_hot(df: DataFrame, col: str, categories: list[str], drop_first: bool = F
     cats = sorted(categories)[1:] if drop_first else sorted(categories)
     return df.select(*[c for c in df.columns if c != col],
                      *[(F.col(col) == F.lit(v)).cast("int").alias(f"{col}_{v}") for v in cats])
-
-
-def sample_skew_factor(n: Column) -> Column:
-    """Spark's skewness is the population estimator; pandas/DuckDB use the bias-corrected one."""
-    return F.sqrt(n * (n - 1)) / (n - 2)
-
-
-TWO_PI = 2 * math.pi

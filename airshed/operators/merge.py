@@ -159,8 +159,3 @@ def fill_missing_dates(df: DataFrame, key: str = "city_name", date: str = "date"
 
 def air_units(df: DataFrame) -> DataFrame:
     return df.select("*", *[F.lit(POLLUTANT_UNITS[p]).alias(f"{p}_unit") for p in POLLUTANTS])
-
-
-def first_by_rank(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.select("*", F.row_number().over(w).alias("_rn")).where("_rn = 1").drop("_rn")

@@ -15,9 +15,9 @@ from airshed.plans.sqlgen import (
     aqi_by_parameter_sql,
     aqi_sql,
     category_sql,
-    epa_trunc_sql,
     greatest_sql,
     primary_sql,
+    short_advice_sql,
 )
 from airshed.sources import domain
 
@@ -275,15 +275,17 @@ def aqi_category(spark, d):
                                              ("lab", f"SELECT *, {category_sql('aqi', 2)} AS label FROM ov")]) +
        f"SELECT city_id, date, aqi, label, {advice_sql('label', 1)} AS message, "
        f"{advice_sql('label', 5)} || ' ' || {advice_sql('label', 1)} || chr(10) || '健康影响: ' || "
-       f"{advice_sql('label', 2)} || chr(10) || '建议: ' || {advice_sql('label', 3)} AS advice_text FROM lab")
+       f"{advice_sql('label', 2)} || chr(10) || '建议: ' || {advice_sql('label', 3)} AS advice_text, "
+       f"{short_advice_sql('label')} AS short_advice FROM lab")
 def health_advice(spark, d):
-    """advice record and formatted text per city-day (unknown category -> Good)."""
+    """advice record, formatted text and the short advice line per city-day
+    (unknown category -> Good for the record, '未知' for the short line)."""
     df = _city_aqi(spark, d).select("city_id", "date", A.overall_aqi(list(_AQI_COLS.values())).alias("aqi"))
     lab = A.category("aqi", 2)
     text = F.concat(A.advice_field(lab, 5), F.lit(" "), A.advice_field(lab, 1), F.lit("\n健康影响: "),
                     A.advice_field(lab, 2), F.lit("\n建议: "), A.advice_field(lab, 3))
     return df.select("city_id", "date", "aqi", lab.alias("label"), A.advice_field(lab, 1).alias("message"),
-                     text.alias("advice_text"))
+                     text.alias("advice_text"), A.short_advice(F.col("aqi")).alias("short_advice"))
 
 
 _CAT_ROWS = " UNION ALL ".join(

@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from airshed.constants import POLLUTANTS, POLLUTION_LEVELS, VISIBILITY_BINS, WEATHER_COLS
+from airshed.constants import POLLUTANTS, POLLUTION_LEVELS, WEATHER_COLS
 from airshed.operators import eda as E
 from airshed.operators import features as FE
 from airshed.plans.oracle_views import with_views as V

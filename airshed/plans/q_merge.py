@@ -9,7 +9,7 @@ from airshed.constants import POLLUTANTS, WEATHER_COLS
 from airshed.functions import aqi as A
 from airshed.operators import merge, stations
 from airshed.plans.oracle_views import with_views as V
-from airshed.plans.oracle_views import _hav, _near
+from airshed.plans.oracle_views import _near
 from airshed.plans.pipeline import CityPipeline, stored_merged
 from airshed.plans.registry import query
 from airshed.plans.sqlgen import aqi_sql, category_sql, greatest_sql

@@ -9,7 +9,7 @@ from airshed.operators import features as FE
 from airshed.operators import ml as ML
 from airshed.operators import split as SP
 from airshed.plans.oracle_views import with_views as V
-from airshed.plans.pipeline import CityPipeline, stored_merged
+from airshed.plans.pipeline import stored_merged
 from airshed.plans.registry import query
 from airshed.session import checkpoint_dir
 

@@ -8,7 +8,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from airshed.constants import (
-    CALENDAR_COLS,
     HIGH_POLLUTION,
     ROLL_MEAN_WINDOWS,
     ROLL_STD_WINDOWS,

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from airshed.constants import AQI_BREAKPOINTS, AQI_CAP, AQI_CATEGORIES, AQI_TRUNCATION_DIGITS, HEALTH_ADVICE
+from airshed.constants import (AQI_BREAKPOINTS, AQI_CAP, AQI_CATEGORIES, AQI_TRUNCATION_DIGITS, HEALTH_ADVICE,
+                               SHORT_ADVICE)
 
 
 def dlit(x: float) -> str:
@@ -73,3 +74,8 @@ def primary_sql(aqi_cols: dict[str, str]) -> str:
     g = greatest_sql(list(aqi_cols.values()))
     parts = [f"WHEN {c} = {g} THEN '{p}'" for p, c in aqi_cols.items()]
     return f"(CASE {' '.join(parts)} END)"
+
+
+def short_advice_sql(label: str) -> str:
+    parts = [f"WHEN {label} = {slit(a)} THEN {slit(t)}" for a, t in SHORT_ADVICE]
+    return f"(CASE {' '.join(parts)} ELSE '未知' END)"
