@@ -97,15 +97,19 @@ def in_bbox(df: DataFrame, min_lat: float, min_lon: float, max_lat: float, max_l
 
 
 def city_lookup(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Normalised (name, country) lookup; among duplicates the largest population wins (then id)."""
+    """Normalised (name, country) lookup; among duplicates the largest population wins (then id).
+
+    The winner is resolved once per catalogue key (one aggregate), so every query row meets at
+    most one catalogue row -- no fan-out even when one name has very many entries."""
+    cat = catalogue.select(F.lower(F.trim(F.col("city_ascii"))).alias("_qn"), F.upper(F.col("iso2")).alias("_qc"),
+                           F.col("id"), F.col("lat"), F.col("lng"), F.col("population"))
+    best = cat.groupBy("_qn", "_qc").agg(F.max_by(
+        F.struct(F.col("id").alias("match_id"), F.col("lat").alias("match_lat"), F.col("lng").alias("match_lng"),
+                 F.col("population").alias("match_population")),
+        F.struct(F.col("population"), -F.col("id"))).alias("m"))
     q = queries.select("*", F.lower(F.trim(F.col("query_name"))).alias("_qn"),
                        F.upper(F.trim(F.col("query_iso2"))).alias("_qc"))
-    cat = catalogue.select(F.lower(F.trim(F.col("city_ascii"))).alias("_qn"), F.upper(F.col("iso2")).alias("_qc"),
-                           F.col("id").alias("match_id"), F.col("lat").alias("match_lat"),
-                           F.col("lng").alias("match_lng"), F.col("population").alias("match_population"))
-    w = Window.partitionBy("query_id").orderBy(F.col("match_population").desc(), F.col("match_id"))
-    return (q.join(cat, ["_qn", "_qc"]).select("*", F.row_number().over(w).alias("_r"))
-            .where("_r = 1").drop("_r", "_qn", "_qc"))
+    return q.join(best, ["_qn", "_qc"]).select(*queries.columns, "m.*")
 
 
 def city_search(catalogue: DataFrame, pattern: str, limit: int) -> DataFrame:
