@@ -199,23 +199,36 @@ def rolling_forecast(spark, d):
 
 @query("ablation")
 def ablation(spark, d):
-    """Ablation ladder weather -> +lags/rolling -> +interactions; RMSE per rung (Ridge)."""
+    """Ablation ladder weather -> +lags/rolling -> +interactions -> +static city features
+    (latitude, longitude, log population; a bounded dimension, broadcast); validation RMSE per
+    rung (Ridge) and whether the rung improves on the previous one by at least 2 %."""
+    from airshed.operators.merge import normalise_city_name
+    from airshed.sources import domain
     m = merged(spark, d)
-    out = []
-    for rung, exp in enumerate(["weather", "lag", "full"]):
+    cities = domain.cities(spark, d).select(normalise_city_name(F.col("city_name")).alias("city_name"),
+                                            F.col("lat").alias("city_lat"), F.col("lng").alias("city_lng"),
+                                            F.log(F.col("population").cast("double")).alias("city_log_pop"))
+    ladder = [("weather", "weather", []), ("lag", "lag", []), ("full", "full", []),
+              ("full+city", "full", ["city_lat", "city_lng", "city_log_pop"])]
+    rows = []
+    for rung, (label, exp, extra) in enumerate(ladder):
         feats = FE.build_features(m, exp, ["pm25"], horizon=0 if exp == "weather" else 1)
-        cols = FE.feature_columns(exp, ["pm25"])
+        if extra:
+            feats = feats.join(F.broadcast(cities), "city_name")
+        cols = FE.feature_columns(exp, ["pm25"]) + extra
         feats = ML.as_double(feats, cols)
         split = SP.chrono_split(feats)
         train = split.where(F.col("split") == "train")
         sigma, n = ML.label_std(train, "pm25_log")
         model = ML.feature_pipeline(cols, ML.make_estimator("Ridge", "pm25_log", n, sigma)).fit(train)
-        r = ML.evaluate(model.transform(split.where(F.col("split") == "val")), "pm25", ["split"])
-        out.append(r.select(F.lit(rung).alias("rung"), F.lit(exp).alias("feature_set"), "rmse", "mae", "r2"))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+        r = ML.evaluate(model.transform(split.where(F.col("split") == "val")), "pm25", ["split"]).first()
+        rows.append((rung, label, float(r["rmse"]), float(r["mae"]), float(r["r2"])))
+    out = []
+    for k, row in enumerate(rows):
+        improved = None if k == 0 else bool(row[2] <= rows[k - 1][2] * 0.98)
+        out.append(row + (improved,))
+    return spark.createDataFrame(out, "rung int, feature_set string, rmse double, mae double, r2 double, "
+                                      "improves_2pct boolean")
 
 
 @query("one_hot_train_fit")
