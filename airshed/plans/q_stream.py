@@ -115,3 +115,17 @@ def local_day(spark, d):
     t = F.col("ts").cast("timestamp")
     return h.select("event_id", "location_id", F.to_date(t).alias("utc_day"),
                     F.to_date(F.from_utc_timestamp(t, tz)).alias("local_day"))
+
+
+@query("stream_late_data")
+def stream_late_data(spark, d):
+    """T4: late-data accounting -- the hourly feed lands as one file per day with every fifth day
+    arriving four days late; per micro-batch the input rows and the rows dropped by the 2-day
+    watermark (streaming progress metrics).  Rows-only (depends on arrival order)."""
+    import os
+    import uuid
+    from airshed.session import checkpoint_dir
+    ev = domain.table(spark, d, "events")
+    folder = os.path.join(checkpoint_dir(spark), "landing", f"hourly-{uuid.uuid4().hex[:8]}")
+    S.land_daily_files(ev, folder)
+    return S.late_data_report(spark, folder, ev.schema)

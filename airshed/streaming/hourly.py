@@ -136,3 +136,54 @@ def nowcast_stream(stream: DataFrame) -> DataFrame:
     return hourly.groupBy("location_id").applyInPandasWithState(
         nowcast_state_fn, "location_id long, hour_idx long, nowcast double",
         "hist array<struct<h:long,s:double,c:long>>", "append", GroupStateTimeout.NoTimeout)
+
+
+# --------------------------------------------------------- T4 late data
+def land_daily_files(hourly_df: DataFrame, folder: str, late_every: int = 5, delay: int = 4) -> list[str]:
+    """Write the feed as one Parquet file per event day into ``folder``; every ``late_every``-th
+    day lands after the ``delay`` days that follow it (late data).  Returns the landing order.
+    Late input is filtered against the previous batch's watermark, so with a 2-day watermark a
+    day must land more than 3 days late before its rows are dropped."""
+    spark = hourly_df.sparkSession
+    days = [r[0] for r in hourly_df.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]
+    order = list(days)
+    for i in range(0, len(days), late_every):
+        if i + delay < len(days):
+            d = order.pop(order.index(days[i]))
+            order.insert(order.index(days[i + delay]) + 1, d)
+    for k, d in enumerate(order):
+        (hourly_df.where(F.to_date("ts") == F.lit(d)).repartition(1)
+         .write.mode("overwrite").parquet(os.path.join(folder, f"batch={k:04d}")))
+    return [str(d) for d in order]
+
+
+def late_data_report(spark: SparkSession, folder: str, schema, watermark: str = WATERMARK) -> DataFrame:
+    """Stream the landed files one per micro-batch through a watermarked 1-day window count and
+    account, per batch, for input rows, rows accepted into windows and rows dropped as too late.
+
+    The aggregation runs in update mode; every batch's updated window counts are stored with the
+    batch id, so the per-window count increments give the accepted rows of each batch exactly
+    (input - accepted = dropped by the watermark)."""
+    from pyspark.sql import Window
+    s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+         .select((F.col("user_id") % 25).alias("location_id"), F.col("ts").cast("timestamp").alias("ts")))
+    agg = s.withWatermark("ts", watermark).groupBy("location_id", F.window("ts", "1 day")).count()
+    base = os.path.join(checkpoint_dir(spark), "streams", f"late-{uuid.uuid4().hex[:8]}")
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.select("*", F.lit(epoch).cast("long").alias("batch_id")).write.mode("append").parquet(base + "/data")
+
+    q = (agg.writeStream.outputMode("update").foreachBatch(sink)
+         .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    progress = spark.createDataFrame(
+        [(int(p["batchId"]), int(p["numInputRows"]), p["eventTime"].get("watermark")) for p in q.recentProgress],
+        "batch_id long, input_rows long, watermark string")
+    out = spark.read.parquet(base + "/data")
+    w = Window.partitionBy("location_id", "window").orderBy("batch_id")
+    inc = out.select("batch_id", (F.col("count") - F.coalesce(F.lag("count").over(w), F.lit(0))).alias("inc"))
+    accepted = inc.groupBy("batch_id").agg(F.sum("inc").cast("long").alias("accepted_rows"))
+    return progress.join(accepted, "batch_id", "left").select(
+        "batch_id", "input_rows", F.coalesce("accepted_rows", F.lit(0)).cast("long").alias("accepted_rows"),
+        (F.col("input_rows") - F.coalesce("accepted_rows", F.lit(0))).cast("long").alias("dropped_late"),
+        "watermark")
