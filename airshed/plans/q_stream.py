@@ -28,7 +28,8 @@ SELECT location_id, date_trunc('day', ts) AS window_start, date_trunc('day', ts)
   avg(pm25) AS pm25_mean, count(*) AS n FROM hourly GROUP BY location_id, date_trunc('day', ts)""", ["pm25_mean"])
 def stream_daily_mean(spark, d):
     """Tumbling 1-day mean per location from a file stream (watermark 2 days)."""
-    return _win(S.run_to_table(S.daily_mean(S.hourly_stream(spark, d)), "daily_mean"))
+    return _win(S.run_to_table(S.daily_mean(S.hourly_stream(spark, d)), "daily_mean",
+                              keys=["location_id", "window"]))
 
 
 @query("stream_sliding_8h", V("hourly") + """
@@ -37,7 +38,8 @@ FROM (SELECT location_id, pm25, date_trunc('hour', ts) - to_hours(k) AS ws
       FROM hourly, (SELECT unnest(range(8)) AS k) g) x GROUP BY location_id, ws""", ["pm25_8h"])
 def stream_sliding_8h(spark, d):
     """Sliding 8-hour mean with a 1-hour slide."""
-    return _win(S.run_to_table(S.sliding_8h(S.hourly_stream(spark, d)), "sliding_8h"))
+    return _win(S.run_to_table(S.sliding_8h(S.hourly_stream(spark, d)), "sliding_8h",
+                              keys=["location_id", "window"]))
 
 
 @query("stream_episodes", V("hourly") + """
@@ -48,7 +50,10 @@ FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 24 HOUR THEN
             FROM hourly WHERE pm25 > 35e0) a) b GROUP BY location_id, sid""", ["peak"])
 def stream_episodes(spark, d):
     """Pollution episodes as session windows (PM2.5 > 35, gap 24 h)."""
-    return _win(S.run_to_table(S.episodes(S.hourly_stream(spark, d)), "episodes"), "session_window")
+    # session windows support only append / complete; append would hold back sessions that are
+    # still open when an availableNow run ends, so this run uses complete mode
+    return _win(S.run_to_table(S.episodes(S.hourly_stream(spark, d)), "episodes", mode="complete",
+                              keys=["location_id", "session_window"]), "session_window")
 
 
 @query("stream_dedup", V("hourly") + """
@@ -56,7 +61,8 @@ SELECT location_id, date_trunc('day', ts) AS window_start, date_trunc('day', ts)
   count(DISTINCT event_id) AS n_unique FROM hourly GROUP BY location_id, date_trunc('day', ts)""")
 def stream_dedup(spark, d):
     """T4: de-duplication within the watermark, then per-day unique counts."""
-    return _win(S.run_to_table(S.dedup_counts(S.hourly_stream(spark, d)), "dedup"))
+    return _win(S.run_to_table(S.dedup_counts(S.hourly_stream(spark, d)), "dedup",
+                              keys=["location_id", "window"]))
 
 
 def _nowcast_sql() -> str:

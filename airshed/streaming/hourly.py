@@ -4,7 +4,9 @@ Sources are files (one or more Parquet files landing in a folder), triggers
 are ``availableNow`` so a run processes what has landed and stops.  Results go
 through ``foreachBatch`` into Parquet under the shared checkpoint folder
 (``spark.checkpoint.dir``), with a streaming checkpoint next to them, so a
-restarted run resumes from the last committed micro-batch.
+restarted run resumes from the last committed micro-batch.  Window aggregates run
+in update mode, so the watermark evicts finished windows and state stays bounded;
+only session windows (no update mode in Spark) use complete mode.
 
 T1  tumbling 1-day mean per location (watermark 2 days)
 T2  sliding 8-hour mean, 1-hour slide
@@ -41,24 +43,33 @@ def hourly_stream(spark: SparkSession, folder: str, file_glob: str = "events.par
                     F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("pm25"))
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a streaming DataFrame to completion (availableNow) and return the written table."""
+def run_to_table(df: DataFrame, name: str, mode: str = "update", keys: list[str] | None = None) -> DataFrame:
+    """Run a streaming DataFrame to completion (availableNow) and return the written table.
+
+    ``update`` mode (the default for aggregations) keeps state bounded: the watermark evicts
+    finished windows.  Each micro-batch's updated rows are appended with their batch id, and
+    the table read back keeps the latest emission per ``keys``.  ``append`` mode returns the
+    emitted rows as they are."""
+    from pyspark.sql import Window
     spark = df.sparkSession
     base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
     out = base + "/data"
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        if mode == "complete":
-            batch.write.mode("overwrite").parquet(out)
-        else:
-            batch.write.mode("append").parquet(out)
+        tagged = batch.select("*", F.lit(epoch).cast("long").alias("_batch"))
+        # complete mode re-emits the whole result table each batch: keep only the latest one
+        tagged.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
 
     q = (df.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(out)
+    res = spark.read.parquet(out)
+    if mode == "update" and keys:
+        w = Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
+        res = res.select("*", F.row_number().over(w).alias("_r")).where("_r = 1").drop("_r")
+    return res.drop("_batch")
 
 
 def daily_mean(stream: DataFrame) -> DataFrame:

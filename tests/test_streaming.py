@@ -38,7 +38,7 @@ def _rows(df, cols):
 
 def test_daily_mean_multi_batch(spark, landing, sf_small):
     stream = S.hourly_stream(spark, landing, file_glob="events-*.parquet", max_files=1)
-    out = S.run_to_table(S.daily_mean(stream), "t_daily")
+    out = S.run_to_table(S.daily_mean(stream), "t_daily", keys=["location_id", "window"])
     got = out.select("location_id", F.col("window.start").alias("s"), "pm25_mean", "n")
     h = domain.hourly(spark, sf_small).select("location_id", F.col("ts").cast("timestamp").alias("ts"), "pm25")
     exp = h.groupBy("location_id", F.window("ts", "1 day")).agg(F.avg("pm25").alias("pm25_mean"),
@@ -61,6 +61,6 @@ def test_nowcast_state_across_batches(spark, landing, sf_small):
 def test_dedup_within_watermark(spark, landing, sf_small):
     stream = S.hourly_stream(spark, landing, file_glob="events-*.parquet", max_files=2)
     doubled = stream.unionByName(stream)          # every event delivered twice
-    out = S.run_to_table(S.dedup_counts(doubled), "t_dedup")
+    out = S.run_to_table(S.dedup_counts(doubled), "t_dedup", keys=["location_id", "window"])
     total = out.agg(F.sum("n_unique")).first()[0]
     assert total == domain.table(spark, sf_small, "events").count()
