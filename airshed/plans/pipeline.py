@@ -126,6 +126,8 @@ def stored_merged(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
         if _path_exists(spark, root):          # a crashed earlier write: no _SUCCESS marker
             _fs(spark, root)[1].delete(_fs(spark, root)[0], True)
         tmp = f"{root}.tmp-{uuid.uuid4().hex[:8]}"
-        p.merged().write.mode("errorifexists").partitionBy("city_name", "year").parquet(tmp)
+        # one file per city-year instead of one per (task, city-year)
+        (p.merged().repartition("city_name", "year")
+         .write.mode("errorifexists").partitionBy("city_name", "year").parquet(tmp))
         _publish(spark, tmp, root)
     return spark.read.parquet(root)

@@ -48,7 +48,8 @@ def write_city_year(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     out = format_numeric(df)
     out = out.withColumn("city_part", F.translate(F.col("city_name"), " /", "__"))
-    w = out.write.mode("overwrite").partitionBy("city_part", "year")
+    # one file per city-year instead of one per (task, city-year)
+    w = out.repartition("city_part", "year").write.mode("overwrite").partitionBy("city_part", "year")
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:
