@@ -23,6 +23,7 @@ from airshed.operators.clean import clip_ranges
 from airshed.plans.oracle_views import with_views as V
 from airshed.plans.pipeline import CityPipeline, stored_merged
 from airshed.plans.registry import query
+from airshed.plans.sqlgen import aqi_sql, category_sql
 from airshed.plans.sqlgen import snap_sql as S
 
 W = "PARTITION BY city_name ORDER BY date"
@@ -283,10 +284,13 @@ SELECT city_name, date,
   CAST(isodow(date) = 1 AS INTEGER) AS is_monday,
   CAST(isodow(date) = 5 AS INTEGER) AS is_friday,
   CAST(month(date) IN (11, 12, 1, 2) AS INTEGER) AS is_winter,
-  CAST(month(date) IN (6, 7, 8) AS INTEGER) AS is_summer_ozone FROM merged""")
+  CAST(month(date) IN (6, 7, 8) AS INTEGER) AS is_summer_ozone,
+  city_name || '_s' || CAST(CAST(floor((month(date) % 12) / 3) AS INTEGER) AS VARCHAR) AS city_season FROM merged""")
 def period_flags(spark, d):
-    """heating / ozone / dust seasons, Monday / Friday flags."""
-    return merged(spark, d).select("city_name", "date", *period_flag_columns(F.col("date")))
+    """heating / ozone / dust seasons, Monday / Friday flags, city x season interaction key."""
+    season = F.floor((F.month("date") % 12) / 3).cast("int").cast("string")
+    return merged(spark, d).select("city_name", "date", *period_flag_columns(F.col("date")),
+                                   F.concat(F.col("city_name"), F.lit("_s"), season).alias("city_season"))
 
 
 @query("log_target", V("merged") + "SELECT city_name, date, pm25, ln(1e0 + pm25) AS pm25_log, "
@@ -318,15 +322,22 @@ def temperature_features(spark, d):
     return merged(spark, d).select("city_name", "date", *FE.temperature_columns())
 
 
-@query("baseline_pm25", V("merged") + """
-SELECT city_name, date, greatest(0e0, 30e0 + 0.3e0 * (coalesce(temp_avg_c, 20e0) - 20e0)
-   + greatest(0e0, 0.5e0 * (15e0 - coalesce(wind_speed_kmh, 10e0))) - 0.8e0 * least(coalesce(precip_mm, 0e0), 10e0))
-   AS baseline_pm25 FROM merged""", ["baseline_pm25"])
+_BASELINE_SQL = ("greatest(0e0, 30e0 + 0.3e0 * (coalesce(temp_avg_c, 20e0) - 20e0) + greatest(0e0, 0.5e0 * "
+                 "(15e0 - coalesce(wind_speed_kmh, 10e0))) - 0.8e0 * least(coalesce(precip_mm, 0e0), 10e0))")
+
+
+@query("baseline_pm25", V("merged", extra=[("b", f"SELECT city_name, date, {_BASELINE_SQL} AS baseline_pm25 FROM merged")])
+       + f"SELECT city_name, date, baseline_pm25, {aqi_sql('baseline_pm25', 'pm25')} AS baseline_aqi, "
+         f"{category_sql(aqi_sql('baseline_pm25', 'pm25'))} AS baseline_category FROM b", ["baseline_pm25"])
 def baseline_pm25(spark, d):
-    """heuristic PM2.5 baseline from temperature, wind and precipitation."""
+    """heuristic PM2.5 from temperature, wind and precipitation, with the AQI and category
+    of the predicted value."""
+    from airshed.functions import aqi as A
     m = merged(spark, d)
-    return m.select("city_name", "date", FE.baseline_pm25(F.col("temp_avg_c"), F.col("wind_speed_kmh"),
-                                                          F.col("precip_mm")).alias("baseline_pm25"))
+    b = m.select("city_name", "date", FE.baseline_pm25(F.col("temp_avg_c"), F.col("wind_speed_kmh"),
+                                                      F.col("precip_mm")).alias("baseline_pm25"))
+    a = A.aqi_strict(F.col("baseline_pm25"), "pm25")
+    return b.select("*", a.alias("baseline_aqi"), A.category(a).alias("baseline_category"))
 
 
 @query("weather_levels", V("merged") + f"""
