@@ -46,13 +46,15 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8, app: s
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the setting is absent (local tests) a scratch folder is created
-    and registered, so lineage can still be cut with ``checkpoint()``.
-    """
+    Only when the setting is absent *and* Spark runs in local mode (tests, a laptop) is a
+    scratch folder created and registered; on a cluster a machine-local folder would not be
+    visible to other executors, so the setting is required there."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store) for this cluster")
     scratch = tempfile.mkdtemp(prefix="airshed-ckpt-", dir=os.environ.get("AIRSHED_SCRATCH", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", scratch)
     spark.sparkContext.setCheckpointDir(scratch)
