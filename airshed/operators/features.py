@@ -135,8 +135,9 @@ def feature_columns(experiment: str, targets: list[str]) -> list[str]:
 
 
 def build_features(merged: DataFrame, experiment: str = "full", targets: list[str] | None = None,
-                   horizon: int = 1, log_target: bool = True) -> DataFrame:
-    """Feature table for an experiment: metadata + targets first, NULL targets dropped.
+                   horizon: int = 1, log_target: bool = True, drop_null_target: bool = True) -> DataFrame:
+    """Feature table for an experiment: metadata + targets first, NULL targets dropped (keep them
+    with ``drop_null_target=False`` to score the latest days, whose future is not known yet).
 
     ``weather``/``temporal`` are same-day (horizon ignored); ``lag``/``full`` shift every target by
     ``horizon`` rows inside the city."""
@@ -160,7 +161,7 @@ def build_features(merged: DataFrame, experiment: str = "full", targets: list[st
             df = df.withColumn(f"{t}_log", F.log1p(F.col(t)))
             target_cols.append(f"{t}_log")
     out = df.select(*META, *target_cols, *feature_columns(experiment, targets))
-    return out.na.drop(subset=targets, how="any")
+    return out.na.drop(subset=targets, how="any") if drop_null_target else out
 
 
 # ------------------------------------------------------------ preparation

@@ -264,3 +264,23 @@ def feature_select(spark, d):
     counts = feats.agg(*[F.count(c).alias(c) for c in numeric]).first().asDict()
     keep = [c for c in numeric if counts[c] > 0]
     return spark.createDataFrame([(c, int(counts[c])) for c in keep], "feature string, non_null long")
+
+
+@query("forecast_next_day")
+def forecast_next_day(spark, d):
+    """E3 / L11 + J10: next-day PM2.5 per city from its latest history row (as-of scoring): a
+    T+1 Ridge model on the full feature set is applied to each city's last day, whose target is
+    not known yet; prediction -> expm1 -> AQI -> category -> advice.  One batch job for all cities."""
+    from airshed.functions import aqi as A
+    feats = FE.build_features(merged(spark, d), "full", ["pm25"], horizon=1, drop_null_target=False)
+    cols = FE.feature_columns("full", ["pm25"])
+    feats = ML.as_double(feats, cols)
+    train = feats.where(F.col("pm25").isNotNull())
+    sigma, n = ML.label_std(train, "pm25_log")
+    model = ML.feature_pipeline(cols, ML.make_estimator("Ridge", "pm25_log", n, sigma)).fit(train)
+    latest_w = Window.partitionBy("city_name").orderBy(F.col("date").desc())
+    latest = feats.select("*", F.row_number().over(latest_w).alias("_r")).where("_r = 1").drop("_r")
+    scored = ML.score_with_aqi(model, latest, ["city_name", "date"])
+    return scored.select("city_name", F.col("date").alias("as_of"), F.date_add("date", 1).alias("forecast_date"),
+                         "predicted_pm25", "predicted_aqi", "predicted_category",
+                         A.advice_field(F.col("predicted_category"), 3).alias("recommendation"))
