@@ -22,7 +22,6 @@ from airshed.plans.sqlgen import (
 from airshed.sources import domain
 
 RAW_W = ["TEMP", "MAX", "MIN", "DEWP", "VISIB", "WDSP", "PRCP", "SLP", "STP"]
-_W_OUT = WEATHER_COLS
 
 
 # ------------------------------------------------------------------ sources
@@ -162,8 +161,7 @@ def station_key(spark, d):
 
 # ---------------------------------------------------------------- air side
 @query("unit_convert_air", V("air_parsed") + "SELECT location_id, parameter, units, row_key, row_line, ts_utc, value "
-       "FROM (SELECT *, CASE WHEN is_outlier THEN NULL ELSE 1 END AS k FROM air_parsed) a "
-       "WHERE NOT is_outlier", ["value"])
+       "FROM air_parsed WHERE NOT is_outlier", ["value"])
 def unit_convert_air(spark, d):
     """Every measurement in its pollutant's target unit (rows that pass the range check)."""
     p = CityPipeline(spark, d).air_parsed()
@@ -323,7 +321,7 @@ def hourly_daily_aqi(spark, d):
 
 
 @query("worst_days", V("hourly", extra=[("dd", _HOURLY_DAILY)]) + f"""
-SELECT location_id, date, pm25, aqi, {category_sql('aqi')} AS category, rk FROM (
+SELECT location_id, date, pm25, aqi, {category_sql('aqi')} AS category, CAST(rk AS INTEGER) AS rk FROM (
   SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY aqi DESC, pm25 DESC, date) AS rk FROM (
     SELECT *, {aqi_sql('pm25', 'pm25')} AS aqi FROM dd) x) y WHERE rk <= 3""", ["pm25"])
 def worst_days(spark, d):

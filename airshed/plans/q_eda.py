@@ -76,7 +76,7 @@ def pollutant_summary(spark, d):
 
 
 @query("city_stats", V("merged") + """
-SELECT *, row_number() OVER (ORDER BY mean DESC, city_name) AS rank FROM (
+SELECT *, CAST(row_number() OVER (ORDER BY mean DESC, city_name) AS INTEGER) AS rank FROM (
   SELECT city_name, avg(pm25) AS mean, stddev_samp(pm25) AS std, median(pm25) AS median, count(pm25) AS count
   FROM merged GROUP BY city_name) s""", ["mean", "std", "median"])
 def city_stats(spark, d):
@@ -295,7 +295,7 @@ def histogram(spark, d):
 SELECT q.city_name, q1, median, q3, q3 - q1 AS iqr,
   min(CASE WHEN pm25 >= q1 - 1.5e0 * (q3 - q1) AND pm25 <= q3 + 1.5e0 * (q3 - q1) THEN pm25 END) AS whisker_low,
   max(CASE WHEN pm25 >= q1 - 1.5e0 * (q3 - q1) AND pm25 <= q3 + 1.5e0 * (q3 - q1) THEN pm25 END) AS whisker_high,
-  sum(CASE WHEN pm25 >= q1 - 1.5e0 * (q3 - q1) AND pm25 <= q3 + 1.5e0 * (q3 - q1) THEN 0 ELSE 1 END) AS n_outliers
+  CAST(sum(CASE WHEN pm25 >= q1 - 1.5e0 * (q3 - q1) AND pm25 <= q3 + 1.5e0 * (q3 - q1) THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers
 FROM merged m JOIN q ON m.city_name = q.city_name WHERE pm25 IS NOT NULL
 GROUP BY q.city_name, q1, median, q3""", ["q1", "median", "q3", "iqr", "whisker_low", "whisker_high"])
 def boxplot_stats(spark, d):
@@ -342,7 +342,7 @@ def pm25_by_visibility(spark, d):
 
 @query("validate_data", V("merged") + """
 SELECT count(*) AS total_rows, (count(*) - count(pm25)) * 100e0 / count(*) AS pm25_missing_pct,
-  min(date) AS min_date, max(date) AS max_date, date_diff('day', min(date), max(date)) AS span_days,
+  min(date) AS min_date, max(date) AS max_date, CAST(date_diff('day', min(date), max(date)) AS INTEGER) AS span_days,
   count(CASE WHEN pm25 > 1000e0 THEN 1 END) AS n_outliers,
   (count(*) - count(pm25)) * 100e0 / count(*) < 20e0 AS missing_ok FROM merged""", ["pm25_missing_pct"])
 def validate_data(spark, d):
@@ -361,7 +361,7 @@ SELECT a.city_name, missing_pct, max_gap_days, min_days_per_month, n_years,
   missing_pct <= 30e0 AND max_gap_days <= 7 AND min_days_per_month >= 20 AND n_years >= 2 AS accepted
 FROM (SELECT city_name, (count(*) - count(pm25)) * 100e0 / count(*) AS missing_pct,
              count(DISTINCT year) AS n_years FROM merged GROUP BY city_name) a
-JOIN (SELECT city_name, max(gap) AS max_gap_days FROM (
+JOIN (SELECT city_name, CAST(max(gap) AS INTEGER) AS max_gap_days FROM (
         SELECT city_name, date_diff('day', lag(date) OVER (PARTITION BY city_name ORDER BY date), date) AS gap
         FROM merged) g GROUP BY city_name) b ON a.city_name = b.city_name
 JOIN (SELECT city_name, min(n) AS min_days_per_month FROM (
@@ -596,7 +596,7 @@ def global_best(spark, d):
 
 
 @query("leaderboard", V("experiment_results") + """
-SELECT mode, algorithm, city_id, val_rmse, rank() OVER (PARTITION BY mode ORDER BY val_rmse) AS rank_in_mode,
+SELECT mode, algorithm, city_id, val_rmse, CAST(rank() OVER (PARTITION BY mode ORDER BY val_rmse) AS INTEGER) AS rank_in_mode,
   avg(val_rmse) OVER (PARTITION BY algorithm) AS algo_mean_rmse FROM experiment_results""",
        ["val_rmse", "algo_mean_rmse"])
 def leaderboard(spark, d):

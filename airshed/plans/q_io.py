@@ -111,7 +111,7 @@ _AIR_FIN = ", ".join(f"round_even({S(p)} * 100e0, 0) / 100e0 AS {p}, CAST({p}_so
 
 
 @query("finalize_air", V("air_city") + f"""
-SELECT city_id, date, {_AIR_FIN}, CAST(station_count AS BIGINT) AS station_count, data_source,
+SELECT CAST(city_id AS BIGINT) AS city_id, date, {_AIR_FIN}, CAST(station_count AS BIGINT) AS station_count, data_source,
   least(greatest(data_quality_score, 0e0), 1e0) AS data_quality_score FROM air_city""",
        POLLUTANTS + ["data_quality_score"])
 def finalize_air(spark, d):

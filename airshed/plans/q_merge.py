@@ -19,7 +19,7 @@ _WOUT = ([c for c in WEATHER_COLS] + [f"{c}_source_count" for c in WEATHER_COLS]
          + [f"{c}_is_outlier" for c in WEATHER_COLS if c != "dewpoint_c"])
 
 
-@query("nearest_stations", V("near_w") + "SELECT city_id, station_id, distance_km, rank FROM near_w",
+@query("nearest_stations", V("near_w") + "SELECT city_id, station_id, distance_km, CAST(rank AS INTEGER) AS rank FROM near_w",
        ["distance_km"])
 def nearest_stations(spark, d):
     """Up to 5 stations per city with haversine distance < 50 km (grid-bucketed range join)."""
@@ -62,7 +62,8 @@ def stations_in_bbox(spark, d):
         .select("city_id", "station_id")
 
 
-@query("coverage_filter", V("wmap") + "SELECT city_id, station_id, distance_km, rank FROM wmap", ["distance_km"])
+@query("coverage_filter", V("wmap") + "SELECT city_id, station_id, distance_km, CAST(rank AS INTEGER) AS rank FROM wmap",
+       ["distance_km"])
 def coverage_filter(spark, d):
     """Stations whose core-column coverage >= 0.3 (single-station cities always kept)."""
     return CityPipeline(spark, d).weather_map().select("city_id", "station_id", "distance_km", "rank")
@@ -112,9 +113,6 @@ def merge_pollutants(spark, d):
     return CityPipeline(spark, d).air_location_days().select("location_id", "date", *POLLUTANTS)
 
 
-_MERGED_COLS = ["city_name", "date"] + WEATHER_COLS + POLLUTANTS + ["year"]
-
-
 @query("merge_daily", V("merged") + "SELECT * FROM merged", WEATHER_COLS + POLLUTANTS)
 def merge_daily(spark, d):
     """Weather LEFT JOIN air on (city, date); names normalised, bookkeeping dropped."""

@@ -230,10 +230,10 @@ def pollution_streak(spark, d):
 
 @query("days_since_event", V("merged") + f"""
 SELECT city_name, date,
-       date_diff('day', last_value(CASE WHEN pm25 > {HIGH_POLLUTION}e0 THEN date END IGNORE NULLS)
-                 OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), date) AS days_since_high,
-       date_diff('day', last_value(CASE WHEN precip_mm > 0e0 THEN date END IGNORE NULLS)
-                 OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), date) AS days_since_rain
+       CAST(date_diff('day', last_value(CASE WHEN pm25 > {HIGH_POLLUTION}e0 THEN date END IGNORE NULLS)
+                 OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), date) AS INTEGER) AS days_since_high,
+       CAST(date_diff('day', last_value(CASE WHEN precip_mm > 0e0 THEN date END IGNORE NULLS)
+                 OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), date) AS INTEGER) AS days_since_rain
 FROM merged""")
 def days_since_event(spark, d):
     """Days since the last earlier high-pollution day / rainy day."""
@@ -495,7 +495,7 @@ def chrono_split(spark, d):
 
 
 @query("ts_cv_folds", V("merged", extra=[("pos", _POS)]) + """
-SELECT fold, role, count(*) AS n_rows, min(date) AS min_date, max(date) AS max_date FROM (
+SELECT CAST(fold AS INTEGER) AS fold, role, count(*) AS n_rows, min(date) AS min_date, max(date) AS max_date FROM (
   SELECT f.fold, date, CASE WHEN pos < n - (5 - f.fold) * floor(n / 6) THEN 'train'
          WHEN pos < n - (5 - f.fold) * floor(n / 6) + floor(n / 6) THEN 'test' END AS role
   FROM pos, (SELECT unnest(range(5)) AS fold) f) x WHERE role IS NOT NULL GROUP BY fold, role""")

@@ -71,3 +71,19 @@ def compare(spark_df, con, sql: str, digits: int = 6):
     if bad:
         return False, f"{len(bad)} rows differ; first spark={bad[0][0]} duck={bad[0][1]} cols={order}"
     return True, f"{len(s_n)} rows match"
+
+
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+                 "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
+                 "smallint": "SMALLINT", "float": "FLOAT"}
+
+
+def type_mismatches(spark_df, con, sql: str) -> list[tuple[str, str, str]]:
+    """Columns whose Spark type and oracle type differ (a driver may compare schemas strictly)."""
+    duck = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    out = []
+    for f in spark_df.schema.fields:
+        s = f.dataType.simpleString()
+        if SPARK_TO_DUCK.get(s, s) != duck.get(f.name):
+            out.append((f.name, s, duck.get(f.name)))
+    return out

@@ -2,7 +2,7 @@
 
 import pytest
 
-from harness import compare, duck_connect
+from harness import compare, duck_connect, type_mismatches
 
 from airshed.plans.registry import ORACLES, QUERIES, load_all
 
@@ -18,8 +18,10 @@ def con(sf_small):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, sf_small, con, name):
-    ok, msg = compare(QUERIES[name](spark, sf_small), con, ORACLES[name])
+    df = QUERIES[name](spark, sf_small)
+    ok, msg = compare(df, con, ORACLES[name])
     assert ok, msg
+    assert not type_mismatches(df, con, ORACLES[name])
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in ORACLES and n not in SLOW_ROWS_ONLY))

@@ -8,7 +8,7 @@ import time
 sys.path.insert(0, "/root/repo")
 sys.path.insert(0, "/root/repo/tests")
 
-from harness import compare, duck_connect  # noqa: E402
+from harness import compare, duck_connect, type_mismatches  # noqa: E402
 
 from airshed.plans.registry import DOUBLES, ORACLES, QUERIES, load_all  # noqa: E402
 from airshed.session import build_session  # noqa: E402
@@ -33,6 +33,9 @@ def main():
                 missing = [c for c, t_ in dtypes.items() if t_ == "double" and c not in DOUBLES.get(name, [])]
                 if missing:
                     ok, msg = False, f"double columns not rounded in oracle: {missing}; " + msg
+                types = type_mismatches(df, con, ORACLES[name])
+                if types:
+                    ok, msg = False, f"type mismatch {types}; " + msg
             else:
                 n = df.count()
                 ok, msg = True, f"rows-only {n}"
