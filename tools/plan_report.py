@@ -22,7 +22,7 @@ from airshed.session import build_session  # noqa: E402
 
 HEADLINE = ["merge_daily", "idw_weather", "nearest_stations", "interpolate_time_limit", "rolling_features",
             "corr_spearman", "features_full", "daily_mean", "load_city_year", "chrono_split"]
-KINDS = ["Exchange hashpartitioning", "Exchange rangepartitioning", "Exchange SinglePartition", "BroadcastExchange", "ReusedExchange", "HashAggregate", "SortAggregate",
+KINDS = ["Exchange hashpartitioning", "Exchange RoundRobinPartitioning", "Exchange rangepartitioning", "Exchange SinglePartition", "BroadcastExchange", "ReusedExchange", "HashAggregate", "SortAggregate",
          "ObjectHashAggregate", "Window", "WindowGroupLimit", "SortMergeJoin", "BroadcastHashJoin",
          "BroadcastNestedLoopJoin", "CartesianProduct", "Generate"]
 
