@@ -39,7 +39,8 @@ def main() -> None:
     from airshed.plans.registry import QUERIES, load_all
     from airshed.session import build_session
 
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(2 * cpus, 8), app="airshed-bench",
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(cpus, 8))),
+                          app="airshed-bench",
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "6g")})
     load_all()
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in QUERIES]
