@@ -71,3 +71,34 @@ def test_linear_interpolation_matches_rules(spark, values, steps):
     df, _ = _frame(spark, values, steps)
     got = [r.x for r in ts.interpolate_linear(df, ["x"]).orderBy("date").collect()]
     assert _close(got, _expected_linear(values))
+
+
+stations = st.lists(st.tuples(st.one_of(st.none(), st.floats(-20, 40, allow_nan=False)),
+                              st.one_of(st.none(), st.floats(0, 60, allow_nan=False))), min_size=1, max_size=6)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(obs=stations)
+def test_idw_matches_weighted_mean(spark, obs):
+    from pyspark.sql import functions as F
+
+    from airshed.constants import WEATHER_COLS
+    from airshed.operators import merge
+    day = dt.date(2024, 1, 1)
+    rows = [(i, day, v, 1.0, 1.0, 0.0) for i, (v, _) in enumerate(obs)]
+    sd = spark.createDataFrame(rows, "station_id long, date date, temp_avg_c double, lat double, lon double, "
+                                     "elev_m double")
+    for c in WEATHER_COLS[1:]:
+        sd = sd.withColumn(c, F.lit(None).cast("double"))
+    cmap = spark.createDataFrame([(1, i, d, i + 1) for i, (_, d) in enumerate(obs)],
+                                 "city_id int, station_id long, distance_km double, rank int")
+    r = merge.idw_weather(sd, cmap).first()
+    present = [(v, 1.0 / max(1.0 if d is None else d, 0.1)) for v, d in obs if v is not None]
+    exp = sum(v * w for v, w in present) / sum(w for _, w in present) if present else None
+    if exp is None:
+        assert r.temp_avg_c is None
+    else:
+        assert abs(r.temp_avg_c - exp) < 1e-9 * max(1.0, abs(exp))
+    assert r.station_count == len(obs)
+    assert r.data_source == ("single_station" if len(obs) == 1 else "weighted_average")
+    assert r.temp_avg_c_source_count == (1 if len(obs) == 1 else len(present))
