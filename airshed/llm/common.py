@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airshed.session import checkpoint_dir
@@ -176,3 +176,53 @@ class Words:
     def document(self) -> np.ndarray:
         """Each word's row in the column."""
         return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+
+
+# ---------------------------------------------------------------- labelled samples
+
+
+def remainder(doc_id, m: int):
+    """crc32 of the id as text, modulo m (null id: null)."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % m
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], per_class: int, max_bytes: int) -> list[tuple[str, int]]:
+    """(text, label) of a bounded sample of the labelled rows whose id's crc32 mod m is not r, for fold (m, r).
+
+    At most ``per_class`` rows of each label, those first by a hash of the id, and of these, in
+    the same order, as many as hold ``max_bytes`` of text.  Only whole texts are taken.  Null ids
+    and null labels are left out; an id with several labels counts with the smallest."""
+    m, r = fold
+    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder(F.col("doc_id"), m) != r))
+    ids = ids.groupBy("doc_id").agg(F.min(label).cast("int").alias("y")).withColumn("h", F.xxhash64("doc_id"))
+    chosen = [ids.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
+    picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * per_class rows
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(picked, "doc_id")
+    rows = rows.withColumn("size", F.octet_length("text"))
+    order = [F.col("h"), F.col("doc_id"), F.xxhash64("text")]
+    rows = rows.orderBy(*order).limit(2 * per_class)  # repeated ids may give more
+    rows = rows.withColumn("sum", F.sum("size").over(Window.orderBy(*order)))
+    return [(x["text"], x["y"]) for x in rows.where(F.col("sum") <= max_bytes).orderBy(*order).select("text", "y").collect()]
+
+
+def scored(docs: DataFrame, fold: tuple[int, int], score, **kept) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; ``score`` maps a batch's text column to an array of scores."""
+    m, r = fold
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            s = np.asarray(score(batch.column("text")), np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(F.col("doc_id"), m) == r, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def kept_rows(docs: DataFrame, keep, column: str = "text") -> DataFrame:
+    """The rows whose text ``keep`` accepts (it maps a text column to an array of booleans), all columns unchanged."""
+
+    def run(batches):
+        for batch in slices(batches, column):
+            yield batch.filter(pa.array(np.asarray(keep(batch.column(column)), bool)))
+
+    return docs.mapInArrow(run, docs.schema)

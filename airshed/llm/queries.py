@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airshed.llm import exact_dedup, url_filter
+from airshed.llm import exact_dedup, html_text, piece_bpe, quality, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_sentencepiece": piece_bpe.op4_sentencepiece,
+    "op6_quality": quality.op6_quality,
+    "op7_html_text": html_text.op7_html_text,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
