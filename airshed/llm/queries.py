@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airshed.llm import exact_dedup, html_text, piece_bpe, quality, toxicity, url_filter
+from airshed.llm import decontaminate, exact_dedup, html_text, piece_bpe, pitman_yor, quality, substring_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_sentencepiece": piece_bpe.op4_sentencepiece,
+    "op5_pitman_yor": pitman_yor.op5_pitman_yor,
     "op6_quality": quality.op6_quality,
     "op7_html_text": html_text.op7_html_text,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
