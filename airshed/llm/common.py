@@ -60,22 +60,31 @@ def with_columns(df: DataFrame, *needed: str) -> None:
         raise ValueError(f"missing columns: {missing}")
 
 
-def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(rid, doc_id, text) of every row.
+def keyed(docs: DataFrame, scratch: Scratch, whole: bool = False) -> DataFrame:
+    """(rid, doc_id, text) of every row; with ``whole`` also the row itself, as a struct.
 
     rid is doc_id where that is unique and never null.  Otherwise the rows are sorted by
     (doc_id, nulls last, text hash), written once, and numbered in that order, so that
     repeated or null ids stay separate rows in a stable order."""
     with_columns(docs, "doc_id", "text")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
+    if whole:
+        columns.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    d = docs.select(*columns)
     n = d.agg(F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("ids"), F.countDistinct("doc_id").alias("distinct")).first()
     if n["rows"] == n["ids"] == n["distinct"]:
-        return d.select(F.col("doc_id").alias("rid"), "doc_id", "text")
+        return d.select(F.col("doc_id").alias("rid"), *d.columns)
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return scratch.keep(
-        d.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "keyed"
-    )
+    return scratch.keep(d.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("rid"), *d.columns), "keyed")
+
+
+def keep_rows(docs: DataFrame, name: str, chosen) -> DataFrame:
+    """The rows of docs, all columns, whose rid ``chosen`` keeps: it maps the keyed rows to a small, stored table with a column rid."""
+    scratch = Scratch(docs.sparkSession, name)  # holds rows only where their ids don't serve as keys; the result reads them
+    rows = keyed(docs, scratch, whole=True)
+    kept = chosen(rows.select("rid", "doc_id", "text")).select("rid")
+    return rows.select("rid", "whole").join(kept.hint("merge"), "rid", "left_semi").select("whole.*")
 
 
 # ---------------------------------------------------------------- Arrow batches

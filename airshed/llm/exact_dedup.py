@@ -1,6 +1,6 @@
 """Exact deduplication against a persistent digest index (DataFrame operations only).
 
-The index is a table ``(digest, keep_id, keep_row, n, batch)`` bucketed and sorted by
+The index is a table ``(digest, keep_id, keep_rid, n, batch)`` bucketed and sorted by
 digest, so each new batch meets it in a sort-merge anti-join that reads the index bucket
 by bucket without shuffling it; digests that it lacks are appended.
 
@@ -17,9 +17,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airshed.llm.common import WHITE, Scratch, read, with_columns
+from airshed.llm.common import WHITE, Scratch, keep_rows, keyed, read
 
-INDEX = "digest binary, keep_id bigint, keep_row bigint, n bigint, batch string"
+INDEX = "digest binary, keep_id bigint, keep_rid bigint, n bigint, batch string"
 
 
 def digest(text):
@@ -52,46 +52,27 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def _digested(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, doc_id, digest) of every document, written once; row tells repeated rows apart."""
-    with_columns(docs, "doc_id", "text")
-    return scratch.keep(
-        docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(digest(F.col("text"))).alias("digest")), "digests"
-    )
-
-
 def _groups(digests: DataFrame) -> DataFrame:
-    """One row for each digest: the first document by (doc_id, row), nulls last, and the rows."""
-    last = F.lit((1 << 63) - 1)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", last).alias("id"), "row"))
-    return (
-        digests.groupBy("digest")
-        .agg(first.alias("f"), F.count(F.lit(1)).alias("n"))
-        .select("digest", F.when(~F.col("f.none"), F.col("f.id")).alias("keep_id"), F.col("f.row").alias("keep_row"), "n")
-    )
-
+    """One row for each digest: its first document and its number of rows."""
+    return digests.groupBy("digest").agg(F.min_by("doc_id", "rid").alias("keep_id"), F.min("rid").alias("keep_rid"), F.count(F.lit(1)).alias("n"))
 
-def decisions(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every document.
 
-    With an ``index`` of earlier batches, a document whose text it holds is dropped in favour
-    of that batch's document (group_size still counts this batch's rows); new digests are
-    appended.  Without one, a fresh index serves this run alone."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact")
+def _decide(rows: DataFrame, scratch: Scratch, index: DigestIndex | None, batch: str | None) -> DataFrame:
+    """rid, doc_id, keep_id, group_size, kept, text_sha256 of keyed rows."""
+    spark = rows.sparkSession
     own = index is None
     index = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     batch = batch or uuid.uuid4().hex
-    digests = _digested(docs, scratch)
+    digests = scratch.keep(rows.select("rid", "doc_id", F.unhex(digest(F.col("text"))).alias("digest")), "digests")
     groups = scratch.keep(_groups(digests), "groups")
     index.add(groups, batch)
-    held = index.rows().select("digest", F.col("keep_id").alias("k"), F.col("keep_row").alias("r"), "batch")
+    held = index.rows().select("digest", "keep_id", "keep_rid", "batch")
     stays = scratch.keep(
-        groups.select("digest", "n").join(held.hint("merge"), "digest").select("digest", "n", "k", F.when(F.col("batch") == batch, F.col("r")).alias("r")), "stays"
+        groups.select("digest", "n").join(held.hint("merge"), "digest").select("digest", "n", "keep_id", F.when(F.col("batch") == batch, F.col("keep_rid")).alias("keep_rid")), "stays"
     )
     # Both sides are read from written tables, so both are shuffled and a hot digest's rows can be split.
     out = digests.join(stays.hint("merge"), "digest").select(
-        "doc_id", F.col("k").alias("keep_id"), F.col("n").alias("group_size"), F.coalesce(F.col("row") == F.col("r"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+        "rid", "doc_id", "keep_id", F.col("n").alias("group_size"), F.coalesce(F.col("rid") == F.col("keep_rid"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
     out = scratch.finish(out)
     if own:
@@ -99,19 +80,19 @@ def decisions(docs: DataFrame, index: DigestIndex | None = None, batch: str | No
     return out
 
 
+def decisions(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every document.
+
+    With an ``index`` of earlier batches, a document whose text it holds is dropped in favour
+    of that batch's document (group_size still counts this batch's rows); new digests are
+    appended.  Without one, a fresh index serves this run alone."""
+    scratch = Scratch(docs.sparkSession, "exact")
+    return _decide(keyed(docs, scratch), scratch, index, batch).drop("rid")
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that ``decisions`` keeps, with all their columns."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact-rows")
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    key = f"row_{uuid.uuid4().hex}"
-    rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias(key), *[F.col(f"`{c}`") for c in docs.columns]), "rows")
-    digests = rows.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(digest(F.col("text"))).alias("digest"))
-    index.add(_groups(digests), "all")
-    firsts = index.rows().select(F.col("keep_row").alias(key))
-    out = scratch.finish(rows.join(firsts.hint("merge"), key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]))
-    index.drop()
-    return out
+    return keep_rows(docs, "exact-rows", lambda rows: _decide(rows, Scratch(docs.sparkSession, "exact"), None, None).where("kept"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airshed.llm import decontaminate, exact_dedup, html_text, piece_bpe, pitman_yor, quality, substring_dedup, toxicity, url_filter
+from airshed.llm import decontaminate, exact_dedup, html_text, jaccard_join, piece_bpe, pitman_yor, quality, substring_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_sentencepiece": piece_bpe.op4_sentencepiece,
