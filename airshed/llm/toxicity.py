@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from airshed.llm.common import labelled_sample, read, scored, with_columns
 
-PER_CLASS, MAX_BYTES = 1500, 12 << 20
+PER_CLASS, MAX_BYTES = 1200, 8 << 20
 FOLD = (5, 0)
 #: Least log-likelihood ratio of a feature: beyond chance among a million candidates.
 LEAST_LLR, LEAST_DOCS = 25.0, 5
@@ -120,22 +120,24 @@ def fit(rows: list[tuple[str, int]], penalty: float = PENALTY) -> Toxicity:
         p = min(max(y.mean() if len(y) else 0.0, 1e-6), 1 - 1e-6)
         return Toxicity({}, np.zeros(0), math.log(p / (1 - p)))
     found = [words(text) for text, _ in rows]
-    cache: dict[str, set[str]] = {}
-    known = lambda w: cache[w] if w in cache else cache.setdefault(w, grams(w))
+    toxic = [f for f, label in zip(found, y, strict=True) if label == 1]
+    # A table of hashed counts first, so that only sequences of several documents are held by name.
+    rough = np.zeros(1 << 22, np.int32)
+    for f in toxic:
+        rough[list({hash(g) & 0x3FFFFF for w in f for g in grams(w)})] += 1
     counts = [Counter(), Counter()]
-    for k in (1, 0):
-        for f, label in zip(found, y, strict=True):
-            if label == k:
-                seen = set().union(*map(known, f))
-                counts[k].update(seen if k else seen & counts[1].keys())
-        if k:
-            counts[1] = Counter({g: c for g, c in counts[1].items() if c >= LEAST_DOCS})
+    for f in toxic:
+        counts[1].update({g for w in f for g in grams(w) if rough[hash(g) & 0x3FFFFF] >= LEAST_DOCS})
+    counts[1] = Counter({g: c for g, c in counts[1].items() if c >= LEAST_DOCS})
+    for f, label in zip(found, y, strict=True):
+        if label == 0:
+            counts[0].update({g for w in f for g in grams(w) if g in counts[1]})
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     chosen = [g for g, c in counts[1].items() if _llr(c, counts[0][g], n1, n0) >= LEAST_LLR]
     named = {f"^{w}$" for f in found for w in f & SWAPS.keys()}
     named |= {f"^{other}$" for w in named for other in SWAPS[w[1:-1]]}
     index = {g: i for i, g in enumerate(sorted(named | set(chosen)))}
-    del cache, counts
+    del counts, rough
 
     model = Toxicity(index, np.zeros(len(index)), 0.0)
     sets = [sorted(model.features(text)) for text, _ in rows]
