@@ -40,6 +40,7 @@ RAW = frozenset("script style title textarea xmp iframe noembed noframes plainte
 LEFT_OUT = frozenset("head script style noscript template title form button select option optgroup textarea input svg math iframe object embed canvas audio video map datalist dialog menu nav aside".split())
 PAGE_ENDS = frozenset("header footer".split())
 ARTICLE = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags that end an open one of the same group.
 ENDS_OPEN = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
@@ -60,10 +61,10 @@ GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
 
 
 class Block:
-    __slots__ = ("text", "linked", "article", "boilerplate")
+    __slots__ = ("text", "linked", "article", "boilerplate", "heading")
 
-    def __init__(self, text: str, linked: int, article: int, boilerplate: bool):
-        self.text, self.linked, self.article, self.boilerplate = text, linked, article, boilerplate
+    def __init__(self, text: str, linked: int, article: int, boilerplate: bool, heading: bool):
+        self.text, self.linked, self.article, self.boilerplate, self.heading = text, linked, article, boilerplate, heading
 
 
 def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
@@ -97,7 +98,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         joined = " ".join("".join(text).split())
         if joined:
-            out.append(Block(joined, linked, article[-1] if article else 0, marked > 0))
+            out.append(Block(joined, linked, article[-1] if article else 0, marked > 0, bool(stack) and stack[-1][0] in HEADINGS))
         text.clear()
         linked = 0
 
@@ -192,9 +193,9 @@ def first_pass(block: Block, marked_article: bool) -> str:
     return NEAR if stops >= STOP_LOW else BAD
 
 
-def second_pass(labels: list[str], default: str) -> list[bool]:
-    """Open blocks take the label of the nearest decided neighbours; between unlike ones, the nearer, and at equal
-    distance near ones are in and short ones out.  Without any decided block they take ``default``."""
+def second_pass(labels: list[str], default: str, headings: list[bool] | None = None) -> list[bool]:
+    """Open blocks take the label of the nearest decided neighbours; between unlike ones, the nearer (a heading that of
+    what follows), and at equal distance near ones are in and short ones out.  Without any decided block they take ``default``."""
     decided = [k for k, label in enumerate(labels) if label in (GOOD, BAD)]
     before, after, last = [-1] * len(labels), [-1] * len(labels), -1
     for k, label in enumerate(labels):
@@ -212,6 +213,8 @@ def second_pass(labels: list[str], default: str) -> list[bool]:
         a, b = before[k], after[k]
         if a < 0 or b < 0 or labels[a] == labels[b]:
             out.append(labels[max(a, b) if a < 0 or b < 0 else a] == GOOD)
+        elif headings and headings[k]:
+            out.append(labels[b] == GOOD)
         elif k - a != b - k:
             out.append(labels[a if k - a < b - k else b] == GOOD)
         else:
@@ -224,12 +227,12 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if any(b.article and not b.boilerplate for b in found):
         inside = [b for b in found if b.article and not b.boilerplate]
-        keep = second_pass([first_pass(b, True) for b in inside], GOOD)
+        keep = second_pass([first_pass(b, True) for b in inside], GOOD, [b.heading for b in inside])
         return "\n".join(b.text for b, k in zip(inside, keep, strict=True) if k)
     labels = [first_pass(b, False) for b in found]
     if NEAR in labels and GOOD not in labels:  # a page of middling blocks only
         labels = [GOOD if x == NEAR else x for x in labels]
-    keep = second_pass(labels, BAD)
+    keep = second_pass(labels, BAD, [b.heading for b in found])
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 

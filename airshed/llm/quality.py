@@ -78,8 +78,7 @@ class ByteNet:
             values = first[two[a:b]]
             values += second[two[a + 2 : b + 2]]
             # Positions between documents (windows with the next one's bytes) form groups that are left out.
-            edges = np.stack([start[at:stop], end[at:stop]], axis=1).ravel() - a
-            edges[1::2] = np.minimum(edges[1::2], len(values) - 1)
+            edges = np.stack([start[at:stop], end[at:stop]], axis=1).ravel()[:-1] - a
             out[at:stop] = np.maximum.reduceat(values, edges, axis=0)[::2]
             at = stop
         return np.maximum(out + self.bias, 0), chunks
