@@ -42,9 +42,10 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
+    def drop(self, name: str = "") -> None:
+        """Delete one table, or all."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def finish(self, df: DataFrame) -> DataFrame:
@@ -91,15 +92,16 @@ def keep_rows(docs: DataFrame, name: str, chosen) -> DataFrame:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches' rows in order, cut so that ``column`` holds at most ``limit`` bytes a piece (one row at least)."""
+    """The batches' rows in order, cut evenly so that ``column`` holds about ``limit`` bytes a piece at most (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        even = -(-int(size[-1]) // max(1, -(-int(size[-1]) // limit)))
         at = 0
         while at < batch.num_rows:
             before = size[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(size, before + limit, side="right")))
+            end = max(at + 1, int(np.searchsorted(size, before + even, side="right")))
             yield batch.slice(at, end - at)
             at = end
 
