@@ -4,20 +4,25 @@ A document's set holds its distinct shingles of ``SIZE`` words (A-Z in lower cas
 documents link when 100 * intersection >= ``PERCENT`` * union.
 
 Order.  Shingles are ordered rare first: by estimated frequency, then hash.  Frequencies are
-summed from the slices that saw a shingle often; those of a share of 1 / ``FREQUENT`` of all
-or more (so at most FREQUENT of them) are broadcast, all others count as rare.
+summed over tasks, from those stretches of documents that saw a shingle in several classes;
+the ``FREQUENT`` most frequent ones are broadcast, all others count as rare.  An estimate
+moves a shingle in the order, which any order's prefixes allow, and loses no pair.
 
 Prefixes.  With the threshold, linked sets share a shingle within their first
 n - ceil(PERCENT * n / 100) + 1; those are joined.  Length and positional filters drop pairs
-that can't reach the needed overlap, the suffix filter those whose sets split unevenly at
-probing values; the rest are verified by the whole sets, once for each pair.
+that can't reach the needed overlap, the suffix filter those whose sets fall unevenly into
+ranges of hashes (compared by a count for each range, so without moving the sets); the rest
+are verified by the whole sets, once for each pair.
 
 Hot groups.  Equal sets form a class, which joins as one row.  The classes that share a
 shingle are first compared with one hub, not with each other; frequent shingles are dealt
-over salts with a hub each, and these hubs with one of theirs.  Then only pairs whose
-classes aren't connected yet are compared, all of them: such a pair is looked for from the
-side that isn't in the shingle's largest component.  So every link between different
-components is found, and links inside one aren't needed for the components.
+over salts with a hub each, and these hubs with one of theirs.  Then all pairs whose classes
+aren't connected yet are compared.  Shingles of up to ``HOT`` classes give their pairs by a
+join, from the side that isn't in the shingle's largest component.  Classes that larger
+shingles connect form families; a family's classes outside its largest component meet all of
+its classes in blocks of ``GROUP`` by ``GROUP``, where an index of the block's shingles finds the
+links and only those that connect something leave the task.  So every link between different
+components is found, and links inside one aren't needed.
 
 Cases: a text of fewer than SIZE words is one shingle; without words (null, empty, blank) the
 set is empty and links with nothing.  Repeated rows and rows with repeated or null doc_ids
@@ -36,11 +41,15 @@ from airshed.llm.common import RangeHash, Scratch, Words, keep_rows, keyed, mix,
 from airshed.llm.components import components
 
 SIZE, PERCENT = 5, 80
-FREQUENT, LEAST_FREQUENT, LEAST_IN_SLICE = 200_000, 16, 4
+FREQUENT, LEAST_FREQUENT = 200_000, 16
+#: Shingles that a task counts at once.
+STRETCH = 4_000_000
 #: Classes of one frequent shingle, or pairs of one hub, that meet in a group.
 GROUP = 500
+#: Classes of a shingle up to which a join gives their pairs.
+HOT = 48
 
-FOUND = "kind byte, rid long, doc_id long, n long, key long"
+FOUND = "kind byte, rid long, doc_id long, n long, key long, ranges binary"
 POSTING = "shingle long, salt int, cls long, n int, place int"
 
 
@@ -70,19 +79,51 @@ def overlap_needed(n, m):
     return -(-PERCENT * (n + m) // (100 + PERCENT))
 
 
+def ranges(s: np.ndarray) -> bytes | None:
+    """How many values of a set fall into each of equal ranges of hashes, two to four on average; the number of ranges
+    is a power of 2.  None (nothing is known) if a range has more than a byte can count."""
+    bits = max(3, (len(s) // 4).bit_length())
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def may_link(n: int, x: bytes | None, m: int, y: bytes | None) -> bool:
+    """Whether sets of n and m with these counts by range can overlap enough: values that differ are at least the counts' differences."""
+    if x is None or y is None:
+        return True
+    x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if len(x) > len(y):
+        x = x.reshape(len(y), -1).sum(axis=1)
+    elif len(y) > len(x):
+        y = y.reshape(len(x), -1).sum(axis=1)
+    return int(np.abs(x - y).sum()) <= n + m - 2 * overlap_needed(n, m)
+
+
 def _classes(batches):
-    """Documents with their class (kind 0), and shingles that occur often in the slice with their number of classes (kind 1)."""
+    """Documents with their class (kind 0), and shingles of several classes of a stretch with their number (kind 1)."""
+
+    def counted():
+        shingle, count = np.unique(np.concatenate(distinct), return_counts=True)
+        shingle, count = shingle[count > 1], count[count > 1]
+        none = pa.nulls(len(shingle), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(shingle), np.int8)), none, none, pa.array(count.astype(np.int64)), pa.array(shingle.view(np.int64)), pa.nulls(len(shingle), pa.binary())], names=["kind", "rid", "doc_id", "n", "key", "ranges"])
+
+    seen, distinct, total = set(), [], 0
     for batch in slices(batches, "text"):
         found = sets(batch.column("text"))
         cls = [class_of(s) if len(s) else 0 for s in found]
         n = np.array([len(s) for s in found], np.int64)
-        zero = np.zeros(len(found), np.int8)
-        yield pa.RecordBatch.from_arrays([pa.array(zero), batch.column("rid"), batch.column("doc_id"), pa.array(n), pa.array(cls, pa.int64())], names=["kind", "rid", "doc_id", "n", "key"])
-        distinct = list(dict(zip(cls, found, strict=True)).values())
-        shingle, count = np.unique(np.concatenate(distinct), return_counts=True)
-        often = count >= LEAST_IN_SLICE
-        none = pa.nulls(int(often.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(often.sum(), np.int8)), none, none, pa.array(count[often].astype(np.int64)), pa.array(shingle[often].view(np.int64))], names=["kind", "rid", "doc_id", "n", "key"])
+        new = [c not in seen and not seen.add(c) for c in cls]
+        # Only one document of a class brings the counts of its ranges.
+        counts = [ranges(s) if k else None for s, k in zip(found, new, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), np.int8)), batch.column("rid"), batch.column("doc_id"), pa.array(n), pa.array(cls, pa.int64()), pa.array(counts, pa.binary())], names=["kind", "rid", "doc_id", "n", "key", "ranges"])
+        distinct += [s for s, k in zip(found, new, strict=True) if k]
+        total += int(n.sum())
+        if total >= STRETCH:
+            yield counted()
+            seen, distinct, total = set(), [], 0
+    if distinct:
+        yield counted()
 
 
 def _postings(frequent):
@@ -114,27 +155,22 @@ def _possible(n: Column, place: Column, m: Column, other: Column) -> Column:
     return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT) & (most * (100 + PERCENT) >= (n + m) * PERCENT)
 
 
-def _suffix_passes(x: np.ndarray, y: np.ndarray, budget: int, depth: int = 3) -> bool:
-    """Whether sorted sets can differ in at most ``budget`` values, by their numbers on both sides of probing values."""
-
-    def least(x, y, depth):
-        if not depth or not len(x) or not len(y):
-            return abs(len(x) - len(y))
-        probe = x[len(x) // 2]
-        a, b = len(x) // 2, int(np.searchsorted(y, probe))
-        return least(x[:a], y[:b], depth - 1) + least(x[a:], y[b:], depth - 1)
-
-    return least(x, y, depth) <= budget
-
-
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
     need = overlap_needed(len(x), len(y))
-    if min(len(x), len(y)) < need or not _suffix_passes(x, y, len(x) + len(y) - 2 * need):
+    if min(len(x), len(y)) < need:
         return False
     at = np.minimum(np.searchsorted(y, x), len(y) - 1)
     return int((y[at] == x).sum()) >= need
 
 
+def _suffix_filter(batches):
+    """The pairs (hub, cls) that the counts by range allow."""
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("n", "ranges", "m", "others"))
+        keep = [may_link(n, x, m, y) for n, x, m, y in zip(*columns, strict=True)]
+        yield batch.select(["hub", "cls"]).filter(pa.array(keep, pa.bool_()))
+
+
 SENT = "hub long, salt int, owner boolean, cls long, shingles binary"
 
 
@@ -169,6 +205,10 @@ def _verify(batches):
 
 def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (hub, cls) whose sets link, as (a, b).  A hub's pairs are dealt over groups of about GROUP."""
+    one = classes.select(F.col("cls").alias("hub"), "n", "ranges")
+    two = classes.select("cls", F.col("n").alias("m"), F.col("ranges").alias("others"))
+    pairs = pairs.join(one.hint("merge"), "hub").join(two.hint("merge"), "cls").select("hub", "cls", "n", "ranges", "m", "others")
+    pairs = scratch.keep(pairs.mapInArrow(_suffix_filter, "hub long, cls long"), f"{name}_pairs")
     size = pairs.groupBy("hub").agg((F.ceil(F.count(F.lit(1)) / GROUP)).cast("int").alias("salts"))
     members = pairs.join(size.hint("merge"), "hub").select("cls", "hub", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("owner"))
     owners = size.select(F.col("hub").alias("cls"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("owner"))
@@ -191,32 +231,126 @@ def hub_pairs(met: DataFrame) -> DataFrame:
     return shared.groupBy("cls").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub")).select("hub", "cls")
 
 
-def open_pairs(met: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
-    """All pairs of classes that share a prefix shingle, pass the filters and aren't connected yet."""
+def unconnected(met: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The postings of shingles whose classes are in several components, with their component, the shingle's largest and its number of classes."""
     held = met.select("shingle", "cls", "n", "place").distinct().join(parts.select(F.col("node").alias("cls"), "component").hint("merge"), "cls", "left")
     held = held.withColumn("component", F.coalesce("component", "cls"))
     by_part = held.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
-    several = by_part.groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    held = scratch.keep(held.join(several.select("shingle", "largest").hint("merge"), "shingle"), "open")
+    several = by_part.groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return scratch.keep(held.join(several.drop("parts").hint("merge"), "shingle"), "unconnected")
+
+
+def open_pairs(held: DataFrame) -> DataFrame:
+    """All pairs of unconnected classes that share a prefix shingle of up to HOT classes and pass the filters."""
+    held = held.where(F.col("size") <= HOT)
     x, y = held.where("component <> largest").alias("x"), held.alias("y")
     apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.cls") < F.col("y.cls")))
     pairs = x.join(y.hint("merge"), (F.col("x.shingle") == F.col("y.shingle")) & apart & _possible(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")))
     return pairs.select(F.greatest("x.cls", "y.cls").alias("hub"), F.least("x.cls", "y.cls").alias("cls")).distinct()
 
 
+BLOCK = "family long, i int, j int, side byte, cls long, component long, shingles binary"
+
+
+def _send_blocks(batches):
+    """The set of each member of a family, once for each block that it is compared in."""
+    for batch in slices(batches, "text"):
+        columns = (batch.column(c).to_pylist() for c in ("cls", "component", "family", "i", "j", "xs", "ys"))
+        for s, cls, component, family, i, j, xs, ys in zip(sets(batch.column("text")), *columns, strict=True):
+            blocks = [(i, k, 0) for k in range(ys)] if i is not None else []
+            blocks += [(k, j, 1) for k in range(xs)]
+            data = s.tobytes()
+            step = max(1, (1 << 22) // max(1, len(data)))
+            for at in range(0, len(blocks), step):
+                a, b, side = zip(*blocks[at : at + step], strict=True)
+                k = len(a)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([family] * k, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(side, pa.int8()), pa.array([cls] * k, pa.int64()), pa.array([component] * k, pa.int64()), pa.array([data] * k, pa.binary())],
+                    names=["family", "i", "j", "side", "cls", "component", "shingles"],
+                )
+
+
+def block_links(xs: list[tuple[int, int, np.ndarray]], ys: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Links between the two sides of a block, of (cls, component, set): those that connect components not connected yet."""
+    part: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while part.setdefault(c, c) != c:
+            part[c] = part[part[c]]
+            c = part[c]
+        return c
+
+    out = []
+    size = np.array([len(s) for _, _, s in ys])
+    shingle = np.concatenate([s for _, _, s in ys])
+    owner = np.repeat(np.arange(len(ys)), size)
+    order = np.argsort(shingle, kind="stable")
+    shingle, owner = shingle[order], owner[order]
+    for cls, component, s in xs:
+        low, high = np.searchsorted(shingle, s, "left"), np.searchsorted(shingle, s, "right")
+        n = high - low
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        overlap = np.bincount(owner[at], minlength=len(ys))
+        for k in np.flatnonzero(100 * overlap >= PERCENT * (len(s) + size - overlap)).tolist():
+            if (a := top(component)) != (b := top(ys[k][1])):
+                part[a] = b
+                out.append((cls, ys[k][0]))
+    return out
+
+
+def _compare_blocks(batches):
+    """Links (a, b) of the blocks; a block's rows come in order, its first side first."""
+    block, sides = None, ([], [])
+
+    def found():
+        links = block_links(*sides) if sides[0] and sides[1] else []
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for family, i, j, side, cls, component, data in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+            if (family, i, j) != block:
+                yield found()
+                block, sides = (family, i, j), ([], [])
+            sides[side].append((cls, component, np.frombuffer(data, np.uint64)))
+    yield found()
+
+
+def family_links(held: DataFrame, rows: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between unconnected classes of the families that shingles of more than HOT classes make."""
+    hot = held.where(F.col("size") > HOT).select("shingle", "cls", "component")
+    hub = hot.groupBy("shingle").agg(F.min("cls").alias("hub"))
+    ties = hot.join(hub.hint("merge"), "shingle").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
+    families = components(ties, scratch, "families").select(F.col("node").alias("cls"), F.col("component").alias("family"))
+    members = hot.select("cls", "component").distinct().join(families.hint("merge"), "cls", "left").withColumn("family", F.coalesce("family", "cls"))
+    members = scratch.keep(members, "members")
+    by_part = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("k"))
+    size = by_part.groupBy("family").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("outside"))
+    blocks = lambda n: F.ceil(F.col(n) / GROUP).cast("int")
+    size = scratch.keep(size.where("outside > 0").select("family", "largest", blocks("outside").alias("xs"), blocks("all").alias("ys")), "family_size")
+    dealt = members.join(size.hint("merge"), "family")
+    own = F.xxhash64("cls")
+    dealt = dealt.select("cls", "component", "family", F.when(F.col("component") != F.col("largest"), F.pmod(own, F.col("xs")).cast("int")).alias("i"), F.pmod(own, F.col("ys")).cast("int").alias("j"), "xs", "ys")
+    dealt = scratch.keep(dealt.join(classes.select("cls", "rid").hint("merge"), "cls"), "dealt")
+    sent = rows.select("rid", "text").join(dealt, "rid").drop("rid").mapInArrow(_send_blocks, BLOCK)
+    sent = sent.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side", "cls")
+    return scratch.keep(sent.mapInArrow(_compare_blocks, "a long, b long"), "family_links")
+
+
 def _components(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """rid, doc_id, n_shingles, component (a rid), component_id of keyed rows."""
     spark = rows.sparkSession
     found = scratch.keep(rows.mapInArrow(_classes, FOUND), "found")
     documents = found.where("kind = 0").select("rid", "doc_id", "n", F.col("key").alias("cls"))
-    total = documents.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= max(LEAST_FREQUENT, total / FREQUENT))
-    often = often.toPandas()  # at most FREQUENT rows
+    often = found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= LEAST_FREQUENT)
+    often = often.orderBy(F.desc("f"), "key").limit(FREQUENT).toPandas()
     by_rank = often.sort_values(["f", "key"]).assign(rank=np.arange(len(often)))
     by_rank["hash"] = by_rank["key"].to_numpy(np.int64).view(np.uint64)
     by_hash = by_rank.sort_values("hash")
     frequent = spark.sparkContext.broadcast((by_hash["hash"].to_numpy(np.uint64), by_hash["rank"].to_numpy(np.int64), (by_hash["f"].to_numpy(np.int64) // GROUP + 1).astype(np.uint64)))
-    classes = scratch.keep(documents.where("n > 0").groupBy("cls").agg(F.min("rid").alias("rid"), F.min_by("doc_id", "rid").alias("doc_id")), "classes")
+    classes = found.where("kind = 0 AND n > 0").groupBy(F.col("key").alias("cls")).agg(
+        F.min("rid").alias("rid"), F.min_by("doc_id", "rid").alias("doc_id"), F.first("n").alias("n"), F.first("ranges", ignorenulls=True).alias("ranges")
+    )
+    classes = scratch.keep(classes, "classes")
 
     # Classes met by shared prefix shingles; those that meet no other class are dropped.
     meet = Window.partitionBy("shingle", "salt")
@@ -226,8 +360,8 @@ def _components(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
     first = verify(scratch.keep(hub_pairs(met), "hub_pairs"), rows, classes, scratch, "first")
     parts = components(first, scratch, "first_parts")
-    rest = scratch.keep(open_pairs(met, parts, scratch), "open_pairs")
-    second = verify(rest, rows, classes, scratch, "second")
+    held = unconnected(met, parts, scratch)
+    second = verify(scratch.keep(open_pairs(held), "open_pairs"), rows, classes, scratch, "second").unionByName(family_links(held, rows, classes, scratch))
     parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second), scratch, "parts")
 
     placed = classes.join(parts.select(F.col("node").alias("cls"), F.col("component").alias("part")).hint("merge"), "cls", "left").withColumn("part", F.coalesce("part", "cls"))

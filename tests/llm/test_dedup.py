@@ -140,6 +140,7 @@ def test_jaccard_frequent_shingles_are_salted(spark, monkeypatch):
     import random
 
     monkeypatch.setattr(jaccard_join, "GROUP", 4)
+    monkeypatch.setattr(jaccard_join, "HOT", 6)
     rng = random.Random(9)
     base = [f"w{k}" for k in range(60)]
     rows = []
@@ -163,6 +164,45 @@ def test_jaccard_keep_one_and_odd_ids(spark, documents, odd):
     assert jaccard_join.keep_one(frame(spark, odd)).count() <= len(odd)
 
 
+def test_suffix_filter_loses_no_link():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(rng.integers(1, 200))
+        pool = rng.integers(0, 1 << 63, n + 60, dtype=np.uint64) * np.uint64(2)
+        x = np.unique(pool[:n])
+        y = np.unique(np.concatenate([x[: len(x) - len(x) // 9], pool[n : n + len(x) // 12]]))
+        if jaccard_join.linked(x, y):
+            assert jaccard_join.may_link(len(x), jaccard_join.ranges(x), len(y), jaccard_join.ranges(y))
+    same = np.arange(4000, dtype=np.uint64)  # all in one range
+    assert jaccard_join.ranges(same) is None and jaccard_join.may_link(4000, None, 4000, b"")
+
+
+def test_block_links_connect_what_links():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    sets = []
+    for k in range(60):
+        base = np.arange(k % 3 * 1000, k % 3 * 1000 + 60, dtype=np.uint64)
+        base[rng.sample(range(60), rng.randint(0, 9))] = [rng.randrange(10**6, 10**7) for _ in range(1)][0] + k
+        sets.append((k, k, np.unique(base)))
+    links = jaccard_join.block_links(sets, sets)
+    part = list(range(60))
+    top = lambda k: k if part[k] == k else top(part[k])
+    for a, b in links:
+        assert jaccard_join.linked(sets[a][2], sets[b][2])
+        part[top(a)] = top(b)
+    assert len(links) < 60
+    for a in range(60):
+        for b in range(a):
+            if jaccard_join.linked(sets[a][2], sets[b][2]):
+                assert top(a) == top(b)
+
+
 def test_linked_is_the_jaccard_threshold():
     import numpy as np
 
