@@ -49,4 +49,4 @@ def convert_to_target(value: Column, unit: Column, parameter: Column) -> Column:
 def snap(c: Column) -> Column:
     """Value snapped to 1e-9 before a threshold comparison, so a band or category never
     depends on the last bits of a sum (which vary with partitioning / summation order)."""
-    return F.floor(c * F.lit(1e9) + F.lit(0.5)) / F.lit(1e9)
+    return F.rint(c * F.lit(1e9)) / F.lit(1e9)

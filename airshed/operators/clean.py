@@ -183,7 +183,6 @@ def coverage_filter(station_days: DataFrame, city_stations: DataFrame, min_cover
     share = sum(F.avg(F.col(c).isNotNull().cast("double")) for c in cols) / F.lit(float(len(cols)))
     cov = station_days.groupBy("station_id").agg(share.alias("_coverage"))
     m = city_stations.select("*", F.count(F.lit(1)).over(Window.partitionBy("city_id")).alias("_n"))
-    # the map (top-n per city) is the bounded side of this join
-    return cov.join(F.broadcast(m), "station_id") \
+    return cov.join(m, "station_id") \
         .where((F.col("_coverage") >= F.lit(min_coverage)) | (F.col("_n") == 1)).select(*city_stations.columns)
 

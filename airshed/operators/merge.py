@@ -94,10 +94,8 @@ def _idw(rows: DataFrame, cols: list[str], weight: Column, key: str, outlier_col
 def with_city_station_count(city_map: DataFrame) -> DataFrame:
     """Stations per city as a window over the (small, city-partitioned) map.
 
-    The map is broadcast: its size is bounded by max_stations x cities (a top-n per city), not
-    by the observation volume, so the large station-day side is joined without a reshuffle."""
-    m = city_map.select("*", F.count(F.lit(1)).over(Window.partitionBy("city_id")).alias("n_city_stations"))
-    return F.broadcast(m)
+    No broadcast hint: the planner broadcasts the map where its size is under the threshold."""
+    return city_map.select("*", F.count(F.lit(1)).over(Window.partitionBy("city_id")).alias("n_city_stations"))
 
 
 def idw_weather(station_days: DataFrame, city_map: DataFrame) -> DataFrame:
@@ -133,7 +131,7 @@ def merge_daily(weather: DataFrame, air: DataFrame, cities: DataFrame) -> DataFr
         if p not in j.columns:
             j = j.withColumn(p, F.lit(None).cast("double"))
     names = cities.select("city_id", normalise_city_name(F.col("city_name")).alias("city_name"))
-    return j.join(F.broadcast(names), "city_id").select(
+    return j.join(names, "city_id").select(
         "city_name", "date", *WEATHER_COLS, *POLLUTANTS, F.year("date").alias("year"))
 
 

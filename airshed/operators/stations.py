@@ -20,7 +20,9 @@ from airshed.functions.geo import cell_size_deg, haversine_km
 
 
 def _lon_cells(d: float) -> int:
-    return int(math.ceil(360.0 / d))
+    """Whole cells around the circle; each is 360 / n degrees wide (at least ``d``), so they tile it
+    exactly and stepping across the date line stays in step."""
+    return max(1, int(math.floor(360.0 / d)))
 
 
 def station_cells(stations: DataFrame, d: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -28,7 +30,7 @@ def station_cells(stations: DataFrame, d: float, lat: str = "lat", lon: str = "l
     return stations.select(
         "*",
         F.floor(F.col(lat) / F.lit(d)).cast("long").alias("cell_lat"),
-        F.pmod(F.floor((F.col(lon) + F.lit(180.0)) / F.lit(d)), F.lit(n_lon)).cast("long").alias("cell_lon"),
+        F.pmod(F.floor((F.col(lon) + F.lit(180.0)) / F.lit(360.0 / n_lon)), F.lit(n_lon)).cast("long").alias("cell_lon"),
     )
 
 
@@ -41,8 +43,9 @@ def search_cells(points: DataFrame, radius_km: float, d: float, lat: str = "lat"
     edge = F.least(F.abs(la) + F.lit(d), F.lit(89.0))
     half_w = F.lit(d * 1.01) / F.cos(F.radians(edge))
     near_pole = (F.abs(la) + F.lit(d)) >= F.lit(89.0)
-    lon_lo = F.floor((lo + F.lit(180.0) - half_w) / F.lit(d)).cast("long")
-    lon_hi = F.floor((lo + F.lit(180.0) + half_w) / F.lit(d)).cast("long")
+    width = F.lit(360.0 / n_lon)
+    lon_lo = F.floor((lo + F.lit(180.0) - half_w) / width).cast("long")
+    lon_hi = F.floor((lo + F.lit(180.0) + half_w) / width).cast("long")
     wide = near_pole | ((lon_hi - lon_lo + 1) >= F.lit(n_lon))
     lon_seq = F.when(wide, F.sequence(F.lit(0).cast("long"), F.lit(n_lon - 1).cast("long"))) \
         .otherwise(F.sequence(lon_lo, lon_hi))

@@ -9,8 +9,6 @@ crossing city boundaries.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,11 +139,6 @@ def days_since(cond: Column, key: str = "city_name", date: str = "date") -> Colu
     return F.datediff(F.col(date), last_day)
 
 
-def ewm_span_rows(span: int, tol: float = 1e-17) -> int:
-    alpha = 2.0 / (span + 1.0)
-    return int(math.ceil(math.log(tol) / math.log(1.0 - alpha)))
-
-
 # --------------------------------------------------------------- hourly feed
 def hourly_means(hourly: DataFrame, key: str = "location_id", ts_col: str = "ts", value: str = "pm25") -> DataFrame:
     hour = F.floor(F.unix_timestamp(F.col(ts_col).cast("timestamp")) / 3600).cast("long")
@@ -156,7 +149,11 @@ def nowcast(hourly: DataFrame, key: str = "location_id", hours: int = 12) -> Dat
     """EPA NowCast per hour with data: w = max(0.5, min/max) over the last 12 hours,
     sum(w^i c_i) / sum(w^i) over present hours, and at least 2 of the last 3 hours present.
     Missing hours are rows of an hourly spine (so lags are hours, not rows)."""
-    hr = hourly_means(hourly, key)
+    return nowcast_hours(hourly_means(hourly, key), key, hours)
+
+
+def nowcast_hours(hr: DataFrame, key: str = "location_id", hours: int = 12) -> DataFrame:
+    """``nowcast`` of hourly means (key, hour_idx, c)."""
     bounds = hr.groupBy(key).agg(F.min("hour_idx").alias("_lo"), F.max("hour_idx").alias("_hi"))
     spine = bounds.select(key, F.explode(F.sequence("_lo", "_hi")).alias("hour_idx"))
     s = spine.join(hr, [key, "hour_idx"], "left")
@@ -186,18 +183,21 @@ def rolling_8h_daily_max(hourly: DataFrame, key: str = "location_id") -> DataFra
     return r.groupBy(key, day.alias("date")).agg(F.max("avg8h").alias("max_8h_mean"))
 
 
-def ewm_mean(df: DataFrame, value: str, span: int, key: str = "city_name", date: str = "date",
-             out: str | None = None) -> DataFrame:
-    """Exponentially weighted mean (adjust=True, NULLs skipped but counted in the decay):
-    sum(q^(t-j) x_j) / sum(q^(t-j)) over present x_j, q = 1 - 2/(span+1).  The window is cut
-    at K rows where q^K < 1e-17, below double precision relative to the newest weight."""
-    q = 1.0 - 2.0 / (span + 1.0)
-    k = ewm_span_rows(span)
-    w = spec(key, date)
-    base = df.select("*", F.row_number().over(w).alias("_p"))
-    items = F.collect_list(F.struct(F.col("_p").alias("p"), F.col(value).alias("v"))).over(w.rowsBetween(-k, 0))
-    present = F.filter(items, lambda e: e["v"].isNotNull())
-    num = F.aggregate(present, F.lit(0.0), lambda acc, e: acc + F.pow(F.lit(q), F.col("_p") - e["p"]) * e["v"])
-    den = F.aggregate(present, F.lit(0.0), lambda acc, e: acc + F.pow(F.lit(q), F.col("_p") - e["p"]))
-    res = F.when(F.size(present) > 0, num / den)
-    return base.select(*df.columns, res.alias(out or f"{value}_ewm{span}"))
+def ewm_means(df: DataFrame, value: str, spans: list[int], key: str = "city_name", date: str = "date") -> DataFrame:
+    """Exponentially weighted means (adjust=True, NULLs skipped but counted in the decay), one column
+    ``{value}_ewm{span}`` for each span: sum(q^(t-j) x_j) / sum(q^(t-j)) over all present x_j up to t,
+    q = 1 - 2/(span+1).  Numerator and denominator are carried forward in date order, so a gap of any
+    length keeps the last value.  One city's days, bounded by the calendar, are one group."""
+    import pandas as pd
+
+    names = [f"{value}_ewm{s}" for s in spans]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(date, kind="stable")
+        x = pdf[value].astype("float64")
+        return pdf.assign(**{n: x.ewm(span=s, adjust=True, ignore_na=False).mean() for n, s in zip(names, spans)})
+
+    schema = df.select("*", *[F.lit(0.0).alias(n) for n in names]).schema
+    for n in names:
+        schema[n].nullable = True
+    return df.groupBy(key).applyInPandas(run, schema)

@@ -8,7 +8,6 @@ a pruned scan.  Parameters default to the reference pipeline's settings.
 from __future__ import annotations
 
 import hashlib
-import os
 import uuid
 from dataclasses import dataclass, fields
 
@@ -21,7 +20,7 @@ from airshed.session import checkpoint_dir
 from airshed.sources import domain
 
 # bump when the ETL semantics change so stored tables are rebuilt
-ETL_VERSION = "merged-v2"
+ETL_VERSION = "merged-v3"
 
 
 @dataclass
@@ -46,12 +45,21 @@ class CityPipeline:
     def gsod_clean(self) -> DataFrame:
         return clean.clean_gsod(domain.gsod_raw(self.spark, self.sf_dir))
 
+    def weather_candidates(self) -> DataFrame:
+        return stations.nearest_stations(self.cities(), self.stations(), self.weather_radius_km,
+                                         self.weather_max_stations)
+
     def weather_station_days(self) -> DataFrame:
-        return merge.weather_station_days(self.gsod_clean(), self.stations())
+        """Station-days of the stations that serve a city: one pass over the raw feed, stored once;
+        coverage and weighting both read the stored table.  Other stations' rows go before the
+        aggregate, so they are never shuffled."""
+        def build() -> DataFrame:
+            mapped = self.weather_candidates().select("station_id").distinct()
+            return merge.weather_station_days(self.gsod_clean().join(mapped, "station_id", "left_semi"), self.stations())
+        return stored(self, "station-days", build)
 
     def weather_map(self, coverage: bool = True) -> DataFrame:
-        m = stations.nearest_stations(self.cities(), self.stations(), self.weather_radius_km,
-                                      self.weather_max_stations)
+        m = self.weather_candidates()
         if coverage:
             m = clean.coverage_filter(self.weather_station_days(), m, self.min_coverage)
         return m
@@ -89,45 +97,66 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
+def input_files(spark: SparkSession, path: str) -> list[str]:
+    """name:length:time of every file below ``path``, as the Hadoop FileSystem lists them (any store that Spark reads)."""
     p, fs = _fs(spark, path)
-    return bool(fs.exists(p))
-
-
-def _publish(spark: SparkSession, tmp: str, final: str) -> None:
-    """Rename a finished write into place; if another writer won the race, drop ours."""
-    src, fs = _fs(spark, tmp)
-    dst, _ = _fs(spark, final)
-    if fs.exists(dst) or not fs.rename(src, dst):
-        fs.delete(src, True)
+    found = fs.listFiles(p, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        out.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return sorted(out)
 
 
-def _inputs_key(sf_dir: str, params: dict) -> str:
-    stamp = []
-    for t in ("lineitem", "supplier", "nation"):
-        f = os.path.join(sf_dir, f"{t}.parquet")
+def _table_key(p: CityPipeline, tables=("lineitem", "supplier", "nation")) -> str:
+    settings = {f.name: getattr(p, f.name) for f in fields(p) if f.name not in ("spark", "sf_dir")}
+    files = [x for t in tables for x in input_files(p.spark, f"{p.sf_dir}/{t}.parquet")]
+    return hashlib.sha1("|".join([ETL_VERSION, repr(sorted(settings.items())), *files]).encode()).hexdigest()[:16]
+
+
+def _ready(spark: SparkSession, marker: str) -> str | None:
+    """The folder that a marker file names, once some writer has published one."""
+    p, fs = _fs(spark, marker)
+    if not fs.exists(p):
+        return None
+    reader = fs.open(p)
+    try:
+        return reader.readUTF()
+    finally:
+        reader.close()
+
+
+def stored(p: CityPipeline, name: str, build, *partitions: str) -> DataFrame:
+    """A table of the ETL in the shared folder of ``spark.checkpoint.dir``, written once for each set
+    of input files (name, length, time) and parameters.  Every writer has a folder of its own; the
+    first to finish creates the marker file that names its folder, so nothing is renamed and no
+    reader sees an unfinished write."""
+    spark = p.spark
+    root = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{_table_key(p)}"
+    at = _ready(spark, f"{root}/READY")
+    if at is None:
+        at = f"{root}/{uuid.uuid4().hex}"
+        table = build()
+        if partitions:  # one file per partition value instead of one per (task, value)
+            table.repartition(*partitions).write.partitionBy(*partitions).parquet(at)
+        else:
+            table.write.parquet(at)
+        marker, fs = _fs(spark, f"{root}/READY")
         try:
-            st = os.stat(f)
-            stamp.append(f"{t}:{st.st_size}:{int(st.st_mtime)}")
-        except OSError:
-            stamp.append(f"{t}:?")
-    raw = "|".join([ETL_VERSION, os.path.abspath(sf_dir), repr(sorted(params.items())), *stamp])
-    return hashlib.sha1(raw.encode()).hexdigest()[:16]
+            writer = fs.create(marker, False)
+            writer.writeUTF(at)
+            writer.close()
+        except Exception:  # another writer was first (its table is the same): use that one
+            if (first := _ready(spark, f"{root}/READY")) is None:
+                raise
+            mine, _ = _fs(spark, at)
+            fs.delete(mine, True)
+            at = first
+    return spark.read.parquet(at)
 
 
 def stored_merged(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
-    """The merged city-day table as the ETL writes it (Parquet partitioned by city_name, year)
-    in the shared folder named by ``spark.checkpoint.dir``; built once per (inputs, parameters),
-    then every reader is a pruned scan.  A crashed write has no ``_SUCCESS`` and is rebuilt."""
+    """The merged city-day table as the ETL writes it: Parquet partitioned by city_name and year,
+    so every reader is a pruned scan."""
     p = CityPipeline(spark, sf_dir, **params)
-    settings = {f.name: getattr(p, f.name) for f in fields(p) if f.name not in ("spark", "sf_dir")}
-    root = os.path.join(checkpoint_dir(spark), "tables", f"merged-{_inputs_key(sf_dir, settings)}")
-    if not _path_exists(spark, root + "/_SUCCESS"):
-        if _path_exists(spark, root):          # a crashed earlier write: no _SUCCESS marker
-            _fs(spark, root)[1].delete(_fs(spark, root)[0], True)
-        tmp = f"{root}.tmp-{uuid.uuid4().hex[:8]}"
-        # one file per city-year instead of one per (task, city-year)
-        (p.merged().repartition("city_name", "year")
-         .write.mode("errorifexists").partitionBy("city_name", "year").parquet(tmp))
-        _publish(spark, tmp, root)
-    return spark.read.parquet(root)
+    return stored(p, "merged", p.merged, "city_name", "year")

@@ -428,7 +428,7 @@ def city_fingerprint(spark, d):
     s = m.groupBy("city_name", F.floor((F.month("date") % 12) / 3).alias("season")).agg(F.avg("pm25").alias("sm")) \
         .groupBy("city_name").agg(F.var_samp("sm").alias("seasonal_var"))
     c = domain.cities(spark, d).select(normalise_city_name(F.col("city_name")).alias("city_name"), "population")
-    return a.join(s, "city_name").join(F.broadcast(c), "city_name").select(
+    return a.join(s, "city_name").join(c, "city_name").select(
         "city_name", "mean_1y", F.col("_q")[0].alias("median_1y"), F.col("_q")[1].alias("p95_1y"), "seasonal_var",
         F.log(F.col("population").cast("double")).alias("log_population"))
 

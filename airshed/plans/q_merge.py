@@ -143,7 +143,7 @@ def city_metadata_join(spark, d):
     m = stored_merged(spark, d).select("city_name", "date", "pm25")
     c = domain.cities(spark, d).select(merge.normalise_city_name(F.col("city_name")).alias("city_name"),
                                        "lat", "lng", "population")
-    return m.join(F.broadcast(c), "city_name")
+    return m.join(c, "city_name")
 
 
 @query("fill_missing_dates", V("merged") + """

@@ -214,7 +214,7 @@ def ablation(spark, d):
     for rung, (label, exp, extra) in enumerate(ladder):
         feats = FE.build_features(m, exp, ["pm25"], horizon=0 if exp == "weather" else 1)
         if extra:
-            feats = feats.join(F.broadcast(cities), "city_name")
+            feats = feats.join(cities, "city_name")
         cols = FE.feature_columns(exp, ["pm25"]) + extra
         feats = ML.as_double(feats, cols)
         split = SP.chrono_split(feats)

@@ -160,7 +160,7 @@ def interpolate_time_limit(spark, d):
     from airshed.sources import domain
     p = CityPipeline(spark, d)
     names = domain.cities(spark, d).select("city_id", normalise_city_name(F.col("city_name")).alias("city_name"))
-    wc = p.weather_city_days().join(F.broadcast(names), "city_id").select("city_name", "date", *WEATHER_COLS)
+    wc = p.weather_city_days().join(names, "city_id").select("city_name", "date", *WEATHER_COLS)
     return ts.interpolate_time_limit(wc, WEATHER_COLS)
 
 
@@ -530,18 +530,18 @@ def eligible_cities(spark, d):
 
 def _ewm_sql(span):
     q = 1.0 - 2.0 / (span + 1.0)
-    k = ts.ewm_span_rows(span)
-    lst = f"list({{'p': pos, 'v': pm25}}) OVER (PARTITION BY city_name ORDER BY date ROWS BETWEEN {k} PRECEDING AND CURRENT ROW)"
+    lst = "list({'p': pos, 'v': pm25}) OVER (PARTITION BY city_name ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     pres = f"list_filter({lst}, lambda e: e.v IS NOT NULL)"
-    num = f"list_sum(list_transform({pres}, lambda e: pow({q!r}e0, pos - e.p) * e.v))"
-    den = f"list_sum(list_transform({pres}, lambda e: pow({q!r}e0, pos - e.p)))"
+    last = f"max(CASE WHEN pm25 IS NOT NULL THEN pos END) OVER (PARTITION BY city_name ORDER BY date)"
+    num = f"list_sum(list_transform({pres}, lambda e: pow({q!r}e0, {last} - e.p) * e.v))"
+    den = f"list_sum(list_transform({pres}, lambda e: pow({q!r}e0, {last} - e.p)))"
     return f"{num} / {den} AS pm25_ewm{span}"
 
 
 @query("ewm", V("merged", extra=[("mp", "SELECT *, row_number() OVER (PARTITION BY city_name ORDER BY date) AS pos "
                                         "FROM merged")]) +
-       f"SELECT city_name, date, pm25, {_ewm_sql(3)}, {_ewm_sql(7)} FROM mp", ["pm25", "pm25_ewm3", "pm25_ewm7"])
+       f"SELECT city_name, date, pm25, {_ewm_sql(3)}, {_ewm_sql(7)}, {_ewm_sql(14)} FROM mp",
+       ["pm25", "pm25_ewm3", "pm25_ewm7", "pm25_ewm14"])
 def ewm(spark, d):
-    """Exponentially weighted means of PM2.5 with spans 3 and 7 per city."""
-    m = merged(spark, d).select("city_name", "date", "pm25")
-    return ts.ewm_mean(ts.ewm_mean(m, "pm25", 3), "pm25", 7)
+    """Exponentially weighted means of PM2.5 with spans 3, 7 and 14 per city."""
+    return ts.ewm_means(merged(spark, d).select("city_name", "date", "pm25"), "pm25", [3, 7, 14])

@@ -24,12 +24,12 @@ def _win(df, col="window"):
 
 
 @query("stream_daily_mean", V("hourly") + """
-SELECT location_id, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+SELECT location_id, 'pm25' AS parameter, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
   avg(pm25) AS pm25_mean, count(*) AS n FROM hourly GROUP BY location_id, date_trunc('day', ts)""", ["pm25_mean"])
 def stream_daily_mean(spark, d):
     """Tumbling 1-day mean per location from a file stream (watermark 2 days)."""
     return _win(S.run_to_table(S.daily_mean(S.hourly_stream(spark, d)), "daily_mean",
-                              keys=["location_id", "window"]))
+                              keys=["location_id", "parameter", "window"]))
 
 
 @query("stream_sliding_8h", V("hourly") + """
@@ -50,10 +50,8 @@ FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 24 HOUR THEN
             FROM hourly WHERE pm25 > 35e0) a) b GROUP BY location_id, sid""", ["peak"])
 def stream_episodes(spark, d):
     """Pollution episodes as session windows (PM2.5 > 35, gap 24 h)."""
-    # session windows support only append / complete; append would hold back sessions that are
-    # still open when an availableNow run ends, so this run uses complete mode
-    return _win(S.run_to_table(S.episodes(S.hourly_stream(spark, d)), "episodes", mode="complete",
-                              keys=["location_id", "session_window"]), "session_window")
+    return _win(S.episodes_table(S.hourly_stream(spark, d), domain.hourly(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))),
+                "session_window")
 
 
 @query("stream_dedup", V("hourly") + """
@@ -93,8 +91,8 @@ def nowcast_pm(spark, d):
 
 @query("stream_nowcast", V("hourly", extra=[("hm", _HM)]) + _nowcast_sql(), ["nowcast"])
 def stream_nowcast(spark, d):
-    """T5: running NowCast per location carried in streaming state (applyInPandasWithState)."""
-    return S.run_to_table(S.nowcast_stream(S.hourly_stream(spark, d)), "nowcast", mode="append")
+    """T5: running NowCast per location over the hourly means that the stream keeps."""
+    return S.nowcast_table(S.hourly_stream(spark, d))
 
 
 @query("ozone_8h_max", V("hourly", extra=[("hm", _HM)]) + """
@@ -128,10 +126,11 @@ def stream_late_data(spark, d):
     """T4: late-data accounting -- the hourly feed lands as one file per day with every fifth day
     arriving four days late; per micro-batch the input rows and the rows dropped by the 2-day
     watermark (streaming progress metrics).  Rows-only (depends on arrival order)."""
-    import os
     import uuid
     from airshed.session import checkpoint_dir
     ev = domain.table(spark, d, "events")
-    folder = os.path.join(checkpoint_dir(spark), "landing", f"hourly-{uuid.uuid4().hex[:8]}")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/landing/hourly-{uuid.uuid4().hex}"
     S.land_daily_files(ev, folder)
-    return S.late_data_report(spark, folder, ev.schema)
+    report = S.late_data_report(spark, folder, ev.schema)
+    S._drop(spark, folder)
+    return report

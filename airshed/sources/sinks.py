@@ -44,12 +44,11 @@ def default_path(df: DataFrame, name: str) -> str:
 
 def write_city_year(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     """Per-city per-year files (one table partitioned by city and year); numerics rounded to 2 dp."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     out = format_numeric(df)
     out = out.withColumn("city_part", F.translate(F.col("city_name"), " /", "__"))
     # one file per city-year instead of one per (task, city-year)
-    w = out.repartition("city_part", "year").write.mode("overwrite").partitionBy("city_part", "year")
+    w = out.repartition("city_part", "year").write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("city_part", "year")
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:

@@ -1,31 +1,29 @@
 """Structured Streaming over the hourly measurement feed.
 
-Sources are files (one or more Parquet files landing in a folder), triggers
-are ``availableNow`` so a run processes what has landed and stops.  Results go
-through ``foreachBatch`` into Parquet under the shared checkpoint folder
-(``spark.checkpoint.dir``), with a streaming checkpoint next to them, so a
-restarted run resumes from the last committed micro-batch.  Window aggregates run
-in update mode, so the watermark evicts finished windows and state stays bounded;
-only session windows (no update mode in Spark) use complete mode.
-
-T1  tumbling 1-day mean per location (watermark 2 days)
+Sources are files landing in a folder, triggers are ``availableNow``: a run processes what has
+landed and stops.  ``run_to_table`` keeps a query's checkpoint and its rows under one path.
+With a path given by the caller, a restarted run resumes after the last committed micro-batch;
+every micro-batch writes a folder of its own, overwritten when the batch is replayed, so rows
+are neither lost nor doubled.  Aggregates run in update mode and sessions in append mode, so
+the watermark bounds the state.
+
+T1  tumbling 1-day mean per location and parameter (watermark 2 days)
 T2  sliding 8-hour mean, 1-hour slide
 T3  session windows: pollution episodes (PM2.5 > 35, gap 24 h)
-T4  de-duplication within the watermark + per-day counts
-T5  stateful running NowCast per location (``applyInPandasWithState``)
+T4  de-duplication within the watermark + per-day counts, late-data accounting
+T5  running NowCast: hourly sums kept by the stream, NowCast of the hours they feed
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from airshed.constants import HIGH_POLLUTION
+from airshed.operators import timeseries
 from airshed.session import checkpoint_dir
 
 WATERMARK = "2 days"
@@ -34,46 +32,68 @@ WATERMARK = "2 days"
 def hourly_stream(spark: SparkSession, folder: str, file_glob: str = "events.parquet",
                   max_files: int | None = None) -> DataFrame:
     """Hourly feed as a stream: location = user_id % 25, PM2.5 = value, event time = ts (UTC)."""
-    schema = spark.read.parquet(os.path.join(folder, file_glob)).schema
+    schema = spark.read.parquet(f"{folder}/{file_glob}").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     s = reader.parquet(folder)
-    return s.select("event_id", (F.col("user_id") % 25).alias("location_id"),
+    return s.select("event_id", (F.col("user_id") % 25).alias("location_id"), F.lit("pm25").alias("parameter"),
                     F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("pm25"))
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "update", keys: list[str] | None = None) -> DataFrame:
-    """Run a streaming DataFrame to completion (availableNow) and return the written table.
+def _drop(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
-    ``update`` mode (the default for aggregations) keeps state bounded: the watermark evicts
-    finished windows.  Each micro-batch's updated rows are appended with their batch id, and
-    the table read back keeps the latest emission per ``keys``.  ``append`` mode returns the
-    emitted rows as they are."""
-    from pyspark.sql import Window
-    spark = df.sparkSession
-    base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
-    out = base + "/data"
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        tagged = batch.select("*", F.lit(epoch).cast("long").alias("_batch"))
-        # complete mode re-emits the whole result table each batch: keep only the latest one
-        tagged.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
 
+def _run(df: DataFrame, mode: str, sink, checkpoint: str) -> None:
     q = (df.writeStream.outputMode(mode).foreachBatch(sink)
-         .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start())
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
-    res = spark.read.parquet(out)
-    if mode == "update" and keys:
+
+
+def _batches(path: str):
+    """A sink with a folder for each micro-batch; a replayed batch overwrites its own."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/_batch={epoch}")
+    return sink
+
+
+def _landed(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All batches' rows with their batch id (no rows if no batch was written)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = StructType([*schema.fields, StructField("_batch", LongType())])
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(path)
+
+
+def run_to_table(df: DataFrame, name: str, mode: str = "update", keys: list[str] | None = None,
+                 path: str | None = None) -> DataFrame:
+    """Run a streaming DataFrame over all that has landed and return its rows.
+
+    The latest emission per ``keys`` wins in every mode; without keys all emitted rows are
+    returned.  ``path`` holds the checkpoint and the rows, and a later run with the same path
+    goes on from there.  Without one, a run-scoped folder serves this run alone: its rows are
+    checkpointed and the folder is removed."""
+    spark = df.sparkSession
+    base = path or f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    _run(df, mode, _batches(f"{base}/data"), f"{base}/checkpoint")
+    res = _landed(spark, f"{base}/data", df.schema)
+    if keys:
         w = Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
         res = res.select("*", F.row_number().over(w).alias("_r")).where("_r = 1").drop("_r")
-    return res.drop("_batch")
+    res = res.drop("_batch")
+    if path is None:
+        res = res.checkpoint()
+        _drop(spark, base)
+    return res
 
 
 def daily_mean(stream: DataFrame) -> DataFrame:
-    w = stream.withWatermark("ts", WATERMARK).groupBy("location_id", F.window("ts", "1 day"))
+    w = stream.withWatermark("ts", WATERMARK).groupBy("location_id", "parameter", F.window("ts", "1 day"))
     return w.agg(F.avg("pm25").alias("pm25_mean"), F.count("*").alias("n"))
 
 
@@ -82,71 +102,46 @@ def sliding_8h(stream: DataFrame) -> DataFrame:
     return w.agg(F.avg("pm25").alias("pm25_8h"), F.count("*").alias("n"))
 
 
-def episodes(stream: DataFrame, threshold: float = HIGH_POLLUTION, gap: str = "24 hours") -> DataFrame:
-    high = stream.where(F.col("pm25") > F.lit(threshold)).withWatermark("ts", WATERMARK)
+def episodes(rows: DataFrame, threshold: float = HIGH_POLLUTION, gap: str = "24 hours") -> DataFrame:
+    """Sessions of high values; of a stream (with the watermark) or of a table."""
+    high = rows.where(F.col("pm25") > F.lit(threshold))
+    if rows.isStreaming:
+        high = high.withWatermark("ts", WATERMARK)
     return high.groupBy("location_id", F.session_window("ts", gap)).agg(
         F.count("*").alias("n"), F.max("pm25").alias("peak"))
 
 
+def episodes_table(stream: DataFrame, landed: DataFrame, path: str | None = None) -> DataFrame:
+    """All episodes of what has landed: the stream emits those that the watermark has closed
+    (append mode, so open sessions alone are state); those still open come from the landed rows
+    after each location's last closed session."""
+    closed = run_to_table(episodes(stream), "episodes", mode="append", keys=["location_id", "session_window"], path=path)
+    last = closed.groupBy("location_id").agg(F.max("session_window.end").alias("_last"))
+    still = landed.join(last, "location_id", "left").where(F.col("_last").isNull() | (F.col("ts") >= F.col("_last")))
+    return closed.unionByName(episodes(still.drop("_last")))
+
+
 def dedup_counts(stream: DataFrame) -> DataFrame:
     d = stream.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["event_id"])
     return d.groupBy("location_id", F.window("ts", "1 day")).agg(F.count("*").alias("n_unique"))
 
 
 # ----------------------------------------------------------- T5 NowCast
-NOWCAST_HOURS = 12
-
-
-def _nowcast(values: list[float | None]) -> float | None:
-    """values[0] is the current hour, values[i] the hour i back (None = missing)."""
-    recent = values[:3]
-    if sum(v is not None for v in recent) < 2:
-        return None
-    present = [v for v in values if v is not None]
-    hi, lo = max(present), min(present)
-    w = 1.0 if hi == 0 else max(0.5, lo / hi)
-    num = sum((w ** i) * v for i, v in enumerate(values) if v is not None)
-    den = sum((w ** i) for i, v in enumerate(values) if v is not None)
-    return num / den
-
-
-def nowcast_state_fn(key, pdfs, state):
-    """Per location: keep (hour -> running sum, count) for the last 24 hours in state and emit
-    the NowCast of every hour whose 12-hour window contains an hour touched by this micro-batch,
-    so data arriving late (within the retention) also corrects the later hours it feeds; the
-    latest emission of an hour wins."""
-    loc = key[0]
-    hours: dict[int, list[float]] = {}
-    if state.exists:
-        (hist,) = state.get
-        hours = {int(r["h"]): [float(r["s"]), int(r["c"])] for r in hist}
-    touched = set()
-    for pdf in pdfs:
-        for h, v in zip(pdf["hour_idx"], pdf["pm25"]):
-            if v is None or pd.isna(v):
-                continue
-            acc = hours.setdefault(int(h), [0.0, 0])
-            acc[0] += float(v)
-            acc[1] += 1
-            touched.add(int(h))
-    affected = {t + k for t in touched for k in range(NOWCAST_HOURS) if (t + k) in hours}
-    out = []
-    for h in sorted(affected):
-        vals = [(hours[h - i][0] / hours[h - i][1]) if (h - i) in hours else None for i in range(NOWCAST_HOURS)]
-        out.append((loc, h, _nowcast(vals)))
-    if hours:
-        top = max(hours)
-        keep = [{"h": h, "s": a[0], "c": a[1]} for h, a in hours.items() if h > top - 2 * NOWCAST_HOURS]
-        state.update((keep,))
-    yield pd.DataFrame(out, columns=["location_id", "hour_idx", "nowcast"])
-
-
-def nowcast_stream(stream: DataFrame) -> DataFrame:
-    hourly = stream.select("location_id", F.floor(F.unix_timestamp("ts") / 3600).cast("long").alias("hour_idx"),
-                           "pm25")
-    return hourly.groupBy("location_id").applyInPandasWithState(
-        nowcast_state_fn, "location_id long, hour_idx long, nowcast double",
-        "hist array<struct<h:long,s:double,c:long>>", "append", GroupStateTimeout.NoTimeout)
+def hourly_means(stream: DataFrame) -> DataFrame:
+    """Mean of every location-hour, updated as rows come in; a row later than the watermark
+    allows is dropped by Spark (``late_data_report`` counts such rows)."""
+    w = stream.withWatermark("ts", WATERMARK).groupBy("location_id", F.window("ts", "1 hour"))
+    return w.agg(F.avg("pm25").alias("c"))
+
+
+def nowcast_table(stream: DataFrame, path: str | None = None) -> DataFrame:
+    """NowCast of every location-hour over what the stream has kept: the stream's state is a sum
+    and a count for each hour within the watermark, and an hour that late rows change also changes
+    the later hours that it feeds.  Equal to the batch NowCast of the same rows."""
+    hours = run_to_table(hourly_means(stream), "nowcast", keys=["location_id", "window"], path=path)
+    hours = hours.where("c IS NOT NULL").select(
+        "location_id", F.floor(F.unix_timestamp("window.start") / 3600).cast("long").alias("hour_idx"), "c")
+    return timeseries.nowcast_hours(hours)
 
 
 # --------------------------------------------------------- T4 late data
@@ -154,17 +149,24 @@ def land_daily_files(hourly_df: DataFrame, folder: str, late_every: int = 5, del
     """Write the feed as one Parquet file per event day into ``folder``; every ``late_every``-th
     day lands after the ``delay`` days that follow it (late data).  Returns the landing order.
     Late input is filtered against the previous batch's watermark, so with a 2-day watermark a
-    day must land more than 3 days late before its rows are dropped."""
+    day must land more than 3 days late before its rows are dropped.
+
+    One write for all days; the files' times then give the landing order."""
     spark = hourly_df.sparkSession
-    days = [r[0] for r in hourly_df.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]
+    days = [r[0] for r in hourly_df.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]  # calendar days
     order = list(days)
     for i in range(0, len(days), late_every):
         if i + delay < len(days):
             d = order.pop(order.index(days[i]))
             order.insert(order.index(days[i + delay]) + 1, d)
-    for k, d in enumerate(order):
-        (hourly_df.where(F.to_date("ts") == F.lit(d)).repartition(1)
-         .write.mode("overwrite").parquet(os.path.join(folder, f"batch={k:04d}")))
+    place = spark.createDataFrame([(d, k) for k, d in enumerate(order)], "_day date, batch int")
+    (hourly_df.withColumn("_day", F.to_date("ts")).join(place, "_day").drop("_day")
+     .repartition("batch").write.mode("overwrite").partitionBy("batch").parquet(folder))
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    for k in range(len(order)):
+        for f in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch={k}")):
+            fs.setTimes(f.getPath(), 1_600_000_000_000 + 60_000 * k, -1)
     return [str(d) for d in order]
 
 
@@ -172,29 +174,30 @@ def late_data_report(spark: SparkSession, folder: str, schema, watermark: str =
     """Stream the landed files one per micro-batch through a watermarked 1-day window count and
     account, per batch, for input rows, rows accepted into windows and rows dropped as too late.
 
-    The aggregation runs in update mode; every batch's updated window counts are stored with the
-    batch id, so the per-window count increments give the accepted rows of each batch exactly
-    (input - accepted = dropped by the watermark)."""
-    from pyspark.sql import Window
+    A stream without state counts every batch's input rows and its latest event time; the
+    aggregation runs in update mode, and the increments of the windows' counts are the accepted
+    rows of each batch (input - accepted = dropped by the watermark)."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/late-{uuid.uuid4().hex}"
     s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
          .select((F.col("user_id") % 25).alias("location_id"), F.col("ts").cast("timestamp").alias("ts")))
-    agg = s.withWatermark("ts", watermark).groupBy("location_id", F.window("ts", "1 day")).count()
-    base = os.path.join(checkpoint_dir(spark), "streams", f"late-{uuid.uuid4().hex[:8]}")
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        batch.select("*", F.lit(epoch).cast("long").alias("batch_id")).write.mode("append").parquet(base + "/data")
+    def count(batch: DataFrame, epoch: int) -> None:
+        batch.agg(F.count(F.lit(1)).alias("input_rows"), F.max("ts").alias("latest")).write.mode("overwrite").parquet(f"{base}/input/_batch={epoch}")
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    progress = spark.createDataFrame(
-        [(int(p["batchId"]), int(p["numInputRows"]), p["eventTime"].get("watermark")) for p in q.recentProgress],
-        "batch_id long, input_rows long, watermark string")
-    out = spark.read.parquet(base + "/data")
-    w = Window.partitionBy("location_id", "window").orderBy("batch_id")
-    inc = out.select("batch_id", (F.col("count") - F.coalesce(F.lag("count").over(w), F.lit(0))).alias("inc"))
-    accepted = inc.groupBy("batch_id").agg(F.sum("inc").cast("long").alias("accepted_rows"))
-    return progress.join(accepted, "batch_id", "left").select(
-        "batch_id", "input_rows", F.coalesce("accepted_rows", F.lit(0)).cast("long").alias("accepted_rows"),
+    _run(s, "append", count, f"{base}/input_checkpoint")
+    agg = s.withWatermark("ts", watermark).groupBy("location_id", F.window("ts", "1 day")).count()
+    _run(agg, "update", _batches(f"{base}/data"), f"{base}/checkpoint")
+    came = spark.read.schema("input_rows long, latest timestamp, _batch long").parquet(f"{base}/input")
+    out = _landed(spark, f"{base}/data", agg.schema)
+    w = Window.partitionBy("location_id", "window").orderBy("_batch")
+    inc = out.select("_batch", (F.col("count") - F.coalesce(F.lag("count").over(w), F.lit(0))).alias("inc"))
+    accepted = inc.groupBy("_batch").agg(F.sum("inc").cast("long").alias("accepted_rows"))
+    # One row for each micro-batch: bounded by the number of landed files.
+    before = Window.orderBy("_batch").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.max("latest").over(before) - F.expr(f"INTERVAL {watermark}")
+    res = came.withColumn("watermark", seen).join(accepted, "_batch", "left").select(
+        F.col("_batch").alias("batch_id"), "input_rows", F.coalesce("accepted_rows", F.lit(0)).cast("long").alias("accepted_rows"),
         (F.col("input_rows") - F.coalesce("accepted_rows", F.lit(0))).cast("long").alias("dropped_late"),
-        "watermark")
+        F.date_format("watermark", "yyyy-MM-dd HH:mm:ss").alias("watermark")).checkpoint()
+    _drop(spark, base)
+    return res
