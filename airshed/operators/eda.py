@@ -37,13 +37,52 @@ def missing_stats(df: DataFrame, cols: list[str]) -> DataFrame:
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles (exact, linear interpolation), max per variable."""
     lf = long_form(df.select(*cols), [], cols).where(F.col("value").isNotNull())
-    q = F.percentile(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return lf.groupBy("variable").agg(
+    moments = lf.groupBy("variable").agg(
         F.count("value").cast("long").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), q.alias("_q"),
-        F.max("value").alias("max")).select(
-        "variable", "count", "mean", "std", "min", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
-        F.col("_q")[2].alias("q75"), "max")
+        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    return moments.join(exact_quantiles(lf, "variable", "value", [0.25, 0.5, 0.75]), "variable").select(
+        "variable", "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"),
+        F.col("q")[2].alias("q75"), "max")
+
+
+def _bucketed(df: DataFrame, group: str, col: str, n_buckets: int, accuracy: int):
+    """Distinct values with their counts and a range bucket, and each bucket's count and offset."""
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    vals = df.groupBy(group, col).agg(F.count(F.lit(1)).alias("_cnt"))
+    cuts = vals.groupBy(group).agg(F.array_sort(F.array_distinct(
+        F.percentile_approx(col, probs, accuracy))).alias("_cuts"))
+    b = vals.join(F.broadcast(cuts), group).select(
+        group, col, "_cnt", F.size(F.filter("_cuts", lambda c: c < F.col(col))).alias("_bucket"))
+    per_bucket = b.groupBy(group, "_bucket").agg(F.sum("_cnt").alias("_bcnt"))
+    # offsets over (group, bucket) rows: bounded by groups x n_buckets
+    ow = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return b, per_bucket.select(group, "_bucket", "_bcnt", F.coalesce(F.sum("_bcnt").over(ow), F.lit(0)).alias("_off"))
+
+
+def exact_quantiles(df: DataFrame, group: str, col: str, probs: list[float], n_buckets: int = 64,
+                    accuracy: int = 10000) -> DataFrame:
+    """(group, q: array in the order of ``probs``): exact quantiles with linear interpolation, NULLs
+    skipped, without holding a group's values in one task.
+
+    Distinct values go to range buckets as in ``avg_rank_table``; the buckets' offsets tell which
+    bucket holds the two order statistics of each quantile, and only those buckets are searched."""
+    d = df.where(F.col(col).isNotNull()).select(group, F.col(col).cast("double").alias(col))
+    b, offsets = _bucketed(d, group, col, n_buckets, accuracy)
+    total = offsets.groupBy(group).agg(F.sum("_bcnt").alias("_n"))
+    asked = F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_k", "_p")
+    asked = total.select(group, "_n", asked).withColumn("_h", (F.col("_n") - 1) * F.col("_p"))
+    ends = F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h")))).alias("_at")
+    asked = asked.select(group, "_k", "_h", ends)
+    # groups x probabilities x buckets rows
+    placed = asked.join(offsets, group).where((F.col("_at") >= F.col("_off")) & (F.col("_at") < F.col("_off") + F.col("_bcnt")))
+    w = Window.partitionBy(group, "_bucket").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
+    needed = placed.select(group, "_bucket").distinct()
+    runs = b.join(needed, [group, "_bucket"], "left_semi").withColumn("_below", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
+    inside = F.col("_at") - F.col("_off")
+    hit = runs.join(placed, [group, "_bucket"]).where((inside >= F.col("_below")) & (inside < F.col("_below") + F.col("_cnt")))
+    q = hit.groupBy(group, "_k", "_h").agg(F.min_by(col, "_at").alias("_lo"), F.max_by(col, "_at").alias("_hi"))
+    q = q.select(group, "_k", (F.col("_lo") + (F.col("_h") - F.floor("_h")) * (F.col("_hi") - F.col("_lo"))).alias("_v"))
+    return q.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda e: e["_v"]).alias("q"))
 
 
 def avg_rank_table(df: DataFrame, group: str, col: str, out: str, n_buckets: int = 64,
@@ -58,16 +97,8 @@ def avg_rank_table(df: DataFrame, group: str, col: str, out: str, n_buckets: int
        so avg_rank(v) = below(v) + (count(v) + 1) / 2;
     4. callers join the ranks back on (group, value) -- an equi-join on a unique key that AQE's
        skew handling can split."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    vals = df.groupBy(group, col).agg(F.count(F.lit(1)).alias("_cnt"))
-    cuts = vals.groupBy(group).agg(F.array_sort(F.array_distinct(
-        F.percentile_approx(col, probs, accuracy))).alias("_cuts"))
-    b = vals.join(F.broadcast(cuts), group).select(
-        group, col, "_cnt", F.size(F.filter("_cuts", lambda c: c < F.col(col))).alias("_bucket"))
-    per_bucket = b.groupBy(group, "_bucket").agg(F.sum("_cnt").alias("_bcnt"))
-    # offsets over (group, bucket) rows: bounded by groups x n_buckets
-    ow = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(group, "_bucket", F.coalesce(F.sum("_bcnt").over(ow), F.lit(0)).alias("_off"))
+    b, offsets = _bucketed(df.select(group, col), group, col, n_buckets, accuracy)
+    offsets = offsets.select(group, "_bucket", "_off")
     w = Window.partitionBy(group, "_bucket").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
     return b.join(F.broadcast(offsets), [group, "_bucket"]).select(
         group, col, (F.col("_off") + F.coalesce(F.sum("_cnt").over(w), F.lit(0))
@@ -95,6 +126,15 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int =
     return res.select(F.element_at(names, F.col("pair") + 1).alias("v"), "rho", "n").select("v.*", "rho", "n")
 
 
+def corr_matrix(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(var1, var2, r, n) of every pair over the rows that have both, in one aggregate."""
+    one = df.agg(*[F.corr(a, b).alias(f"r|{a}|{b}") for a, b in pairs],
+                 *[F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias(f"n|{a}|{b}") for a, b in pairs])
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"`r|{a}|{b}`").alias("r"),
+                                        F.col(f"`n|{a}|{b}`").cast("long").alias("n")) for a, b in pairs])).alias("s")
+    return one.select(rows).select("s.*")
+
+
 def strength(r: Column) -> Column:
     a = F.abs(r)
     return F.when(r.isNull(), F.lit(None)).when(a > 0.5, "strong").when(a > 0.3, "moderate").otherwise("weak")

@@ -169,13 +169,17 @@ def impute(df: DataFrame, cols: list[str], strategy: str = "median", fill_value:
            stats_from: DataFrame | None = None) -> DataFrame:
     """Fill NULLs with the median / mean (of ``stats_from``, default ``df``) or a constant.
 
-    Statistics are one aggregate row broadcast back (exact median via ``percentile``)."""
+    Statistics are one fitted row; medians are exact and found without gathering a column in one task."""
     if strategy == "constant":
         return df.na.fill({c: float(fill_value) for c in cols})
     src = stats_from if stats_from is not None else df
-    fn = (lambda c: F.percentile(F.col(c), 0.5)) if strategy == "median" else (lambda c: F.avg(F.col(c)))
-    # a fitted statistic: exactly one row, brought back as literals (like Imputer.fit)
-    stats = src.agg(*[fn(c).alias(c) for c in cols]).first().asDict()
+    if strategy == "median":
+        from airshed.operators.eda import exact_quantiles, long_form
+
+        found = {r["variable"]: r["q"][0] for r in exact_quantiles(long_form(src.select(*cols), [], cols), "variable", "value", [0.5]).collect()}
+        stats = {c: found.get(c) for c in cols}
+    else:
+        stats = src.agg(*[F.avg(F.col(c)).alias(c) for c in cols]).first().asDict()
     return df.select(*[F.coalesce(F.col(c), F.lit(stats[c]).cast("double")).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
 

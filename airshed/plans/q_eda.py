@@ -18,7 +18,7 @@ from airshed.plans.sqlgen import dlit
 from airshed.plans.sqlgen import snap_sql as S
 from airshed.sources import domain
 
-VARS = ["pm25", "pm10", "o3", "temp_avg_c", "visibility_km", "wind_speed_kmh"]
+VARS = [*POLLUTANTS, *WEATHER_COLS]
 
 
 def merged(spark, d):
@@ -40,12 +40,12 @@ def missing_stats(spark, d):
 
 
 @query("missing_by_city", V("merged") + "SELECT city_name, " + ", ".join(
-    f"avg(CASE WHEN {c} IS NULL THEN 1e0 ELSE 0e0 END) * 100e0 AS {c}_missing_pct" for c in POLLUTANTS) +
-       " FROM merged GROUP BY city_name", [f"{c}_missing_pct" for c in POLLUTANTS])
+    f"avg(CASE WHEN {c} IS NULL THEN 1e0 ELSE 0e0 END) * 100e0 AS {c}_missing_pct" for c in VARS) +
+       " FROM merged GROUP BY city_name", [f"{c}_missing_pct" for c in VARS])
 def missing_by_city(spark, d):
     """Missing % per city x variable."""
     return merged(spark, d).groupBy("city_name").agg(
-        *[(F.avg(F.col(c).isNull().cast("double")) * F.lit(100.0)).alias(f"{c}_missing_pct") for c in POLLUTANTS])
+        *[(F.avg(F.col(c).isNull().cast("double")) * F.lit(100.0)).alias(f"{c}_missing_pct") for c in VARS])
 
 
 _DESC = ["mean", "std", "min", "q25", "q50", "q75", "max"]
@@ -68,11 +68,13 @@ def pollutant_summary(spark, d):
     """Per pollutant summary incl. bias-corrected skewness and missing %."""
     m = merged(spark, d).select(*POLLUTANTS)
     lf = E.long_form(m, [], POLLUTANTS)
-    return lf.groupBy("variable").agg(
+    median = E.exact_quantiles(lf, "variable", "value", [0.5]).select("variable", F.col("q")[0].alias("median"))
+    moments = lf.groupBy("variable").agg(
         F.count("value").cast("long").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.percentile("value", 0.5).alias("median"),
+        F.stddev_samp("value").alias("std"),
         E.skewness_unbiased(F.col("value")).alias("skew"),
         ((F.count("*") - F.count("value")) * F.lit(100.0) / F.count("*")).alias("missing_pct"))
+    return moments.join(median, "variable").select("variable", "count", "mean", "std", "median", "skew", "missing_pct")
 
 
 @query("city_stats", V("merged") + """
@@ -148,21 +150,15 @@ def counts_city_year(spark, d):
     return merged(spark, d).groupBy("city_name", "year").agg(F.count("*").cast("long").alias("n"))
 
 
-_PAIRS = [("pm25", c) for c in WEATHER_COLS] + [("pm25", p) for p in POLLUTANTS if p != "pm25"]
+_PAIRS = [(a, b) for i, a in enumerate(VARS) for b in VARS[i + 1:]]
 
 
 @query("corr_pearson", V("merged") + _union(
     [f"SELECT '{a}' AS var1, '{b}' AS var2, corr({a}, {b}) AS r, count({a} + {b}) AS n FROM merged" for a, b in _PAIRS]),
        ["r"])
 def corr_pearson(spark, d):
-    """Pearson r per pair, pairwise complete (one aggregate for all pairs)."""
-    m = merged(spark, d)
-    one = m.agg(*[F.corr(a, b).alias(f"r|{a}|{b}") for a, b in _PAIRS],
-                *[F.count(F.col(a) + F.col(b)).alias(f"n|{a}|{b}") for a, b in _PAIRS])
-    stacked = F.explode(F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                                           F.col(f"`r|{a}|{b}`").alias("r"), F.col(f"`n|{a}|{b}`").alias("n"))
-                                  for a, b in _PAIRS])).alias("s")
-    return one.select(stacked).select("s.var1", "s.var2", "s.r", F.col("s.n").cast("long").alias("n"))
+    """The Pearson matrix of all measures, pairwise complete (one aggregate for all pairs)."""
+    return E.corr_matrix(merged(spark, d), _PAIRS)
 
 
 @query("corr_by_city", V("merged") + "SELECT city_name, " + ", ".join(
@@ -178,14 +174,54 @@ def corr_by_city(spark, d):
        ") x WHERE abs(r) > 0.3e0", ["r"])
 def corr_pairs_strong(spark, d):
     """Pairs with |r| > 0.3."""
-    m = merged(spark, d)
-    one = m.agg(*[F.corr(a, b).alias(f"r|{a}|{b}") for a, b in _PAIRS])
-    stacked = F.explode(F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                                           F.col(f"`r|{a}|{b}`").alias("r")) for a, b in _PAIRS])).alias("s")
-    return one.select(stacked).select("s.*").where(F.abs(F.col("r")) > F.lit(0.3))
+    return E.corr_matrix(merged(spark, d), _PAIRS).select("var1", "var2", "r").where(F.abs("r") > F.lit(0.3))
+
+
+@query("corr_listwise", V("merged", extra=[("full_rows", "SELECT * FROM merged WHERE " + " AND ".join(
+    f"{c} IS NOT NULL" for c in VARS))]) + _union(
+    [f"SELECT '{a}' AS var1, '{b}' AS var2, corr({a}, {b}) AS r, count(*) AS n FROM full_rows" for a, b in _PAIRS]),
+       ["r"])
+def corr_listwise(spark, d):
+    """The same matrix over rows where every measure is present (listwise)."""
+    return E.corr_matrix(merged(spark, d).na.drop(subset=VARS), _PAIRS)
+
+
+@query("topk_corr", V("merged") + "SELECT *, CAST(row_number() OVER (ORDER BY round(abs(r) * 1e9) DESC, var1, var2) AS INTEGER) AS rank FROM (" + _union(
+    [f"SELECT '{a}' AS var1, '{b}' AS var2, corr({a}, {b}) AS r FROM merged" for a, b in _PAIRS]) +
+       ") x WHERE r IS NOT NULL QUALIFY rank <= 10", ["r"])
+def topk_corr(spark, d):
+    """The ten pairs of measures with the largest |r| (a top-k report)."""
+    m = E.corr_matrix(merged(spark, d), _PAIRS).where(F.col("r").isNotNull()).select("var1", "var2", "r")
+    w = Window.orderBy(F.rint(F.abs("r") * F.lit(1e9)).desc(), "var1", "var2")  # 91 rows
+    return m.select("*", F.row_number().over(w).cast("int").alias("rank")).where("rank <= 10")
+
+
+@query("boxplot_by_month", V("merged", extra=[("q", """
+  SELECT month(date) AS month, quantile_cont(pm25, 0.25) AS q1, quantile_cont(pm25, 0.5) AS median,
+         quantile_cont(pm25, 0.75) AS q3 FROM merged WHERE pm25 IS NOT NULL GROUP BY 1""")]) + """
+SELECT CAST(q.month AS INTEGER) AS month, q1, median, q3, q3 - q1 AS iqr,
+  min(CASE WHEN pm25 >= q1 - 1.5e0 * (q3 - q1) AND pm25 <= q3 + 1.5e0 * (q3 - q1) THEN pm25 END) AS whisker_low,
+  max(CASE WHEN pm25 >= q1 - 1.5e0 * (q3 - q1) AND pm25 <= q3 + 1.5e0 * (q3 - q1) THEN pm25 END) AS whisker_high,
+  CAST(sum(CASE WHEN pm25 >= q1 - 1.5e0 * (q3 - q1) AND pm25 <= q3 + 1.5e0 * (q3 - q1) THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers
+FROM merged m JOIN q ON month(m.date) = q.month WHERE pm25 IS NOT NULL
+GROUP BY q.month, q1, median, q3""", ["q1", "median", "q3", "iqr", "whisker_low", "whisker_high"])
+def boxplot_by_month(spark, d):
+    """Box-plot statistics per month."""
+    return E.boxplot_stats(merged(spark, d).select(F.month("date").alias("month"), "pm25"), "month", "pm25")
+
+
+@query("series_slice", V("merged") + """
+SELECT city_name, date, pm25, temp_avg_c FROM merged WHERE year = 1999 AND pm25 IS NOT NULL AND temp_avg_c IS NOT NULL
+  AND city_name IN (SELECT city_name FROM merged WHERE year = 1999 AND pm25 IS NOT NULL AND temp_avg_c IS NOT NULL
+                    GROUP BY city_name ORDER BY count(*) DESC, city_name LIMIT 3)""", ["pm25", "temp_avg_c"])
+def series_slice(spark, d):
+    """One year's series of the three cities with the most days that have both variables."""
+    m = merged(spark, d).where((F.col("year") == 1999) & F.col("pm25").isNotNull() & F.col("temp_avg_c").isNotNull())
+    top = m.groupBy("city_name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "city_name").limit(3)
+    return m.join(top, "city_name", "left_semi").select("city_name", "date", "pm25", "temp_avg_c")
 
 
-_SP = [("pm25", c) for c in ["temp_avg_c", "visibility_km", "wind_speed_kmh", "station_pressure_hpa", "pm10"]]
+_SP = _PAIRS
 
 
 def _spearman_sql(a, b):
@@ -336,8 +372,10 @@ def pm25_by_visibility(spark, d):
     m = merged(spark, d).where(F.col("visibility_km").isNotNull() & F.col("pm25").isNotNull())
     v = snap(F.col("visibility_km"))
     b = F.when(v < 5, "<5").when(v < 10, "5-10").when(v < 15, "10-15").when(v < 20, "15-20").otherwise(">20")
-    return m.groupBy(b.alias("visibility_bin")).agg(F.percentile("pm25", 0.5).alias("pm25_median"),
-                                                    F.count("*").cast("long").alias("n"))
+    m = m.select(b.alias("visibility_bin"), "pm25")
+    n = m.groupBy("visibility_bin").agg(F.count("*").cast("long").alias("n"))
+    return n.join(E.exact_quantiles(m, "visibility_bin", "pm25", [0.5]), "visibility_bin").select(
+        "visibility_bin", F.col("q")[0].alias("pm25_median"), "n")
 
 
 @query("validate_data", V("merged") + """
@@ -482,14 +520,15 @@ def residual_report(spark, d):
     """MAPE, residual mean / skew / quantiles, over- and under-prediction shares."""
     m = merged(spark, d).where(F.col("pm25").isNotNull() & (F.col("pm25") != 0))
     e = F.col("pm25") - FE.baseline_pm25(F.col("temp_avg_c"), F.col("wind_speed_kmh"), F.col("precip_mm"))
-    r = m.select("pm25", e.alias("e"))
-    return r.agg(F.count("*").cast("long").alias("n"), (F.avg(F.abs(F.try_divide("e", "pm25"))) * 100).alias("mape"),
+    r = m.select("pm25", e.alias("e"), F.lit(1).alias("g"))
+    quantiles = E.exact_quantiles(r, "g", "e", [0.05, 0.5, 0.95])  # one row
+    moments = r.groupBy("g").agg(F.count("*").cast("long").alias("n"), (F.avg(F.abs(F.try_divide("e", "pm25"))) * 100).alias("mape"),
                  F.avg("e").alias("mean_residual"), E.skewness_unbiased(F.col("e")).alias("residual_skew"),
-                 F.percentile("e", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("_q"),
                  F.avg((F.col("e") < 0).cast("double")).alias("over_share"),
-                 F.avg((F.col("e") > 0).cast("double")).alias("under_share")).select(
-        "n", "mape", "mean_residual", "residual_skew", F.col("_q")[0].alias("q05"), F.col("_q")[1].alias("q50"),
-        F.col("_q")[2].alias("q95"), "over_share", "under_share")
+                 F.avg((F.col("e") > 0).cast("double")).alias("under_share"))
+    return moments.join(quantiles, "g").select(
+        "n", "mape", "mean_residual", "residual_skew", F.col("q")[0].alias("q05"), F.col("q")[1].alias("q50"),
+        F.col("q")[2].alias("q95"), "over_share", "under_share")
 
 
 _QQ = [i / 100 for i in range(1, 100)]
@@ -502,7 +541,7 @@ _QQ = [i / 100 for i in range(1, 100)]
 def qq_points(spark, d):
     """Q-Q pairs (sample quantiles vs standard normal quantiles at 1 %..99 %)."""
     m = merged(spark, d).where(F.col("pm25").isNotNull())
-    q = m.agg(F.percentile("pm25", F.array(*[F.lit(p) for p in _QQ])).alias("q"))
+    q = E.exact_quantiles(m.select(F.lit(1).alias("g"), "pm25"), "g", "pm25", _QQ)
     theo = [NormalDist().inv_cdf(p) for p in _QQ]
     arr = F.array(*[F.struct(F.lit(i + 1).alias("p"), F.lit(theo[i]).alias("theoretical"),
                              F.col("q")[i].alias("sample")) for i in range(len(_QQ))])
