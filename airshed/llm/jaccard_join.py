@@ -14,15 +14,13 @@ that can't reach the needed overlap, the suffix filter those whose sets fall une
 ranges of hashes (compared by a count for each range, so without moving the sets); the rest
 are verified by the whole sets, once for each pair.
 
-Hot groups.  Equal sets form a class, which joins as one row.  The classes that share a
-shingle are first compared with one hub, not with each other; frequent shingles are dealt
-over salts with a hub each, and these hubs with one of theirs.  Then all pairs whose classes
-aren't connected yet are compared.  Shingles of up to ``HOT`` classes give their pairs by a
-join, from the side that isn't in the shingle's largest component.  Classes that larger
-shingles connect form families; a family's classes outside its largest component meet all of
-its classes in blocks of ``GROUP`` by ``GROUP``, where an index of the block's shingles finds the
-links and only those that connect something leave the task.  So every link between different
-components is found, and links inside one aren't needed.
+Hot groups.  Equal sets form a class, which joins as one row.  Shingles of up to ``HOT`` classes
+give their pairs by a join.  Classes that larger shingles connect form families, compared in
+blocks of ``GROUP`` by ``GROUP`` classes, where an index of the block's shingles finds the links
+and only those that connect something leave the task: first all of a family meet one block of
+it, which connects a family of near copies, then those outside its largest component meet all
+of it.  Frequent shingles are dealt over salts where postings meet.  So every link between
+different components is found, and links inside one aren't needed for the components.
 
 Cases: a text of fewer than SIZE words is one shingle; without words (null, empty, blank) the
 set is empty and links with nothing.  Repeated rows and rows with repeated or null doc_ids
@@ -43,8 +41,8 @@ from airshed.llm.components import components
 SIZE, PERCENT = 5, 80
 FREQUENT, LEAST_FREQUENT = 200_000, 16
 #: Shingles that a task counts at once.
-STRETCH = 4_000_000
-#: Classes of one frequent shingle, or pairs of one hub, that meet in a group.
+STRETCH = 2_000_000
+#: Classes of one frequent shingle, pairs of one class, or classes of a family's block that meet in a group.
 GROUP = 500
 #: Classes of a shingle up to which a join gives their pairs.
 HOT = 48
@@ -171,21 +169,18 @@ def _suffix_filter(batches):
         yield batch.select(["hub", "cls"]).filter(pa.array(keep, pa.bool_()))
 
 
-SENT = "hub long, salt int, owner boolean, cls long, shingles binary"
+def _sets_of(batches):
+    """(cls, shingles) of the documents that stand for their classes."""
+    for batch in slices(batches, "text"):
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([s.tobytes() for s in sets(batch.column("text"))], pa.binary())], names=["cls", "shingles"])
 
 
-def _send(batches):
-    """The set of each asked document, once for each group that it is verified in."""
-    for batch in slices(batches, "text"):
-        for s, cls, asked in zip(sets(batch.column("text")), batch.column("cls").to_pylist(), batch.column("asked").to_pylist(), strict=True):
-            data = s.tobytes()
-            step = max(1, (1 << 22) // max(1, len(data)))
-            for at in range(0, len(asked), step):
-                some = asked[at : at + step]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([a["hub"] for a in some], pa.int64()), pa.array([a["salt"] for a in some], pa.int32()), pa.array([a["owner"] for a in some], pa.bool_()), pa.array([cls] * len(some), pa.int64()), pa.array([data] * len(some), pa.binary())],
-                    names=["hub", "salt", "owner", "cls", "shingles"],
-                )
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (hub, cls) that pass the suffix filter."""
+    one = classes.select(F.col("cls").alias("hub"), "n", "ranges")
+    two = classes.select("cls", F.col("n").alias("m"), F.col("ranges").alias("others"))
+    pairs = pairs.join(one.hint("merge"), "hub").join(two.hint("merge"), "cls").select("hub", "cls", "n", "ranges", "m", "others")
+    return pairs.mapInArrow(_suffix_filter, "hub long, cls long")
 
 
 def _verify(batches):
@@ -203,71 +198,29 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def verify(pairs: DataFrame, stored: DataFrame) -> DataFrame:
     """The pairs (hub, cls) whose sets link, as (a, b).  A hub's pairs are dealt over groups of about GROUP."""
-    one = classes.select(F.col("cls").alias("hub"), "n", "ranges")
-    two = classes.select("cls", F.col("n").alias("m"), F.col("ranges").alias("others"))
-    pairs = pairs.join(one.hint("merge"), "hub").join(two.hint("merge"), "cls").select("hub", "cls", "n", "ranges", "m", "others")
-    pairs = scratch.keep(pairs.mapInArrow(_suffix_filter, "hub long, cls long"), f"{name}_pairs")
     size = pairs.groupBy("hub").agg((F.ceil(F.count(F.lit(1)) / GROUP)).cast("int").alias("salts"))
     members = pairs.join(size.hint("merge"), "hub").select("cls", "hub", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("owner"))
     owners = size.select(F.col("hub").alias("cls"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("owner"))
-    asked = members.unionByName(owners).groupBy("cls").agg(F.collect_list(F.struct("hub", "salt", "owner")).alias("asked"))
-    asked = scratch.keep(asked.join(classes.select("cls", "rid").hint("merge"), "cls"), f"{name}_asked")
-    sent = rows.select("rid", "text").join(asked, "rid").select("cls", "text", "asked").mapInArrow(_send, SENT)
+    sent = members.unionByName(owners).join(stored.hint("merge"), "cls").select("hub", "salt", "owner", "cls", "shingles")
     sent = sent.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("owner").desc(), "cls")
-    return scratch.keep(sent.mapInArrow(_verify, "a long, b long"), f"{name}_links")
-
+    return sent.mapInArrow(_verify, "a long, b long")
 
-def hub_pairs(met: DataFrame) -> DataFrame:
-    """Each class with one hub of its shingles: the one with which it shares the most."""
-    near = met.where((F.col("cls") != F.col("hub.cls")) & _possible(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place")))
-    shared = near.groupBy("cls", F.col("hub.cls").alias("hub")).agg(F.count(F.lit(1)).alias("shared"))
-    # Hubs of one frequent shingle's salts, with the least of them.
-    salted = met.where("salt > 0").select("shingle", "hub").distinct()
-    top = salted.groupBy("shingle").agg(F.min("hub").alias("top"))
-    top = salted.join(top.hint("merge"), "shingle").where((F.col("hub.cls") != F.col("top.cls")) & _possible(F.col("hub.n"), F.col("hub.place"), F.col("top.n"), F.col("top.place")))
-    shared = shared.unionByName(top.groupBy(F.col("hub.cls").alias("cls"), F.col("top.cls").alias("hub")).agg(F.count(F.lit(1)).alias("shared")))
-    return shared.groupBy("cls").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub")).select("hub", "cls")
 
+def sized(met: DataFrame, scratch: Scratch) -> DataFrame:
+    """The postings of shingles that several classes share, with their number."""
+    met = met.select("shingle", "cls", "n", "place").distinct()
+    size = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return scratch.keep(met.join(size.hint("merge"), "shingle"), "sized")
 
-def unconnected(met: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
-    """The postings of shingles whose classes are in several components, with their component, the shingle's largest and its number of classes."""
-    held = met.select("shingle", "cls", "n", "place").distinct().join(parts.select(F.col("node").alias("cls"), "component").hint("merge"), "cls", "left")
-    held = held.withColumn("component", F.coalesce("component", "cls"))
-    by_part = held.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
-    several = by_part.groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return scratch.keep(held.join(several.drop("parts").hint("merge"), "shingle"), "unconnected")
 
-
-def open_pairs(held: DataFrame) -> DataFrame:
-    """All pairs of unconnected classes that share a prefix shingle of up to HOT classes and pass the filters."""
+def cold_pairs(held: DataFrame) -> DataFrame:
+    """All pairs of classes that share a prefix shingle of up to HOT classes and pass the filters."""
     held = held.where(F.col("size") <= HOT)
-    x, y = held.where("component <> largest").alias("x"), held.alias("y")
-    apart = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.largest")) | (F.col("x.cls") < F.col("y.cls")))
-    pairs = x.join(y.hint("merge"), (F.col("x.shingle") == F.col("y.shingle")) & apart & _possible(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")))
-    return pairs.select(F.greatest("x.cls", "y.cls").alias("hub"), F.least("x.cls", "y.cls").alias("cls")).distinct()
-
-
-BLOCK = "family long, i int, j int, side byte, cls long, component long, shingles binary"
-
-
-def _send_blocks(batches):
-    """The set of each member of a family, once for each block that it is compared in."""
-    for batch in slices(batches, "text"):
-        columns = (batch.column(c).to_pylist() for c in ("cls", "component", "family", "i", "j", "xs", "ys"))
-        for s, cls, component, family, i, j, xs, ys in zip(sets(batch.column("text")), *columns, strict=True):
-            blocks = [(i, k, 0) for k in range(ys)] if i is not None else []
-            blocks += [(k, j, 1) for k in range(xs)]
-            data = s.tobytes()
-            step = max(1, (1 << 22) // max(1, len(data)))
-            for at in range(0, len(blocks), step):
-                a, b, side = zip(*blocks[at : at + step], strict=True)
-                k = len(a)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([family] * k, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(side, pa.int8()), pa.array([cls] * k, pa.int64()), pa.array([component] * k, pa.int64()), pa.array([data] * k, pa.binary())],
-                    names=["family", "i", "j", "side", "cls", "component", "shingles"],
-                )
+    x, y = held.alias("x"), held.alias("y")
+    near = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.cls") > F.col("y.cls")) & _possible(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))
+    return x.join(y.hint("merge"), near).select(F.col("x.cls").alias("hub"), F.col("y.cls").alias("cls")).distinct()
 
 
 def block_links(xs: list[tuple[int, int, np.ndarray]], ys: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
@@ -315,25 +268,36 @@ def _compare_blocks(batches):
     yield found()
 
 
-def family_links(held: DataFrame, rows: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between unconnected classes of the families that shingles of more than HOT classes make."""
-    hot = held.where(F.col("size") > HOT).select("shingle", "cls", "component")
+def families(held: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cls, family) of the classes that shingles of more than HOT classes connect."""
+    hot = held.where(F.col("size") > HOT).select("shingle", "cls")
     hub = hot.groupBy("shingle").agg(F.min("cls").alias("hub"))
     ties = hot.join(hub.hint("merge"), "shingle").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
-    families = components(ties, scratch, "families").select(F.col("node").alias("cls"), F.col("component").alias("family"))
-    members = hot.select("cls", "component").distinct().join(families.hint("merge"), "cls", "left").withColumn("family", F.coalesce("family", "cls"))
-    members = scratch.keep(members, "members")
-    by_part = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("k"))
+    found = components(ties, scratch, "families").select(F.col("node").alias("cls"), F.col("component").alias("family"))
+    members = hot.select("cls").distinct().join(found.hint("merge"), "cls", "left")
+    return scratch.keep(members.select("cls", F.coalesce("family", "cls").alias("family")), "members")
+
+
+def family_links(members: DataFrame, parts: DataFrame, stored: DataFrame, scratch: Scratch, name: str, one_block: bool) -> DataFrame:
+    """Links (a, b) between unconnected classes of each family: of all of it with one block, or of those outside its
+    largest component with all of it."""
+    held = members.join(parts.select(F.col("node").alias("cls"), "component").hint("merge"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    by_part = held.groupBy("family", "component").agg(F.count(F.lit(1)).alias("k"))
     size = by_part.groupBy("family").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("outside"))
     blocks = lambda n: F.ceil(F.col(n) / GROUP).cast("int")
-    size = scratch.keep(size.where("outside > 0").select("family", "largest", blocks("outside").alias("xs"), blocks("all").alias("ys")), "family_size")
-    dealt = members.join(size.hint("merge"), "family")
+    size = scratch.keep(size.where("outside > 0").select("family", "largest", blocks("all" if one_block else "outside").alias("xs"), blocks("all").alias("ys")), f"{name}_size")
     own = F.xxhash64("cls")
-    dealt = dealt.select("cls", "component", "family", F.when(F.col("component") != F.col("largest"), F.pmod(own, F.col("xs")).cast("int")).alias("i"), F.pmod(own, F.col("ys")).cast("int").alias("j"), "xs", "ys")
-    dealt = scratch.keep(dealt.join(classes.select("cls", "rid").hint("merge"), "cls"), "dealt")
-    sent = rows.select("rid", "text").join(dealt, "rid").drop("rid").mapInArrow(_send_blocks, BLOCK)
+    dealt = held.join(size.hint("merge"), "family").withColumn("i", F.pmod(own, "xs").cast("int")).withColumn("j", F.pmod(own, "ys").cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    if one_block:
+        left = dealt.select("family", "i", F.lit(0).alias("j"), F.lit(0).alias("side"), "cls", "component")
+        right = dealt.where("j = 0").select("family", every("xs").alias("i"), "j", F.lit(1).alias("side"), "cls", "component")
+    else:
+        left = dealt.where("component <> largest").select("family", "i", every("ys").alias("j"), F.lit(0).alias("side"), "cls", "component")
+        right = dealt.select("family", every("xs").alias("i"), "j", F.lit(1).alias("side"), "cls", "component")
+    sent = left.unionByName(right).join(stored.hint("merge"), "cls").select("family", "i", "j", "side", "cls", "component", "shingles")
     sent = sent.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side", "cls")
-    return scratch.keep(sent.mapInArrow(_compare_blocks, "a long, b long"), "family_links")
+    return scratch.keep(sent.mapInArrow(_compare_blocks, "a long, b long"), f"{name}_links")
 
 
 def _components(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -355,14 +319,22 @@ def _components(rows: DataFrame, scratch: Scratch) -> DataFrame:
     # Classes met by shared prefix shingles; those that meet no other class are dropped.
     meet = Window.partitionBy("shingle", "salt")
     met = rows.select("text").mapInArrow(_postings(frequent), POSTING)
-    met = met.withColumn("hub", F.min(F.struct("cls", "n", "place")).over(meet)).withColumn("last", F.max("cls").over(meet))
-    met = scratch.keep(met.where((F.col("hub.cls") != F.col("last")) | (F.col("salt") > 0)).drop("last"), "met")
-
-    first = verify(scratch.keep(hub_pairs(met), "hub_pairs"), rows, classes, scratch, "first")
-    parts = components(first, scratch, "first_parts")
-    held = unconnected(met, parts, scratch)
-    second = verify(scratch.keep(open_pairs(held), "open_pairs"), rows, classes, scratch, "second").unionByName(family_links(held, rows, classes, scratch))
-    parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second), scratch, "parts")
+    met = met.withColumn("least", F.min("cls").over(meet)).withColumn("last", F.max("cls").over(meet))
+    met = scratch.keep(met.where((F.col("least") != F.col("last")) | (F.col("salt") > 0)).drop("least", "last"), "met")
+    held = sized(met, scratch)
+    pairs = scratch.keep(likely(cold_pairs(held), classes), "pairs")
+    members = families(held, scratch)
+    # The sets of all classes that are to be compared, fetched once.
+    asked = pairs.select("cls").unionByName(pairs.select(F.col("hub").alias("cls"))).unionByName(members.select("cls")).distinct()
+    asked = scratch.keep(asked.join(classes.select("cls", "rid").hint("merge"), "cls"), "asked")
+    stored = scratch.keep(rows.select("rid", "text").join(asked, "rid").select("cls", "text").mapInArrow(_sets_of, "cls long, shingles binary"), "sets")
+
+    as_links = lambda parts: parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    parts = components(verify(pairs, stored), scratch, "cold")
+    for name, one_block in (("block", True), ("rest", False)):
+        links = family_links(members, parts, stored, scratch, name, one_block)
+        if not links.isEmpty():
+            parts = components(as_links(parts).unionByName(links), scratch, f"{name}_parts")
 
     placed = classes.join(parts.select(F.col("node").alias("cls"), F.col("component").alias("part")).hint("merge"), "cls", "left").withColumn("part", F.coalesce("part", "cls"))
     least = scratch.keep(placed.groupBy("part").agg(F.min("rid").alias("component"), F.min_by("doc_id", "rid").alias("component_id")), "least")
