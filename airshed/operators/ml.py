@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airshed.constants import MODES, MULTI_TARGETS
@@ -32,30 +32,54 @@ def label_std(df: DataFrame, label: str) -> float:
     return float(v["s"] or 0.0), int(v["n"] or 0)
 
 
-def make_estimator(name: str, label: str, n_rows: int, sigma_y: float, small: bool = False):
-    """sklearn-equivalent settings: Ridge(alpha=1), Lasso(alpha=1), ElasticNet(alpha=1, l1_ratio=.5),
-    RandomForest(100 trees, depth 15, seed 42), gradient boosting (200 iterations, depth 5)."""
-    common = dict(featuresCol="features", labelCol=label, predictionCol="prediction")
-    if name == "Ridge":
-        alpha = 1.0
-        reg = alpha * sigma_y / max(n_rows, 1)
-        return LinearRegression(regParam=reg, elasticNetParam=0.0, standardization=False, solver="normal", **common)
-    iters = 50 if small else 200
-    if name == "Lasso":
-        return LinearRegression(regParam=1.0, elasticNetParam=1.0, standardization=False, maxIter=iters, **common)
-    if name == "ElasticNet":
-        alpha, l1 = 1.0, 0.5
-        lam1, lam2 = alpha * l1, alpha * (1 - l1) * sigma_y
-        return LinearRegression(regParam=lam1 + lam2, elasticNetParam=lam1 / (lam1 + lam2), standardization=False,
-                                maxIter=iters, **common)
-    if name == "RandomForest":
-        return RandomForestRegressor(numTrees=10 if small else 100, maxDepth=6 if small else 15, seed=42, **common)
-    if name == "GradientBoosting":
-        return GBTRegressor(maxIter=10 if small else 200, maxDepth=3 if small else 5, seed=42, **common)
-    raise KeyError(name)
-
-
-ALGORITHMS = ["Ridge", "Lasso", "ElasticNet", "RandomForest", "GradientBoosting"]
+ALGORITHMS: dict = {}
+
+
+def register_algorithm(name: str):
+    """Add an algorithm: ``builder(label, n_rows, sigma_y, **common) -> estimator``."""
+    def deco(builder):
+        ALGORITHMS[name] = builder
+        return builder
+    return deco
+
+
+# sklearn-equivalent settings.  Spark scales the label by its deviation before penalising, so an
+# L2 penalty is multiplied by sigma_y.
+@register_algorithm("Ridge")
+def _ridge(label, n_rows, sigma_y, **common):
+    return LinearRegression(regParam=1.0 * sigma_y / max(n_rows, 1), elasticNetParam=0.0, standardization=False,
+                            solver="normal", **common)
+
+
+@register_algorithm("Lasso")
+def _lasso(label, n_rows, sigma_y, **common):
+    return LinearRegression(regParam=1.0, elasticNetParam=1.0, standardization=False, maxIter=200, **common)
+
+
+@register_algorithm("ElasticNet")
+def _elastic_net(label, n_rows, sigma_y, **common):
+    alpha, l1 = 1.0, 0.5
+    lam1, lam2 = alpha * l1, alpha * (1 - l1) * sigma_y
+    return LinearRegression(regParam=lam1 + lam2, elasticNetParam=lam1 / (lam1 + lam2), standardization=False,
+                            maxIter=200, **common)
+
+
+@register_algorithm("RandomForest")
+def _random_forest(label, n_rows, sigma_y, **common):
+    return RandomForestRegressor(numTrees=100, maxDepth=15, seed=42, **common)
+
+
+@register_algorithm("GradientBoosting")
+def _gradient_boosting(label, n_rows, sigma_y, **common):
+    return GBTRegressor(maxIter=200, maxDepth=5, seed=42, **common)
+
+
+LINEAR = ["Ridge", "Lasso", "ElasticNet"]
+
+
+def make_estimator(name: str, label: str, n_rows: int, sigma_y: float):
+    """A registered algorithm at its default settings."""
+    return ALGORITHMS[name](label, n_rows, sigma_y, featuresCol="features", labelCol=label, predictionCol="prediction")
 
 
 def feature_pipeline(feature_cols: list[str], estimator) -> Pipeline:
@@ -111,14 +135,14 @@ def evaluate(pred: DataFrame, target: str, keys: list[str]) -> DataFrame:
     return g.select(*keys, "rmse", "mae", (F.lit(1.0) - F.col("_sse") / (F.col("_v") * F.col("_n"))).alias("r2"))
 
 
-def run_experiment(feats: DataFrame, mode: Mode, algorithm: str, target: str, small: bool = True) -> dict:
+def run_experiment(feats: DataFrame, mode: Mode, algorithm: str, target: str) -> dict:
     """Fit on the chronological train split of ``feats`` and score val/test (global scope)."""
     feature_cols = FE.feature_columns(mode.experiment, mode.target_list)
     split = SP.chrono_split(feats)
     label = f"{target}_log"
     train = split.where(F.col("split") == "train")
     sigma, n = label_std(train, label)
-    est = make_estimator(algorithm, label, n, sigma, small=small)
+    est = make_estimator(algorithm, label, n, sigma)
     model = feature_pipeline(feature_cols, est).fit(train)
     scored = model.transform(split.where(F.col("split") != "train"))
     m = evaluate(scored, target, ["split"]).collect()  # two rows: val, test
@@ -129,9 +153,10 @@ def run_experiment(feats: DataFrame, mode: Mode, algorithm: str, target: str, sm
     return out
 
 
-def experiment_grid(merged: DataFrame, modes: list[str], algorithms: list[str], small: bool = True) -> pd.DataFrame:
-    """Modes x algorithms (x targets); failures are recorded, not raised.  The feature table of a
-    mode is cached across its algorithms and released afterwards."""
+def experiment_grid(merged: DataFrame, modes: list[str], algorithms: list[str]) -> pd.DataFrame:
+    """Global modes x algorithms (x targets).  A failed fit is recorded in ``error``; if every fit
+    fails, that is raised.  The feature table of a mode is cached across its algorithms and
+    released afterwards."""
     rows = []
     for code in modes:
         mode = MODE_TABLE[code]
@@ -141,47 +166,81 @@ def experiment_grid(merged: DataFrame, modes: list[str], algorithms: list[str],
             for target in mode.target_list:
                 for algo in algorithms:
                     try:
-                        rows.append(run_experiment(feats, mode, algo, target, small))
+                        rows.append(run_experiment(feats, mode, algo, target))
                     except Exception as e:  # recorded as a failed experiment
                         rows.append({"mode": code, "algorithm": algo, "target": target, "error": str(e)[:200]})
         finally:
             feats.unpersist()
+    if rows and all("error" in r for r in rows):
+        raise RuntimeError(f"every experiment failed, the first with: {rows[0]['error']}")
     return pd.DataFrame(rows)
 
 
 # --------------------------------------------- grouped normal equations
+def city_split(feats: DataFrame, key: str = "city_name", date: str = "date") -> DataFrame:
+    """Chronological split of each city's rows: 70 % train, the rest halved (a city's rows are bounded by the calendar)."""
+    w = Window.partitionBy(key)
+    n = F.count(F.lit(1)).over(w)
+    pos = F.row_number().over(w.orderBy(date)) - 1
+    cut = F.floor(n * F.lit(0.7))
+    return feats.withColumn("split", F.when(pos < cut, "train").when(pos < cut + F.floor((n - cut) * F.lit(0.5)), "val").otherwise("test"))
+
+
 def city_ridge(feats: DataFrame, feature_cols: list[str], label: str, alpha: float = 1.0,
                key: str = "city_name") -> DataFrame:
-    """Per-city ridge with intercept (intercept not penalised) from grouped cross-products."""
-    d = feats.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feature_cols],
-                     F.col(label).cast("double").alias("_y")).where(F.col("_y").isNotNull())
+    """Per-city ridge with intercept (not penalised): key, n, medians, intercept, coefficients.
+
+    NULL features are the city's median over these rows (0 where it has none); cross-products are
+    sums of deviations from the city's means, so large levels cost no digits.  Only k^2 numbers
+    per city reach Python."""
+    d = feats.where(F.col(label).isNotNull()).select(key, *[F.col(c).cast("double").alias(c) for c in feature_cols],
+                                                     F.col(label).cast("double").alias("_y"))
     k = len(feature_cols)
-    aggs = [F.count("*").alias("n"), F.sum("_y").alias("sy")]
-    aggs += [F.sum(c).alias(f"s_{i}") for i, c in enumerate(feature_cols)]
-    aggs += [F.sum(F.col(c) * F.col("_y")).alias(f"sy_{i}") for i, c in enumerate(feature_cols)]
-    aggs += [F.sum(F.col(feature_cols[i]) * F.col(feature_cols[j])).alias(f"sxx_{i}_{j}")
-             for i in range(k) for j in range(i, k)]
-    stats = d.groupBy(key).agg(*aggs)
+    # a city's rows are bounded by the calendar, and so is this exact median's buffer
+    med = d.groupBy(key).agg(F.array(*[F.coalesce(F.percentile(c, 0.5), F.lit(0.0)) for c in feature_cols]).alias("medians"))
+    d = d.join(med, key).select(key, "medians", "_y", *[F.coalesce(F.col(c), F.col("medians")[i]).alias(c) for i, c in enumerate(feature_cols)])
+    means = d.groupBy(key).agg(F.avg("_y").alias("_my"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(feature_cols)])
+    d = d.join(means, key)
+    dev = [F.col(c) - F.col(f"_m{i}") for i, c in enumerate(feature_cols)]
+    y = F.col("_y") - F.col("_my")
+    stats = d.groupBy(key, "_my", *[f"_m{i}" for i in range(k)]).agg(
+        F.count("*").alias("n"), F.first("medians").alias("medians"),
+        F.array(*[F.sum(dev[i] * y) for i in range(k)]).alias("_xy"),
+        F.array(*[F.sum(dev[i] * dev[j]) for i in range(k) for j in range(i, k)]).alias("_xx"))
+    stats = stats.select(key, "n", "medians", "_my", F.array(*[f"_m{i}" for i in range(k)]).alias("_mx"), "_xy", "_xx")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, r in pdf.iterrows():
-            n = float(r["n"])
-            mx = np.array([r[f"s_{i}"] for i in range(k)], dtype=float) / n
-            my = float(r["sy"]) / n
+        for r in pdf.itertuples(index=False, name=None):
+            name, n, medians, my, mx, xy, xx = r
             sxx = np.zeros((k, k))
-            for i in range(k):
-                for j in range(i, k):
-                    sxx[i, j] = sxx[j, i] = r[f"sxx_{i}_{j}"]
-            sxy = np.array([r[f"sy_{i}"] for i in range(k)], dtype=float)
-            cxx = sxx - n * np.outer(mx, mx)
-            cxy = sxy - n * mx * my
-            w = np.linalg.solve(cxx + alpha * np.eye(k), cxy)
-            b = my - mx @ w
-            out.append({key: r[key], "n": int(n), "intercept": b, "coefficients": [float(x) for x in w]})
-        return pd.DataFrame(out, columns=[key, "n", "intercept", "coefficients"])
-
-    return stats.groupBy(key).applyInPandas(solve, f"{key} string, n long, intercept double, coefficients array<double>")
+            sxx[np.triu_indices(k)] = xx
+            sxx = sxx + np.triu(sxx, 1).T
+            w = np.linalg.solve(sxx + alpha * np.eye(k), np.asarray(xy, float))
+            out.append((name, int(n), list(medians), float(my - np.asarray(mx, float) @ w), [float(x) for x in w]))
+        return pd.DataFrame(out, columns=[key, "n", "medians", "intercept", "coefficients"])
+
+    return stats.groupBy(key).applyInPandas(solve, f"{key} string, n long, medians array<double>, intercept double, coefficients array<double>")
+
+
+def city_predict(feats: DataFrame, models: DataFrame, feature_cols: list[str], key: str = "city_name") -> DataFrame:
+    """``feats`` with the prediction of each row's own city model."""
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.col("medians")[i]) for i, c in enumerate(feature_cols)])
+    dot = F.aggregate(F.zip_with(x, F.col("coefficients"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    m = models.select(key, "medians", "intercept", "coefficients")
+    return feats.join(m, key).withColumn("prediction", F.col("intercept") + dot).drop("medians", "intercept", "coefficients")
+
+
+def city_experiment(merged: DataFrame, mode: Mode, target: str, alpha: float = 1.0) -> DataFrame:
+    """One ridge per eligible city (100 rows and targets at least), fitted on its own train split
+    with medians learnt there: val and test metrics of every city, all cities in a few aggregates."""
+    cols = FE.feature_columns(mode.experiment, mode.target_list)
+    feats = as_double(FE.build_features(merged, mode.experiment, mode.target_list, horizon=mode.horizon), cols)
+    enough = SP.eligible_cities(feats, min_rows=100, min_target=100).select("city_name")
+    split = city_split(feats.join(enough, "city_name", "left_semi"))
+    models = city_ridge(split.where("split = 'train'"), cols, f"{target}_log", alpha)
+    m = evaluate(city_predict(split.where("split <> 'train'"), models, cols), target, ["city_name", "split"])
+    return m.select(F.lit(mode.code).alias("mode"), F.lit(target).alias("target"), "*")
 
 
 # ---------------------------------------------------------------- scoring

@@ -131,16 +131,25 @@ def weather_report(spark, d):
     return sinks.quality_report(CityPipeline(spark, d).weather_city_days(), WEATHER_COLS)
 
 
-@query("results_sink")
+_RES = ["val_rmse", "val_mae", "val_r2", "test_rmse", "test_mae", "test_r2"]
+
+
+@query("results_sink", V("experiment_results") + """
+SELECT *, CAST(row_number() OVER (PARTITION BY mode ORDER BY val_rmse, algorithm, city_id) AS INTEGER) AS rank
+FROM experiment_results""", _RES)
 def results_sink(spark, d):
-    """Leaderboard / best-config sink (JSON lines) read back with its schema."""
+    """Every result ranked within its mode (JSON lines), with a manifest and the best
+    configuration of each mode beside it; the results are read back with their schema."""
     from pyspark.sql import Window
     r = domain.experiment_results(spark, d)
     w = Window.partitionBy("mode").orderBy("val_rmse", "algorithm", "city_id")
-    best = r.select("*", F.row_number().over(w).alias("rank")).where("rank <= 3")
+    ranked = r.select("*", F.row_number().over(w).alias("rank"))
     path = sinks.default_path(r, "results")
-    sinks.write_results(best, path, "json")
-    return spark.read.schema(best.schema).json(path)
+    sinks.write_results(ranked, f"{path}/results", "json")
+    back = spark.read.schema(ranked.schema).json(f"{path}/results")
+    sinks.write_results(back.groupBy("mode").agg(F.count(F.lit(1)).alias("results"), F.min("val_rmse").alias("best_val_rmse")), f"{path}/manifest", "json")
+    sinks.write_results(back.where("rank = 1"), f"{path}/best", "json")
+    return back
 
 
 _FIPS = """

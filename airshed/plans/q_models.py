@@ -20,26 +20,56 @@ def merged(spark, d):
 
 
 GRID_SCHEMA = ("mode string, algorithm string, target string, val_rmse double, val_mae double, val_r2 double, "
-               "test_rmse double, test_mae double, test_r2 double")
+               "test_rmse double, test_mae double, test_r2 double, error string")
 
 
 def _grid_df(spark, rows):
-    cols = ["mode", "algorithm", "target", "val_rmse", "val_mae", "val_r2", "test_rmse", "test_mae", "test_r2"]
+    cols = ["mode", "algorithm", "target", "val_rmse", "val_mae", "val_r2", "test_rmse", "test_mae", "test_r2", "error"]
     for c in cols:
         if c not in rows.columns:
             rows[c] = None
     return spark.createDataFrame(rows[cols].astype(object).where(rows[cols].notna(), None), GRID_SCHEMA)
 
 
+def _codes(scope):
+    return [m.code for m in ML.MODE_TABLE.values() if m.scope == scope]
+
+
 @query("experiment_grid")
 def experiment_grid(spark, d):
-    """Modes GTS / GHS / GHM x the five algorithms (small tree settings), val/test
-    metrics on the original scale.  Driver loop over cached feature tables; the fits are Spark jobs."""
-    rows = ML.experiment_grid(merged(spark, d), ["GTS", "GHS", "GHM"], ML.ALGORITHMS, small=True)
-    return _grid_df(spark, rows)
+    """All eight modes.  Global modes x the linear algorithms; city modes as the mean of
+    the cities' own models (ridge).  The tree algorithms at their full settings are
+    ``experiment_forest`` and ``experiment_boosting``."""
+    m = merged(spark, d)
+    grid = _grid_df(spark, ML.experiment_grid(m, _codes("global"), ML.LINEAR))
+    for code in _codes("city"):
+        mode = ML.MODE_TABLE[code]
+        for target in mode.target_list:
+            of = lambda s, k: F.avg(F.when(F.col("split") == s, F.col(k))).alias(f"{s}_{k}")
+            row = ML.city_experiment(m, mode, target).agg(*[of(s, k) for s in ("val", "test") for k in ("rmse", "mae", "r2")])
+            grid = grid.unionByName(row.select(F.lit(code).alias("mode"), F.lit("Ridge").alias("algorithm"), F.lit(target).alias("target"), "*", F.lit(None).cast("string").alias("error")))
+    return grid
+
+
+@query("experiment_forest")
+def experiment_forest(spark, d):
+    """L3: random forest (100 trees, depth 15), mode GTS."""
+    return _grid_df(spark, ML.experiment_grid(merged(spark, d), ["GTS"], ["RandomForest"]))
 
 
-@query("modes")
+@query("experiment_boosting")
+def experiment_boosting(spark, d):
+    """L4: gradient boosting (200 rounds, depth 5), mode GTS."""
+    return _grid_df(spark, ML.experiment_grid(merged(spark, d), ["GTS"], ["GradientBoosting"]))
+
+
+_MODES_SQL = "\nUNION ALL\n".join(
+    f"SELECT '{r[0]}' AS mode, '{r[1]}' AS scope, '{r[2]}' AS history, '{r[3]}' AS targets, '{r[4]}' AS experiment, "
+    f"{r[5]} AS horizon, '{r[6]}' AS target_list, count(CASE WHEN pm25 IS NOT NULL"
+    + (" AND o3 IS NOT NULL" if r[3] == "multi" else "") + " THEN 1 END) AS n_rows FROM merged" for r in ML.mode_rows())
+
+
+@query("modes", V("merged") + _MODES_SQL)
 def modes(spark, d):
     """The eight modes as a table, with the number of city-day rows each can train on."""
     m = merged(spark, d)
@@ -56,7 +86,7 @@ def feature_importance(spark, d):
     feats = FE.build_features(merged(spark, d), "full", ["pm25"], horizon=1)
     cols = FE.feature_columns("full", ["pm25"])
     feats = ML.as_double(feats, cols)
-    est = ML.make_estimator("RandomForest", "pm25_log", 0, 0.0, small=True)
+    est = ML.make_estimator("RandomForest", "pm25_log", 0, 0.0)
     model = ML.feature_pipeline(cols, est).fit(feats)
     imp = model.stages[-1].featureImportances.toArray().tolist()
     rows = sorted(zip(cols, [float(x) for x in imp]), key=lambda t: -t[1])
@@ -92,20 +122,21 @@ def multi_output(spark, d):
         m = ML.evaluate(model.transform(split.where(F.col("split") != "train")), t, ["split"])
         outs.append(m.select(F.lit(t).alias("target"), "*"))
     res = outs[0].unionByName(outs[1])
-    return res
+    rows = res.collect()  # a row for each target and split
+    feats.unpersist()
+    return spark.createDataFrame(rows, res.schema)
 
 
 @query("city_models")
 def city_models(spark, d):
-    """Per-city ridge via grouped normal equations (one aggregate + a k x k solve per city)."""
-    feats = FE.build_features(merged(spark, d), "weather", ["pm25"], horizon=0)
-    cols = FE.feature_columns("weather", ["pm25"])
-    return ML.city_ridge(feats, cols, "pm25_log", alpha=1.0)
+    """One ridge per eligible city (grouped normal equations on its train split, medians learnt
+    there) with val and test metrics; all cities in a few aggregates."""
+    return ML.city_experiment(merged(spark, d), ML.MODE_TABLE["CTS"], "pm25").drop("mode", "target")
 
 
 @query("city_tree_models")
 def city_tree_models(spark, d):
-    """L7 for trees: one small forest per eligible city (>= 100 rows, >= 100 targets), fitted on
+    """L7 for trees: one forest per eligible city (>= 100 rows, >= 100 targets), fitted on
     a city filter of the cached feature table.  Every eligible city is fitted; the fits are
     independent Spark jobs submitted from a small thread pool so they share the cluster."""
     from concurrent.futures import ThreadPoolExecutor
@@ -119,7 +150,7 @@ def city_tree_models(spark, d):
         sub = feats.where(F.col("city_name") == c)
         split = SP.chrono_split(sub)
         train = split.where(F.col("split") == "train")
-        model = ML.feature_pipeline(cols, ML.make_estimator("RandomForest", "pm25_log", 0, 0.0, True)).fit(train)
+        model = ML.feature_pipeline(cols, ML.make_estimator("RandomForest", "pm25_log", 0, 0.0)).fit(train)
         m = ML.evaluate(model.transform(split.where(F.col("split") != "train")), "pm25", ["split"])
         return [(c, r["split"], r["rmse"], r["mae"], r["r2"]) for r in m.collect()]
 
@@ -143,23 +174,29 @@ def batch_scoring(spark, d):
 
 @query("production_fit")
 def production_fit(spark, d):
-    """Fit on all data, save the PipelineModel + metadata under the shared checkpoint folder,
-    load it back and score (proves the artefact round-trips)."""
+    """Choose the best global single-target linear configuration by validation RMSE, fit it on all
+    data, save the PipelineModel and its metadata in the shared checkpoint folder, load it back and
+    score (the artefact round-trips).  The run's folder goes after the scores are checkpointed."""
     import json
-    import os
     import uuid
     from pyspark.ml import PipelineModel
-    feats = FE.build_features(merged(spark, d), "weather", ["pm25"], horizon=0)
-    cols = FE.feature_columns("weather", ["pm25"])
-    feats = ML.as_double(feats, cols)
+    from airshed.streaming.hourly import _drop
+    m = merged(spark, d)
+    grid = ML.experiment_grid(m, ["GTS", "GHS"], ML.LINEAR)
+    best = grid[grid["val_rmse"].notna()].sort_values(["val_rmse", "mode", "algorithm"]).iloc[0]
+    mode = ML.MODE_TABLE[best["mode"]]
+    cols = FE.feature_columns(mode.experiment, mode.target_list)
+    feats = ML.as_double(FE.build_features(m, mode.experiment, mode.target_list, horizon=mode.horizon), cols)
     sigma, n = ML.label_std(feats, "pm25_log")
-    model = ML.feature_pipeline(cols, ML.make_estimator("Ridge", "pm25_log", n, sigma)).fit(feats)
-    base = os.path.join(checkpoint_dir(spark), "models", f"GTS-{uuid.uuid4().hex[:8]}")
-    model.write().overwrite().save(base)
-    meta = {"mode": "GTS", "algorithm": "Ridge", "features": cols, "n_train": n}
-    spark.createDataFrame([(json.dumps(meta),)], "metadata string").write.mode("overwrite").text(base + "_meta")
-    loaded = PipelineModel.load(base)
-    return ML.score_with_aqi(loaded, feats, ["city_name", "date"])
+    model = ML.feature_pipeline(cols, ML.make_estimator(best["algorithm"], "pm25_log", n, sigma)).fit(feats)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/models/{mode.code}-{uuid.uuid4().hex}"
+    model.write().overwrite().save(f"{base}/model")
+    meta = {"mode": mode.code, "algorithm": best["algorithm"], "features": cols, "n_train": n, "val_rmse": float(best["val_rmse"])}
+    spark.createDataFrame([(json.dumps(meta),)], "metadata string").write.mode("overwrite").text(f"{base}/meta")
+    loaded = PipelineModel.load(f"{base}/model")
+    out = ML.score_with_aqi(loaded, feats, ["city_name", "date"]).checkpoint()
+    _drop(spark, base)
+    return out
 
 
 @query("route_mode", V("merged") + """
@@ -199,30 +236,31 @@ def rolling_forecast(spark, d):
 
 @query("ablation")
 def ablation(spark, d):
-    """Ablation ladder weather -> +lags/rolling -> +interactions -> +static city features
-    (latitude, longitude, log population; a bounded dimension, broadcast); validation RMSE per
-    rung (Ridge) and whether the rung improves on the previous one by at least 2 %."""
+    """Ablation ladder for the next day's PM2.5: weather -> +lags/rolling -> +interactions ->
+    +static city features (latitude, longitude, log population); validation RMSE per rung (Ridge)
+    and whether the rung improves on the previous one by at least 2 %.  Every rung has the same
+    horizon, the same rows and the same split."""
     from airshed.operators.merge import normalise_city_name
     from airshed.sources import domain
     m = merged(spark, d)
     cities = domain.cities(spark, d).select(normalise_city_name(F.col("city_name")).alias("city_name"),
                                             F.col("lat").alias("city_lat"), F.col("lng").alias("city_lng"),
                                             F.log(F.col("population").cast("double")).alias("city_log_pop"))
-    ladder = [("weather", "weather", []), ("lag", "lag", []), ("full", "full", []),
-              ("full+city", "full", ["city_lat", "city_lng", "city_log_pop"])]
+    static = ["city_lat", "city_lng", "city_log_pop"]
+    every = FE.feature_columns("full", ["pm25"])
+    feats = FE.build_features(m, "full", ["pm25"], horizon=1).join(cities, "city_name")
+    split = SP.chrono_split(ML.as_double(feats, every + static)).cache()
+    train, val = split.where(F.col("split") == "train"), split.where(F.col("split") == "val")
+    sigma, n = ML.label_std(train, "pm25_log")
+    ladder = [("weather", FE.feature_columns("weather", ["pm25"])), ("lag", FE.feature_columns("lag", ["pm25"])),
+              ("full", every), ("full+city", every + static)]
     rows = []
-    for rung, (label, exp, extra) in enumerate(ladder):
-        feats = FE.build_features(m, exp, ["pm25"], horizon=0 if exp == "weather" else 1)
-        if extra:
-            feats = feats.join(cities, "city_name")
-        cols = FE.feature_columns(exp, ["pm25"]) + extra
-        feats = ML.as_double(feats, cols)
-        split = SP.chrono_split(feats)
-        train = split.where(F.col("split") == "train")
-        sigma, n = ML.label_std(train, "pm25_log")
+    for rung, (label, cols) in enumerate(ladder):
+        cols = [c for c in cols if c in split.columns]
         model = ML.feature_pipeline(cols, ML.make_estimator("Ridge", "pm25_log", n, sigma)).fit(train)
-        r = ML.evaluate(model.transform(split.where(F.col("split") == "val")), "pm25", ["split"]).first()
+        r = ML.evaluate(model.transform(val), "pm25", ["split"]).first()
         rows.append((rung, label, float(r["rmse"]), float(r["mae"]), float(r["r2"])))
+    split.unpersist()
     out = []
     for k, row in enumerate(rows):
         improved = None if k == 0 else bool(row[2] <= rows[k - 1][2] * 0.98)
