@@ -22,7 +22,7 @@ def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     ones and the node itself do."""
     side = pairs if larger else pairs.where("b < a")
     least = side.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    met = side.join(least.hint("merge"), "a")
+    met = side.join(least, "a")
     if larger:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from airshed.llm.common import kept_rows, labelled_sample, read, scored, text_bytes, with_columns
 
 WIDTH, FILTERS, CHUNK = 4, 8, 256
-PER_CLASS, MAX_BYTES = 2000, 16 << 20
+PER_CLASS, MAX_BYTES = 2000, 10 << 20
 FOLD = (3, 1)
 EPOCHS, BATCH, RATE, DECAY, SEED = 16, 24, 0.02, 1e-4, 7
 #: Weight of label 1: a good document lost costs more than a poor one kept.
@@ -102,12 +102,7 @@ def fit(rows: list[tuple[str, int]]) -> ByteNet:
     if len(set(y)) < 2:
         return ByteNet.constant(y.mean() if len(y) else 0.5)
     rng = np.random.default_rng(SEED)
-    windows = []  # of each document: chunks x CHUNK x WIDTH bytes; the last chunk repeats its last window
-    for text, _ in rows:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        data, _, n = padded(raw, np.array([0, len(raw)]))
-        at = np.minimum(np.arange(-(-n[0] // CHUNK) * CHUNK), n[0] - 1)
-        windows.append((data, at.reshape(-1, CHUNK)))
+    texts = [text.encode() for text, _ in rows]
     net = [rng.normal(0, 0.15, (WIDTH, 256, FILTERS)), np.full(FILTERS, 0.1), rng.normal(0, 0.3, 2 * FILTERS), np.zeros(1)]
     first, second = [np.zeros_like(p) for p in net], [np.zeros_like(p) for p in net]
     weight = np.where(y == 1, CLEAN * 0.5 / y.mean(), 0.5 / (1 - y.mean()))
@@ -120,13 +115,16 @@ def fit(rows: list[tuple[str, int]]) -> ByteNet:
             pair = [(table[j][:, None, :] + table[j + 1][None, :, :]).reshape(65536, FILTERS).astype(np.float32) for j in range(0, WIDTH, 2)] if k % (BATCH * 8) == 0 else pair
             grads = [np.zeros_like(p) for p in net]
             for d in mine:
-                data, at = windows[d]
+                raw = np.frombuffer(texts[d], np.uint8)
+                data, _, n = padded(raw, np.array([0, len(raw)]))
+                # chunks x CHUNK windows; the last chunk repeats its last window
+                at = np.minimum(np.arange(-(-n[0] // CHUNK) * CHUNK), n[0] - 1).reshape(-1, CHUNK)
                 two = data[:-1].astype(np.uint16) << 8 | data[1:]
                 values = pair[0][two[at]] + pair[1][two[at + 2]]
                 where = values.argmax(axis=1)  # chunks x filters
                 top_at = np.take_along_axis(at, where, axis=1)
-                raw = sum(table[j][data[top_at + j], np.arange(FILTERS)] for j in range(WIDTH)) + bias
-                pooled = np.maximum(raw, 0)
+                value = sum(table[j][data[top_at + j], np.arange(FILTERS)] for j in range(WIDTH)) + bias
+                pooled = np.maximum(value, 0)
                 best = pooled.argmax(axis=0)
                 features = np.concatenate([pooled.mean(axis=0), pooled[best, np.arange(FILTERS)]])
                 p = 1 / (1 + np.exp(-np.clip(features @ head + shift[0], -50, 50)))
@@ -135,7 +133,7 @@ def fit(rows: list[tuple[str, int]]) -> ByteNet:
                 grads[3] += g
                 back = np.broadcast_to(g * head[:FILTERS] / len(pooled), pooled.shape).copy()
                 back[best, np.arange(FILTERS)] += g * head[FILTERS:]
-                back *= raw > 0
+                back *= value > 0
                 grads[1] += back.sum(axis=0)
                 for j in range(WIDTH):
                     np.add.at(grads[0][j], (data[top_at + j], np.broadcast_to(np.arange(FILTERS), top_at.shape)), back)
