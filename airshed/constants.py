@@ -4,8 +4,7 @@ Everything in this module is a FIXED VALUE that has to equal the published
 domain tables for results to match (sentinels, plausibility ranges, unit
 factors, EPA breakpoints, AQI categories, advice texts, sensor parameter
 ids).  They are stated plainly, in natural order, and consumed by the column
-builders in ``airshed.functions`` and the literal dimension tables in
-``airshed.sources.dims``.
+builders in ``airshed.functions`` and the operators.
 """
 
 from __future__ import annotations
@@ -113,6 +112,24 @@ EARTH_RADIUS_KM = 6371.0
 # --------------------------------------------------------------------------
 PARAMETER_IDS = {"pm10": 1, "pm25": 2, "no2": 7, "co": 8, "so2": 9, "o3": 10}
 
+# --------------------------------------------------------------------------
+# FIXED VALUES: PM2.5 bands in force since 2024, and the 1-hour ozone bands
+# --------------------------------------------------------------------------
+PM25_BREAKPOINTS_2024 = [
+    (0.0, 9.0, 0, 50),
+    (9.1, 35.4, 51, 100),
+    (35.5, 55.4, 101, 150),
+    (55.5, 125.4, 151, 200),
+    (125.5, 225.4, 201, 300),
+    (225.5, 325.4, 301, 500),
+]
+OZONE_1H_BREAKPOINTS = [
+    (0.125, 0.164, 101, 150),
+    (0.165, 0.204, 151, 200),
+    (0.205, 0.404, 201, 300),
+    (0.405, 0.604, 301, 500),
+]
+
 # --------------------------------------------------------------------------
 # FIXED VALUES: EPA 24-hour AQI breakpoints (c_low, c_high, i_low, i_high)
 # --------------------------------------------------------------------------

@@ -22,7 +22,9 @@ from airshed.constants import (
     AQI_CATEGORIES,
     AQI_TRUNCATION_DIGITS,
     HEALTH_ADVICE,
+    OZONE_1H_BREAKPOINTS,
     OUT_OF_RANGE_CATEGORY,
+    PM25_BREAKPOINTS_2024,
     POLLUTANTS,
     SHORT_ADVICE,
     UNKNOWN_CATEGORY,
@@ -35,9 +37,9 @@ def _interp(c: Column, band) -> Column:
     return F.lit(slope) * (c - F.lit(float(c_low))) + F.lit(float(i_low))
 
 
-def aqi_strict(c: Column | str, pollutant: str) -> Column:
+def aqi_strict(c: Column | str, pollutant: str, bands=None) -> Column:
     c = snap(F.col(c) if isinstance(c, str) else c)
-    bands = AQI_BREAKPOINTS.get(pollutant)
+    bands = bands or AQI_BREAKPOINTS.get(pollutant)
     if not bands:
         return F.when(c.isNull(), F.lit(None).cast("int")).otherwise(F.lit(0))
     expr = F.when(c.isNull(), F.lit(None).cast("double"))
@@ -60,6 +62,19 @@ def aqi_epa(c: Column | str, pollutant: str) -> Column:
     return aqi_strict(epa_truncate(c, pollutant), pollutant)
 
 
+def aqi_pm25_2024(c: Column | str) -> Column:
+    """PM2.5 AQI by the bands in force since 2024, after truncation."""
+    return aqi_strict(epa_truncate(c, "pm25"), "pm25", PM25_BREAKPOINTS_2024)
+
+
+def aqi_ozone(max_8h: Column, max_1h: Column) -> Column:
+    """Ozone AQI: the higher of the 8-hour value's and the 1-hour value's; the 1-hour scale has no
+    bands below 0.125 ppm, where it is ignored."""
+    hour = epa_truncate(max_1h, "o3")
+    one = F.when(snap(hour) >= F.lit(OZONE_1H_BREAKPOINTS[0][0]), aqi_strict(hour, "o3", OZONE_1H_BREAKPOINTS))
+    return F.greatest(aqi_epa(max_8h, "o3"), one)
+
+
 def aqi_columns(df, pollutants=POLLUTANTS, suffix: str = "_aqi", strict: bool = True):
     fn = aqi_strict if strict else aqi_epa
     return df.select("*", *[fn(F.col(p), p).alias(f"{p}{suffix}") for p in pollutants if p in df.columns])

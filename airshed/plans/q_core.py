@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from airshed.constants import POLLUTANTS, WEATHER_COLS
+from airshed.constants import OZONE_1H_BREAKPOINTS, PM25_BREAKPOINTS_2024, POLLUTANTS, WEATHER_COLS
 from airshed.functions import aqi as A
 from airshed.operators import clean, merge, stations
 from airshed.plans.oracle_views import with_views as V
@@ -15,9 +16,11 @@ from airshed.plans.sqlgen import (
     aqi_by_parameter_sql,
     aqi_sql,
     category_sql,
+    epa_trunc_sql,
     greatest_sql,
     primary_sql,
     short_advice_sql,
+    snap_sql,
 )
 from airshed.sources import domain
 
@@ -227,6 +230,40 @@ def aqi_epa(spark, d):
     return dm.select("*", _aqi_long(dm, epa=True).alias("aqi"))
 
 
+@query("aqi_pm25_2024", V("air_parsed", extra=[("dm", _DAILY_SQL)]) +
+       f"SELECT location_id, date, value, {aqi_sql(epa_trunc_sql('value', 'pm25'), 'pm25', PM25_BREAKPOINTS_2024)} AS aqi "
+       "FROM dm WHERE parameter = 'pm25'", ["value"])
+def aqi_pm25_2024(spark, d):
+    """F2: PM2.5 AQI by the newer bands."""
+    dm = merge.daily_mean_long(CityPipeline(spark, d).air_parsed()).where("parameter = 'pm25'")
+    return dm.select("location_id", "date", "value", A.aqi_pm25_2024("value").alias("aqi"))
+
+
+_O3_HOUR = """
+  SELECT location_id, CAST(floor(epoch(ts_utc) / 3600) AS BIGINT) AS hour_idx, avg(value) AS c FROM air_parsed
+  WHERE parameter = 'o3' AND value IS NOT NULL GROUP BY 1, 2"""
+_O3_DAY = """
+  SELECT location_id, CAST(to_timestamp(hour_idx * 3600) AT TIME ZONE 'UTC' AS DATE) AS date, max(a8) AS max_8h, max(c) AS max_1h
+  FROM (SELECT *, avg(c) OVER (PARTITION BY location_id ORDER BY hour_idx RANGE BETWEEN 7 PRECEDING AND CURRENT ROW) AS a8
+        FROM o3_hour) x GROUP BY 1, 2"""
+_O3_1H = epa_trunc_sql("max_1h", "o3")
+
+
+@query("aqi_ozone", V("air_parsed", extra=[("o3_hour", _O3_HOUR), ("o3_day", _O3_DAY)]) + f"""
+SELECT location_id, date, max_8h, max_1h, greatest({aqi_sql(epa_trunc_sql('max_8h', 'o3'), 'o3')},
+  CASE WHEN {snap_sql(_O3_1H)} >= 0.125e0 THEN {aqi_sql(_O3_1H, 'o3', OZONE_1H_BREAKPOINTS)} END) AS aqi FROM o3_day""",
+       ["max_8h", "max_1h"])
+def aqi_ozone(spark, d):
+    """ozone AQI of each location-day, the higher of its 8-hour and its 1-hour maximum's."""
+    rows = CityPipeline(spark, d).air_parsed().where((F.col("parameter") == "o3") & F.col("value").isNotNull())
+    hours = rows.groupBy("location_id", F.floor(F.unix_timestamp("ts_utc") / 3600).cast("long").alias("hour_idx")).agg(F.avg("value").alias("c"))
+    w = Window.partitionBy("location_id").orderBy("hour_idx").rangeBetween(-7, 0)
+    day = F.to_date(F.timestamp_seconds(F.col("hour_idx") * 3600)).alias("date")
+    days = hours.select("location_id", day, "c", F.avg("c").over(w).alias("a8")).groupBy("location_id", "date").agg(
+        F.max("a8").alias("max_8h"), F.max("c").alias("max_1h"))
+    return days.select("*", A.aqi_ozone(F.col("max_8h"), F.col("max_1h")).alias("aqi"))
+
+
 _AQI_COLS = {p: f"{p}_aqi" for p in POLLUTANTS}
 _CITY_AQI_SQL = ("SELECT city_id, date, " + ", ".join(POLLUTANTS) + ", " +
                  ", ".join(f"{aqi_sql(p, p)} AS {p}_aqi" for p in POLLUTANTS) + " FROM air_city")

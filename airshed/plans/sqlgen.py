@@ -19,9 +19,9 @@ def snap_sql(v: str) -> str:
     return f"(floor(({v}) * 1e9 + 0.5e0) / 1e9)"
 
 
-def aqi_sql(v: str, pollutant: str) -> str:
+def aqi_sql(v: str, pollutant: str, bands=None) -> str:
     v = snap_sql(v)
-    bands = AQI_BREAKPOINTS.get(pollutant)
+    bands = bands or AQI_BREAKPOINTS.get(pollutant)
     if not bands:
         return f"CASE WHEN {v} IS NULL THEN NULL ELSE 0 END"
 
