@@ -29,6 +29,13 @@ def spec(key: str = "city_name", order: str = "date"):
     return Window.partitionBy(key).orderBy(order)
 
 
+def calendar_columns(value: str, key: str = "city_name", date: str = "date") -> list[Column]:
+    """Lags and past-only rolling means by calendar days instead of rows (one row per key and day)."""
+    w = Window.partitionBy(key).orderBy(F.unix_date(date))
+    lags = [F.max(value).over(w.rangeBetween(-k, -k)).alias(f"{value}_lag{k}d") for k in TARGET_LAGS]
+    return lags + [F.avg(value).over(w.rangeBetween(-k, -1)).alias(f"{value}_roll{k}d_mean") for k in ROLL_MEAN_WINDOWS]
+
+
 def lag_columns(targets: list[str], key: str = "city_name", lags=TARGET_LAGS,
                 weather_lags=WEATHER_LAG_COLS) -> list[Column]:
     w = spec(key)

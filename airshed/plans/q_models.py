@@ -210,28 +210,35 @@ def route_mode(spark, d):
                 F.when(F.col("history_rows") >= 7, "GHS").when(F.col("_n") > 0, "GTS").alias("route"))
 
 
+FORECAST_DAYS = 7
+
+
 @query("rolling_forecast")
 def rolling_forecast(spark, d):
-    """3-step rolling forecast per city; each step's prediction is fed back as lag-1.
-    A bounded loop of column transforms over the last-history rows (no per-row Python)."""
+    """Seven-day rolling forecast per city with the fitted feature model (ridge on the full set,
+    next-day target).  Each day's prediction joins the history, the lag and rolling features are
+    computed anew from it, and the weather of days to come is each city's last known one."""
     m = merged(spark, d)
-    w = Window.partitionBy("city_name").orderBy("date")
-    hist = m.select("city_name", "date", "pm25", F.lag("pm25", 1).over(w).alias("pm25_lag1")) \
-        .where(F.col("pm25").isNotNull() & F.col("pm25_lag1").isNotNull())
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    va = VectorAssembler(inputCols=["pm25_lag1"], outputCol="features")
-    lr = LinearRegression(featuresCol="features", labelCol="pm25", regParam=0.0)
-    model = lr.fit(va.transform(hist))
-    a, b = float(model.intercept), float(model.coefficients[0])
-    last = m.where(F.col("pm25").isNotNull()).groupBy("city_name").agg(
-        F.max_by("pm25", "date").alias("v0"), F.max("date").alias("d0"))
-    steps = []
-    cur = F.col("v0")
-    for h in range(1, 4):
-        cur = F.lit(a) + F.lit(b) * cur
-        steps.append(F.struct(F.lit(h).alias("step"), F.date_add("d0", h).alias("date"), cur.alias("forecast")))
-    return last.select("city_name", F.explode(F.array(*steps)).alias("s")).select("city_name", "s.*")
+    cols = FE.feature_columns("full", ["pm25"])
+    train = ML.as_double(FE.build_features(m, "full", ["pm25"], horizon=1), cols)
+    sigma, n = ML.label_std(train, "pm25_log")
+    model = ML.feature_pipeline(cols, ML.make_estimator("Ridge", "pm25_log", n, sigma)).fit(train)
+    # the longest window reads 30 rows back; 40 of a city's rows are the working history
+    newest = Window.partitionBy("city_name").orderBy(F.col("date").desc())
+    history = m.select("*", F.row_number().over(newest).alias("_r")).where("_r <= 40").drop("_r")
+    checkpoint_dir(spark)
+    history = history.checkpoint()
+    for _ in range(FORECAST_DAYS):
+        feats = ML.as_double(FE.build_features(history, "full", ["pm25"], horizon=1, drop_null_target=False), cols)
+        last = feats.select("*", F.row_number().over(newest).alias("_r")).where("_r = 1")
+        made = model.transform(last).select("city_name", F.date_add("date", 1).alias("_next"),
+                                            F.greatest(F.expm1("prediction"), F.lit(0.0)).alias("_pm25"))
+        row = history.select("*", F.row_number().over(newest).alias("_r")).where("_r = 1").drop("_r").join(made, "city_name")
+        row = row.select(*[F.col("_next").alias(c) if c == "date" else F.year("_next").alias(c) if c == "year"
+                           else F.col("_pm25").alias(c) if c == "pm25" else F.col(c) for c in history.columns])
+        history = history.unionByName(row).checkpoint()  # cuts the lineage of this step
+    newest_days = history.select("city_name", "date", F.col("pm25").alias("forecast"), (F.lit(FORECAST_DAYS + 1) - F.row_number().over(newest)).alias("step"))
+    return newest_days.where("step >= 1").select("city_name", "step", "date", "forecast")
 
 
 @query("ablation")

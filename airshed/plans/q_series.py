@@ -132,6 +132,20 @@ def rolling_features(spark, d):
     return m.select("city_name", "date", "pm25", *ts.rolling_columns(["pm25"]))
 
 
+_CAL = "PARTITION BY city_name ORDER BY date RANGE BETWEEN INTERVAL {a} DAY PRECEDING AND INTERVAL {b} DAY PRECEDING"
+_CAL_NAMES = [f"pm25_lag{k}d" for k in TARGET_LAGS] + [f"pm25_roll{k}d_mean" for k in ROLL_MEAN_WINDOWS]
+
+
+@query("calendar_windows", V("merged") + "SELECT city_name, date, pm25, " + ", ".join(
+    [f"max(pm25) OVER ({_CAL.format(a=k, b=k)}) AS pm25_lag{k}d" for k in TARGET_LAGS]
+    + [f"avg(pm25) OVER ({_CAL.format(a=k, b=1)}) AS pm25_roll{k}d_mean" for k in ROLL_MEAN_WINDOWS]) + " FROM merged",
+       ["pm25"] + _CAL_NAMES)
+def calendar_windows(spark, d):
+    """W1/W3 by the calendar: the value k days ago (NULL if that day is absent) and past-only means
+    over k days, whatever rows those days have."""
+    return merged(spark, d).select("city_name", "date", "pm25", *ts.calendar_columns("pm25"))
+
+
 @query("future_target", V("merged") + f"SELECT city_name, date, pm25, lead(pm25, 1) OVER ({W}) AS pm25_future_1d "
        "FROM merged", ["pm25", "pm25_future_1d"])
 def future_target(spark, d):

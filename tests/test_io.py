@@ -76,3 +76,26 @@ def test_city_year_sink_roundtrip(spark):
     assert sorted(r.temp_avg_c for r in back.collect()) == [1.0, 2.68]   # scaled rint: 267.5 -> 268 (NumPy)
     rep = sinks.quality_report(df, ["temp_avg_c"]).first()
     assert rep["count"] == 2 and rep["coverage_pct"] == 100.0
+
+
+def test_archive_partition_tree(spark):
+    """Hourly csv.gz files below locationid=/year=/month=: partitions from the path, pruned by a filter, unreadable files skipped."""
+    import gzip
+
+    d = tempfile.mkdtemp(prefix="airshed-archive-")
+    header = "location_id,sensors_id,location,datetime,lat,lon,parameter,units,value\n"
+    for loc in (1, 2):
+        for year, month in ((2023, "12"), (2024, "01")):
+            at = os.path.join(d, f"locationid={loc}", f"year={year}", f"month={month}")
+            os.makedirs(at)
+            with gzip.open(os.path.join(at, f"location-{loc}-{year}{month}.csv.gz"), "wt") as f:
+                f.write(header + "".join(f"{loc},9,x,{year}-{month}-0{k}T00:00:00+00:00,1,2,{p},µg/m³,{v}\n" for k, (p, v) in enumerate((("pm25", "5.5"), ("pm10", " 7 "), ("pm25", "n/a")), 1)))
+    with open(os.path.join(d, "locationid=2", "year=2024", "month=01", "broken.csv.gz"), "wb") as f:
+        f.write(b"\x1f\x8b not a gzip file")
+    df = readers.read_openaq_archive(spark, d)
+    assert df.count() == 12
+    got = sorted((r.locationid, r.year, r.month, r.value_num) for r in readers.read_openaq_archive(spark, d, "pm25").collect() if r.value_num is not None)
+    assert got == [(1, 2023, 12, 5.5), (1, 2024, 1, 5.5), (2, 2023, 12, 5.5), (2, 2024, 1, 5.5)]
+    pruned = df.where("year = 2024 AND locationid = 1")
+    assert pruned.count() == 3
+    assert "PartitionFilters: [isnotnull(year" in pruned._jdf.queryExecution().executedPlan().toString()
