@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from airshed.session import checkpoint_dir
 
 #: Text bytes handled at once inside a Python task; one longer document is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 WHITE = r"[\x20\x09-\x0D]+"
 

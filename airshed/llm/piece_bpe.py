@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from airshed.llm.common import read, slices, with_columns
 
 MARK = "▁"
-#: Parts of texts held in a task's cache.
-CACHE = 300_000
+#: Parts of texts, and pairs of pieces, held in a task's caches.
+CACHE, PAIRS = 200_000, 300_000
 TOKENIZER = "piece_bpe_32k.model"
 
 
@@ -65,7 +65,7 @@ class Pieces:
                 self.automaton.add_word(name, (i, len(name)))
         self.automaton.make_automaton()
         self._fits: dict[int, bool] = {}
-        self._cache: dict[str, tuple[str, bytes]] = {}
+        self._cache: dict[str, str] = {}
 
     def _merged(self, part: str) -> list[int]:
         """Encoding by repeated merging of the best pair, leftmost first."""
@@ -84,7 +84,7 @@ class Pieces:
         key = a << 32 | b
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) >= 4 * CACHE:
+            if len(self._fits) >= PAIRS:
                 self._fits.clear()
             known = self._fits[key] = self._merged(self.piece[a] + self.piece[b]) == [a, b]
         return known
@@ -144,7 +144,7 @@ class Pieces:
         return [self.rank[t][1] for t in tokens if t is not None]
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for s, _ in self._coded(text) for x in s.split(",")]
+        return [int(x) for s in self._coded(text) for x in s.split(",")]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: pieces joined, space marks as spaces, without the dummy prefix; control and unknown ids give none."""
@@ -152,24 +152,27 @@ class Pieces:
         text = raw.decode(errors="replace")
         return text[1:] if text[:1] == " " else text
 
-    def _coded(self, text: str):
-        """(ids joined by commas, decoded bytes) of each part of a text."""
+    def _coded(self, text: str) -> list[str]:
+        """Ids, joined by commas, of each part of a text.  Each part met is decoded too, and must give itself back:
+        then the text's ids decode to the text with its space marks as spaces."""
         if not text:
             return []
-        marked = MARK + text.replace(" ", MARK)
-        if MARK + MARK in marked:
-            parts = re.findall(f"{MARK}+[^{MARK}]*", marked)
+        marked = text.replace(" ", MARK)
+        if MARK + MARK in marked or marked[0] == MARK:
+            parts = [x[1:] for x in re.findall(f"{MARK}+[^{MARK}]*", MARK + marked)]
         else:
-            parts = [MARK + x for x in marked.split(MARK)[1:]]
+            parts = marked.split(MARK)
         cache, out = self._cache, []
-        for part in parts:
+        for part in parts:  # without the mark that starts each
             found = cache.get(part)
             if found is None:
                 if len(cache) >= CACHE:
                     cache.clear()
-                ids = self._part(part)
-                # Byte pieces never cross a part, so the parts' decoded bytes are the text's when joined.
-                found = (",".join(map(str, ids)), b"".join(p if isinstance(p, bytes) else p.replace(MARK, " ").encode() for p in map(self.piece.__getitem__, ids)))
+                ids = self._part(MARK + part)
+                # Byte pieces never cross a part, so the parts' decoded texts are the text's when joined.
+                if self.decode(ids) != part.replace(MARK, " "):
+                    raise ValueError(f"the pieces of {part!r} don't decode to it")
+                found = ",".join(map(str, ids))
                 if len(part) <= 64:
                     cache[part] = found
             out.append(found)
@@ -177,9 +180,7 @@ class Pieces:
 
     def coded(self, text: str) -> tuple[str, str]:
         """The text's ids joined by commas, and what they decode to."""
-        found = self._coded(text)
-        raw = b"".join([d for _, d in found]).decode(errors="replace")
-        return ",".join([s for s, _ in found]), raw[1:] if raw[:1] == " " else raw
+        return ",".join(self._coded(text)), text.replace(MARK, " ")
 
 
 _loaded: dict[str, Pieces] = {}

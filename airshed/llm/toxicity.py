@@ -33,7 +33,7 @@ LEAST_LLR, LEAST_DOCS = 25.0, 5
 LENGTHS = (4, 5, 6)
 DECAY, PENALTY, STEPS, RATE = 1e-3, 1.0, 400, 0.1
 #: Words held in a task's feature cache.
-CACHE = 400_000
+CACHE = 200_000
 
 #: Names of groups; those of one line are swapped for each other.
 IDENTITY = (
