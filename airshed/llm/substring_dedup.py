@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from airshed.llm.common import RangeHash, Scratch, Words, keyed, mix, read, slices
 
 LENGTH, SEED = 20, 6
+#: Text bytes whose repeats a task settles on the spot.
+SLICE = 4 << 20
 SINGLE, MARK, SEVERAL, SETTLED = 0, 1, 2, 3
 
 ANCHORS = "route long, kind byte, anchor long, context long, rid long, at int, low int, high int"
@@ -94,7 +96,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _emit_anchors(batches):
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         words = Words(batch.column("text"))
         found = _anchors(words)
         if not found:
@@ -120,7 +122,7 @@ def _emit_anchors(batches):
 
 def _emit_windows(batches):
     """Hashes of the windows of the given anchors: asked holds (anchor, low, high) for each document."""
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         words = Words(batch.column("text"))
         hashes = RangeHash(words.hash)
         asked = batch.column("asked")
