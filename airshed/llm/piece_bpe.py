@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from airshed.llm.common import read, slices, with_columns
 
 MARK = "▁"
-#: Parts of texts, and pairs of pieces, held in a task's caches.
-CACHE, PAIRS = 200_000, 300_000
+#: Parts of texts in each of a task's two cache generations, and pairs of pieces held.
+CACHE, PAIRS = 150_000, 300_000
 TOKENIZER = "piece_bpe_32k.model"
 
 
@@ -66,6 +66,8 @@ class Pieces:
         self.automaton.make_automaton()
         self._fits: dict[int, bool] = {}
         self._cache: dict[str, str] = {}
+        self._older: dict[str, str] = {}
+        self.surface = [p if isinstance(p, bytes) else (p or "").replace(MARK, " ").encode() for p in self.piece]
 
     def _merged(self, part: str) -> list[int]:
         """Encoding by repeated merging of the best pair, leftmost first."""
@@ -81,27 +83,29 @@ class Pieces:
             tokens[at : at + 2] = [tokens[at] + tokens[at + 1]]
 
     def _may_follow(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        known = self._fits.get(key)
-        if known is None:
-            if len(self._fits) >= PAIRS:
-                self._fits.clear()
-            known = self._fits[key] = self._merged(self.piece[a] + self.piece[b]) == [a, b]
+        if len(self._fits) >= PAIRS:
+            self._fits.clear()
+        known = self._fits[a << 32 | b] = self._merged(self.piece[a] + self.piece[b]) == [a, b]
         return known
 
     def _table(self, part: str) -> list[int]:
         """Ids of a part whose characters are all pieces, from the table of last tokens."""
-        last: list[tuple[int, int] | None] = [None] * len(part)
+        last, sizes, fits = [-1] * len(part), [0] * len(part), self._fits
         for end, (token, size) in self.automaton.iter(part):
-            if last[end] is None:
+            if last[end] < 0:
                 before = end - size
-                if before < 0 or (last[before] is not None and self._may_follow(last[before][0], token)):
-                    last[end] = (token, size)
+                if before >= 0:
+                    previous = last[before]
+                    if previous < 0:
+                        continue
+                    may = fits.get(previous << 32 | token)
+                    if not (self._may_follow(previous, token) if may is None else may):
+                        continue
+                last[end], sizes[end] = token, size
         ids, at = [], len(part) - 1
         while at >= 0:
-            token, size = last[at]
-            ids.append(token)
-            at -= size
+            ids.append(last[at])
+            at -= sizes[at]
         return ids[::-1]
 
     def _part(self, part: str) -> list[int]:
@@ -148,8 +152,7 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: pieces joined, space marks as spaces, without the dummy prefix; control and unknown ids give none."""
-        raw = b"".join(p if isinstance(p, bytes) else (p or "").replace(MARK, " ").encode() for p in map(self.piece.__getitem__, ids))
-        text = raw.decode(errors="replace")
+        text = b"".join(map(self.surface.__getitem__, ids)).decode(errors="replace")
         return text[1:] if text[:1] == " " else text
 
     def _coded(self, text: str) -> list[str]:
@@ -166,8 +169,14 @@ class Pieces:
         for part in parts:  # without the mark that starts each
             found = cache.get(part)
             if found is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
+                if len(cache) >= CACHE:  # what the last generation didn't meet again goes
+                    self._older, self._cache = cache, {}
+                    cache = self._cache
+                found = self._older.get(part)
+                if found is not None:
+                    cache[part] = found
+                    out.append(found)
+                    continue
                 ids = self._part(MARK + part)
                 # Byte pieces never cross a part, so the parts' decoded texts are the text's when joined.
                 if self.decode(ids) != part.replace(MARK, " "):
