@@ -112,7 +112,9 @@ def _emit_anchors(batches):
         kind[firsts[several]] = SEVERAL
         route = np.where(kind == SINGLE, anchor, mix(anchor ^ mix(context)))
         settled = kind == SETTLED
-        route[settled] = mix(rid[order][settled].view(np.uint64) ^ mix(found["at"][order][settled].astype(np.uint64)))
+        # Settled rows meet nothing any more: they travel by document, without hashes.
+        route[settled] = mix(rid[order][settled].view(np.uint64))
+        anchor, context = np.where(settled, np.uint64(0), anchor), np.where(settled, np.uint64(0), context)
         place = [(found[x][order] - base[order]).astype(np.int32) for x in ("at", "low", "high")]
         yield pa.RecordBatch.from_arrays([_signed(route), pa.array(kind), _signed(anchor), _signed(context), pa.array(rid[order]), *map(pa.array, place)], names=["route", "kind", "anchor", "context", "rid", "at", "low", "high"])
         marks = np.unique(anchor[firsts[several]])
@@ -137,7 +139,9 @@ def _emit_windows(batches):
         window = hashes.of(start, start + LENGTH)
         rid, anchor = batch.column("rid").to_numpy()[row[which]], flat.field("anchor").to_numpy()[which]
         order, same = _later((anchor, window), rid, at)
-        yield pa.RecordBatch.from_arrays([pa.array(anchor[order]), _signed(window[order]), pa.array(rid[order]), pa.array(at[order].astype(np.int32)), pa.array(same)], names=["anchor", "window", "rid", "at", "settled"])
+        # Settled rows meet nothing any more: they travel by document, without hashes.
+        anchor, window = np.where(same, 0, anchor[order]), np.where(same, mix(rid[order].view(np.uint64)), window[order])
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), _signed(window), pa.array(rid[order]), pa.array(at[order].astype(np.int32)), pa.array(same)], names=["anchor", "window", "rid", "at", "settled"])
 
 
 def _remove(batches):
@@ -173,19 +177,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # Of one context, all but the first occurrence are settled.
     first = Window.partitionBy("anchor", "context").orderBy("rid", "at")
     compared = met.where(F.col("kind") != SETTLED).withColumn("later", F.row_number().over(first) > 1).select("anchor", "rid", "low", "high", "later")
-    compared = scratch.keep(compared, "compared")
+    settled = met.where(F.col("kind") == SETTLED).select(F.lit(0).cast("long").alias("anchor"), "rid", "low", "high", F.lit(True).alias("later"))
+    compared = scratch.keep(compared.unionByName(settled), "compared")
+    scratch.drop("met")
     # The first ones are extended window by window.
     asked = compared.where(~F.col("later")).groupBy("rid").agg(F.collect_list(F.struct("anchor", "low", "high")).alias("asked"))
     windows = rows.select("rid", "text").join(asked.hint("merge"), "rid").mapInArrow(_emit_windows, WINDOWS)
     same = Window.partitionBy("anchor", "window").orderBy("rid", "at")
     windows = windows.withColumn("later", F.col("settled") | (F.row_number().over(same) > 1))
-    runs = (
-        met.where(F.col("kind") == SETTLED)
-        .select("rid", "low", "high")
-        .unionByName(compared.where("later").select("rid", "low", "high"))
-        .unionByName(windows.where("later").select("rid", F.col("at").alias("low"), F.col("at").alias("high")))
-    )
+    runs = compared.where("later").select("rid", "low", "high").unionByName(windows.where("later").select("rid", F.col("at").alias("low"), F.col("at").alias("high")))
     runs = scratch.keep(runs.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("runs")), "runs")
+    scratch.drop("compared")
     return scratch.finish(rows.join(runs.hint("merge"), "rid", "left").select("doc_id", "text", "runs").mapInArrow(_remove, RESULT))
 
 
