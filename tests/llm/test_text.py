@@ -331,6 +331,28 @@ def test_seating_follows_the_posterior():
     assert np.abs(found - p).max() < 0.03
 
 
+@pytest.mark.parametrize("c, d, a", [(2, 0.9, 0.3), (6, 0.4, 1.7), (80, 0.4, 20.0), (300, 0.6, 2.0), (80, 0.1, 500.0)])
+def test_tables_are_drawn_from_the_posterior(c, d, a):
+    weight = np.r_[0.0, np.full(c, -np.inf)]  # logarithms of S_d(n, t), t = 1 to c + 1
+    for n in range(1, c):
+        stay = n - d * np.arange(1, c + 2)
+        weight = np.logaddexp(np.r_[-np.inf, weight[:-1]], np.where(stay > 0, weight + np.log(np.maximum(stay, 1e-300)), -np.inf))
+    p = weight[:c] + np.arange(c) * math.log(a)
+    p = np.exp(p - p.max())
+    p /= p.sum()
+    k = 6000
+    found = np.bincount(pitman_yor.sample_tables(np.full(k, c), np.full(k, a), d, np.random.default_rng(0)), minlength=c + 1)[1:] / k
+    assert np.abs(found - p).max() < 0.03 and abs((found - p) @ np.arange(c)) < 6 * math.sqrt(np.arange(c) ** 2 @ p / k)
+
+
+def test_all_customers_of_a_frequent_word_are_seated_anew():
+    """With ever more customers, the tables beside a great one become Poisson of mean a / d, whatever the first seating was."""
+    c, a, d, k = 10**7, 2.0, 0.5, 2000
+    t = pitman_yor.sample_tables(np.full(k, c), np.full(k, a), d, np.random.default_rng(0))
+    assert abs(t.mean() - 5) < 0.3 and abs(t.var() - 4) < 0.6
+    assert pitman_yor.sample_tables(np.array([0, 1]), np.ones(2), d, np.random.default_rng(0)).tolist() == [0, 1]
+
+
 def test_spelling_is_a_probability():
     words = [b"ab", b"abc", b"b", b"abba", "é".encode(), b""]
     key, at = pitman_yor.trigrams(pa.array(words, pa.binary()))
