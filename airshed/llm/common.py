@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airshed.session import checkpoint_dir
@@ -201,8 +201,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[
     """(text, label) of a bounded sample of the labelled rows whose id's crc32 mod m is not r, for fold (m, r).
 
     At most ``per_class`` rows of each label, those first by a hash of the id, and of these, in
-    the same order, as many as hold ``max_bytes`` of text.  Only whole texts are taken.  Null ids
-    and null labels are left out; an id with several labels counts with the smallest."""
+    the same order, as many as hold ``max_bytes`` of text: a row that doesn't fit is passed over
+    alone, and those of more than a sixteenth of ``max_bytes`` are taken after all others.  Only
+    whole texts are taken.  If no row of a label that has some fits, that is raised.  Null ids and
+    null labels are left out; an id with several labels counts with the smallest."""
     m, r = fold
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder(F.col("doc_id"), m) != r))
     ids = ids.groupBy("doc_id").agg(F.min(label).cast("int").alias("y")).withColumn("h", F.xxhash64("doc_id"))
@@ -212,8 +214,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[
     rows = rows.withColumn("size", F.octet_length("text"))
     order = [F.col("h"), F.col("doc_id"), F.xxhash64("text")]
     rows = rows.orderBy(*order).limit(2 * per_class)  # repeated ids may give more
-    rows = rows.withColumn("sum", F.sum("size").over(Window.orderBy(*order)))
-    return [(x["text"], x["y"]) for x in rows.where(F.col("sum") <= max_bytes).orderBy(*order).select("text", "y").collect()]
+    # The driver chooses by size; only the chosen texts come to it.
+    found = rows.select("h", "doc_id", order[2].alias("text_hash"), "y", "size").orderBy("h", "doc_id", "text_hash").collect()
+    chosen, free = [], max_bytes
+    for k in sorted(range(len(found)), key=lambda k: (found[k]["size"] > max_bytes // 16, k)):
+        if found[k]["size"] <= free:
+            chosen.append(k)
+            free -= found[k]["size"]
+    if lost := {x["y"] for x in found} - {found[k]["y"] for k in chosen}:
+        raise ValueError(f"no text with {label} {sorted(lost)} fits in a sample of {max_bytes} bytes")
+    keys = sorted({(found[k]["doc_id"], found[k]["text_hash"]) for k in chosen})
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(keys, "doc_id long, text_hash long"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    text = {(x["doc_id"], x["text_hash"]): x["text"] for x in texts.collect()}
+    return [(text[found[k]["doc_id"], found[k]["text_hash"]], found[k]["y"]) for k in sorted(chosen)]
 
 
 def scored(docs: DataFrame, fold: tuple[int, int], score, **kept) -> DataFrame:

@@ -268,6 +268,20 @@ def test_sample_is_bounded_and_leaves_the_fold_out(spark):
     assert 0 < sum(len(t) for t, _ in labelled_sample(docs, labels, "quality", (3, 1), 50, 800)) <= 800
 
 
+def test_one_long_text_does_not_end_the_sample(spark):
+    from airshed.llm.common import labelled_sample
+
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 3 != 1]
+    labels = spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, quality int")
+    for long in ids[:8]:  # some of them early in hash order
+        docs = frame(spark, [(k, f"t{k}" * (1 if k != long else 1000), None, None, None) for k in ids])
+        rows = labelled_sample(docs, labels, "quality", (3, 1), 50, 1500)
+        assert sorted(t for t, _ in rows) == sorted(f"t{k}" for k in ids if k != long)
+    docs = frame(spark, [(k, "x" * (10 if k % 2 else 2000), None, None, None) for k in ids])
+    with pytest.raises(ValueError, match="fits"):
+        labelled_sample(docs, labels, "quality", (3, 1), 50, 1500)
+
+
 def test_counterfactual_penalty_levels_group_names():
     rng = random.Random(0)
     rows = []
