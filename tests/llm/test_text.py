@@ -323,6 +323,15 @@ def test_language_model_contract(spark, odd):
     assert pitman_yor.score_documents(frame(spark, [])).count() == 0
 
 
+def test_markers_follow_all_counts_whatever_the_chunks(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "MARKERS", 2)
+    # "of" is third in either chunk, but first of all
+    rows = [(k, " ".join(["the"] * 5 * (k < 3) + ["sea"] * 5 * (k > 2) + ["fog"] * 4 * (k < 3) + ["elm"] * 4 * (k > 2) + ["of"] * 3), None, None, None) for k in (0, 2, 3, 4)]
+    found = [set(pitman_yor.marker_classes(pitman_yor.encode(frame(spark, rows).coalesce(1), size))) for size in (1, 60, 1 << 20)]
+    assert found == [{b"of", b"sea"}] * 3
+    assert all(zlib.crc32(str(k).encode()) % 7 != 2 for k, *_ in rows)
+
+
 def test_language_model_beats_the_base_on_held_out(spark, sf_small):
     rows = [r for r in QUERIES["op5_pitman_yor"](spark, sf_small).collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
