@@ -8,6 +8,10 @@ do middling ones.  The second pass gives open blocks the label of the nearest de
 neighbours.  Where the page marks its article, only blocks inside it are candidates, and
 open blocks without a decided neighbour there are in.
 
+A name or a form marks an element only if the element has a minor share of the page's text
+and doesn't hold its main part or first article.  Where most long blocks fit none of the
+languages of the stop words, long blocks with few links stay open.
+
 Cases: null and empty html give an empty text, as does a page without text.  Unclosed and
 stray tags are tolerated.  Text that repeats stays.  Extra columns are ignored.
 """
@@ -47,8 +51,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 HINT = re.compile(
     r"(?<![a-z])(?:ads?|adverts?|advertis\w*|banners?|breadcrumbs?|captcha|comments?|commentlist|consent|cookies?|disclaimer|disqus|gdpr|login|menus?|modal|navbar|navigation|nav|newsletter|notices?|notification|outbrain|pager|pagination|paywall|popup|promo\w*|related|replies|respond|share|sharing|sidebars?|signup|social|sponsor\w*|subscribe|taboola|toolbar|widgets?)(?![a-z])"
 )
+#: Names that tell of a part elsewhere, or of what wraps it.
+OTHER_PART = re.compile(r"(?:has|with|no|without)[-_].*|.*[-_](?:wrap|wrapper|open|closed)")
 END_HINT = re.compile(r"(?<![a-z])(?:footer|header|masthead|topbar)(?![a-z])")
 
+MINOR, FIRST = 0.5, 0.3  # shares of the page's text: of a named part at most, of one that holds the first article at least
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.20, 0.30
 LINKS_HIGH, LINKS_ARTICLE = 0.2, 0.6
@@ -68,7 +75,7 @@ class Block:
 
 
 def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element names itself boilerplate."""
+    """Whether an element is boilerplate by its kind, role or style."""
     if name in PAGE_ENDS:
         return not in_article or name == "footer"
     if not attributes or name in ("html", "body", "main"):
@@ -76,9 +83,18 @@ def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
     found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     if found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true" or re.search(r"(?:\s|^)hidden(?:\s|=|$)", attributes, re.I) and name not in ("input",):
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
+
+
+def _named(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element names itself boilerplate, or is a form."""
+    if name == "form":
         return True
-    named = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()
+    if not attributes or name in ("html", "body", "main"):
+        return False
+    found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
+    tokens = f"{found.get('class', '')} {found.get('id', '')}".split()
+    named = " ".join(x for x in (re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower() for x in tokens) if not OTHER_PART.fullmatch(x))
     return bool(HINT.search(named)) or (not in_article and bool(END_HINT.search(named)))
 
 
@@ -89,7 +105,10 @@ def blocks(page: str) -> list[Block]:
     linked = 0
     link = False
     breaks = 0
-    stack: list[tuple[str, bool, bool, int]] = []  # name, left out, boilerplate, number of the article it opened (or 0)
+    stack: list[tuple[str, bool, bool, int, bool]] = []  # name, left out, boilerplate, number of the article it opened (or 0), named
+    named: list[int] = []  # the open named elements
+    within: list[tuple[int, ...]] = []  # of each block, the named elements around it
+    holds: list[str] = []  # of each named element, the main part or first article in it
     skipped = marked = 0
     article: list[int] = []
     articles = 0
@@ -99,16 +118,19 @@ def blocks(page: str) -> list[Block]:
         joined = " ".join("".join(text).split())
         if joined:
             out.append(Block(joined, linked, article[-1] if article else 0, marked > 0, bool(stack) and stack[-1][0] in HEADINGS))
+            within.append(tuple(named))
         text.clear()
         linked = 0
 
     def pop() -> None:
         nonlocal skipped, marked
-        _, left, plate, number = stack.pop()
+        _, left, plate, number, part = stack.pop()
         skipped -= left
         marked -= plate
         if number:
             article.pop()
+        if part:
+            named.pop()
 
     at = 0
     while at < len(page):
@@ -162,16 +184,30 @@ def blocks(page: str) -> list[Block]:
         if not (block or name in LEFT_OUT):
             continue
         left = name in LEFT_OUT and name not in ("nav", "aside", "menu", "dialog", "form")
-        plate = not left and (name in LEFT_OUT or _boilerplate(name, attributes, bool(article)))
+        plate = not left and (name in LEFT_OUT and name != "form" or _boilerplate(name, attributes, bool(article)))
+        part = not left and not plate and _named(name, attributes, bool(article))
         number = 0
         if name in ARTICLE and not plate and not marked:
+            if name == "main" or not articles:
+                for k in named:
+                    holds[k] = "main" if name == "main" else holds[k] or name
             articles += 1
             number = article[0] if article else articles
             article.append(number)
-        stack.append((name, left, plate, number))
+        stack.append((name, left, plate, number, part))
+        if part:
+            named.append(len(holds))
+            holds.append("")
         skipped += left
         marked += plate
     flush()
+    size = [0] * len(holds)
+    for block, around in zip(out, within, strict=True):
+        for k in around:
+            size[k] += len(block.text)
+    whole = sum(len(b.text) for b in out)
+    for block, around in zip(out, within, strict=True):
+        block.boilerplate |= any(size[k] <= MINOR * whole and holds[k] != "main" and not (holds[k] and size[k] >= FIRST * whole) for k in around)
     return out
 
 
@@ -230,6 +266,11 @@ def main_text(page: str | None) -> str:
         keep = second_pass([first_pass(b, True) for b in inside], GOOD, [b.heading for b in inside])
         return "\n".join(b.text for b, k in zip(inside, keep, strict=True) if k)
     labels = [first_pass(b, False) for b in found]
+    long = [k for k, b in enumerate(found) if len(b.text) >= LENGTH_LOW and not b.boilerplate and b.linked <= LINKS_HIGH * len(b.text.replace(" ", ""))]
+    strange = [k for k in long if labels[k] == BAD]
+    if 4 * sum(len(found[k].text) for k in long if labels[k] != BAD) < sum(len(found[k].text) for k in strange):
+        for k in strange:
+            labels[k] = NEAR
     if NEAR in labels and GOOD not in labels:  # a page of middling blocks only
         labels = [GOOD if x == NEAR else x for x in labels]
     keep = second_pass(labels, BAD, [b.heading for b in found])

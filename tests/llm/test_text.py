@@ -245,6 +245,22 @@ def test_byte_net_equals_plain_convolution(rng):
     assert np.allclose(alone, got, atol=1e-4)
 
 
+def test_wrappers_and_other_languages_keep_their_text():
+    text = "The river is as long as the road that leads to the sea, and it was there before the town. " * 4
+    want = " ".join(text.split())
+    side = '<div class="sidebar">' + "Some of the links that we have for you are in this list of all the things to read. " * 2 + "</div>"
+    for page in (
+        f'<div class="content-sidebar-wrap"><main><p>{text}</p></main></div>',
+        f'<div class="has-sidebar"><p>{text}</p>{side}</div>',
+        f'<article class="post comments-open"><p>{text}</p></article>',
+        f'<form action="x"><div><p>{text}</p></div></form>',
+        f'<div class="widget"><article><p>{text}</p></article></div>{side}',
+    ):
+        assert html_text.main_text(f"<html><body>{page}</body></html>") == want
+    russian = "Река течёт через старый город и впадает в холодное море далеко на севере страны. " * 4
+    assert html_text.main_text(f"<body><p>{russian}</p></body>") == russian.strip()
+
+
 def test_quality_without_both_labels(spark, odd):
     labels = spark.createDataFrame([(k, 1, 0) for k in range(9)], "doc_id long, quality int, toxic int")
     net = quality.train(frame(spark, odd), labels)
