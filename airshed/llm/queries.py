@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airshed.llm import decontaminate, exact_dedup, html_text, jaccard_join, piece_bpe, pitman_yor, quality, substring_dedup, toxicity, url_filter
+from airshed.llm import (
+    chat_format, decontaminate, exact_dedup, html_text, jaccard_join, piece_bpe, pitman_yor, quality, spelling, substring_dedup, token_align, toxicity, url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -19,9 +21,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_chat_format": chat_format.op12_chat_format,
+    "op13_token_align": token_align.op13_token_align,
 }
 
 ORACLES: dict[str, str] = {
     "op3_url_filter": url_filter.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op12_chat_format": chat_format.SQL,
 }
