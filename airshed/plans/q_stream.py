@@ -50,8 +50,7 @@ FROM (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 24 HOUR THEN
             FROM hourly WHERE pm25 > 35e0) a) b GROUP BY location_id, sid""", ["peak"])
 def stream_episodes(spark, d):
     """Pollution episodes as session windows (PM2.5 > 35, gap 24 h)."""
-    return _win(S.episodes_table(S.hourly_stream(spark, d), domain.hourly(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))),
-                "session_window")
+    return _win(S.episodes_table(S.hourly_stream(spark, d)), "session_window")
 
 
 @query("stream_dedup", V("hourly") + """
@@ -91,7 +90,7 @@ def nowcast_pm(spark, d):
 
 @query("stream_nowcast", V("hourly", extra=[("hm", _HM)]) + _nowcast_sql(), ["nowcast"])
 def stream_nowcast(spark, d):
-    """T5: running NowCast per location over the hourly means that the stream keeps."""
+    """T5: running NowCast per location, emitted by the stream from its keyed state."""
     return S.nowcast_table(S.hourly_stream(spark, d))
 
 

@@ -9,9 +9,9 @@ the watermark bounds the state.
 
 T1  tumbling 1-day mean per location and parameter (watermark 2 days)
 T2  sliding 8-hour mean, 1-hour slide
-T3  session windows: pollution episodes (PM2.5 > 35, gap 24 h)
+T3  session windows: pollution episodes (PM2.5 > 35, gap 24 h); those still open are read from the stream's state
 T4  de-duplication within the watermark + per-day counts, late-data accounting
-T5  running NowCast: hourly sums kept by the stream, NowCast of the hours they feed
+T5  running NowCast: keyed state with the hourly sums of each location, from which the stream emits
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from airshed.constants import HIGH_POLLUTION
-from airshed.operators import timeseries
 from airshed.session import checkpoint_dir
 
 WATERMARK = "2 days"
@@ -111,14 +110,28 @@ def episodes(rows: DataFrame, threshold: float = HIGH_POLLUTION, gap: str = "24
         F.count("*").alias("n"), F.max("pm25").alias("peak"))
 
 
-def episodes_table(stream: DataFrame, landed: DataFrame, path: str | None = None) -> DataFrame:
-    """All episodes of what has landed: the stream emits those that the watermark has closed
-    (append mode, so open sessions alone are state); those still open come from the landed rows
-    after each location's last closed session."""
-    closed = run_to_table(episodes(stream), "episodes", mode="append", keys=["location_id", "session_window"], path=path)
-    last = closed.groupBy("location_id").agg(F.max("session_window.end").alias("_last"))
-    still = landed.join(last, "location_id", "left").where(F.col("_last").isNull() | (F.col("ts") >= F.col("_last")))
-    return closed.unionByName(episodes(still.drop("_last")))
+def open_sessions(spark: SparkSession, checkpoint: str, columns) -> DataFrame:
+    """The sessions that a stream's state holds after its last batch (none if it never kept any)."""
+    state = spark.read.format("statestore").load(checkpoint)
+    value = {f.name for f in state.schema["value"].dataType.fields}
+    key = {f.name for f in state.schema["key"].dataType.fields}
+    picked = {"location_id": "key.location_id", "session_window": "value.session_window" if "session_window" in value else "key.session_window",
+              "n": "value.count", "peak": "value.max"}
+    return state.select(*[F.col(picked[c] if c in picked else f"key.{c}" if c in key else f"value.{c}").alias(c) for c in columns])
+
+
+def episodes_table(stream: DataFrame, path: str | None = None) -> DataFrame:
+    """All episodes of what has landed: the stream emits those that the watermark has closed (append
+    mode), and those still open are its state, read by the state data source.  The feed is read once."""
+    spark = stream.sparkSession
+    base = path or f"{checkpoint_dir(spark).rstrip('/')}/streams/episodes-{uuid.uuid4().hex}"
+    df = episodes(stream)
+    closed = run_to_table(df, "episodes", mode="append", keys=["location_id", "session_window"], path=base)
+    out = closed.unionByName(open_sessions(spark, f"{base}/checkpoint", df.columns))
+    if path is None:
+        out = out.checkpoint()
+        _drop(spark, base)
+    return out
 
 
 def dedup_counts(stream: DataFrame) -> DataFrame:
@@ -127,21 +140,83 @@ def dedup_counts(stream: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------- T5 NowCast
-def hourly_means(stream: DataFrame) -> DataFrame:
-    """Mean of every location-hour, updated as rows come in; a row later than the watermark
-    allows is dropped by Spark (``late_data_report`` counts such rows)."""
-    w = stream.withWatermark("ts", WATERMARK).groupBy("location_id", F.window("ts", "1 hour"))
-    return w.agg(F.avg("pm25").alias("c"))
+NOWCAST_HOURS = 12
+HOUR_MS = 3_600_000
+HOUR_SUMS = "location_id long, hour_idx long, total double, n long, latest timestamp"
+NOWCASTS = "location_id long, hour_idx long, nowcast double"
+RING = "hours array<long>, totals array<double>, counts array<long>"
+
+
+def hour_sums(stream: DataFrame) -> DataFrame:
+    """Sums of each location-hour within a task's batch of rows, so that a busy location moves few rows; latest is their last event time."""
+    def combine(frames):
+        for pdf in frames:
+            if len(pdf):
+                g = pdf.groupby(["location_id", "hour_idx"], as_index=False)
+                yield g.agg(total=("pm25", "sum"), n=("pm25", "count"), latest=("ts", "max"))
+
+    hour = F.floor(F.unix_timestamp("ts") / 3600).alias("hour_idx")
+    rows = stream.where("ts IS NOT NULL AND location_id IS NOT NULL").select("location_id", hour, "ts", "pm25")
+    return rows.mapInPandas(combine, HOUR_SUMS)
+
+
+def weighted(values: list) -> float | None:
+    """NowCast of up to twelve hourly means, newest first (None: no mean)."""
+    there = [v for v in values if v is not None]
+    if sum(v is not None for v in values[:3]) < 2:
+        return None
+    low, high = min(there), max(there)
+    w = 1.0 if high == 0 else max(0.5, low / high)
+    top = sum(w**i * v for i, v in enumerate(values) if v is not None)
+    return top / sum(w**i for i, v in enumerate(values) if v is not None)
+
+
+def _nowcast_state(key, frames, state):
+    """One location's step: adds the batch's sums to the ring and gives the NowCast of every hour that they change.
+
+    The ring holds the hours that the watermark still admits and the eleven before them.  Rows of closed hours are
+    late and dropped, as a window aggregate would.  A timer removes the ring once no later hour can need it."""
+    import pandas as pd
+
+    if state.hasTimedOut:
+        state.remove()
+        return
+    ring: dict = {}
+    if state.exists:
+        hours, totals, counts = state.get
+        ring = {int(h): [float(t), int(c)] for h, t, c in zip(hours, totals, counts)}
+    bound = state.getCurrentWatermarkMs()
+    changed = set()
+    for pdf in frames:
+        for hour, total, n in zip(pdf["hour_idx"].tolist(), pdf["total"].tolist(), pdf["n"].tolist()):
+            if n and (hour + 1) * HOUR_MS > bound:
+                held = ring.setdefault(hour, [0.0, 0])
+                held[0] += total
+                held[1] += n
+                changed.add(hour)
+    due = sorted({h + k for h in changed for k in range(NOWCAST_HOURS)} & ring.keys())
+    mean = {h: t / c for h, (t, c) in ring.items()}
+    made = [weighted([mean.get(h - i) for i in range(NOWCAST_HOURS)]) for h in due]
+    oldest = bound // HOUR_MS - NOWCAST_HOURS + 1
+    kept = sorted(h for h in ring if h >= oldest)
+    if kept:
+        state.update((kept, [ring[h][0] for h in kept], [ring[h][1] for h in kept]))
+        state.setTimeoutTimestamp(max((kept[-1] + NOWCAST_HOURS + 1) * HOUR_MS, bound + 1))
+    elif state.exists:
+        state.remove()
+    if due:
+        yield pd.DataFrame({"location_id": [key[0]] * len(due), "hour_idx": due, "nowcast": pd.Series(made, dtype="float64")})
+
+
+def nowcast_stream(stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """NowCast rows in update mode: an hour is emitted when it or one of the eleven before it changes."""
+    sums = hour_sums(stream).withWatermark("latest", watermark)
+    return sums.groupBy("location_id").applyInPandasWithState(_nowcast_state, NOWCASTS, RING, "update", "EventTimeTimeout")
 
 
 def nowcast_table(stream: DataFrame, path: str | None = None) -> DataFrame:
-    """NowCast of every location-hour over what the stream has kept: the stream's state is a sum
-    and a count for each hour within the watermark, and an hour that late rows change also changes
-    the later hours that it feeds.  Equal to the batch NowCast of the same rows."""
-    hours = run_to_table(hourly_means(stream), "nowcast", keys=["location_id", "window"], path=path)
-    hours = hours.where("c IS NOT NULL").select(
-        "location_id", F.floor(F.unix_timestamp("window.start") / 3600).cast("long").alias("hour_idx"), "c")
-    return timeseries.nowcast_hours(hours)
+    """The latest NowCast of every location-hour that the stream has emitted; equal to the batch NowCast of the accepted rows."""
+    return run_to_table(nowcast_stream(stream), "nowcast", keys=["location_id", "hour_idx"], path=path)
 
 
 # --------------------------------------------------------- T4 late data

@@ -118,8 +118,14 @@ def test_episodes_over_batches_equal_batch_sessions(spark, sf_small):
     folder = tempfile.mkdtemp(prefix="airshed-episodes-")
     _land(_split_days(spark, sf_small, 9), folder)
     feed = _feed(spark, sf_small)
-    out = S.episodes_table(S.hourly_stream(spark, folder, file_glob="events-*.parquet", max_files=1), feed)
     cols = ["location_id", "session_window", "n", "peak"]
+    stream = S.episodes(S.hourly_stream(spark, folder, file_glob="events-*.parquet", max_files=1))
+    path = tempfile.mkdtemp(prefix="airshed-sessions-")
+    closed = S.run_to_table(stream, "closed", mode="append", keys=["location_id", "session_window"], path=path)
+    still = S.open_sessions(spark, f"{path}/checkpoint", cols)
+    assert closed.count() and still.count()  # both ways are met, and no session comes by both
+    assert not set(_rows(closed, cols)) & set(_rows(still, cols))
+    out = S.episodes_table(S.hourly_stream(spark, folder, file_glob="events-*.parquet", max_files=1))
     assert _rows(out, cols) == _rows(S.episodes(feed), cols)
 
 
@@ -155,3 +161,41 @@ def test_late_data_accounting_does_not_depend_on_the_progress_limit(spark, sf_sm
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
     assert sum(r.input_rows for r in rep) == domain.table(spark, sf_small, "events").count()
     assert any(r.dropped_late > 0 for r in rep)
+
+
+def _hours(spark, rows):
+    """(event_id, user_id, ts, value) rows as the feed's files hold them."""
+    return spark.createDataFrame([(k, loc, "2020-01-01 00:00:00", hour, v) for k, (loc, hour, v) in enumerate(rows)], "event_id long, user_id long, t string, h double, value double") \
+        .select("event_id", "user_id", (F.col("t").cast("timestamp") + F.make_interval(secs=F.col("h") * 3600)).cast("timestamp_ntz").alias("ts"), "value")
+
+
+def _stream_of(spark, folder):
+    return S.hourly_stream(spark, folder, file_glob="events-*.parquet", max_files=1)
+
+
+def test_nowcast_restart_and_late_rows(spark):
+    folder, path = tempfile.mkdtemp(prefix="airshed-nowcast-"), tempfile.mkdtemp(prefix="airshed-ring-")
+    first = [(1, h + 0.1, 10.0 + h) for h in range(20)] + [(2, 3.5, 7.0), (2, 4.5, None), (1, 19.9, 1.0)]
+    again = [(1, 5.2, 99.0), (1, 60.0, 5.0), (1, 61.0, 6.0)]  # hour 5 is late but within two days
+    far = [(1, 200.0, 1.0)]
+    late = [(1, 6.0, 1e6), (1, 199.0, 3.0)]  # hour 6 is closed by now
+    _land([_hours(spark, first), _hours(spark, again)], folder)
+    S.nowcast_table(_stream_of(spark, folder), path=path)
+    _land([_hours(spark, far), _hours(spark, late)], folder)
+    out = S.nowcast_table(_stream_of(spark, folder), path=path)
+    kept = [r for r in first + again + far + late if r != (1, 6.0, 1e6)]
+    feed = _hours(spark, kept).select(F.col("user_id").alias("location_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("pm25"))
+    cols = ["location_id", "hour_idx", "nowcast"]
+    key = lambda rows: sorted(rows, key=str)
+    got = key(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in out.select(*cols).collect())
+    exp = key(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in ts.nowcast(feed).select(*cols).collect())
+    assert got == exp and any(r[2] is None for r in got) and any(r[2] is not None for r in got)
+    # The ring is bounded: what the state holds is the hours after the watermark and eleven more; location 2 has timed out.
+    state = spark.read.format("statestore").load(f"{path}/checkpoint")
+    assert state.count() == 1
+
+
+def test_nowcast_weights():
+    assert S.weighted([None, None, 3.0]) is None and S.weighted([1.0]) is None and S.weighted([0.0, 0.0, 0.0]) == 0.0
+    assert S.weighted([4.0, 4.0]) == 4.0 and S.weighted([2.0, None, 8.0]) == (2 + 0.25 * 8) / 1.25
+    assert abs(S.weighted([9.0, 10.0, None, 10.0]) - (9 + 9 + 0.729 * 10) / (1 + 0.9 + 0.729)) < 1e-12
