@@ -246,7 +246,11 @@ def city_experiment(merged: DataFrame, mode: Mode, target: str, alpha: float = 1
 # ---------------------------------------------------------------- scoring
 def score_with_aqi(model, df: DataFrame, keys: list[str]) -> DataFrame:
     """predict -> expm1 -> predicted_pm25 -> AQI and category of the prediction."""
-    p = model.transform(df)
+    return with_aqi(model.transform(df), keys)
+
+
+def with_aqi(p: DataFrame, keys: list[str]) -> DataFrame:
+    """Predictions of the log target as concentration, AQI and category."""
     pred = F.greatest(F.expm1(F.col("prediction")), F.lit(0.0))
     out = p.select(*keys, pred.alias("predicted_pm25"))
     return out.select("*", aqi_strict(F.col("predicted_pm25"), "pm25").alias("predicted_aqi")) \

@@ -13,6 +13,7 @@ either side.  ``grow`` doesn't care where the sums come from:
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -66,25 +67,28 @@ class Tree:
 
 
 def best_splits(total: np.ndarray, count: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """gain, feature, bin and side of NULLs of each node's best split, from its sums by (node, feature, bin); bin 255 holds the NULLs.
+    """gain, feature, bin and side of NULLs of each node's best split, from its sums by (node, feature, bin); the last bin holds the NULLs.
 
     The gain is the fall of the squared error; of equal ones, the first feature, lowest bin and NULLs right win."""
-    s, n = total[..., :NULL].cumsum(-1), count[..., :NULL].cumsum(-1)
-    null_s, null_n = total[..., NULL:], count[..., NULL:]
+    bins = total.shape[-1] - 1
+    s, n = total[..., :bins].cumsum(-1), count[..., :bins].cumsum(-1)
+    null_s, null_n = total[..., bins:], count[..., bins:]
     all_s, all_n = s[..., -1:] + null_s, n[..., -1:] + null_n
-    base = (all_s[:, :1] ** 2 / np.maximum(all_n[:, :1], 1))
+    base = all_s[:, 0, 0] ** 2 / np.maximum(all_n[:, 0, 0], 1)
     gains = []
-    for ls, ln in ((s, n), (s + null_s, n + null_n)):
-        rs, rn = all_s - ls, all_n - ln
+    sides = (False, True) if null_n.any() else (False,)
+    for null_left in sides:
+        ls, ln = (s + null_s, n + null_n) if null_left else (s, n)
+        rn = all_n - ln
+        fits = (ln >= least) & (rn >= least)
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = ls**2 / ln + rs**2 / rn - base
-        gains.append(np.where((ln >= least) & (rn >= least), gain, -np.inf))
+            gains.append(np.where(fits, ls**2 / ln + (all_s - ls) ** 2 / rn, -np.inf))
     both = np.stack(gains, -1).reshape(len(total), -1)  # (feature, bin, side)
-    # sums added in another order differ in their last digits: gains are compared to ten digits
-    scale = np.maximum(np.abs(both.max(1, keepdims=True, initial=0.0, where=np.isfinite(both))), 1e-300)
-    pick = np.where(np.isfinite(both), np.round(both / scale, 10), -np.inf).argmax(1)
-    gain = both[np.arange(len(both)), pick]
-    return gain, pick // (2 * NULL), pick // 2 % NULL, pick % 2 == 1
+    # sums added in another order differ in their last digits, and the first of what is equal but for them is taken
+    top = both.max(1, keepdims=True)
+    pick = (both >= top - 1e-11 * np.abs(top)).argmax(1)
+    gain = both[np.arange(len(both)), pick] - base
+    return gain, pick // (len(sides) * bins), pick // len(sides) % bins, pick % len(sides) == 1
 
 
 def grow(sums: Callable[[Tree, list[int]], tuple[np.ndarray, np.ndarray]], depth: int, leaves: int | None, least: int) -> Tree:
@@ -138,24 +142,28 @@ def binned(x: np.ndarray, points: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def array_sums(bins: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Callable:
-    """Sums over rows held in arrays."""
+def array_sums(bins: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, width: int = NULL) -> Callable:
+    """Sums over rows held in arrays, for ``width`` bins and the NULLs."""
     n, n_f = bins.shape
     w = np.ones(n) if weight is None else weight
+    column = np.minimum(bins, width) + np.arange(n_f) * (width + 1)
 
     def sums(tree: Tree, nodes: list[int]):
         place = np.full(len(tree.feature), -1)
         place[nodes] = np.arange(len(nodes))
         at = place[tree.leaf_of(bins)]
-        here = at >= 0
-        cell = ((at[here, None] * n_f + np.arange(n_f)) * 256 + bins[here]).ravel()
-        size = len(nodes) * n_f * 256
-        total = np.bincount(cell, np.repeat(w[here] * y[here], n_f), size)
-        return total.reshape(len(nodes), n_f, 256), np.bincount(cell, np.repeat(w[here], n_f), size).reshape(len(nodes), n_f, 256)
+        here = np.flatnonzero((at >= 0) & (w > 0))
+        cell = (at[here, None] * (n_f * (width + 1)) + column[here]).ravel()
+        size, shape = len(nodes) * n_f * (width + 1), (len(nodes), n_f, width + 1)
+        return np.bincount(cell, np.repeat(w[here] * y[here], n_f), size).reshape(shape), np.bincount(cell, np.repeat(w[here], n_f), size).reshape(shape)
 
     return sums
 
 
+def width_of(points: list[np.ndarray]) -> int:
+    return max([len(p) for p in points], default=0) + 1
+
+
 # ---------------------------------------------------------------- models
 
 
@@ -183,13 +191,24 @@ class Model:
         return out / out.sum() if out.sum() else out
 
 
+def to_json(model: Model) -> str:
+    trees = [[t.feature, t.at, [int(b) for b in t.null_left], t.left, t.value, t.gain, t.levels] for t in model.trees]
+    return json.dumps({"points": [p.tolist() for p in model.points], "start": model.start, "rate": model.rate, "trees": trees})
+
+
+def from_json(text: str) -> Model:
+    m = json.loads(text)
+    trees = [Tree(f, at, [bool(b) for b in side], left, value, gain, levels) for f, at, side, left, value, gain, levels in m["trees"]]
+    return Model([np.array(p, float) for p in m["points"]], m["start"], m["rate"], trees)
+
+
 def boost(x: np.ndarray, y: np.ndarray, rounds: int, depth: int, leaves: int, least: int, rate: float, bins: int) -> Model:
     points = [cuts(c, bins) for c in x.T]
     b = binned(x, points)
     model = Model(points, float(y.mean()), rate, [])
     f = np.full(len(y), model.start)
     for _ in range(rounds):
-        tree = grow(array_sums(b, y - f), depth, leaves, least)
+        tree = grow(array_sums(b, y - f, None, width_of(points)), depth, leaves, least)
         f += rate * tree.predict(b)
         model.trees.append(tree)
     return model
@@ -203,7 +222,7 @@ def forest(x: np.ndarray, y: np.ndarray, trees: int, depth: int, least: int, bin
     made = []
     for _ in range(trees):
         weight = np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y)).astype(float)
-        made.append(grow(array_sums(b, y, weight), depth, None, least))
+        made.append(grow(array_sums(b, y, weight, width_of(points)), depth, None, least))
     return Model(points, 0.0, 1.0 / trees, made)
 
 
@@ -215,26 +234,22 @@ def fit_groups(df: DataFrame, group: str, keys: list[str], x: list[str], y: list
 
     All groups are fitted by one job; a group's rows (bounded: a city's days) meet in one task."""
     kept = [group, *keys, "split"]
-    rows = df.select(*kept, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(x)], *[F.col(c).cast("double").alias(f"_y{i}") for i, c in enumerate(y)])
+    goals = F.explode(F.array(*[F.struct(F.lit(c).alias("target"), F.col(c).cast("double").alias("goal")) for c in y])).alias("_t")
+    rows = df.select(*kept, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(x)], goals).select("*", F.col("_t.target").alias("_target"), F.col("_t.goal").alias("_goal")).drop("_t")
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + ["algorithm string", "target string", "prediction double"])
     settings = settings or {}
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        train = (frame["split"] == "train").to_numpy()
+        train, goal = (frame["split"] == "train").to_numpy(), frame["_goal"].to_numpy(float)
         v = frame[[f"_x{i}" for i in range(len(x))]].to_numpy(float)
-        out = []
-        for t, target in enumerate(y):
-            goal = frame[f"_y{t}"].to_numpy(float)
-            use = train & ~np.isnan(goal)
-            if not use.any():
-                continue
-            for name in algorithms:
-                make, default = FITS[name]
-                model = make(v[use], goal[use], **{**default, **settings.get(name, {})})
-                out.append(frame.loc[~train, kept].assign(algorithm=name, target=target, prediction=model.predict(v[~train])))
+        use, out = train & ~np.isnan(goal), []
+        for name in algorithms if use.any() else ():
+            make, default = FITS[name]
+            model = make(v[use], goal[use], **{**default, **settings.get(name, {})})
+            out.append(frame.loc[~train, kept].assign(algorithm=name, target=frame["_target"].iloc[0], prediction=model.predict(v[~train])))
         return pd.concat(out) if out else frame.loc[[], kept].assign(algorithm="", target="", prediction=0.0)
 
-    return rows.groupBy(group).applyInPandas(run, schema)
+    return rows.groupBy(group, "_target").applyInPandas(run, schema)
 
 
 # ---------------------------------------------------------------- boosting over distributed rows

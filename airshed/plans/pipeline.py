@@ -108,7 +108,7 @@ def input_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
-def _table_key(p: CityPipeline, tables=("lineitem", "supplier", "nation")) -> str:
+def table_key(p: CityPipeline, tables=("lineitem", "supplier", "nation")) -> str:
     settings = {f.name: getattr(p, f.name) for f in fields(p) if f.name not in ("spark", "sf_dir")}
     files = [x for t in tables for x in input_files(p.spark, f"{p.sf_dir}/{t}.parquet")]
     return hashlib.sha1("|".join([ETL_VERSION, repr(sorted(settings.items())), *files]).encode()).hexdigest()[:16]
@@ -132,7 +132,7 @@ def stored(p: CityPipeline, name: str, build, *partitions: str) -> DataFrame:
     first to finish creates the marker file that names its folder, so nothing is renamed and no
     reader sees an unfinished write."""
     spark = p.spark
-    root = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{_table_key(p)}"
+    root = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{table_key(p)}"
     at = _ready(spark, f"{root}/READY")
     if at is None:
         at = f"{root}/{uuid.uuid4().hex}"

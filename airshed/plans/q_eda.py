@@ -275,18 +275,34 @@ def acf_frame(spark, d):
     return one.select("city_name", F.explode(arr).alias("s")).select("city_name", "s.lag", "s.acf")
 
 
-@query("acf", V("merged", extra=[("c", "SELECT city_name, date, pm25 - avg(pm25) OVER (PARTITION BY city_name) AS x "
-                                      "FROM merged WHERE pm25 IS NOT NULL")]) +
-       "SELECT city_name, 0 AS lag, 1e0 AS acf FROM c GROUP BY city_name UNION ALL " + _union(
+_ACF_VIEW = ("c", "SELECT city_name, date, pm25 - avg(pm25) OVER (PARTITION BY city_name) AS x FROM merged WHERE pm25 IS NOT NULL")
+_ACF_SQL = "SELECT city_name, 0 AS lag, 1e0 AS acf FROM c GROUP BY city_name UNION ALL " + _union(
     [f"SELECT city_name, {k} AS lag, sum(x * l) / sum(x * x) AS acf FROM (SELECT city_name, x, lag(x, {k}) OVER "
-     f"(PARTITION BY city_name ORDER BY date) AS l FROM c) t GROUP BY city_name" for k in range(1, ACF_LAGS + 1)]),
-       ["acf"])
+     f"(PARTITION BY city_name ORDER BY date) AS l FROM c) t GROUP BY city_name" for k in range(1, ACF_LAGS + 1)])
+
+
+@query("acf", V("merged", extra=[_ACF_VIEW]) + _ACF_SQL, ["acf"])
 def acf(spark, d):
     """ACF lags 0..30 per city (global mean, total-variance denominator)."""
     return acf_frame(spark, d)
 
 
-@query("pacf")
+# Durbin-Levinson: phi holds the coefficients of order k, r the autocorrelations of lags 1, 2, ...
+_DL = f"""
+SELECT city_name, lag, pacf FROM (
+  WITH RECURSIVE dl AS (
+    SELECT city_name, r, 1 AS k, [r[1]] AS phi, r[1] AS pacf FROM rs
+    UNION ALL
+    SELECT city_name, r, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - p * phi[k + 1 - j]), p), p FROM (
+      SELECT *, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 1 - j])))
+                / (1e0 - list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[j]))) AS p
+      FROM dl WHERE k < {ACF_LAGS}) t
+  )
+  SELECT city_name, k AS lag, pacf FROM dl UNION ALL SELECT city_name, 0 AS lag, 1e0 AS pacf FROM rs) o"""
+
+
+@query("pacf", V("merged", extra=[_ACF_VIEW, ("a", _ACF_SQL),
+                                  ("rs", "SELECT city_name, list(acf ORDER BY lag) AS r FROM a WHERE lag > 0 GROUP BY city_name")]) + _DL, ["pacf"])
 def pacf(spark, d):
     """PACF lags 0..30 per city by Durbin-Levinson over the ACF rows (31 rows per city,
     solved in ``applyInPandas``; the heavy part -- the ACF sums -- stays in Spark)."""

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from airshed.operators import experiments as EX
 from airshed.operators import features as FE
 from airshed.operators import ml as ML
 from airshed.operators import split as SP
+from airshed.plans.finish import round4
 from airshed.plans.oracle_views import with_views as V
-from airshed.plans.pipeline import stored_merged
+from airshed.plans.pipeline import CityPipeline, stored_merged, table_key
+from airshed.plans.q_series import _features_sql
 from airshed.plans.registry import query
 from airshed.session import checkpoint_dir
 
@@ -19,48 +22,56 @@ def merged(spark, d):
     return stored_merged(spark, d)
 
 
-GRID_SCHEMA = ("mode string, algorithm string, target string, val_rmse double, val_mae double, val_r2 double, "
-               "test_rmse double, test_mae double, test_r2 double, error string")
+def _codes(scope):
+    return [m.code for m in ML.MODE_TABLE.values() if m.scope == scope]
 
 
-def _grid_df(spark, rows):
-    cols = ["mode", "algorithm", "target", "val_rmse", "val_mae", "val_r2", "test_rmse", "test_mae", "test_r2", "error"]
-    for c in cols:
-        if c not in rows.columns:
-            rows[c] = None
-    return spark.createDataFrame(rows[cols].astype(object).where(rows[cols].notna(), None), GRID_SCHEMA)
+def _registry(spark, d):
+    """Where the results of these inputs are kept."""
+    p = CityPipeline(spark, d)
+    return EX.results_path(spark, table_key(p))
 
 
-def _codes(scope):
-    return [m.code for m in ML.MODE_TABLE.values() if m.scope == scope]
+def _recorded(spark, d, part, parts):
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return EX.record(out, _registry(spark, d), part)
 
 
 @query("experiment_grid")
 def experiment_grid(spark, d):
-    """All eight modes.  Global modes x the linear algorithms; city modes as the mean of
-    the cities' own models (ridge).  The tree algorithms at their full settings are
-    ``experiment_forest`` and ``experiment_boosting``."""
+    """Ridge, lasso and elastic net in all eight modes, with a row for every city of the city
+    modes; each mode's models come from one aggregate.  Like the other experiments it is stored in the
+    result registry, from which ``production_fit`` chooses."""
     m = merged(spark, d)
-    grid = _grid_df(spark, ML.experiment_grid(m, _codes("global"), ML.LINEAR))
-    for code in _codes("city"):
-        mode = ML.MODE_TABLE[code]
-        for target in mode.target_list:
-            of = lambda s, k: F.avg(F.when(F.col("split") == s, F.col(k))).alias(f"{s}_{k}")
-            row = ML.city_experiment(m, mode, target).agg(*[of(s, k) for s in ("val", "test") for k in ("rmse", "mae", "r2")])
-            grid = grid.unionByName(row.select(F.lit(code).alias("mode"), F.lit("Ridge").alias("algorithm"), F.lit(target).alias("target"), "*", F.lit(None).cast("string").alias("error")))
-    return grid
+    return _recorded(spark, d, "linear", [EX.linear(m, code) for code in ML.MODE_TABLE])
 
 
 @query("experiment_forest")
 def experiment_forest(spark, d):
-    """L3: random forest (100 trees, depth 15), mode GTS."""
-    return _grid_df(spark, ML.experiment_grid(merged(spark, d), ["GTS"], ["RandomForest"]))
+    """Random forest (100 trees, depth 15) in the four global modes."""
+    return _recorded(spark, d, "forest_global", [EX.global_forest(merged(spark, d), _codes("global"))])
+
+
+@query("experiment_forest_city")
+def experiment_forest_city(spark, d):
+    """Random forests of every city in the four city modes; a mode's cities are one job."""
+    m = merged(spark, d)
+    return _recorded(spark, d, "forest_city", [EX.city_trees(m, code, ["RandomForest"]) for code in _codes("city")])
 
 
 @query("experiment_boosting")
 def experiment_boosting(spark, d):
-    """L4: gradient boosting (200 rounds, depth 5), mode GTS."""
-    return _grid_df(spark, ML.experiment_grid(merged(spark, d), ["GTS"], ["GradientBoosting"]))
+    """Histogram gradient boosting (200 rounds, depth 5, 31 leaves, NULLs routed) in the four global modes."""
+    return _recorded(spark, d, "boosting_global", [EX.global_boosting(merged(spark, d), _codes("global"))])
+
+
+@query("experiment_boosting_city")
+def experiment_boosting_city(spark, d):
+    """Histogram gradient boosting of every city in the four city modes."""
+    m = merged(spark, d)
+    return _recorded(spark, d, "boosting_city", [EX.city_trees(m, code, ["GradientBoosting"]) for code in _codes("city")])
 
 
 _MODES_SQL = "\nUNION ALL\n".join(
@@ -108,23 +119,9 @@ def linear_coefficients(spark, d):
 
 @query("multi_output")
 def multi_output(spark, d):
-    """One model per target on rows where every target is present (same X)."""
-    mode = ML.MODE_TABLE["GHM"]
-    feats = FE.build_features(merged(spark, d), mode.experiment, mode.target_list, horizon=1)
-    cols = FE.feature_columns(mode.experiment, mode.target_list)
-    feats = ML.as_double(feats, cols).cache()
-    split = SP.chrono_split(feats)
-    train = split.where(F.col("split") == "train")
-    outs = []
-    for t in mode.target_list:
-        sigma, n = ML.label_std(train, f"{t}_log")
-        model = ML.feature_pipeline(cols, ML.make_estimator("Ridge", f"{t}_log", n, sigma)).fit(train)
-        m = ML.evaluate(model.transform(split.where(F.col("split") != "train")), t, ["split"])
-        outs.append(m.select(F.lit(t).alias("target"), "*"))
-    res = outs[0].unionByName(outs[1])
-    rows = res.collect()  # a row for each target and split
-    feats.unpersist()
-    return spark.createDataFrame(rows, res.schema)
+    """All targets on the same X from one aggregate and one factorisation (ridge, mode GHM)."""
+    return EX.linear(merged(spark, d), "GHM", ("Ridge",)).select(
+        F.explode(F.array(*[F.struct("target", F.lit(s).alias("split"), *[F.col(f"{s}_{k}").alias(k) for k in ("rmse", "mae", "r2")]) for s in ("val", "test")])).alias("r")).select("r.*")
 
 
 @query("city_models")
@@ -136,28 +133,8 @@ def city_models(spark, d):
 
 @query("city_tree_models")
 def city_tree_models(spark, d):
-    """L7 for trees: one forest per eligible city (>= 100 rows, >= 100 targets), fitted on
-    a city filter of the cached feature table.  Every eligible city is fitted; the fits are
-    independent Spark jobs submitted from a small thread pool so they share the cluster."""
-    from concurrent.futures import ThreadPoolExecutor
-    feats = FE.build_features(merged(spark, d), "weather", ["pm25"], horizon=0)
-    cols = FE.feature_columns("weather", ["pm25"])
-    feats = ML.as_double(feats, cols).cache()
-    # the city list is bounded by the city catalogue
-    cities = [r[0] for r in SP.eligible_cities(feats, min_rows=100, min_target=100).select("city_name").collect()]
-
-    def fit(c):
-        sub = feats.where(F.col("city_name") == c)
-        split = SP.chrono_split(sub)
-        train = split.where(F.col("split") == "train")
-        model = ML.feature_pipeline(cols, ML.make_estimator("RandomForest", "pm25_log", 0, 0.0)).fit(train)
-        m = ML.evaluate(model.transform(split.where(F.col("split") != "train")), "pm25", ["split"])
-        return [(c, r["split"], r["rmse"], r["mae"], r["r2"]) for r in m.collect()]
-
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        rows = [row for part in pool.map(fit, sorted(cities)) for row in part]
-    feats.unpersist()
-    return spark.createDataFrame(rows, "city_name string, split string, rmse double, mae double, r2 double")
+    """L7 for trees: forest and boosting of every eligible city on the weather features, all cities in one job."""
+    return EX.city_trees(merged(spark, d), "CTS").drop("mode", "target")
 
 
 @query("batch_scoring")
@@ -174,27 +151,19 @@ def batch_scoring(spark, d):
 
 @query("production_fit")
 def production_fit(spark, d):
-    """Choose the best global single-target linear configuration by validation RMSE, fit it on all
-    data, save the PipelineModel and its metadata in the shared checkpoint folder, load it back and
-    score (the artefact round-trips).  The run's folder goes after the scores are checkpointed."""
-    import json
+    """The best mode and algorithm by validation RMSE among all results that the registry holds for these
+    inputs (the linear ones are made if none are there; any mode and algorithm that was run can win) is fitted
+    on all data and saved with a manifest of the choice; the scores come from the artefact, read back."""
     import uuid
-    from pyspark.ml import PipelineModel
     from airshed.streaming.hourly import _drop
     m = merged(spark, d)
-    grid = ML.experiment_grid(m, ["GTS", "GHS"], ML.LINEAR)
-    best = grid[grid["val_rmse"].notna()].sort_values(["val_rmse", "mode", "algorithm"]).iloc[0]
-    mode = ML.MODE_TABLE[best["mode"]]
-    cols = FE.feature_columns(mode.experiment, mode.target_list)
-    feats = ML.as_double(FE.build_features(m, mode.experiment, mode.target_list, horizon=mode.horizon), cols)
-    sigma, n = ML.label_std(feats, "pm25_log")
-    model = ML.feature_pipeline(cols, ML.make_estimator(best["algorithm"], "pm25_log", n, sigma)).fit(feats)
-    base = f"{checkpoint_dir(spark).rstrip('/')}/models/{mode.code}-{uuid.uuid4().hex}"
-    model.write().overwrite().save(f"{base}/model")
-    meta = {"mode": mode.code, "algorithm": best["algorithm"], "features": cols, "n_train": n, "val_rmse": float(best["val_rmse"])}
-    spark.createDataFrame([(json.dumps(meta),)], "metadata string").write.mode("overwrite").text(f"{base}/meta")
-    loaded = PipelineModel.load(f"{base}/model")
-    out = ML.score_with_aqi(loaded, feats, ["city_name", "date"]).checkpoint()
+    path = _registry(spark, d)
+    if not EX.versions(spark, path):
+        _recorded(spark, d, "linear", [EX.linear(m, code) for code in ML.MODE_TABLE])
+    best = EX.choose(EX.registered(spark, path))
+    base = f"{checkpoint_dir(spark).rstrip('/')}/models/{best['mode']}-{uuid.uuid4().hex}"
+    EX.train(m, best["mode"], best["algorithm"], base, manifest={**best, "results": EX.versions(spark, path)})
+    out = ML.with_aqi(EX.score(m, base), ["city_name", "date"]).checkpoint()
     _drop(spark, base)
     return out
 
@@ -243,40 +212,57 @@ def rolling_forecast(spark, d):
 
 @query("ablation")
 def ablation(spark, d):
-    """Ablation ladder for the next day's PM2.5: weather -> +lags/rolling -> +interactions ->
-    +static city features (latitude, longitude, log population); validation RMSE per rung (Ridge)
-    and whether the rung improves on the previous one by at least 2 %.  Every rung has the same
-    horizon, the same rows and the same split."""
+    """Ablation ladder for the next day's PM2.5: weather, +time, +lag 1, +lags to 7 and rolling, +interactions,
+    +static city features (position, log population, elevation of the city's stations), and as a control the fourth
+    rung with the city's fingerprint (mean, spread and season variance over the train rows).  One Gram matrix of all
+    candidates gives every rung; all have the same rows and split.  A rung improves if its RMSE is 2 % below the rung before
+    (the control: below the fourth)."""
+    from airshed.constants import CALENDAR_COLS, WEATHER_COLS, WEATHER_LAG_COLS
     from airshed.operators.merge import normalise_city_name
     from airshed.sources import domain
-    m = merged(spark, d)
-    cities = domain.cities(spark, d).select(normalise_city_name(F.col("city_name")).alias("city_name"),
-                                            F.col("lat").alias("city_lat"), F.col("lng").alias("city_lng"),
-                                            F.log(F.col("population").cast("double")).alias("city_log_pop"))
-    static = ["city_lat", "city_lng", "city_log_pop"]
-    every = FE.feature_columns("full", ["pm25"])
-    feats = FE.build_features(m, "full", ["pm25"], horizon=1).join(cities, "city_name")
-    split = SP.chrono_split(ML.as_double(feats, every + static)).cache()
-    train, val = split.where(F.col("split") == "train"), split.where(F.col("split") == "val")
-    sigma, n = ML.label_std(train, "pm25_log")
-    ladder = [("weather", FE.feature_columns("weather", ["pm25"])), ("lag", FE.feature_columns("lag", ["pm25"])),
-              ("full", every), ("full+city", every + static)]
-    rows = []
-    for rung, (label, cols) in enumerate(ladder):
-        cols = [c for c in cols if c in split.columns]
-        model = ML.feature_pipeline(cols, ML.make_estimator("Ridge", "pm25_log", n, sigma)).fit(train)
-        r = ML.evaluate(model.transform(val), "pm25", ["split"]).first()
-        rows.append((rung, label, float(r["rmse"]), float(r["mae"]), float(r["r2"])))
-    split.unpersist()
+    mode = ML.MODE_TABLE["GHS"]
+    c = domain.cities(spark, d)
+    height = domain.stations(spark, d).groupBy("home_city_id").agg(F.avg("elev_m").alias("city_elev"))
+    c = c.join(height, c["city_id"] == height["home_city_id"], "left")
+    static = ["city_lat", "city_lng", "city_log_pop", "city_elev"]
+    c = c.select(normalise_city_name(F.col("city_name")).alias("city_name"), F.col("lat").alias("city_lat"), F.col("lng").alias("city_lng"),
+                 F.log(F.col("population").cast("double")).alias("city_log_pop"), "city_elev")
+    rows, every = EX.mode_rows(merged(spark, d), mode)
+    rows = rows.join(c, "city_name").cache()
+    known = rows.where("split = 'train'")
+    seasons = known.groupBy("city_name", F.floor((F.month("date") % 12) / 3).alias("s")).agg(F.avg("pm25").alias("sm")).groupBy("city_name").agg(F.var_samp("sm").alias("print_season"))
+    prints = known.groupBy("city_name").agg(F.avg("pm25").alias("print_mean"), F.stddev_samp("pm25").alias("print_sd")).join(seasons, "city_name")
+    fingerprint = ["print_mean", "print_sd", "print_season"]
+    x = every + static + fingerprint
+    rows = EX.filled(ML.as_double(rows.join(prints, "city_name", "left"), x), x, mode)
+    lag1 = ["pm25_lag1", *[f"{w}_lag1" for w in WEATHER_LAG_COLS]]
+    more = [f for f in every if "_lag" in f or "_roll" in f]
+    steps = [("weather", list(WEATHER_COLS)), ("+time", list(CALENDAR_COLS)), ("+lag1", lag1), ("+lag7/rolling", [f for f in more if f not in lag1])]
+    steps += [("+interactions", [f for f in every if f not in (*WEATHER_COLS, *CALENDAR_COLS, *more)]), ("+static", static)]
+    ladder, cols = [], []
+    for label, new in steps:
+        cols = cols + [f for f in new if f in x and f not in cols]
+        ladder.append((label, cols))
+    ladder.append(("+lag7/rolling+fingerprint", ladder[3][1] + fingerprint))
+    found = {r["rung"]: r for r in EX.ladder_report(rows, x, "pm25", ladder).collect()}  # a row for each rung
     out = []
-    for k, row in enumerate(rows):
-        improved = None if k == 0 else bool(row[2] <= rows[k - 1][2] * 0.98)
-        out.append(row + (improved,))
-    return spark.createDataFrame(out, "rung int, feature_set string, rmse double, mae double, r2 double, "
-                                      "improves_2pct boolean")
+    for k, (label, _) in enumerate(ladder):
+        before = None if k == 0 else found[3 if k == len(ladder) - 1 else k - 1]["rmse"]
+        r = found[k]
+        out.append((k, label, r["rmse"], r["mae"], r["r2"], None if before is None else bool(r["rmse"] <= before * 0.98)))
+    return spark.createDataFrame(out, "rung int, feature_set string, rmse double, mae double, r2 double, improves_2pct boolean")
+
+
+@query("rolling_validation")
+def rolling_validation(spark, d):
+    """Rolling-origin validation: every 30-day window is predicted by the ridge of all days before it."""
+    rows, cols = EX.mode_rows(merged(spark, d), ML.MODE_TABLE["GHS"], split=False)
+    return EX.rolling_validation(rows, cols, "pm25")
 
 
-@query("one_hot_train_fit")
+@query("one_hot_train_fit", V("merged") + """
+SELECT m.city_name, m.date, list_transform(c.names, lambda x: CAST(x = m.city_name AS DOUBLE)) AS city_onehot
+FROM merged m, (SELECT list_sort(list(DISTINCT city_name)) AS names FROM merged WHERE date < DATE '1999-01-01') c""")
 def one_hot_train_fit(spark, d):
     """One-hot fitted on the training period; unseen categories -> all-zero vector."""
     m = merged(spark, d).select("city_name", "date", "pm25")
@@ -286,20 +272,24 @@ def one_hot_train_fit(spark, d):
     return enc.select("city_name", "date", vector_to_array("city_name_vec").alias("city_onehot"))
 
 
-@query("split_xy")
+@query("split_xy", _features_sql("weather", ["pm25"], 0, "SELECT city_name, date, ["
+       + ", ".join(f"floor(CAST({c} AS DOUBLE) * 10000e0 + 0.500123456e0) / 10000e0" for c in FE.feature_columns("weather", ["pm25"]))
+       + "] AS X, pm25_log AS y FROM feats"), ["y"])
 def split_xy(spark, d):
-    """X (assembled feature vector) / y (log target)."""
+    """X (assembled feature vector to 4 decimals, null where a feature is missing) / y (log target)."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
     feats = FE.build_features(merged(spark, d), "weather", ["pm25"], horizon=0)
     cols = FE.feature_columns("weather", ["pm25"])
     feats = ML.as_double(feats, cols)
     va = VectorAssembler(inputCols=cols, outputCol="X", handleInvalid="keep")
-    return va.transform(feats).select("city_name", "date", vector_to_array("X").alias("X"),
-                                      F.col("pm25_log").alias("y"))
+    out = va.transform(feats).select("city_name", "date", vector_to_array("X").alias("X"), F.col("pm25_log").alias("y"))
+    return out.withColumn("X", F.transform("X", lambda v: F.when(~F.isnan(v), round4(v))))
 
 
-@query("feature_select")
+@query("feature_select", _features_sql("full", ["pm25"], 1, "SELECT feature, non_null FROM (SELECT "
+       + ", ".join(f"count({c}) AS {c}" for c in FE.feature_columns("full", ["pm25"]))
+       + " FROM feats) UNPIVOT (non_null FOR feature IN (" + ", ".join(FE.feature_columns("full", ["pm25"])) + ")) WHERE non_null > 0"))
 def feature_select(spark, d):
     """Numeric feature selection by schema; all-NULL columns dropped (one count aggregate)."""
     feats = FE.build_features(merged(spark, d), "full", ["pm25"], horizon=1)

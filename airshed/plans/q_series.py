@@ -388,7 +388,8 @@ def clip_ranges_q(spark, d):
 
 
 # --------------------------------------------------------------- feature sets
-def _features_sql(experiment: str, targets: list[str], horizon: int) -> str:
+def _features_sql(experiment: str, targets: list[str], horizon: int, outer: str = "") -> str:
+    """SQL of a feature table; ``outer`` is a query over it, which it calls feats."""
     same_day = experiment in ("weather", "temporal")
     sel = ["*", _cal_sql()]
     if not same_day:
@@ -409,8 +410,9 @@ def _features_sql(experiment: str, targets: list[str], horizon: int) -> str:
         tcols += [f"{src} AS {t}", f"ln(1e0 + {src}) AS {t}_log"]
     feats = FE.feature_columns(experiment, targets)
     notnull = " AND ".join(f"{(t + '_f') if fut else t} IS NOT NULL" for t in targets)
-    return (V("merged", extra=[("clipped", CLIPPED), ("pre", PRE)]) +
-            f"SELECT city_name, date, {', '.join(tcols)}, {', '.join(feats)} FROM ({step}) z WHERE {notnull}")
+    body = f"SELECT city_name, date, {', '.join(tcols)}, {', '.join(feats)} FROM ({step}) z WHERE {notnull}"
+    views = [("clipped", CLIPPED), ("pre", PRE)] + ([("feats", body)] if outer else [])
+    return V("merged", extra=views) + (outer or body)
 
 
 def _feature_doubles(experiment, targets):

@@ -73,7 +73,7 @@ def compare(spark_df, con, sql: str, digits: int = 6):
     return True, f"{len(s_n)} rows match"
 
 
-SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+SPARK_TO_DUCK = {"array<double>": "DOUBLE[]", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
                  "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
                  "smallint": "SMALLINT", "float": "FLOAT"}
 

@@ -7,8 +7,8 @@ from harness import compare, duck_connect, type_mismatches
 from airshed.plans.registry import ORACLES, QUERIES, load_all
 
 load_all()
-#: Full-strength boosting and the forests of all cities take minutes; test_models.py checks their settings.
-SLOW_ROWS_ONLY = {"experiment_boosting", "city_tree_models"}
+#: Full-strength boosting and forests take minutes; test_experiments.py runs their functions at small settings, with values.
+SLOW_ROWS_ONLY = {"experiment_boosting", "experiment_boosting_city", "experiment_forest", "experiment_forest_city", "city_tree_models"}
 
 
 @pytest.fixture(scope="module")
