@@ -221,3 +221,31 @@ def test_cache_keeps_results(monkeypatch, documents):
     for t, w in zip(texts, want, strict=True):
         got = small.align(pa.array([t], pa.string()))
         assert all(list(got[k]) == list(w[k]) for k in w)
+
+
+# ---------------------------------------------------------------- seating of the language model
+
+
+def test_small_tables_follow_their_exact_weights():
+    import numpy as np
+
+    from airshed.llm import pitman_yor as P
+
+    d, c, k = 0.6, 40, 4000
+    table = P.log_seatings(d)[c, 1 : c + 1]
+    p = table + np.arange(c) * np.log(1.3)
+    p = np.exp(p - p.max()) / np.exp(p - p.max()).sum()
+    found = np.bincount(P.small_tables(np.full(k, c), np.full(k, 1.3), d, (np.arange(k) + 0.5) / k), minlength=c + 1)[1:] / k
+    assert np.abs(np.cumsum(found) - np.cumsum(p)).max() < 1.01 / k  # evenly spaced numbers give the weights themselves
+    mixed = np.array([2, 5, 1000, 2, 77])
+    u = np.array([0.1, 0.9, 0.5, 0.1, 0.3])
+    one_by_one = [P.small_tables(mixed[i : i + 1], np.full(1, 2.0), d, u[i : i + 1])[0] for i in range(5)]
+    assert P.small_tables(mixed, np.full(5, 2.0), d, u).tolist() == one_by_one
+
+
+def test_scores_do_not_depend_on_the_layout(spark, documents):
+    from airshed.llm import pitman_yor as P
+
+    docs = frame(spark, documents)
+    a, b = ({r["doc_id"]: r["score"] for r in P.score_documents(x).collect()} for x in (docs.coalesce(1), docs.repartition(7)))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) <= 1e-5 * abs(a[k]) for k in a)
