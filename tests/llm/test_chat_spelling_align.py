@@ -249,3 +249,27 @@ def test_scores_do_not_depend_on_the_layout(spark, documents):
     docs = frame(spark, documents)
     a, b = ({r["doc_id"]: r["score"] for r in P.score_documents(x).collect()} for x in (docs.coalesce(1), docs.repartition(7)))
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) <= 1e-5 * abs(a[k]) for k in a)
+
+
+@pytest.mark.parametrize("c, d, a", [(3000, 0.5, 300.0), (2000, 0.8, 150.0), (4000, 0.2, 900.0)])
+def test_great_tables_follow_the_exact_sums(c, d, a):
+    import numpy as np
+
+    from airshed.llm import pitman_yor as P
+
+    log_s = np.full(c + 1, -np.inf)  # log S_d(n, t) by n
+    log_s[1] = 0.0
+    t = np.arange(1, c + 1)
+    for n in range(1, c):
+        stay = n - d * t
+        with np.errstate(divide="ignore"):
+            log_s[1:] = np.logaddexp(log_s[:-1], np.where(stay > 0, log_s[1:] + np.log(np.maximum(stay, 1e-300)), -np.inf))
+    p = log_s[1:] + t * np.log(a)
+    p = np.exp(p - p.max())
+    p /= p.sum()
+    k = 5000
+    mode, spread = P.likely_tables(np.array([float(c)]), np.array([a]), d)
+    assert abs(mode[0] - t[p.argmax()]) < 0.3 * spread[0] and mode[0] >= P.FAR and abs(spread[0] ** 2 / (p @ t**2 - (p @ t) ** 2) - 1) < 0.05
+    found = P.great_tables(np.full(k, float(c)), np.full(k, a), d, (np.arange(k) + 0.5) / k)
+    assert np.abs(np.cumsum(np.bincount(found, minlength=c + 1)[1:] / k) - np.cumsum(p)).max() < 0.004
+    assert (P.sample_tables(np.full(3, c), np.full(3, a), d, np.random.default_rng(0), np.full(3, 0.5)) == found[k // 2]).all()
