@@ -251,8 +251,8 @@ def test_scores_do_not_depend_on_the_layout(spark, documents):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) <= 1e-5 * abs(a[k]) for k in a)
 
 
-@pytest.mark.parametrize("c, d, a", [(3000, 0.5, 300.0), (2000, 0.8, 150.0), (4000, 0.2, 900.0)])
-def test_great_tables_follow_the_exact_sums(c, d, a):
+@pytest.mark.parametrize("c, d, a, near", [(3000, 0.5, 300.0, 0.001), (2000, 0.8, 150.0, 0.03), (2500, 0.2, 500.0, 0.001)])
+def test_great_tables_follow_the_exact_sums(c, d, a, near):
     import numpy as np
 
     from airshed.llm import pitman_yor as P
@@ -271,5 +271,5 @@ def test_great_tables_follow_the_exact_sums(c, d, a):
     mode, spread = P.likely_tables(np.array([float(c)]), np.array([a]), d)
     assert abs(mode[0] - t[p.argmax()]) < 0.3 * spread[0] and mode[0] >= P.FAR and abs(spread[0] ** 2 / (p @ t**2 - (p @ t) ** 2) - 1) < 0.05
     found = P.great_tables(np.full(k, float(c)), np.full(k, a), d, (np.arange(k) + 0.5) / k)
-    assert np.abs(np.cumsum(np.bincount(found, minlength=c + 1)[1:] / k) - np.cumsum(p)).max() < 0.004
+    assert np.abs(np.cumsum(np.bincount(found, minlength=c + 1)[1:] / k) - np.cumsum(p)).max() < near
     assert (P.sample_tables(np.full(3, c), np.full(3, a), d, np.random.default_rng(0), np.full(3, 0.5)) == found[k // 2]).all()
