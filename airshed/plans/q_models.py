@@ -158,7 +158,7 @@ def production_fit(spark, d):
     from airshed.streaming.hourly import _drop
     m = merged(spark, d)
     path = _registry(spark, d)
-    if not EX.versions(spark, path):
+    if "linear" not in dict(EX.versions(spark, path)):
         _recorded(spark, d, "linear", [EX.linear(m, code) for code in ML.MODE_TABLE])
     best = EX.choose(EX.registered(spark, path))
     base = f"{checkpoint_dir(spark).rstrip('/')}/models/{best['mode']}-{uuid.uuid4().hex}"
