@@ -110,18 +110,47 @@ def grouped_avg_rank(df: DataFrame, group: str, col: str, out: str, n_buckets: i
     return df.join(avg_rank_table(df, group, col, out, n_buckets), [group, col]).select(*df.columns, out)
 
 
+def pattern_ranks(long: DataFrame, m: int, n_buckets: int = 64, accuracy: int = 10000) -> DataFrame:
+    """(v, x, ranks) of every distinct value x of every variable v: its average rank among the rows that have
+    variable j too, for each j.  ``long`` holds (v, x, there: bit j is set where the row has variable j).
+
+    As in ``avg_rank_table``, with a count for each j instead of one."""
+    of = range(m)
+    vals = long.groupBy("v", "x").agg(*[F.sum(F.getbit("there", F.lit(j)).cast("long")).alias(f"c{j}") for j in of])
+    cuts = vals.groupBy("v").agg(F.array_sort(F.array_distinct(F.percentile_approx("x", [i / n_buckets for i in range(1, n_buckets)], accuracy))).alias("_cuts"))
+    b = vals.join(F.broadcast(cuts), "v").withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("x")))).drop("_cuts")
+    # variables x buckets rows
+    before = Window.partitionBy("v").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = b.groupBy("v", "_bucket").agg(*[F.sum(f"c{j}").alias(f"s{j}") for j in of])
+    offsets = sums.select("v", "_bucket", *[F.coalesce(F.sum(f"s{j}").over(before), F.lit(0)).alias(f"o{j}") for j in of])
+    below = Window.partitionBy("v", "_bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    rank = [F.col(f"o{j}") + F.coalesce(F.sum(f"c{j}").over(below), F.lit(0)) + (F.col(f"c{j}") + 1) / F.lit(2.0) for j in of]
+    return b.join(F.broadcast(offsets), ["v", "_bucket"]).select("v", "x", F.array(*rank).alias("ranks"))
+
+
 def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]], n_buckets: int = 64) -> DataFrame:
-    """Spearman rho for many pairs in one pass: long form (pair, x, y) on rows where both are
-    present (pairwise complete), grouped average ranks of x and of y, then corr per pair."""
+    """Spearman rho of many pairs, each over the rows that have both variables.
+
+    A variable's ranks among the rows that have another one follow from its values' counts by the other's
+    presence, so every value is ranked once for all pairs; each row then gets its variables' rank vectors, and
+    one aggregate by pair gives all correlations."""
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    if len(cols) > 63:
+        raise ValueError("presence is kept in 63 bits")
     # ranks are taken on values snapped to 1e-9 so ties do not depend on summation order
-    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), snap(F.col(a).cast("double")).alias("x"),
-                                        snap(F.col(b).cast("double")).alias("y")) for i, (a, b) in enumerate(pairs)]))
-    long = df.select(rows.alias("r")).select("r.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    # both rank tables come straight from the long form and are unique on their join keys
-    rx = avg_rank_table(long, "pair", "x", "_rx", n_buckets)
-    ry = avg_rank_table(long, "pair", "y", "_ry", n_buckets)
-    ranked = long.join(rx, ["pair", "x"]).join(ry, ["pair", "y"])
-    res = ranked.groupBy("pair").agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").cast("long").alias("n"))
+    x = [snap(F.col(c).cast("double")) for c in cols]
+    there = sum((F.when(F.col(c).isNotNull(), 1 << j).otherwise(0).cast("long") for j, c in enumerate(cols)), F.lit(0).cast("long"))
+    rows = df.select(there.alias("there"), F.array(*x).alias("_x"), F.monotonically_increasing_id().alias("_row"))
+    long = rows.select("_row", "there", F.posexplode("_x").alias("v", "x")).where(F.col("x").isNotNull())
+    ranked = long.join(pattern_ranks(long, len(cols), n_buckets), ["v", "x"])
+    # at most a vector for each variable of a row
+    one = ranked.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("v", "ranks"))).alias("r"))
+    one = one.select(*[F.element_at("r", F.lit(j)).alias(f"r{j}") for j in range(len(cols))])
+    at = {c: j for j, c in enumerate(cols)}
+    # a row's pairs stay in its task: their sums alone are shuffled
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("pair"), F.col(f"r{at[a]}")[at[b]].alias("x"), F.col(f"r{at[b]}")[at[a]].alias("y")) for i, (a, b) in enumerate(pairs)]))
+    both = one.select(each.alias("s")).select("s.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    res = both.groupBy("pair").agg(F.corr("x", "y").alias("rho"), F.count(F.lit(1)).cast("long").alias("n"))
     names = F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2")) for a, b in pairs])
     return res.select(F.element_at(names, F.col("pair") + 1).alias("v"), "rho", "n").select("v.*", "rho", "n")
 
