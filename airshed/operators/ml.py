@@ -260,6 +260,7 @@ def with_aqi(p: DataFrame, keys: list[str]) -> DataFrame:
 def one_hot_train_fit(train: DataFrame, other: DataFrame, col: str) -> DataFrame:
     """Categories learnt on train (alphabetical); unseen values in ``other`` -> all-zero vector."""
     idx = StringIndexer(inputCol=col, outputCol=f"{col}_idx", handleInvalid="keep", stringOrderType="alphabetAsc")
-    enc = OneHotEncoder(inputCols=[f"{col}_idx"], outputCols=[f"{col}_vec"], dropLast=True, handleInvalid="keep")
+    # the indexer's last index is the one of unseen values: dropped, it leaves them all zeros
+    enc = OneHotEncoder(inputCols=[f"{col}_idx"], outputCols=[f"{col}_vec"], dropLast=True, handleInvalid="error")
     model = Pipeline(stages=[idx, enc]).fit(train)
     return model.transform(other)
