@@ -1,25 +1,29 @@
 """Main text of HTML pages by two passes of block rules.
 
 Markup is cut into blocks at block-level tags; scripts, styles, forms and the like are left
-out whole.  The first pass decides each block: parts that name themselves boilerplate
-(navigation, page header and footer, sidebars, notices, adverts, comments) and blocks of
-links are out; long blocks and blocks dense in stop words are in; short ones stay open, as
-do middling ones.  The second pass gives open blocks the label of the nearest decided
-neighbours.  Where the page marks its article, only blocks inside it are candidates, and
-open blocks without a decided neighbour there are in.
+out whole, as are parts that name themselves boilerplate (navigation, page header and
+footer, sidebars, notices, adverts, comments).  The first pass decides each other block:
+blocks of links are out, long blocks dense in stop words are in, and short and middling ones
+stay open.  The second pass gives open blocks the label of the nearest decided neighbours,
+first the middling ones, then the short ones.  Where the page marks its article, only blocks
+inside it are candidates and the limits are wider; open blocks without a decided neighbour
+are in there, and on other pages if they have a heading.
 
 A name or a form marks an element only if the element has a minor share of the page's text
-and doesn't hold its main part or first article.  Where most long blocks fit none of the
-languages of the stop words, long blocks with few links stay open.
+and doesn't hold its main part or first article.  Where no block is dense in the stop words
+(another language), the middling ones are in.
 
 Cases: null and empty html give an empty text, as does a page without text.  Unclosed and
-stray tags are tolerated.  Text that repeats stays.  Extra columns are ignored.
+stray tags are tolerated, and a page takes time linear in its length whatever its markup.
+Text that repeats stays.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,8 +64,10 @@ LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.20, 0.30
 LINKS_HIGH, LINKS_ARTICLE = 0.2, 0.6
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<![^>]*+>|<\?[^>]*+>""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*+)|!--|[!?])")
+_INSIDE = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
+_LONG_NUMBER = re.compile(r"&#(?:[xX]([0-9a-fA-F]{9,}+)|([0-9]{9,}+))")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
@@ -74,6 +80,45 @@ class Block:
         self.text, self.linked, self.article, self.boilerplate, self.heading = text, linked, article, boilerplate, heading
 
 
+def _short(number: re.Match) -> str:
+    """A reference's number without leading zeros; one beyond all characters as the first of those."""
+    digits = (number[1] or number[2]).lstrip("0") or "0"
+    if len(digits) > 8:
+        digits = "110000" if number[1] else "1114112"
+    return ("&#x" if number[1] else "&#") + digits
+
+
+def decoded(text: str) -> str:
+    return entities.unescape(_LONG_NUMBER.sub(_short, text))
+
+
+def tags(page: str):
+    """(start, end, whether it closes, name, attributes) of each tag in order, in time linear in the page.
+
+    Comments and declarations have an empty name; a raw element (script, style, ...) is one tag up to the end of its
+    closing one.  Quoted values may hold ``>``.  From the first tag whose quotes don't close on the page, tags end at
+    the next ``>``.  What opens after the last ``>`` is text, unless it is a comment."""
+    last, quoted, at = page.rfind(">"), True, 0
+    while tag := _OPEN.search(page, at):
+        start, at = tag.span()
+        name = (tag[2] or "").lower()
+        if tag[0] == "<!--":
+            close = page.find("-->", at)
+            at = close + 3 if close >= 0 else len(page)
+            yield start, at, False, "", ""
+        elif start < last:
+            inside = _INSIDE.match(page, at) if quoted and name else None
+            quoted &= inside is not None or not name
+            end = inside.end() if inside else page.find(">", at) + 1
+            attributes, at = page[at : end - 1], end
+            if name in RAW and not tag[1]:
+                close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+                at = close.start() if close else len(page)
+                if close and (over := page.find(">", at)) >= 0:
+                    at = over + 1
+            yield start, at, bool(tag[1]), name, attributes
+
+
 def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
     """Whether an element is boilerplate by its kind, role or style."""
     if name in PAGE_ENDS:
@@ -106,8 +151,10 @@ def blocks(page: str) -> list[Block]:
     link = False
     breaks = 0
     stack: list[tuple[str, bool, bool, int, bool]] = []  # name, left out, boilerplate, number of the article it opened (or 0), named
+    opened: Counter[str] = Counter()  # open elements by name
     named: list[int] = []  # the open named elements
-    within: list[tuple[int, ...]] = []  # of each block, the named elements around it
+    within: list[int] = []  # of each block, the innermost named element around it (or -1)
+    around: list[int] = []  # of each named element, the one around it (or -1)
     holds: list[str] = []  # of each named element, the main part or first article in it
     skipped = marked = 0
     article: list[int] = []
@@ -118,13 +165,14 @@ def blocks(page: str) -> list[Block]:
         joined = " ".join("".join(text).split())
         if joined:
             out.append(Block(joined, linked, article[-1] if article else 0, marked > 0, bool(stack) and stack[-1][0] in HEADINGS))
-            within.append(tuple(named))
+            within.append(named[-1] if named else -1)
         text.clear()
         linked = 0
 
     def pop() -> None:
         nonlocal skipped, marked
-        _, left, plate, number, part = stack.pop()
+        name, left, plate, number, part = stack.pop()
+        opened[name] -= 1
         skipped -= left
         marked -= plate
         if number:
@@ -133,23 +181,17 @@ def blocks(page: str) -> list[Block]:
             named.pop()
 
     at = 0
-    while at < len(page):
-        tag = _TAG.search(page, at)
-        end = tag.start() if tag else len(page)
-        if end > at and not skipped:
-            piece = entities.unescape(page[at:end])
+    for start, end, closing, name, attributes in chain(tags(page), [(len(page), len(page), False, "", "")]):
+        if start > at and not skipped:
+            piece = decoded(page[at:start])
             text.append(piece)
             if link:
                 linked += len("".join(piece.split()))
             if not piece.isspace():
                 breaks = 0
-        if tag is None:
-            break
-        at = tag.end()
-        closing, name, attributes = (tag[1], tag[2], tag[3]) if tag[2] else (tag[4], tag[5], tag[6])
+        at = end
         if not name:
             continue
-        name = name.lower()
         if name == "br":
             breaks += 1
             text.append(" ")
@@ -163,20 +205,14 @@ def blocks(page: str) -> list[Block]:
         if name == "a" and not skipped:
             link = not closing and "href" in attributes.lower()
         if closing:
-            if (block or name in LEFT_OUT) and any(e[0] == name for e in stack):
+            if opened[name]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
                 if name not in ("p", "li"):
                     link = False
             continue
-        if name in RAW:
-            close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
-            at = close.start() if close else len(page)
-            if close and (over := page.find(">", at)) >= 0:
-                at = over + 1
-            continue
-        if name in VOID or attributes.rstrip().endswith("/"):
+        if name in RAW or name in VOID or attributes.rstrip().endswith("/"):
             continue
         ends = ENDS_OPEN.get(name, {"p"} if block else ())
         while stack and stack[-1][0] in ends:
@@ -188,26 +224,37 @@ def blocks(page: str) -> list[Block]:
         part = not left and not plate and _named(name, attributes, bool(article))
         number = 0
         if name in ARTICLE and not plate and not marked:
-            if name == "main" or not articles:
-                for k in named:
-                    holds[k] = "main" if name == "main" else holds[k] or name
+            if named and name == "main":
+                holds[named[-1]] = "main"
+            elif named and not articles:
+                holds[named[-1]] = holds[named[-1]] or name
             articles += 1
             number = article[0] if article else articles
             article.append(number)
         stack.append((name, left, plate, number, part))
+        opened[name] += 1
         if part:
+            around.append(named[-1] if named else -1)
             named.append(len(holds))
             holds.append("")
         skipped += left
         marked += plate
     flush()
     size = [0] * len(holds)
-    for block, around in zip(out, within, strict=True):
-        for k in around:
+    for block, k in zip(out, within, strict=True):
+        if k >= 0:
             size[k] += len(block.text)
+    for k in range(len(holds) - 1, -1, -1):  # what an element holds, those around it hold too
+        if (outer := around[k]) >= 0:
+            size[outer] += size[k]
+            holds[outer] = "main" if "main" in (holds[k], holds[outer]) else holds[outer] or holds[k]
     whole = sum(len(b.text) for b in out)
-    for block, around in zip(out, within, strict=True):
-        block.boilerplate |= any(size[k] <= MINOR * whole and holds[k] != "main" and not (holds[k] and size[k] >= FIRST * whole) for k in around)
+    minor: list[bool] = []
+    for k, outer in enumerate(around):
+        own = size[k] <= MINOR * whole and holds[k] != "main" and not (holds[k] and size[k] >= FIRST * whole)
+        minor.append(own or (outer >= 0 and minor[outer]))
+    for block, k in zip(out, within, strict=True):
+        block.boilerplate |= k >= 0 and minor[k]
     return out
 
 
@@ -216,23 +263,19 @@ def first_pass(block: Block, marked_article: bool) -> str:
         return BAD
     size = len(block.text)
     links = block.linked / max(1, len(block.text.replace(" ", "")))
-    found = _LETTERS.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in found) / max(1, len(found))
     if links > (LINKS_ARTICLE if marked_article else LINKS_HIGH):
         return BAD
     if size < LENGTH_LOW:
         return SHORT
+    found = _LETTERS.findall(block.text.lower())
+    stops = sum(w in STOP_WORDS for w in found) / max(1, len(found))
     if marked_article:
         return GOOD if stops >= STOP_LOW else NEAR
-    if stops >= STOP_HIGH:
-        return GOOD if size >= LENGTH_HIGH else NEAR
-    return NEAR if stops >= STOP_LOW else BAD
+    return GOOD if stops >= STOP_HIGH and size >= LENGTH_HIGH else NEAR
 
 
-def second_pass(labels: list[str], default: str, headings: list[bool] | None = None) -> list[bool]:
-    """Open blocks take the label of the nearest decided neighbours; between unlike ones, the nearer (a heading that of
-    what follows), and at equal distance near ones are in and short ones out.  Without any decided block they take ``default``."""
-    decided = [k for k, label in enumerate(labels) if label in (GOOD, BAD)]
+def _neighbours(labels: list[str]) -> tuple[list[int], list[int]]:
+    """Of each block, the decided ones (good or bad) last before it and first after it, -1 if none."""
     before, after, last = [-1] * len(labels), [-1] * len(labels), -1
     for k, label in enumerate(labels):
         before[k] = last
@@ -241,39 +284,46 @@ def second_pass(labels: list[str], default: str, headings: list[bool] | None = N
     for k in range(len(labels) - 1, -1, -1):
         after[k] = last
         last = k if labels[k] in (GOOD, BAD) else last
-    out = []
+    return before, after
+
+
+def second_pass(labels: list[str], default: str, headings: list[bool] | None = None) -> list[bool]:
+    """Open blocks take the label of the nearest decided neighbours.  Near ones are settled first: in beside a good
+    one on either side.  Short ones then follow; between unlike neighbours the nearer counts (for a heading what
+    follows it), and at equal distance they are out.  Without any decided block they take ``default``."""
+    before, after = _neighbours(labels)
+    settled = list(labels)
     for k, label in enumerate(labels):
-        if label in (GOOD, BAD) or not decided:
-            out.append((label if label in (GOOD, BAD) else default) == GOOD)
-            continue
+        beside = {labels[j] for j in (before[k], after[k]) if j >= 0}
+        if label == NEAR:
+            settled[k] = default if not beside else GOOD if GOOD in beside else BAD
+    before, after = _neighbours(settled)
+    out = []
+    for k, label in enumerate(settled):
         a, b = before[k], after[k]
-        if a < 0 or b < 0 or labels[a] == labels[b]:
-            out.append(labels[max(a, b) if a < 0 or b < 0 else a] == GOOD)
+        if label in (GOOD, BAD):
+            nearest = label
+        elif a < 0 or b < 0:
+            nearest = default if a == b else settled[max(a, b)]
         elif headings and headings[k]:
-            out.append(labels[b] == GOOD)
-        elif k - a != b - k:
-            out.append(labels[a if k - a < b - k else b] == GOOD)
+            nearest = settled[b]
         else:
-            out.append(label == NEAR)
+            nearest = BAD if k - a == b - k and settled[a] != settled[b] else settled[a if k - a <= b - k else b]
+        out.append(nearest == GOOD)
     return out
 
 
 def main_text(page: str | None) -> str:
     """The page's main text: its blocks in page order, joined by one newline."""
-    found = blocks(page or "")
-    if any(b.article and not b.boilerplate for b in found):
-        inside = [b for b in found if b.article and not b.boilerplate]
-        keep = second_pass([first_pass(b, True) for b in inside], GOOD, [b.heading for b in inside])
-        return "\n".join(b.text for b, k in zip(inside, keep, strict=True) if k)
-    labels = [first_pass(b, False) for b in found]
-    long = [k for k, b in enumerate(found) if len(b.text) >= LENGTH_LOW and not b.boilerplate and b.linked <= LINKS_HIGH * len(b.text.replace(" ", ""))]
-    strange = [k for k in long if labels[k] == BAD]
-    if 4 * sum(len(found[k].text) for k in long if labels[k] != BAD) < sum(len(found[k].text) for k in strange):
-        for k in strange:
-            labels[k] = NEAR
-    if NEAR in labels and GOOD not in labels:  # a page of middling blocks only
+    found = [b for b in blocks(page or "") if not b.boilerplate]
+    marked = any(b.article for b in found)
+    if marked:
+        found = [b for b in found if b.article]
+    labels = [first_pass(b, marked) for b in found]
+    if not marked and NEAR in labels and GOOD not in labels:  # a page of middling blocks only
         labels = [GOOD if x == NEAR else x for x in labels]
-    keep = second_pass(labels, BAD, [b.heading for b in found])
+    headings = [b.heading for b in found]
+    keep = second_pass(labels, GOOD if marked or any(headings) else BAD, headings)
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 

@@ -4,7 +4,9 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -151,6 +153,104 @@ def test_real_pages_give_their_articles(spark, sf_small):
         assert "track(" not in r["text"] and r["html"].split("<footer>")[1][:12] not in r["text"]
 
 
+def plain_labels(labels, default, headings):
+    """The second pass again, each open block looking for its neighbours by itself."""
+    g, b, n = html_text.GOOD, html_text.BAD, html_text.NEAR
+
+    def beside(row, k):
+        left = next(((k - j, row[j]) for j in range(k - 1, -1, -1) if row[j] in (g, b)), None)
+        right = next(((j - k, row[j]) for j in range(k + 1, len(row)) if row[j] in (g, b)), None)
+        return left, right
+
+    middle = []
+    for k, x in enumerate(labels):
+        around = [y[1] for y in beside(labels, k) if y]
+        middle.append(x if x != n else default if not around else g if g in around else b)
+    out = []
+    for k, x in enumerate(middle):
+        left, right = beside(middle, k)
+        if x not in (g, b):
+            if not (left and right):
+                x = (left or right or (0, default))[1]
+            elif headings[k]:
+                x = right[1]
+            elif left[0] == right[0]:
+                x = g if left[1] == right[1] == g else b
+            else:
+                x = min(left, right)[1]
+        out.append(x == g)
+    return out
+
+
+def test_second_pass_equals_the_plain_one(rng):
+    kinds = [html_text.GOOD, html_text.BAD, html_text.NEAR, html_text.SHORT]
+    for _ in range(3000):
+        n = rng.randint(0, 9)
+        labels, headings = rng.choices(kinds, k=n), [rng.random() < 0.2 for _ in range(n)]
+        default = rng.choice(kinds[:2])
+        assert html_text.second_pass(labels, default, headings) == plain_labels(labels, default, headings)
+
+
+class PlainBlocks(HTMLParser):
+    """Texts of a tidy page's blocks by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.now, self.skip = [], [], 0
+
+    def cut(self):
+        if text := " ".join("".join(self.now).split()):
+            self.out.append(text)
+        self.now = []
+
+    def handle_starttag(self, name, attributes):
+        if name == "br":
+            self.now.append(" ")
+        if name in html_text.BLOCKS:
+            self.cut()
+        self.skip += name in ("head", "script", "style")
+
+    def handle_endtag(self, name):
+        if name in html_text.BLOCKS:
+            self.cut()
+        self.skip -= name in ("head", "script", "style")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.now.append(data)
+
+
+def test_pages_by_the_two_passes_alone(spark, sf_small):
+    """Blocks equal a plain parser's; without the article's marks the rules find the same text."""
+    for (page,) in spark.read.parquet(f"{sf_small}/pages.parquet").select("html").collect():
+        plain = PlainBlocks()
+        plain.feed(page or "")
+        plain.cut()
+        assert [b.text for b in html_text.blocks(page or "")] == plain.out
+        unmarked = (page or "").replace("<article", "<div").replace("</article", "</div")
+        assert html_text.main_text(unmarked) == html_text.main_text(page)
+
+
+def test_odd_pages_take_linear_time():
+    units = ['<a "', "<div class=x></p>", "<a ", '<a "> "', "<div class=ad>x", "<div class=ad><main>x", "<!", "<!--", "&#9", "<a x x=", "<p x='", "<title>", "&"]
+    for unit in units:
+        began = time.process_time()
+        html_text.main_text(unit * (1_000_000 // len(unit)))
+        assert time.process_time() - began < 20, unit
+    assert html_text.main_text(f"<article><p {'a' * 300_000}>x</p></article>") == "x"
+
+
+def test_references_with_long_numbers():
+    for raw, text in (("&#" + "0" * 6000 + "65;", "A"), ("&#x" + "0" * 9 + "41;", "A"), ("&#" + "9" * 6000 + ";", "\ufffd"), ("&#x" + "f" * 5000 + ";", "\ufffd"), ("&#00000000000;", "\ufffd"), ("&#12345", "\u3039")):
+        assert html_text.main_text(f"<article><p>a{raw}</p></article>") == "a" + text
+
+
+def test_extract_with_clashing_columns(spark):
+    rows = [(1, "u", f"<article><p>{LONG}</p></article>", "x", 5, True)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int, kept boolean")).collect()
+    assert got[0].asDict() == {"page_id": 1, "url": "u", "text": LONG.strip(), "n_chars": len(LONG.strip())}
+
+
 # ------------------------------------------------------------------ decontamination
 
 
