@@ -44,6 +44,44 @@ def test_exact_index_over_batches(spark, documents):
         index.drop()
 
 
+def test_exact_index_is_found_again_and_compacted(spark, documents, tmp_path, monkeypatch):
+    place = str(tmp_path / "it's an index")
+    monkeypatch.setattr(exact_dedup, "MAX_FILES", 3)
+    index = exact_dedup.DigestIndex(spark, "digest_index_kept", 4, place)
+    for k in range(6):
+        exact_dedup.decisions(frame(spark, documents[: 12 * k + 12]), index, f"b{k}").count()
+    assert index.generation > 0  # it was compacted on the way
+    rows = sorted(map(tuple, index.rows().collect()), key=str)
+    assert len(rows) == len({normal(t) for _, t, *_ in documents[:72]})
+    index.compact()
+    assert sorted(map(tuple, index.rows().collect()), key=str) == rows
+    assert len([x for x in index._names(index._folder(index.generation)) if x.startswith("part-")]) <= 4  # a file for each bucket
+    spark.sql("DROP TABLE digest_index_kept")  # as after the session's end
+    (tmp_path / "it's an index" / f"g{index.generation + 1}-b9").mkdir()  # a compaction that failed
+    later = exact_dedup.DigestIndex(spark, "digest_index_kept", 9, place)
+    assert later.buckets == 4 and sorted(map(tuple, later.rows().collect()), key=str) == rows
+    again = exact_dedup.decisions(frame(spark, documents[:72]), later, "later").collect()
+    assert not any(r["kept"] for r in again)
+    plan = later.rows().select("digest").join(spark.range(1).selectExpr("unhex('00') AS digest").hint("merge"), "digest")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1
+    # a batch that is given again gets the same answer
+    fresh = documents[72:90]
+    one, two = (sorted(exact_dedup.decisions(frame(spark, fresh), later, "twice").collect(), key=lambda r: r["doc_id"]) for _ in range(2))
+    assert one == two and any(r["kept"] for r in one)
+    later.drop()
+    assert not (tmp_path / "it's an index").exists()
+
+
+def test_exact_index_leaves_other_tables_alone(spark, tmp_path):
+    spark.range(3).write.mode("overwrite").saveAsTable("digest_index_other")
+    try:
+        with pytest.raises(ValueError):
+            exact_dedup.DigestIndex(spark, "digest_index_other", 2, str(tmp_path / "x"))
+        assert spark.table("digest_index_other").count() == 3
+    finally:
+        spark.sql("DROP TABLE digest_index_other")
+
+
 def test_exact_keep_first(spark, odd, documents):
     df = frame(spark, documents, extra=True)
     out = exact_dedup.keep_first(df)
