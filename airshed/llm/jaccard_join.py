@@ -359,3 +359,25 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(read(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos, len(words) AS n_words
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents) t
+), runs AS (
+  SELECT doc_id, pos, n_words, array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), ' ') AS shingle FROM w
+), s AS (
+  SELECT DISTINCT doc_id, shingle FROM runs WHERE pos <= greatest(n_words - 4, 1)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id
+), links AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+), reached AS (
+  SELECT doc_id, doc_id AS start FROM documents
+  UNION SELECT b, start FROM reached JOIN links ON a = reached.doc_id
+)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(start) AS component_id FROM reached LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""

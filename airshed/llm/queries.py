@@ -27,7 +27,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_jaccard_join": jaccard_join.SQL,
+    "op2_substring_dedup": substring_dedup.SQL,
     "op3_url_filter": url_filter.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_spelling": spelling.SQL,
     "op12_chat_format": chat_format.SQL,
 }

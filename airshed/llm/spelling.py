@@ -129,3 +129,44 @@ def variants(docs: DataFrame, least: int = LEAST, twice: int = TWICE, times: int
 
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(read(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT k, k AS c, 0 AS step FROM (SELECT unnest(range(256)) AS k) t
+  UNION ALL SELECT k, xor(c >> 1, 3988292384 * (c & 1)), step + 1 FROM bits WHERE step < 8
+), crc_table AS (
+  SELECT k, c FROM bits WHERE step = 8
+), runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents) t
+  WHERE length(run) >= 7 GROUP BY doc_id, run
+), crc AS (
+  SELECT doc_id, run, times, hex(encode(doc_id::VARCHAR || ':' || run)) AS bytes, 0 AS pos, 4294967295::BIGINT AS c FROM runs
+  UNION ALL
+  SELECT doc_id, run, times, bytes, pos + 2, xor(crc.c >> 8, t.c)
+  FROM crc JOIN crc_table t ON t.k = xor(crc.c & 255, ('0x' || substr(bytes, pos + 1, 2))::BIGINT) WHERE pos < length(bytes)
+), hashed AS (
+  SELECT run, times, xor(c, 4294967295) AS h FROM crc WHERE pos = length(bytes)
+), damaged AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed
+), words AS (
+  SELECT word, sum(times)::BIGINT AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), holes AS (
+  SELECT word, n, pos, substr(word, 1, pos) || substr(word, pos + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS pos FROM words) t
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.rest = b.rest AND a.pos = b.pos AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+  UNION SELECT a.word, b.word, b.n FROM words a JOIN holes b ON b.rest = a.word
+), ranked AS (
+  SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place FROM near
+), forms AS (
+  SELECT w.word, CASE WHEN other_n >= 10 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND place = 1
+), chains AS (
+  SELECT word, word AS pos FROM forms
+  UNION ALL SELECT chains.word, form FROM chains JOIN forms ON forms.word = pos WHERE form IS NOT NULL
+)
+SELECT f.word, f.form, c.pos AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chains c ON c.word = f.word JOIN forms goal ON goal.word = c.pos AND goal.form IS NULL
+"""
