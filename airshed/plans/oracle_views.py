@@ -23,6 +23,13 @@ VIEWS = {
          s_acctbal / 10e0 AS elev_m,
          CAST(20250101 - (s_suppkey % 7) * 10000 AS INTEGER) AS end_ymd
   FROM supplier s JOIN city c ON s.s_nationkey = c.city_id""",
+    "coast_segment": """
+  SELECT segment_id, lat1, lon1, lat1 + ((segment_id * 31) % 41 - 20) / 100e0 AS lat2,
+         lon1 + 0.5e0 + ((segment_id * 11) % 301) / 100e0 AS lon2
+  FROM (SELECT s_suppkey AS segment_id,
+               c.lat + ((c.city_id * 7) % 5) * 0.3e0 + 0.1e0 + ((s_suppkey * 13) % 21) / 100e0 AS lat1,
+               c.lng + ((s_suppkey * 29) % 301 - 150) / 100e0 AS lon1
+        FROM supplier s JOIN city c ON s.s_nationkey = c.city_id) t""",
     "gsod_raw": """
   SELECT l_suppkey AS "STATION",
          date '1998-01-01' + CAST(date_diff('day', date '1995-01-01', CAST(l_shipdate AS DATE)) % 730 AS INTEGER) AS "DATE",
@@ -77,7 +84,7 @@ VIEWS = {
 }
 
 # dependencies between views (a view's CTE must follow the ones it reads)
-_DEPS = {"station": ["city"]}
+_DEPS = {"station": ["city"], "coast_segment": ["city"]}
 
 
 def with_views(*names: str, extra: list[tuple[str, str]] | None = None) -> str:

@@ -16,6 +16,7 @@ from airshed.constants import (
     WEATHER_LAG_COLS,
 )
 from airshed.functions.calendar import calendar_columns, period_flag_columns
+from airshed.operators import coast
 from airshed.operators import features as FE
 from airshed.operators import split as SP
 from airshed.operators import timeseries as ts
@@ -25,6 +26,7 @@ from airshed.plans.pipeline import CityPipeline, stored_merged
 from airshed.plans.registry import query
 from airshed.plans.sqlgen import aqi_sql, category_sql
 from airshed.plans.sqlgen import snap_sql as S
+from airshed.sources import domain
 
 W = "PARTITION BY city_name ORDER BY date"
 BACK = f"({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -307,6 +309,55 @@ def period_flags(spark, d):
                                    F.concat(F.col("city_name"), F.lit("_s"), season).alias("city_season"))
 
 
+def _coast_views() -> list[tuple[str, str]]:
+    """Every city against every whole segment: great-circle distance to the arc, by vectors."""
+    def vec(lat, lon):
+        return [f"cos(radians({lat})) * cos(radians({lon}))", f"cos(radians({lat})) * sin(radians({lon}))", f"sin(radians({lat}))"]
+
+    def dot(a, b):
+        return "(" + " + ".join(f"{a}{i} * {b}{i}" for i in "xyz") + ")"
+
+    def cross(a, b, out):
+        return ", ".join(f"{a}{j} * {b}{k} - {a}{k} * {b}{j} AS {out}{i}" for i, j, k in ("xyz", "yzx", "zxy"))
+
+    named = ", ".join(f"{e} AS {n}{i}" for n, at in (("p", ("lat", "lng")), ("s", ("lat1", "lon1")), ("t", ("lat2", "lon2")))
+                      for i, e in zip("xyz", vec(*at)))
+    km = " * 6371e0"
+    ends = [f"2e0 * asin(sqrt(pow(px - {e}x, 2) + pow(py - {e}y, 2) + pow(pz - {e}z, 2)) / 2e0){km}" for e in "st"]
+    return [
+        ("arc0", f"SELECT city_id, {named} FROM city CROSS JOIN coast_segment"),
+        ("arc1", f"SELECT *, {cross('s', 't', 'n')} FROM arc0"),
+        ("arc2", f"SELECT *, {cross('n', 's', 'u')}, {cross('n', 't', 'v')} FROM arc1"),
+        ("coast", f"""SELECT city_id, CASE WHEN {S('min(km)')} < 100 THEN min(km) END AS coast_km FROM (
+          SELECT city_id, CASE WHEN {dot('p', 'u')} >= 0 AND {dot('p', 'v')} <= 0 AND {dot('n', 'n')} > 0
+            THEN asin(abs({dot('p', 'n')}) / sqrt({dot('n', 'n')})){km} ELSE least({ends[0]}, {ends[1]}) END AS km FROM arc2) t
+          GROUP BY city_id"""),
+    ]
+
+
+@query("coast_flags", V("city", "coast_segment", extra=_coast_views()) + f"""
+SELECT c.city_id, city_name, coast_km, CAST(coalesce({S('coast_km')} <= 50, false) AS INTEGER) AS is_coastal,
+  CAST(coast_km IS NULL AS INTEGER) AS is_inland FROM city c LEFT JOIN coast ON c.city_id = coast.city_id""", ["coast_km"])
+def coast_flags(spark, d):
+    """distance to the nearest coast segment; coastal within 50 km, inland from 100 km on (grid-bucketed arcs)."""
+    cities = CityPipeline(spark, d).cities()
+    flags = coast.coast_flags(cities, domain.coast_segments(spark, d), "city_id")
+    return flags.select("city_id", "city_name", "coast_km", "is_coastal", "is_inland")
+
+
+@query("geo_interactions", V("weather_city", "city", "coast_segment", extra=_coast_views()) + """
+SELECT w.city_id, w.date, coast_km, coast_km * wind_speed_kmh AS coast_wind,
+  elev_m * station_pressure_hpa AS elevation_pressure, w.lat * temp_avg_c AS latitude_temperature
+FROM weather_city w LEFT JOIN coast ON w.city_id = coast.city_id""",
+       ["coast_km", "coast_wind", "elevation_pressure", "latitude_temperature"])
+def geo_interactions(spark, d):
+    """coast distance x wind, elevation x pressure, latitude x temperature of every city-day."""
+    p = CityPipeline(spark, d)
+    near = coast.coast_distance(p.cities(), domain.coast_segments(spark, d), "city_id")
+    days = coast.geo_interactions(p.weather_city_days().join(near, "city_id", "left"))
+    return days.select("city_id", "date", "coast_km", "coast_wind", "elevation_pressure", "latitude_temperature")
+
+
 @query("log_target", V("merged") + "SELECT city_name, date, pm25, ln(1e0 + pm25) AS pm25_log, "
        "exp(ln(1e0 + pm25)) - 1e0 AS pm25_back FROM merged WHERE pm25 IS NOT NULL", ["pm25", "pm25_log", "pm25_back"])
 def log_target(spark, d):

@@ -6,6 +6,7 @@ tables (see README "Test-data mapping"):
 
 * ``cities``      <- nation       (25 rows; coordinates from the key)
 * ``stations``    <- supplier     (weather station == air-quality location)
+* ``coast_segments`` <- supplier  (one arc of the coast per supplier)
 * ``gsod_raw``    <- lineitem     (one raw GSOD observation per line item)
 * ``openaq_raw``  <- lineitem     (one raw hourly measurement per line item)
 * ``hourly``      <- events       (hourly PM2.5 feed, 30 days)
@@ -69,6 +70,19 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def coast_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coastline arcs some 10 to 170 km north of the suppliers' cities, half a degree to 3.5 degrees long."""
+    s = table(spark, sf_dir, "supplier")
+    c = cities(spark, sf_dir)
+    key = F.col("s_suppkey")
+    lat1 = F.col("lat") + ((F.col("city_id") * 7) % 5) * 0.3 + 0.1 + ((key * 13) % 21) / F.lit(100.0)
+    lon1 = F.col("lng") + ((key * 29) % 301 - 150) / F.lit(100.0)
+    return s.join(c, s.s_nationkey == c.city_id).select(
+        key.alias("segment_id"), lat1.alias("lat1"), lon1.alias("lon1"),
+        (lat1 + ((key * 31) % 41 - 20) / F.lit(100.0)).alias("lat2"),
+        (lon1 + 0.5 + ((key * 11) % 301) / F.lit(100.0)).alias("lon2"))
+
+
 def gsod_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw daily station weather, imperial units, with GSOD sentinels."""
     li = table(spark, sf_dir, "lineitem")
