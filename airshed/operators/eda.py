@@ -45,13 +45,14 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
         F.col("q")[2].alias("q75"), "max")
 
 
-def _bucketed(df: DataFrame, group: str, col: str, n_buckets: int, accuracy: int):
-    """Distinct values with their counts and a range bucket, and each bucket's count and offset."""
+def _bucketed(df: DataFrame, group: str, col: str, n_buckets: int, accuracy: int, few: bool = True):
+    """Distinct values with their counts and a range bucket, and each bucket's count and offset.
+    The cut points are broadcast where the groups are ``few``."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
     vals = df.groupBy(group, col).agg(F.count(F.lit(1)).alias("_cnt"))
     cuts = vals.groupBy(group).agg(F.array_sort(F.array_distinct(
         F.percentile_approx(col, probs, accuracy))).alias("_cuts"))
-    b = vals.join(F.broadcast(cuts), group).select(
+    b = vals.join(F.broadcast(cuts) if few else cuts, group).select(
         group, col, "_cnt", F.size(F.filter("_cuts", lambda c: c < F.col(col))).alias("_bucket"))
     per_bucket = b.groupBy(group, "_bucket").agg(F.sum("_cnt").alias("_bcnt"))
     # offsets over (group, bucket) rows: bounded by groups x n_buckets
@@ -60,14 +61,14 @@ def _bucketed(df: DataFrame, group: str, col: str, n_buckets: int, accuracy: int
 
 
 def exact_quantiles(df: DataFrame, group: str, col: str, probs: list[float], n_buckets: int = 64,
-                    accuracy: int = 10000) -> DataFrame:
+                    accuracy: int = 10000, few: bool = True) -> DataFrame:
     """(group, q: array in the order of ``probs``): exact quantiles with linear interpolation, NULLs
     skipped, without holding a group's values in one task.
 
     Distinct values go to range buckets as in ``avg_rank_table``; the buckets' offsets tell which
     bucket holds the two order statistics of each quantile, and only those buckets are searched."""
     d = df.where(F.col(col).isNotNull()).select(group, F.col(col).cast("double").alias(col))
-    b, offsets = _bucketed(d, group, col, n_buckets, accuracy)
+    b, offsets = _bucketed(d, group, col, n_buckets, accuracy, few)
     total = offsets.groupBy(group).agg(F.sum("_bcnt").alias("_n"))
     asked = F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_k", "_p")
     asked = total.select(group, "_n", asked).withColumn("_h", (F.col("_n") - 1) * F.col("_p"))
@@ -85,6 +86,15 @@ def exact_quantiles(df: DataFrame, group: str, col: str, probs: list[float], n_b
     return q.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda e: e["_v"]).alias("q"))
 
 
+def group_quantiles(df: DataFrame, group: str, col: str, probs: list[float], large: int = 10_000) -> DataFrame:
+    """``exact_quantiles`` of many groups, most of them small: a group of up to ``large`` values is held in one
+    aggregation buffer, the others go by range buckets.  Both ways give the same exact values."""
+    d = df.where(F.col(col).isNotNull()).select(group, F.col(col).cast("double").alias(col))
+    hot = d.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large).select(group)
+    small = d.join(hot, group, "left_anti").groupBy(group).agg(F.percentile(col, F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
+    return small.unionByName(exact_quantiles(d.join(hot, group, "left_semi"), group, col, probs, few=False))
+
+
 def avg_rank_table(df: DataFrame, group: str, col: str, out: str, n_buckets: int = 64,
                    accuracy: int = 10000) -> DataFrame:
     """(group, value, average rank) for every distinct value, without sorting a group in one task.
