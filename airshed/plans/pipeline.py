@@ -46,16 +46,19 @@ class CityPipeline:
         return clean.clean_gsod(domain.gsod_raw(self.spark, self.sf_dir))
 
     def weather_candidates(self) -> DataFrame:
-        return stations.nearest_stations(self.cities(), self.stations(), self.weather_radius_km,
-                                         self.weather_max_stations)
+        """Stored: with its size known, the map is broadcast to the feed where it is small, so that
+        the feed is not shuffled to meet it."""
+        return stored(self, "weather-map", lambda: stations.nearest_stations(
+            self.cities(), self.stations(), self.weather_radius_km, self.weather_max_stations))
 
     def weather_station_days(self) -> DataFrame:
         """Station-days of the stations that serve a city: one pass over the raw feed, stored once;
         coverage and weighting both read the stored table.  Other stations' rows go before the
         aggregate, so they are never shuffled."""
         def build() -> DataFrame:
-            mapped = self.weather_candidates().select("station_id").distinct()
-            return merge.weather_station_days(self.gsod_clean().join(mapped, "station_id", "left_semi"), self.stations())
+            raw = domain.gsod_raw(self.spark, self.sf_dir)
+            raw = raw.join(self.weather_candidates(), F.col("STATION") == F.col("station_id"), "left_semi")
+            return merge.weather_station_days(clean.clean_gsod(raw), self.stations())
         return stored(self, "station-days", build)
 
     def weather_map(self, coverage: bool = True) -> DataFrame:
@@ -75,11 +78,20 @@ class CityPipeline:
         return merge.air_location_days(self.air_parsed())
 
     def air_map(self) -> DataFrame:
-        return stations.nearest_stations(self.cities(), self.stations(), self.air_radius_km,
-                                         self.air_max_stations)
+        return stored(self, "air-map", lambda: stations.nearest_stations(
+            self.cities(), self.stations(), self.air_radius_km, self.air_max_stations))
+
+    def air_served(self) -> DataFrame:
+        """Raw measurements of the locations that serve a city: one pass over the raw feed, stored, so that
+        the other locations' rows are neither parsed (a filter on the parsed time would go below the join)
+        nor shuffled."""
+        raw = domain.openaq_raw(self.spark, self.sf_dir)
+        return stored(self, "air-served", lambda: raw.join(
+            self.air_map(), F.col("location_id") == F.col("station_id"), "left_semi"))
 
     def air_city_days(self) -> DataFrame:
-        return merge.idw_air(self.air_location_days(), self.air_map())
+        days = merge.air_location_days(clean.outlier_air(clean.parse_air(self.air_served())))
+        return merge.idw_air(days, self.air_map())
 
     # -------------------------------------------------------------- merged
     def merged(self) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from airshed.operators import eda as E
@@ -117,3 +118,27 @@ def test_distributed_rank_with_ties(spark):
     import pandas as pd
     exp = pd.Series(vals).rank(method="average").tolist()
     assert [got[i] for i in range(len(vals))] == exp
+
+
+def test_only_measurements_of_locations_that_serve_a_city_are_parsed(spark, sf_small, tmp_path):
+    from airshed.operators import clean, merge
+    from airshed.plans.pipeline import CityPipeline
+    from airshed.sources import domain
+
+    for t in ("nation", "supplier", "lineitem"):
+        spark.read.parquet(f"{sf_small}/{t}.parquet").createOrReplaceTempView(f"own_{t}")
+    spark.table("own_nation").write.parquet(f"{tmp_path}/nation.parquet")
+    # forty times the suppliers: more than serve their cities, with a feed of their own each
+    for t, key in (("supplier", "s_suppkey"), ("lineitem", "l_suppkey")):
+        spark.table(f"own_{t}").join(spark.range(40).select(F.col("id").alias("_i"))).withColumn(key, F.col(key) + F.col("_i") * 1000) \
+            .drop("_i").write.parquet(f"{tmp_path}/{t}.parquet")
+    p = CityPipeline(spark, str(tmp_path))
+    mapped = {r[0] for r in p.air_map().select("station_id").collect()}
+    served = {r[0] for r in p.air_served().select("location_id").distinct().collect()}
+    every = domain.openaq_raw(spark, str(tmp_path)).select("location_id").distinct().count()
+    assert served == mapped and len(served) < every
+    want = merge.idw_air(merge.air_location_days(clean.outlier_air(clean.parse_air(domain.openaq_raw(spark, str(tmp_path))))), p.air_map())
+    key = ["city_id", "date"]
+    a, b = (d.select(*key, "pm25", "co", "station_count").toPandas().sort_values(key).reset_index(drop=True) for d in (p.air_city_days(), want))
+    assert len(a) > 0
+    pd.testing.assert_frame_equal(a, b, rtol=1e-9)
