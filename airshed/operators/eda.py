@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from airshed.functions.units import snap
 
+#: Slots of groups that are counted together before any is counted by itself.
+SLOTS = 1 << 20
+
 
 def long_form(df: DataFrame, ids: list[str], cols: list[str], var: str = "variable", val: str = "value") -> DataFrame:
     return df.unpivot(ids, cols, var, val)
@@ -86,13 +89,37 @@ def exact_quantiles(df: DataFrame, group: str, col: str, probs: list[float], n_b
     return q.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda e: e["_v"]).alias("q"))
 
 
-def group_quantiles(df: DataFrame, group: str, col: str, probs: list[float], large: int = 10_000) -> DataFrame:
-    """``exact_quantiles`` of many groups, most of them small: a group of up to ``large`` values is held in one
-    aggregation buffer, the others go by range buckets.  Both ways give the same exact values."""
+def group_quantiles(df: DataFrame, group: str, col: str, probs: list[float], large: int = 10_000, also=()) -> DataFrame:
+    """``exact_quantiles`` of many groups, most of them small, with the aggregates ``also`` of the same rows.
+
+    A group of up to ``large`` values is ranked in one sorted window, which its aggregates share; the others go by
+    range buckets.  Both ways give the same exact values.  Groups are counted by slots of their hash first: only
+    those of slots with more than ``large`` values are counted by themselves, so without such slots no group is."""
     d = df.where(F.col(col).isNotNull()).select(group, F.col(col).cast("double").alias(col))
-    hot = d.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large).select(group)
-    small = d.join(hot, group, "left_anti").groupBy(group).agg(F.percentile(col, F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
-    return small.unionByName(exact_quantiles(d.join(hot, group, "left_semi"), group, col, probs, few=False))
+    slots = d.select(F.pmod(F.xxhash64(group), F.lit(SLOTS)).alias("_slot")).groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))
+    crowded = slots.where(F.col("_n") > large).select("_slot")
+    if crowded.isEmpty():
+        return _ranked_quantiles(d, group, col, probs, also)
+    there = d.withColumn("_slot", F.pmod(F.xxhash64(group), F.lit(SLOTS))).join(crowded, "_slot", "left_semi")
+    hot = there.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large).select(group)
+    small = _ranked_quantiles(d.join(hot, group, "left_anti"), group, col, probs, also)
+    of_hot = d.join(hot, group, "left_semi")
+    found = exact_quantiles(of_hot, group, col, probs, few=False)
+    return small.unionByName(found.join(of_hot.groupBy(group).agg(*also), group) if also else found)
+
+
+def _ranked_quantiles(d: DataFrame, group: str, col: str, probs: list[float], also) -> DataFrame:
+    """Quantiles (linear interpolation) from each value's place in its group: one shuffle and one sort."""
+    w = Window.partitionBy(group).orderBy(col)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    r = d.select(group, col, (F.row_number().over(w) - 1).alias("_at"), F.count(F.lit(1)).over(whole).alias("_n"))
+    place = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
+    ends = [F.max(F.when(F.col("_at") == side(at), F.col(col))).alias(f"_{name}{i}")
+            for i, at in enumerate(place) for name, side in (("lo", F.floor), ("hi", F.ceil))]
+    g = r.groupBy(group).agg(F.max("_n").alias("_n"), *ends, *also)
+    q = [F.when(F.floor(at) == F.ceil(at), F.col(f"_lo{i}")).otherwise(
+        (F.ceil(at) - at) * F.col(f"_lo{i}") + (at - F.floor(at)) * F.col(f"_hi{i}")) for i, at in enumerate(place)]
+    return g.withColumn("q", F.array(*q)).drop("_n", *[f"_{name}{i}" for i in range(len(probs)) for name in ("lo", "hi")])
 
 
 def avg_rank_table(df: DataFrame, group: str, col: str, out: str, n_buckets: int = 64,

@@ -452,10 +452,9 @@ def daily_sensor_summary(spark, d):
     """Daily per-sensor summary (min, q02, q25, median, q75, q98, max, avg, sd) and coverage."""
     p = CityPipeline(spark, d).air_parsed().where(F.col("value").isNotNull())
     p = p.select(F.struct("location_id", "parameter", "date").alias("sensor_day"), "value")
-    g = p.groupBy("sensor_day").agg(
+    g = E.group_quantiles(p, "sensor_day", "value", _Q, also=[
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("avg"), F.stddev_samp("value").alias("sd"),
-        F.count("value").cast("long").alias("observed_count"))
-    g = g.join(E.group_quantiles(p, "sensor_day", "value", _Q), "sensor_day")
+        F.count("value").cast("long").alias("observed_count")])
     return g.select("sensor_day.*", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(_QN)],
                     "max", "avg", "sd", F.lit(24).alias("expected_count"), "observed_count",
                     (F.col("observed_count") * F.lit(100.0) / F.lit(24.0)).alias("percent_complete"))
