@@ -30,6 +30,8 @@ BOOST = {"rounds": 200, "depth": 5, "leaves": 31, "least": 20, "rate": 0.1, "bin
 FOREST = {"trees": 100, "depth": 15, "least": 1, "bins": 64, "seed": 42}
 #: Rounds of distributed boosting between two writes of the running predictions.
 WRITTEN = 25
+#: Values (rows x features x trees) of the trees of a forest that grow together.
+HELD_CELLS = 2_000_000
 
 
 @dataclass
@@ -160,6 +162,93 @@ def array_sums(bins: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None
     return sums
 
 
+def occupied(cell: np.ndarray, w: np.ndarray, wy: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cells that occur, in order, with their sums of ``w`` and ``wy``."""
+    if size <= 16 * len(cell):
+        there = np.flatnonzero(np.bincount(cell, minlength=size))
+        return there, np.bincount(cell, w, size)[there], np.bincount(cell, wy, size)[there]
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    return cell[first], np.add.reduceat(w[order], first), np.add.reduceat(wy[order], first)
+
+
+def sparse_splits(slot: np.ndarray, bins: np.ndarray, w: np.ndarray, wy: np.ndarray, all_n: np.ndarray, all_s: np.ndarray, least: int):
+    """``best_splits`` of the slots from their rows: only bins that occur in a slot are tried, as others split no differently."""
+    n_f, slots = bins.shape[1], len(all_n)
+    cell = ((slot[:, None] * n_f + np.arange(n_f)) * 256 + bins).ravel()
+    is_null = bins.ravel() == NULL
+    groups = slots * n_f
+    null_n = np.bincount(cell[is_null] >> 8, np.repeat(w, n_f)[is_null], groups)
+    null_s = np.bincount(cell[is_null] >> 8, np.repeat(wy, n_f)[is_null], groups)
+    # NULLs alone on the left: an empty lowest bin where there are NULLs
+    lone = np.flatnonzero(null_n) << 8
+    known = ~is_null
+    cell = np.r_[cell[known], lone]
+    zero = np.zeros(len(lone))
+    cell, n, s = occupied(cell, np.r_[np.repeat(w, n_f)[known], zero], np.r_[np.repeat(wy, n_f)[known], zero], groups << 8)
+    group = cell >> 8
+    of = group // n_f
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    length = np.diff(np.r_[first, len(group)])
+    n, s = n.cumsum(), s.cumsum()
+    n, s = n - np.repeat(np.r_[0.0, n][first], length), s - np.repeat(np.r_[0.0, s][first], length)
+    gains = np.empty((len(cell), 2))
+    for side in (0, 1):
+        ln, ls = (n + null_n[group], s + null_s[group]) if side else (n, s)
+        rn, rs = all_n[of] - ln, all_s[of] - ls
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gains[:, side] = np.where((ln >= least) & (rn >= least), ls**2 / ln + rs**2 / rn, -np.inf)
+    flat = gains.ravel()
+    start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])  # every slot has rows, so all slots occur, in order
+    top = np.maximum.reduceat(flat, start * 2)
+    fits = np.flatnonzero(flat >= np.repeat(top - 1e-11 * np.abs(top), np.diff(np.r_[start, len(of)]) * 2))
+    pick = fits[np.searchsorted(fits, start * 2)]
+    gain = flat[pick] - all_s**2 / np.maximum(all_n, 1)
+    return gain, group[pick // 2] % n_f, cell[pick // 2] & 255, pick % 2 == 1
+
+
+def grow_rows(bins: np.ndarray, y: np.ndarray, weights: list[np.ndarray | None], depth: int, leaves: int | None, least: int) -> list[Tree]:
+    """The trees that ``grow`` makes of ``array_sums`` for each of the weights, grown together: rows keep their
+    node from level to level, and the work of a level is that of the rows that are still in it."""
+    trees, n_leaves = [Tree() for _ in weights], [1] * len(weights)
+    rows = [np.arange(len(y)) if w is None else np.flatnonzero(w > 0) for w in weights]
+    slot = np.repeat(np.arange(len(weights)), [len(r) for r in rows])
+    w = np.concatenate([np.ones(len(r)) if x is None else x[r] for x, r in zip(weights, rows, strict=True)])
+    row = np.concatenate(rows)
+    nodes = [(k, 0) for k in range(len(weights))]  # tree and node of each slot
+    for level in range(depth + 1):
+        if not len(row):
+            break
+        wy = w * y[row]
+        all_n, all_s = np.bincount(slot, w, len(nodes)), np.bincount(slot, wy, len(nodes))
+        for (t, node), value in zip(nodes, (all_s / np.maximum(all_n, 1e-300)).tolist(), strict=True):
+            trees[t].value[node] = value
+        if level == depth:
+            break
+        b = bins[row].astype(np.int64)
+        gain, feature, at, side = sparse_splits(slot, b, w, wy, all_n, all_s, least)
+        good = gain > 1e-12 * np.maximum(1.0, np.abs(all_s))
+        if leaves is not None:  # the least useful splits of a tree's level go
+            for k in np.argsort(-gain, kind="stable").tolist():
+                if good[k]:
+                    t = nodes[k][0]
+                    good[k] = n_leaves[t] < leaves
+                    n_leaves[t] += bool(good[k])
+        place, made = np.cumsum(good) - 1, []
+        for k in np.flatnonzero(good).tolist():
+            t, node = nodes[k]
+            made += [(t, child) for child in trees[t].split(node, int(feature[k]), int(at[k]), bool(side[k]), float(gain[k]))]
+        for t in {t for t, _ in made}:
+            trees[t].levels += 1
+        here = good[slot]
+        row, w, slot, b = row[here], w[here], slot[here], b[here]
+        own = b[np.arange(len(row)), feature[slot]]
+        left = np.where(own == NULL, side[slot], own <= at[slot])
+        slot, nodes = place[slot] * 2 + ~left, made
+    return trees
+
+
 def width_of(points: list[np.ndarray]) -> int:
     return max([len(p) for p in points], default=0) + 1
 
@@ -208,7 +297,7 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int, depth: int, leaves: int, le
     model = Model(points, float(y.mean()), rate, [])
     f = np.full(len(y), model.start)
     for _ in range(rounds):
-        tree = grow(array_sums(b, y - f, None, width_of(points)), depth, leaves, least)
+        tree = grow_rows(b, y - f, [None], depth, leaves, least)[0]
         f += rate * tree.predict(b)
         model.trees.append(tree)
     return model
@@ -219,10 +308,9 @@ def forest(x: np.ndarray, y: np.ndarray, trees: int, depth: int, least: int, bin
     points = [cuts(c, bins) for c in x.T]
     b = binned(x, points)
     rng = np.random.default_rng(seed)
-    made = []
-    for _ in range(trees):
-        weight = np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y)).astype(float)
-        made.append(grow(array_sums(b, y, weight, width_of(points)), depth, None, least))
+    weights = [np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y)).astype(float) for _ in range(trees)]
+    held = max(1, HELD_CELLS // max(1, b.size))
+    made = [t for k in range(0, trees, held) for t in grow_rows(b, y, weights[k : k + held], depth, None, least)]
     return Model(points, 0.0, 1.0 / trees, made)
 
 

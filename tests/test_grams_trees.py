@@ -181,3 +181,16 @@ def test_groups_are_fitted_in_one_job(spark, table):
         here = got[(got.city == city) & (got.algorithm == "GradientBoosting")]
         assert len(here) == len(want) and np.allclose(here["prediction"], here["k"].map(want))
     assert set(got.algorithm) == {"RandomForest", "GradientBoosting"}
+
+
+@pytest.mark.parametrize("depth,leaves,least", [(15, None, 1), (5, 9, 5), (4, None, 20)])
+def test_trees_grown_together_are_those_of_dense_sums(depth, leaves, least):
+    rng = np.random.default_rng(7)
+    x, y = _rows(250)
+    x[:, 1] += 3.0  # a feature whose lowest bin stays empty in places
+    b = T.binned(x, [T.cuts(c, 64) for c in x.T])
+    weights = [None, *[np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y)).astype(float) for _ in range(6)]]
+    for weight, tree in zip(weights, T.grow_rows(b, y, weights, depth, leaves, least), strict=True):
+        own = T.grow(T.array_sums(b, y, weight), depth, leaves, least)
+        assert (own.feature, own.at, own.null_left, own.left, own.levels) == (tree.feature, tree.at, tree.null_left, tree.left, tree.levels)
+        assert np.allclose(own.value, tree.value) and np.allclose(own.gain, tree.gain)
