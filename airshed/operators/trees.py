@@ -7,8 +7,9 @@ either side.  ``grow`` doesn't care where the sums come from:
 * a city's rows are bounded by the calendar, so all cities are fitted in one job, each in one
   task, from sums over its arrays (``fit_groups``);
 * for models of all rows (``boost_distributed``), tasks sum over their rows for all such models
-  at once, the sums are added by Spark, and only they reach the driver (nodes x features x bins
-  numbers).  Rows stay where they are; their running predictions are written every few rounds.
+  at once, the sums meet in one task for each model (nodes x features x bins numbers), and only the
+  best splits reach the driver.  Rows stay where they are; their running predictions are kept from
+  round to round and written every few rounds.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BOOST = {"rounds": 200, "depth": 5, "leaves": 31, "least": 20, "rate": 0.1, "bin
 FOREST = {"trees": 100, "depth": 15, "least": 1, "bins": 64, "seed": 42}
 #: Rounds of distributed boosting between two writes of the running predictions.
 WRITTEN = 25
+#: Rows of a task of distributed boosting.
+TASK_ROWS = 20_000
 #: Values (rows x features x trees) of the trees of a forest that grow together.
 HELD_CELLS = 2_000_000
 
@@ -114,7 +117,10 @@ class Grower:
         if self.tree.levels == self.depth:
             self.open = []
             return
-        gain, feature, at, side = best_splits(total, count, self.least)
+        self.choose(all_s, *best_splits(total, count, self.least))
+
+    def choose(self, all_s, gain, feature, at, side) -> None:
+        """Split the open nodes where that is best; the children are open then."""
         order = [k for k in np.argsort(-gain, kind="stable").tolist() if gain[k] > 1e-12 * max(1.0, abs(float(all_s[k])))]
         if self.leaves is not None:  # the least useful splits of the level go
             order = order[: self.leaves - self.n_leaves]
@@ -375,62 +381,95 @@ def boost_distributed(df: DataFrame, fits: dict[str, tuple[list[str], str]], rou
         q = np.frombuffer(b"".join(b.column("q").to_pylist()), np.uint8).reshape(b.num_rows, len(x))
         return q, np.frombuffer(b"".join(b.column("rest").to_pylist()), float).reshape(b.num_rows, len(names)).copy()
 
-    def lower(q, rest, since):
-        for t, trees in enumerate(since):
-            for tree in trees:
-                rest[:, t] -= rate * tree.predict(q[:, at[t]])
-
     checkpoint_dir(spark)
     source = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(x)], *[F.col(fits[n][1]).cast("double").alias(f"_y{t}") for t, n in enumerate(names)])
     rows = source.mapInArrow(prepare, "q binary, rest binary").checkpoint()
+    # a level is a job, so rows lie in as few tasks as their number asks for
+    rows = rows.coalesce(max(1, -(-rows.count() // TASK_ROWS)))
     models = [Model([points[c] for c in fits[n][0]], start[t], rate, []) for t, n in enumerate(names)]
-    since: list[list[Tree]] = [[] for _ in names]
-    widest = max(len(a) for a in at)
+    kept = None
     for k in range(rounds):
         growing = [Grower(depth, leaves, least) for _ in names]
         while any(g.open for g in growing):
             step = [(g.tree, g.open) for g in growing]
 
-            def level(batches, step=step, since=since):
+            def level(batches, step=step):
                 cells: dict[int, list] = {}
                 for b in batches:
                     if not b.num_rows:
                         continue
                     q, rest = arrays(b)
-                    lower(q, rest, since)
                     for t, (tree, nodes) in enumerate(step):
                         there = ~np.isnan(rest[:, t])
                         if nodes and there.any():
                             got = array_sums(q[there][:, at[t]], rest[there, t])(tree, nodes)
                             cells[t] = [a + c for a, c in zip(cells[t], got, strict=True)] if t in cells else list(got)
                 for t, (total, count) in cells.items():
-                    node, f, b_ = np.nonzero(count)
-                    cell = ((t * 4096 + node) * widest + f) * 256 + b_
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[node, f, b_]), pa.array(count[node, f, b_])], names=["cell", "total", "n"])
-
-            sums = rows.mapInArrow(level, "cell long, total double, n double").groupBy("cell").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).toArrow()
-            cell, total, n = (sums.column(c).to_numpy() for c in ("cell", "total", "n"))
+                    cell = np.flatnonzero(count)
+                    packed = [pa.array([v.tobytes()], pa.binary()) for v in (cell, total.ravel()[cell], count.ravel()[cell])]
+                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), *packed], names=["t", "cell", "total", "n"])
+
+            def best(frame: pd.DataFrame) -> pd.DataFrame:
+                """A model's best splits: of at most nodes x features x bins sums, however many rows there are."""
+                t = int(frame["t"].iloc[0])
+                shape = (len(step[t][1]), len(at[t]), NULL + 1)
+                total, count = np.zeros(shape), np.zeros(shape)
+                for cell, s, n in zip(frame["cell"], frame["total"], frame["n"], strict=True):
+                    where = np.frombuffer(cell, np.int64)
+                    total.ravel()[where] += np.frombuffer(s, float)
+                    count.ravel()[where] += np.frombuffer(n, float)
+                gain, feature, cut, side = best_splits(total, count, least)
+                nodes = np.arange(shape[0])
+                left = (np.arange(NULL + 1) <= cut[:, None]) & (np.arange(NULL + 1) < NULL)
+                left[:, NULL] = side
+                out = {"t": t, "node": nodes, "s": total[:, 0].sum(-1), "n": count[:, 0].sum(-1), "gain": gain, "feature": feature, "at": cut, "side": side,
+                       "left_s": (total[nodes, feature] * left).sum(-1), "left_n": (count[nodes, feature] * left).sum(-1)}
+                return pd.DataFrame(out)
+
+            sums = rows.mapInArrow(level, "t int, cell binary, total binary, n binary").repartition(len(names), "t")
+            found = sums.groupBy("t").applyInPandas(best, "t int, node int, s double, n double, gain double, feature int, at int, side boolean, left_s double, left_n double").toPandas()
             for t, g in enumerate(growing):
-                if not g.open:
+                own = found[found["t"] == t].sort_values("node")
+                if not g.open or own.empty:  # a model without rows
+                    g.open = []
                     continue
-                got = [np.zeros((len(g.open), len(at[t]), 256)) for _ in range(2)]
-                own = cell // 256 // widest // 4096 == t
-                where = (cell[own] // 256 // widest % 4096, cell[own] // 256 % widest, cell[own] % 256)
-                got[0][where], got[1][where] = total[own], n[own]
-                g.take(*got)
+                s, n, left_s, left_n = (own[c].to_numpy() for c in ("s", "n", "left_s", "left_n"))
+                parents = list(g.open)
+                for node, value in zip(parents, s / n, strict=True):
+                    g.tree.value[node] = float(value)
+                g.choose(s, *(own[c].to_numpy() for c in ("gain", "feature", "at", "side")))
+                if g.tree.levels == depth:  # the leaves' values follow from their parents' splits
+                    for i, node in enumerate(parents):
+                        if g.tree.feature[node] >= 0:
+                            child = g.tree.left[node]
+                            g.tree.value[child] = float(left_s[i] / left_n[i])
+                            g.tree.value[child + 1] = float((s[i] - left_s[i]) / (n[i] - left_n[i]))
+                    g.open = []
         for t, g in enumerate(growing):
             models[t].trees.append(g.tree)
-            since[t].append(g.tree)
-        if (k + 1) % WRITTEN == 0 and k + 1 < rounds:
-            def write(batches, since=since):
-                for b in batches:
-                    if b.num_rows:
-                        q, rest = arrays(b)
-                        lower(q, rest, since)
-                        yield pa.RecordBatch.from_arrays([b.column("q"), pa.array([r.tobytes() for r in rest], pa.binary())], names=["q", "rest"])
+        if k + 1 == rounds:
+            break
+        made = [g.tree for g in growing]
 
-            rows = rows.mapInArrow(write, "q binary, rest binary").checkpoint()
-            since = [[] for _ in names]
+        def write(batches, made=made):
+            for b in batches:
+                if b.num_rows:
+                    q, rest = arrays(b)
+                    for t, tree in enumerate(made):
+                        rest[:, t] -= rate * tree.predict(q[:, at[t]])
+                    yield pa.RecordBatch.from_arrays([b.column("q"), pa.array([r.tobytes() for r in rest], pa.binary())], names=["q", "rest"])
+
+        rows = rows.mapInArrow(write, "q binary, rest binary")
+        if (k + 1) % WRITTEN == 0:
+            rows = rows.checkpoint()
+        else:
+            rows = rows.persist()
+            rows.count()
+        if kept is not None:
+            kept.unpersist()
+        kept = rows if (k + 1) % WRITTEN else None
+    if kept is not None:
+        kept.unpersist()
     return dict(zip(names, models, strict=True))
 
 
