@@ -2,7 +2,7 @@
 
 A mode's rows are split once.  Linear algorithms come from one Gram aggregate for all its groups
 and targets; trees of city modes are fitted by city in one job; boosting of the global modes grows
-all their models in step; forests of the global modes are Spark's.  Results are one table, with a
+all their models in step; forests of the global modes grow over the distributed rows (``forest``).  Results are one table, with a
 row for every mode, algorithm, target and city (null: all rows together).
 """
 
@@ -12,10 +12,12 @@ import json
 
 import pandas as pd
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import Imputer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airshed.operators import features as FE
+from airshed.operators import forest as FO
 from airshed.operators import gram as G
 from airshed.operators import ml as ML
 from airshed.operators import split as SP
@@ -106,14 +108,20 @@ def global_boosting(merged: DataFrame, codes: list[str], **settings) -> DataFram
     return out
 
 
-def global_forest(merged: DataFrame, codes: list[str]) -> DataFrame:
+def global_forest(merged: DataFrame, codes: list[str], **settings) -> DataFrame:
     """Results of the random forest in the global modes."""
-    found = ML.experiment_grid(merged, codes, ["RandomForest"])
-    if "error" in found and found["error"].notna().any():
-        raise RuntimeError(str(found["error"].dropna().iloc[0]))
-    names = [c.split()[0] for c in RESULTS.split(", ")]
-    found = found.assign(city_name=None)[names]
-    return merged.sparkSession.createDataFrame(found.astype(object).where(found.notna(), None), RESULTS)
+    out = None
+    for code in codes:
+        mode = ML.MODE_TABLE[code]
+        rows, cols = mode_rows(merged, mode)
+        known = [f"{c}__imp" for c in cols]
+        rows = rows.cache()
+        full = Imputer(inputCols=cols, outputCols=known, strategy="median").fit(rows.where("split = 'train'")).transform(rows)
+        p = FO.predictions(full, ["city_name", "date"], ["group", *mode.target_list], known, labels(mode), **{**FO.FOREST, **settings})
+        r = _results(p.withColumn("algorithm", F.lit("RandomForest")), mode).checkpoint()
+        rows.unpersist()
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 # ---------------------------------------------------------------- the result registry

@@ -214,15 +214,20 @@ def sparse_splits(slot: np.ndarray, bins: np.ndarray, w: np.ndarray, wy: np.ndar
     return gain, group[pick // 2] % n_f, cell[pick // 2] & 255, pick % 2 == 1
 
 
-def grow_rows(bins: np.ndarray, y: np.ndarray, weights: list[np.ndarray | None], depth: int, leaves: int | None, least: int) -> list[Tree]:
+def grow_rows(
+    bins: np.ndarray, y: np.ndarray, weights: list[np.ndarray | None], depth: int, leaves: int | None, least: int, some: Callable[[np.ndarray], np.ndarray] | None = None, root: int = 1
+) -> list[Tree]:
     """The trees that ``grow`` makes of ``array_sums`` for each of the weights, grown together: rows keep their
-    node from level to level, and the work of a level is that of the rows that are still in it."""
+    node from level to level, and the work of a level is that of the rows that are still in it.
+
+    ``some`` gives the features (slots x features tried) of nodes by their paths: ``root``, and 2 p and 2 p + 1 below p."""
     trees, n_leaves = [Tree() for _ in weights], [1] * len(weights)
     rows = [np.arange(len(y)) if w is None else np.flatnonzero(w > 0) for w in weights]
     slot = np.repeat(np.arange(len(weights)), [len(r) for r in rows])
     w = np.concatenate([np.ones(len(r)) if x is None else x[r] for x, r in zip(weights, rows, strict=True)])
     row = np.concatenate(rows)
     nodes = [(k, 0) for k in range(len(weights))]  # tree and node of each slot
+    path = np.full(len(weights), root, np.int64)
     for level in range(depth + 1):
         if not len(row):
             break
@@ -232,7 +237,8 @@ def grow_rows(bins: np.ndarray, y: np.ndarray, weights: list[np.ndarray | None],
             trees[t].value[node] = value
         if level == depth:
             break
-        b = bins[row].astype(np.int64)
+        tried = None if some is None else some(path)
+        b = bins[row].astype(np.int64) if tried is None else bins[row[:, None], tried[slot]].astype(np.int64)
         gain, feature, at, side = sparse_splits(slot, b, w, wy, all_n, all_s, least)
         good = gain > 1e-12 * np.maximum(1.0, np.abs(all_s))
         if leaves is not None:  # the least useful splits of a tree's level go
@@ -242,9 +248,11 @@ def grow_rows(bins: np.ndarray, y: np.ndarray, weights: list[np.ndarray | None],
                     good[k] = n_leaves[t] < leaves
                     n_leaves[t] += bool(good[k])
         place, made = np.cumsum(good) - 1, []
+        real = feature if tried is None else tried[np.arange(len(nodes)), feature]
         for k in np.flatnonzero(good).tolist():
             t, node = nodes[k]
-            made += [(t, child) for child in trees[t].split(node, int(feature[k]), int(at[k]), bool(side[k]), float(gain[k]))]
+            made += [(t, child) for child in trees[t].split(node, int(real[k]), int(at[k]), bool(side[k]), float(gain[k]))]
+        path = (path[good][:, None] * 2 + np.arange(2)).ravel()
         for t in {t for t, _ in made}:
             trees[t].levels += 1
         here = good[slot]

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from airshed.operators import gram as G
@@ -194,3 +195,32 @@ def test_trees_grown_together_are_those_of_dense_sums(depth, leaves, least):
         own = T.grow(T.array_sums(b, y, weight), depth, leaves, least)
         assert (own.feature, own.at, own.null_left, own.left, own.levels) == (tree.feature, tree.at, tree.null_left, tree.left, tree.levels)
         assert np.allclose(own.value, tree.value) and np.allclose(own.gain, tree.gain)
+
+
+def test_forest_of_all_rows_is_that_of_arrays_in_any_layout(spark, monkeypatch):
+    from airshed.operators import forest as FO
+
+    x, y = _rows(400)
+    x = np.round(np.where(np.isnan(x), 0.0, x), 1)
+    rows = [(k, "train" if k < 300 or k in (310, 311) else "val", *map(float, a), float(b), float(-b * a[0])) for k, (a, b) in enumerate(zip(x, y, strict=True))]
+    rows += [rows[0], rows[0], (None, *rows[1][1:])]  # a row that comes three times, a null key
+    df = spark.createDataFrame(rows, "k int, split string, a double, b double, c double, y double, z double")
+    setting = {"trees": 4, "depth": 6, "least": 2, "bins": 200, "seed": 3}
+    run = lambda d: {(r["k"], r["target"]): r["prediction"] for r in FO.predictions(d, ["k"], ["k"], ["a", "b", "c"], ["y", "z"], **setting).collect()}
+    got = run(df.coalesce(1))
+    key = np.array([r[0] for r in df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("split", "y", "z", "a", "b", "c"))).where("split = 'train'").select(F.xxhash64("k", "n"), "k", "a", "b", "c", "y", "z").orderBy("k").collect()])
+    own = df.where("split = 'train'").orderBy("k").toPandas()
+    points = T.column_cuts(df.where("split = 'train'"), ["a", "b", "c"], 200)
+    train, test = (T.binned(v, points) for v in (own[["a", "b", "c"]].to_numpy(), x))
+    for target in "yz":
+        want = np.zeros(len(x))
+        for i in range(4):
+            tree = T.grow_rows(train, own[target].to_numpy(), [FO.bootstrap(key, i, 3)], 6, None, 2, lambda p, i=i: FO.third(p, i, 3, 3))[0]
+            want += tree.predict(test) / 4
+        assert all(abs(got[k, target] - want[k]) < 1e-9 for k, s, *_ in rows if s == "val")
+    assert len(got) == 2 * sum(r[1] == "val" for r in rows)
+    # other layouts give the same forest, and so do large nodes that are split from sums of all tasks
+    for held in (FO.HELD_ROWS, 40):
+        monkeypatch.setattr(FO, "HELD_ROWS", held)
+        again = run(df.repartition(6))
+        assert again.keys() == got.keys() and all(abs(again[k] - got[k]) < 1e-9 for k in got)
