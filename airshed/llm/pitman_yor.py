@@ -1,9 +1,7 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Every token is a dish served in the restaurant of its context.  A context is the class of the
-last marker before the token in its document: the ``MARKERS`` most frequent words of the
-training texts are markers, clustered by which of them follow each other into ``CLASSES``
-classes (so, say, by language); before a document's first marker the context is the start.
+Every token is a dish served in the restaurant of its context, the word before it in its document
+(the end token before the first one): counts of pairs of neighbours are gathered over all training texts.
 All context restaurants share a parent, the restaurant of words without context.  Its base
 measure spells words byte by byte: the restaurants of two-byte contexts share the one-byte
 contexts as parents, those share the context-free one, and that one the uniform measure.  A
@@ -18,10 +16,10 @@ score, all words that training lacks are one type: its probability is what the b
 has left beside the known words, times the weights of new tables.
 
 How it runs: texts are encoded once, in chunks of about ``CHUNK_BYTES`` of text, each with a
-word list of its own.  Words and their counts by context are summed over the chunks; sweeps
-run over that table; the words' results are joined back to the chunks, which add them up for
-each document.  The driver holds the markers, their MARKERS ** 2 counts and the spelling
-model: at most 257 ** 3 counts.
+word list of its own.  Pairs and their counts are summed over the chunks; sweeps run over the pairs
+that occur twice or more (a single one always has one table) and the words, joined by word; the results
+of words and pairs are joined back to the chunks, which add them up for each document.  The driver
+holds totals and the spelling model: at most 257 ** 3 counts.
 
 Cases: a null or empty text is the end token alone.  A null doc_id is never held out.
 Repeated rows are rows of their own, in training too.  Extra columns are ignored.  An empty
@@ -30,8 +28,6 @@ table gives an empty result; without training rows every word is the one unknown
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,7 +44,6 @@ CHUNK_BYTES = 16 << 20
 BURN_IN, SAMPLES = 1, 3
 STRENGTH = 1.0
 MARKERS, CLASSES = 256, 4
-STATES = CLASSES + 1  # the start, then the classes
 SYMBOLS = 257  # the bytes and the word's end; as context, 256 is the word's start
 END = 256
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -170,43 +165,50 @@ def marker_classes(chunks: DataFrame) -> dict[bytes, int]:
     return {w: int(c) + 1 for w, c in zip(markers, classes, strict=True)}
 
 
-def states(words: list[bytes], tokens: np.ndarray, size: np.ndarray, classes: dict[bytes, int]) -> np.ndarray:
-    """Each token's context: the class of the last marker before it in its document, else 0."""
-    own = np.fromiter((classes.get(w, 0) for w in words), np.int8, len(words))[tokens]
-    place = np.arange(len(tokens))
-    last = np.maximum.accumulate(np.where(own > 0, place, -1))
-    before = np.r_[-1, last[:-1]]
-    return np.where(before >= np.repeat(np.cumsum(size) - size, size), own[before], 0)
+def pairs(words: list[bytes], tokens: np.ndarray) -> np.ndarray:
+    """Each token's (preceding word, word) as one number.  A document starts after the end token, which also ends the one before it."""
+    return np.r_[0, tokens[:-1]].astype(np.int64) * len(words) + tokens
+
 
+def training_pairs(chunks: DataFrame) -> DataFrame:
+    """(before, word, c): how often a word follows another in the training texts."""
+
+    def run(batches):
+        for _, words, tokens, _, training in _opened(batches):
+            cell, n = np.unique(pairs(words, tokens)[training], return_counts=True)
+            names = pa.array(words, pa.binary())
+            for at in range(0, len(cell), ROWS):
+                some = cell[at : at + ROWS]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(some // len(words))), names.take(pa.array(some % len(words))), pa.array(n[at : at + ROWS].astype(np.int64))], names=["before", "word", "c"])
 
-COUNTS = [f"n{k}" for k in range(STATES)]
+    rows = chunks.select("chunk", "held", "size", "tokens", "words").mapInArrow(run, "before binary, word binary, c long")
+    return rows.groupBy("before", "word").agg(F.sum("c").alias("c"))
 
 
-def chunk_words(chunks: DataFrame, classes: dict[bytes, int], counted: bool) -> DataFrame:
-    """A row for every word of every chunk.  counted: (word, n0..), its training counts by context;
-    else (word, chunk, place, mask), with a bit for each context that it has in any text of the chunk."""
+def chunk_words(chunks: DataFrame) -> DataFrame:
+    """(word, chunk, place) of every word of every chunk."""
 
     def run(batches):
-        for chunk, words, tokens, size, training in _opened(batches):
-            cell = tokens * np.int64(STATES) + states(words, tokens, size, classes)
-            n = len(words) * STATES
-            if counted:
-                counts = np.bincount(cell[training], minlength=n).reshape(-1, STATES)
-            else:
-                used = np.zeros(n, np.int8)
-                used[cell] = 1
-                mask = (used.reshape(-1, STATES) << np.arange(STATES, dtype=np.int8)).sum(axis=1).astype(np.int32)
+        for chunk, words, *_ in _opened(batches):
             for at in range(0, len(words), ROWS):
                 some = words[at : at + ROWS]
-                columns = [pa.array(some, pa.binary())]
-                if counted:
-                    columns += [pa.array(counts[at : at + len(some), k].astype(np.int64)) for k in range(STATES)]
-                else:
-                    columns += [pa.array(np.full(len(some), chunk)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.array(mask[at : at + len(some)])]
-                yield pa.RecordBatch.from_arrays(columns, names=["word", *COUNTS] if counted else ["word", "chunk", "place", "mask"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array(np.full(len(some), chunk)), pa.array(np.arange(at, at + len(some), dtype=np.int32))], names=["word", "chunk", "place"])
 
-    kinds = ", ".join(f"{c} long" for c in COUNTS) if counted else "chunk long, place int, mask int"
-    return chunks.select("chunk", "held", "size", "tokens", "words").mapInArrow(run, f"word binary, {kinds}")
+    return chunks.select("chunk", "held", "size", "tokens", "words").mapInArrow(run, "word binary, chunk long, place int")
+
+
+def chunk_pairs(chunks: DataFrame) -> DataFrame:
+    """(before, word, chunk, place) of every distinct pair of every chunk; its place is its rank among the chunk's pairs."""
+
+    def run(batches):
+        for chunk, words, tokens, *_ in _opened(batches):
+            cell, names = np.unique(pairs(words, tokens)), pa.array(words, pa.binary())
+            for at in range(0, len(cell), ROWS):
+                some = cell[at : at + ROWS]
+                columns = [names.take(pa.array(some // len(words))), names.take(pa.array(some % len(words))), pa.array(np.full(len(some), chunk)), pa.array(np.arange(at, at + len(some), dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["before", "word", "chunk", "place"])
+
+    return chunks.select("chunk", "held", "size", "tokens", "words").mapInArrow(run, "before binary, word binary, chunk long, place int")
 
 
 # ---------------------------------------------------------------- seating
@@ -422,6 +424,20 @@ def sample_tables(c: np.ndarray, a: np.ndarray, d: float, rng, u: np.ndarray | N
     return out
 
 
+def seat(c: np.ndarray, a: np.ndarray, d: float, hashed: np.ndarray, seed: int) -> np.ndarray:
+    """``sample_tables`` by numbers drawn from the dishes' hashes, so that no draw depends on what lies beside its dish."""
+    u, out = uniforms(hashed, seed), np.minimum(c, 1)
+    many = c > SMALL
+    if many.any():
+        at = np.flatnonzero(many)
+        mode, _ = likely_tables(c[at].astype(float), np.maximum(a[at], 1e-300), d)
+        many[at[(mode >= FAR) & (c[at] - mode >= FAR)]] = False  # those need no other numbers than u
+    out[~many] = sample_tables(c[~many], a[~many], d, None, u[~many])
+    for i in np.flatnonzero(many).tolist():
+        out[i] = sample_tables(c[i : i + 1], a[i : i + 1], d, np.random.default_rng([seed, int(hashed[i])]), u[i : i + 1])[0]
+    return out
+
+
 def discount(singles: float, doubles: float) -> float:
     return min(max(singles / (singles + 2 * doubles), 0.1), 0.9) if singles + doubles else 0.5
 
@@ -503,21 +519,6 @@ def hashes(words: pa.Array) -> np.ndarray:
     return RangeHash(BYTE[raw]).of(at[:-1], at[1:])
 
 
-#: Of each word: training counts and tables by context, tables in the parent restaurant, sums of the samples'
-#: probabilities by context, and the base measure (0 for unknown words).
-TABLES, SUMS = [f"t{k}" for k in range(STATES)], [f"p{k}" for k in range(STATES)]
-STATE = "word binary, " + ", ".join([f"{c} long" for c in COUNTS + TABLES] + ["t long"] + [f"{p} double" for p in SUMS] + ["q double"])
-
-
-def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
-    return np.stack([batch.column(x).to_numpy() for x in names], axis=1)
-
-
-def _state(word, n, t, parent, p, q) -> pa.RecordBatch:
-    columns = [word, *(pa.array(n[:, k]) for k in range(STATES)), *(pa.array(t[:, k]) for k in range(STATES)), pa.array(parent), *(pa.array(p[:, k]) for k in range(STATES)), pa.array(q)]
-    return pa.RecordBatch.from_arrays(columns, names=["word", *COUNTS, *TABLES, "t", *SUMS, "q"])
-
-
 def _spelled(batches):
     """(key, n): spelling counts, each word as often as it has tables."""
     for batch in batches:
@@ -534,121 +535,141 @@ def spelling(state: DataFrame, seed: int) -> Spelling:
     return Spelling(rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), np.random.default_rng(seed))
 
 
-#: Rows of a sweep that are seated at once, so that the large dishes' steps are shared by many.
-SEATED = 100_000
-
-
-def _together(batches):
-    """The rows in pieces of about SEATED."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-        if sum(b.num_rows for b in held) >= SEATED:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = []
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
-def learn(words: DataFrame, scratch: Scratch, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 1) -> tuple[DataFrame, int, int]:
-    """(word, c, p0..) with the averaged predictive probabilities by context of every word of ``words`` (word, n0..);
-    the training tokens N and distinct words V."""
-    c = sum((F.col(x) for x in COUNTS[1:]), F.col(COUNTS[0]))
-    kinds = sum((F.least(F.col(x), F.lit(1)) for x in COUNTS[1:]), F.least(F.col(COUNTS[0]), F.lit(1)))
-    of = lambda k: sum((F.count_if(F.col(x) == k) for x in COUNTS[1:]), F.count_if(F.col(COUNTS[0]) == k))
-    total = words.agg(
-        *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in COUNTS], F.count_if(c > 0).alias("v"), of(1).alias("one"), of(2).alias("two"), F.count_if(kinds == 1).alias("parent_one"), F.count_if(kinds == 2).alias("parent_two")
-    ).first()
-    size = np.array([total[x] for x in COUNTS], np.float64)
-    n, v = int(size.sum()), total["v"]
-    d, d0 = discount(total["one"], total["two"]), discount(total["parent_one"], total["parent_two"])
-    # At first every dish has one table, and each word one in the parent restaurant.
-    first = [F.least(F.col(x), F.lit(1)).cast("long").alias(t) for x, t in zip(COUNTS, TABLES, strict=True)]
-    state = words.select("word", *COUNTS, *first, F.least(c, F.lit(1)).cast("long").alias("t"), *[F.lit(0.0).alias(p) for p in SUMS], F.lit(0.0).alias("q"))
-    # In order of the words within fixed partitions: what the large dishes' batches hold doesn't depend on the documents' layout.
-    state = state.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word").sortWithinPartitions("word")
-    state = scratch.keep(state, "seated")
-    unknown = np.zeros(STATES)
-    for sweep in range(burn_in + samples + 1):
-        sums = state.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in [*TABLES, "t"]]).first()
-        tables = np.array([sums[x] for x in TABLES], np.float64)
-        # New tables' weights, and what a restaurant's weights add up to; empty restaurants pass all to their parents.
-        fresh, whole = np.where(size > 0, STRENGTH + d * tables, 1.0), np.where(size > 0, STRENGTH + size, 1.0)
-        fresh0, whole0 = (STRENGTH + d0 * sums["t"], STRENGTH + tables.sum()) if n else (1.0, 1.0)
-        model = spelling(state, seed + sweep)
-        last = sweep == burn_in + samples
-
-        def run(batches, model=model, fresh=fresh, whole=whole, fresh0=fresh0, whole0=whole0, sample=sweep > burn_in, last=last, seed=seed + 1000 * sweep):
-            for batch in _together(batches):
-                word, parent = batch.column("word"), batch.column("t").to_numpy()
-                counts, t, p = _matrix(batch, COUNTS), _matrix(batch, TABLES), _matrix(batch, SUMS)
-                q = np.exp(model.log_probability(word))
-                p0 = (t.sum(axis=1) - d0 * parent + fresh0 * q) / whole0
-                a = fresh[None, :] * p0[:, None]
-                if sample:
-                    p = p + (counts - d * t + a) / whole[None, :] / samples
-                if not last:
-                    rng = np.random.default_rng([seed, zlib.crc32(word[0].as_py()), len(word)])
-                    hashed = hashes(word)
-                    u = np.stack([uniforms(hashed, (seed << 8) + k) for k in range(STATES + 1)], axis=1)
-                    t = sample_tables(counts.ravel(), a.ravel(), d, rng, u[:, :-1].ravel()).reshape(t.shape)
-                    parent = sample_tables(t.sum(axis=1), fresh0 * q, d0, rng, u[:, -1])
-                yield _state(word, counts, t, parent, p, np.where(counts.sum(axis=1) > 0, q, 0.0))
-
-        state = scratch.keep(state.mapInArrow(run, STATE), f"sweep{sweep}")
-        scratch.drop(f"sweep{sweep - 1}" if sweep else "seated")
-        if sweep > burn_in:
-            left = max(1 - state.agg(F.coalesce(F.sum("q"), F.lit(0.0))).first()[0], 1e-12)
-            unknown += fresh / whole * fresh0 / whole0 * left / samples
-    known = [F.when(c > 0, F.col(p)).otherwise(F.lit(float(u))).alias(p) for p, u in zip(SUMS, unknown, strict=True)]
-    return state.select("word", c.alias("c"), *known), n, v
+def _sum(*columns):
+    total = F.coalesce(F.col(columns[0]), F.lit(0))
+    for c in columns[1:]:
+        total = total + F.coalesce(F.col(c), F.lit(0))
+    return total.cast("long")
+
+
+def learn(counts: DataFrame, scratch: Scratch, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 1) -> tuple[DataFrame, DataFrame, list[float], int, int]:
+    """Of the pairs (before, word, c) in training: every word's (word, c, size, p1.., b1..), its count, the customers of its
+    restaurant, and by sample its probability without context and what its restaurant leaves to that; every pair's (before,
+    word, own), its customers less the discounts; the unknown type's probability by sample; training tokens N and words V.
+
+    A pair that occurs once has one table in every seating, so sweeps run over the others."""
+    ks = range(1, samples + 1)
+    once = (F.col("c") == 1).cast("long")
+    of = counts.groupBy("word").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("kinds"), F.sum(once).alias("ones"))
+    words = scratch.keep(of.select("word", "c", "kinds", "ones", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("q"), *[F.lit(0.0).alias(f"p{k}") for k in ks]), "words")
+    rooms = scratch.keep(counts.groupBy(F.col("before").alias("room")).agg(F.sum("c").alias("size"), F.sum(once).alias("single"), *[F.lit(0).cast("long").alias(f"r{k}") for k in ks]), "rooms")
+    many = scratch.keep(counts.where("c > 1").select("before", "word", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("ts")), "many")
+    one = counts.agg(F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
+    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("kinds") == 1).alias("one"), F.count_if(F.col("kinds") == 2).alias("two")).first()
+    n, v, d, d0 = int(total["n"]), total["v"], discount(one["one"], one["two"]), discount(total["one"], total["two"])
+    unknown, held = [], {"words": "words", "rooms": "rooms", "many": "many"}
+
+    def keep(df: DataFrame, name: str, sweep: int) -> DataFrame:
+        out = scratch.keep(df, f"{name}{sweep}")
+        scratch.drop(held[name])
+        held[name] = f"{name}{sweep}"
+        return out
+
+    for sweep in range(burn_in + samples):
+        k = sweep - burn_in + 1  # the sample, if positive
+        fresh0 = STRENGTH + d0 * (words.agg(F.sum("t")).first()[0] or 0)
+        model = spelling(words, seed + sweep)
+        now = words.join(many.groupBy("word").agg(F.sum("t").alias("_t")), "word", "left").withColumn("_k", _sum("ones", "_t"))
+
+        def parents(batches, model=model, fresh0=fresh0, at=seed + 1000 * sweep):
+            for batch in batches:
+                if batch.num_rows:
+                    word, c = batch.column("word"), batch.column("_k").to_numpy()
+                    q = np.exp(model.log_probability(word))
+                    t = seat(c, fresh0 * q, d0, hashes(word), at)
+                    new = {"t": pa.array(t), "q": pa.array(q)}
+                    yield pa.RecordBatch.from_arrays([new.get(name, batch.column(name)) for name in batch.schema.names], names=batch.schema.names)
+
+        fields = ["word", "c", "kinds", "ones", "t", "q", *[f"p{i}" for i in ks], "_k"]
+        kinds = "word binary, c long, kinds long, ones long, t long, q double, " + "".join(f"p{i} double, " for i in ks) + "_k long"
+        seated = scratch.keep(now.select(*fields).mapInArrow(parents, kinds), f"seated{sweep}")
+        sums = seated.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("_k"), F.lit(0)).alias("k"), F.coalesce(F.sum("q"), F.lit(0.0)).alias("q")).first()
+        fresh0, whole0 = (STRENGTH + d0 * sums["t"], STRENGTH + sums["k"]) if n else (1.0, 1.0)
+        p = (F.col("_k") - F.lit(d0) * F.col("t") + F.lit(fresh0) * F.col("q")) / F.lit(float(whole0))
+        tables = rooms.join(many.groupBy(F.col("before").alias("room")).agg(F.sum("t").alias("_t")), "room", "left").withColumn("_r", _sum("single", "_t"))
+        if k > 0:
+            unknown.append(fresh0 / whole0 * max(1 - sums["q"], 1e-12))
+            rooms = keep(tables.withColumn(f"r{k}", F.col("_r")).drop("_t", "_r"), "rooms", sweep)
+            tables = rooms.withColumn("_r", F.col(f"r{k}"))
+        if sweep + 1 < burn_in + samples:
+
+            def contexts(batches, at=seed + 1000 * sweep + 500, add=int(k > 0)):
+                for batch in batches:
+                    if batch.num_rows:
+                        before, word = batch.column("before"), batch.column("word")
+                        c, t, ts, a = (batch.column(x).to_numpy() for x in ("c", "t", "ts", "a"))
+                        with np.errstate(over="ignore"):
+                            hashed = mix(hashes(before)) ^ hashes(word)
+                        yield pa.RecordBatch.from_arrays([before, word, pa.array(c), pa.array(seat(c, a, d, hashed, at)), pa.array(ts + add * t)], names=["before", "word", "c", "t", "ts"])
+
+            a = (F.lit(STRENGTH) + F.lit(d) * F.col("_r")) * F.col("_p")
+            given = many.join(seated.select("word", p.alias("_p")), "word").join(tables.select(F.col("room").alias("before"), "_r"), "before")
+            many = keep(given.select("before", "word", "c", "t", "ts", a.alias("a")).mapInArrow(contexts, "before binary, word binary, c long, t long, ts long"), "many", sweep)
+        else:
+            many = many.withColumn("ts", F.col("ts") + F.col("t"))
+        words = keep(seated.select(*fields[:-1], p.alias("_p")).select("word", "c", "kinds", "ones", "t", "q", *[F.col("_p" if i == k else f"p{i}").alias(f"p{i}") for i in ks]), "words", sweep)
+        scratch.drop(f"seated{sweep}")
+    known = words.join(rooms.withColumnRenamed("room", "word"), "word", "left")
+    back = [F.coalesce((F.lit(STRENGTH) + F.lit(d) * F.col(f"r{k}")) / (F.lit(STRENGTH) + F.col("size")), F.lit(1.0)).alias(f"b{k}") for k in ks]
+    known = known.select("word", "c", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), *[f"p{k}" for k in ks], *back)
+    own = many.select("before", "word", (F.col("c") - F.lit(d / samples) * F.col("ts")).alias("own")).unionByName(counts.where("c = 1").select("before", "word", F.lit(1 - d).alias("own")))
+    return known, own, unknown, n, v
 
 
 #: Rows of a task's joined words that are packed at once.
 PACKED = 1_000_000
 
 
-def _packed(batches):
-    """(chunk, found): cells (place and context) of the chunks' words with count and probability, of up to PACKED rows at a time."""
+def _packed(names: list[str]):
+    """(chunk, found): places of the chunks' words or pairs with their numbers, of up to PACKED rows at a time."""
 
     def pack(parts):
-        chunk, cell, c, p = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((cell, chunk))
-        chunk, cell, c, p = chunk[order], cell[order], c[order], p[order]
+        chunk, place, numbers = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((place, chunk))
+        chunk, place, numbers = chunk[order], place[order], numbers[order]
         edges = np.r_[np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]), len(chunk)]
-        found = [_pack(cell[a:b].astype(np.int32).tobytes() + c[a:b].tobytes() + p[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
+        found = [_pack(place[a:b].astype(np.int32).tobytes() + numbers[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
         return pa.RecordBatch.from_arrays([pa.array(chunk[edges[:-1]]), pa.array(found, pa.binary())], names=["chunk", "found"])
 
-    parts, rows = [], 0
-    for batch in batches:
-        used = (batch.column("mask").to_numpy()[:, None] >> np.arange(STATES) & 1).astype(bool)
-        at, state = np.nonzero(used)
-        chunk, place, c = (batch.column(x).to_numpy()[at] for x in ("chunk", "place", "c"))
-        parts.append([chunk, place.astype(np.int64) * STATES + state, c, _matrix(batch, SUMS)[at, state].astype(np.float32)])
-        rows += len(at)
-        if rows >= PACKED:
+    def run(batches):
+        parts, rows = [], 0
+        for batch in batches:
+            parts.append([batch.column("chunk").to_numpy(), batch.column("place").to_numpy(), np.stack([batch.column(x).to_numpy().astype(float) for x in names], axis=1)])
+            rows += batch.num_rows
+            if rows >= PACKED:
+                yield pack(parts)
+                parts, rows = [], 0
+        if rows:
             yield pack(parts)
-            parts, rows = [], 0
-    if rows:
-        yield pack(parts)
 
+    return run
+
+
+def _filled(row, name: str, table: np.ndarray) -> np.ndarray:
+    """The table with the packed rows of a chunk at their places."""
+    for x in row.column(name).flatten():
+        x = _unpack(x.as_py())
+        m = len(x) // (4 + 8 * table.shape[1])
+        table[np.frombuffer(x, np.int32, m)] = np.frombuffer(x, float, m * table.shape[1], 4 * m).reshape(m, -1)
+    return table
+
+
+def _score(n: int, v: int, unknown: list[float]):
+    samples = len(unknown)
 
-def _score(n: int, v: int, classes: dict[bytes, int]):
     def run(batches):
         for batch in batches:
             for k, (_, words, tokens, size, _) in enumerate(_opened([batch])):
                 row = batch.slice(k, 1)
-                count, log_p = np.zeros(len(words), np.int64), np.zeros(len(words) * STATES, np.float32)
-                for x in row.column("found").flatten():
-                    x = _unpack(x.as_py())
-                    m = len(x) // 16
-                    cell = np.frombuffer(x, np.int32, m)
-                    count[cell // STATES] = np.frombuffer(x, np.int64, m, 4 * m)
-                    log_p[cell] = np.log10(np.frombuffer(x, np.float32, m, 12 * m))
+                of = _filled(row, "of_words", np.tile([0.0, 0.0, *unknown, *[1.0] * samples], (len(words), 1)))
+                count, customers, p, b = of[:, 0], of[:, 1], of[:, 2 : 2 + samples], of[:, 2 + samples :]
+                cell, place = np.unique(pairs(words, tokens), return_inverse=True)
+                own = _filled(row, "of_pairs", np.zeros((len(cell), 1)))[:, 0]
+                before, word = cell // len(words), cell % len(words)
+                log_p = np.log10(own / (STRENGTH + customers[before]) + (b[before] * p[word]).mean(axis=1))
                 at = np.cumsum(size) - size
                 base = np.log10((count + 1) / (n + v + 1))
-                score = np.add.reduceat(log_p[tokens * np.int64(STATES) + states(words, tokens, size, classes)].astype(np.float64), at)
+                score = np.add.reduceat(log_p[place], at)
                 yield pa.RecordBatch.from_arrays(
                     [row.column("doc_id").flatten(), row.column("held").flatten(), pa.array(size), pa.array(np.add.reduceat((count > 0)[tokens].astype(np.int64), at)), pa.array(np.full(len(size), n, np.int64)), pa.array(np.add.reduceat(base[tokens], at)), pa.array(score), pa.array(10 ** np.minimum(-score / size, 300))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
@@ -661,14 +682,18 @@ def score_documents(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMP
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every document."""
     scratch = Scratch(docs.sparkSession, "lm")
     chunks = scratch.keep(encode(docs), "chunks")
-    classes = marker_classes(chunks)
-    words = scratch.keep(chunk_words(chunks, classes, True).groupBy("word").agg(*[F.sum(x).alias(x) for x in COUNTS]), "words")
-    learned, n, v = learn(words, scratch, burn_in, samples)
-    # A chunk's words, as many as its bounded text has, meet in one row, packed by the tasks that joined them.
-    joined = chunk_words(chunks, classes, False).join(learned.hint("merge"), "word").select("chunk", "place", "mask", "c", *SUMS)
-    found = joined.mapInArrow(_packed, "chunk long, found binary").groupBy("chunk").agg(F.collect_list("found").alias("found"))
-    rows = chunks.join(found.hint("merge"), "chunk")
-    out = rows.mapInArrow(_score(n, v, classes), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    counts = scratch.keep(training_pairs(chunks), "counts")
+    known, own, unknown, n, v = learn(counts, scratch, burn_in, samples)
+    # A chunk's words and pairs, as many as its bounded text has, meet in one row, packed by the tasks that joined them.
+    numbers = ["c", "size", *[f"p{k + 1}" for k in range(samples)], *[f"b{k + 1}" for k in range(samples)]]
+    of_words = chunk_words(chunks).join(known.hint("merge"), "word").select("chunk", "place", *numbers).mapInArrow(_packed(numbers), "chunk long, found binary")
+    of_pairs = chunk_pairs(chunks).join(own.hint("merge"), ["before", "word"]).select("chunk", "place", "own").mapInArrow(_packed(["own"]), "chunk long, found binary")
+    rows = chunks
+    for found, name in ((of_words, "of_words"), (of_pairs, "of_pairs")):
+        rows = rows.join(found.groupBy("chunk").agg(F.collect_list("found").alias(name)).hint("merge"), "chunk", "left")
+    nothing = F.array().cast("array<binary>")
+    rows = rows.withColumns({name: F.coalesce(F.col(name), nothing) for name in ("of_words", "of_pairs")})
+    out = rows.mapInArrow(_score(n, v, unknown), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
     return scratch.finish(out)
 
 

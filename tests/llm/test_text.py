@@ -530,3 +530,31 @@ def test_pipeline_stages(spark, sf_small):
     assert {r["doc_id"] for r in out.collect()} == left and 0 < len(left) < len(text)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), sf_small).columns == docs.columns
+
+
+def test_words_depend_on_the_words_before_them(spark):
+    train, held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 != 2][:80], [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2][:3]
+    words = [f"w{k}" for k in range(40)]
+    text = lambda k, step: " ".join(words[(k + step * i) % 40] for i in range(40))
+    rows = [(k, text(k, 1), None, None, None) for k in train] + [(held[0], text(3, 1), None, None, None), (held[1], text(3, 7), None, None, None), (held[2], "unseen words only", None, None, None)]
+    got = {r["doc_id"]: r for r in pitman_yor.score_documents(frame(spark, rows)).collect()}
+    assert abs(got[held[0]]["base_score"] - got[held[1]]["base_score"]) < 1e-9
+    # the same words, but only the first text has the pairs of the training texts
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 40
+
+
+def test_probabilities_of_a_context_add_up(spark, documents):
+    from airshed.llm.common import Scratch
+
+    scratch = Scratch(spark, "lm-test")
+    counts = scratch.keep(pitman_yor.training_pairs(pitman_yor.encode(frame(spark, documents))), "counts")
+    known, own, unknown, n, v = pitman_yor.learn(counts, scratch)
+    known, own = known.toPandas(), own.toPandas()
+    assert (known["c"].sum(), len(known)) == (n, v) and len(own) == counts.count()
+    for k, u in enumerate(unknown, 1):
+        assert abs(known[f"p{k}"].sum() + u - 1) < 1e-9
+    back = known.set_index("word")[[f"b{k + 1}" for k in range(len(unknown))]].mean(axis=1)
+    size = known.set_index("word")["size"]
+    for before, mine in own.groupby("before")["own"].sum().items():
+        assert abs(mine / (pitman_yor.STRENGTH + size[before]) + back[before] - 1) < 1e-9
+    scratch.drop()
