@@ -16,9 +16,10 @@ score, all words that training lacks are one type: its probability is what the b
 has left beside the known words, times the weights of new tables.
 
 How it runs: texts are encoded once, in chunks of about ``CHUNK_BYTES`` of text, each with a
-word list of its own.  Pairs and their counts are summed over the chunks; sweeps run over the pairs
-that occur twice or more (a single one always has one table) and the words, joined by word; the results
-of words and pairs are joined back to the chunks, which add them up for each document.  The driver
+word list of its own.  Words and pairs are told apart by 64-bit hashes.  A chunk's pairs are sorted by
+their hashes and dealt out in ranges of them, so that numbers come back in that order, without keys; the ranges add up
+the chunks' counts.  Sweeps run over the pairs that occur twice or more (a single one always has one table) and the words;
+their results go back to the chunks by the same ranges, which add them up for each document.  The driver
 holds totals and the spelling model: at most 257 ** 3 counts.
 
 Cases: a null or empty text is the end token alone.  A null doc_id is never held out.
@@ -28,15 +29,16 @@ table gives an empty result; without training rows every word is the one unknown
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airshed.llm.common import BYTE, RangeHash, Scratch, mix, read, remainder, slices, text_bytes, with_columns
+from airshed.llm.common import BYTE, SPACE, RangeHash, Scratch, Words, mix, read, remainder, slices, text_bytes, with_columns
 
 FOLD = (7, 2)
 CHUNK_BYTES = 16 << 20
@@ -46,7 +48,7 @@ STRENGTH = 1.0
 MARKERS, CLASSES = 256, 4
 SYMBOLS = 257  # the bytes and the word's end; as context, 256 is the word's start
 END = 256
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+LOWER = np.frombuffer(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"), np.uint8)
 ROWS = 50_000
 
 CHUNKS = "chunk long, doc_id array<long>, held array<boolean>, size array<long>, tokens binary, words binary"
@@ -61,12 +63,12 @@ def _unpack(x: bytes, kind=None):
     return raw if kind is None else np.frombuffer(raw, kind)
 
 
-class _Index(dict):
-    """word -> its number in the chunk, given as words are met."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+def _lines(words: pa.Array) -> bytes:
+    """The words, joined by line ends."""
+    raw, at = text_bytes(words.view(pa.large_string()))
+    out = np.full(len(raw) + len(words) - 1, 10, np.uint8)
+    out[np.arange(len(raw)) + np.repeat(np.arange(len(words)), np.diff(at))] = raw
+    return out.tobytes()
 
 
 def encode(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -78,16 +80,14 @@ def encode(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         part, n = TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text", chunk_bytes):
             held = batch.column("held").to_pylist()
-            index, ids, size = _Index({b"": 0}), [], []
-            for x in pc.fill_null(batch.column("text"), "").cast(pa.binary()):
-                words = x.as_py().translate(LOWER).split()
-                words.append(b"")
-                ids.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
-                size.append(len(words))
-            flat = np.concatenate(ids)
-            del ids
+            found = Words(batch.column("text"), hashes=False)
+            raw = found.raw[~SPACE[found.raw]]
+            length = np.r_[0, np.insert(found.end - found.start, found.at[1:], 0)]  # the end token first, then after every document
+            of = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(np.r_[0, np.cumsum(length)].astype(np.int64)), pa.py_buffer(LOWER[raw])]).dictionary_encode()
+            flat, words, size = of.indices.to_numpy()[1:], _lines(of.dictionary), (np.diff(found.at) + 1).tolist()
+            del found, raw, of
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | n]), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([size], pa.list_(pa.int64())), pa.array([_pack(flat)], pa.binary()), pa.array([_pack(b"\n".join(index))], pa.binary())],
+                [pa.array([part << 32 | n]), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([size], pa.list_(pa.int64())), pa.array([_pack(flat)], pa.binary()), pa.array([_pack(words)], pa.binary())],
                 names=["chunk", "doc_id", "held", "size", "tokens", "words"],
             )
             n += 1
@@ -185,30 +185,221 @@ def training_pairs(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("before", "word").agg(F.sum("c").alias("c"))
 
 
-def chunk_words(chunks: DataFrame) -> DataFrame:
-    """(word, chunk, place) of every word of every chunk."""
+# ---------------------------------------------------------------- pairs and words by ranges of their hashes
+
+
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A pair's hash, from those of its words."""
+    return mix(before) ^ word
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.concatenate([hashes(pa.array(words[at : at + ROWS], pa.binary())) for at in range(0, len(words), ROWS)])
+
+
+def _tokens_pairs(words: list[bytes], tokens: np.ndarray):
+    """The words' hashes, each token's preceding word and its pair's hash."""
+    h, before = word_hashes(words), np.r_[np.zeros(1, tokens.dtype), tokens[:-1]]
+    return h, before, pair_keys(h[before], h[tokens])
+
+
+def _runs(key: np.ndarray) -> np.ndarray:
+    """The places where sorted numbers change, their start and end included."""
+    return np.flatnonzero(np.r_[[True] * (len(key) > 0), key[1:] != key[:-1], True])
+
+
+def _order(key: np.ndarray) -> np.ndarray:
+    """``argsort`` of hashes by sorting them with their places in their low bits, which is faster; in full where those bits count."""
+    low = np.uint64(len(key).bit_length())
+    order = (np.sort(key >> low << low | np.arange(len(key), dtype=np.uint64)) & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    some = key[order]
+    return order if (some[1:] >= some[:-1]).all() else np.argsort(key, kind="stable")
+
+
+def sorted_pairs(words: list[bytes], tokens: np.ndarray):
+    """The words' hashes, each token's preceding word, the chunk's pairs by their hashes, a token of each of them and each token's pair."""
+    h, before, key = _tokens_pairs(words, tokens)
+    order = _order(key)
+    key = key[order]
+    runs = _runs(key)
+    place = np.empty(len(tokens), np.int64)
+    place[order] = np.repeat(np.arange(len(runs) - 1), np.diff(runs))
+    return h, before, key[runs[:-1]], order[runs[:-1]], place
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit numbers packed by byte, lowest bytes first: small ones take little room."""
+    return _pack(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _numbers(x: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(x, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def bucket_bits(tokens: int, partitions: int) -> int:
+    """Ranges of hashes, as a power of two: of about a million pairs at most, and several for each task."""
+    return max(1, int(np.ceil(np.log2(max(4 * partitions, tokens / 1e6)))))
+
+
+PARTS = "bucket int, chunk long, keys binary, n binary"
+
+
+def _parts(chunk: int, key: np.ndarray, n: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Sorted hashes and their numbers, by ranges."""
+    bucket = (key >> np.uint64(64 - bits)).astype(np.int32)
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=1 << bits))
+    cuts = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+    columns = [pa.array(bucket[edges[:-1]]), pa.array(np.full(len(cuts), chunk)), pa.array([_planes(np.diff(key[a:b], prepend=np.uint64(0))) for a, b in cuts], pa.binary()), pa.array([_planes(n[a:b]) for a, b in cuts], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "keys", "n"])
+
+
+def pair_parts(bits: int):
+    """(bucket, chunk, keys, n): the chunks' pairs and how often each is in training."""
+
+    def run(batches):
+        for chunk, words, tokens, _, training in _opened(batches):
+            *_, key = _tokens_pairs(words, tokens)
+            mine, key = np.sort(key[training]), np.sort(key)
+            key, runs = key[_runs(key)[:-1]], _runs(mine)
+            n = np.zeros(len(key), np.int64)
+            n[np.searchsorted(key, mine[runs[:-1]])] = np.diff(runs)
+            yield _parts(chunk, key, n, bits)
+
+    return run
+
+
+FOUND = "chunk long, bucket int, found binary"
+
+
+def _held_keys(part: pa.Table):
+    """(chunks, hashes of all, rows of each chunk) of a range's parts, in the chunks' order."""
+    part = part.sort_by("chunk")
+    keys = [np.cumsum(_numbers(x.as_py(), np.uint64)) for x in part.column("keys")]
+    return part, np.concatenate(keys), np.array([len(x) for x in keys])
+
+
+def _back(part: pa.Table, size: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
+    """Numbers found for a range's hashes, as they go back to the chunks."""
+    cuts = np.cumsum(size)[:-1]
+    split = [np.split(x, cuts) for x in columns]
+    found = [_planes(np.concatenate([x[k] for x in split])) for k in range(len(size))]
+    return pa.table([part.column("chunk"), part.column("bucket"), pa.array(found, pa.binary())], names=["chunk", "bucket", "found"])
+
+
+def counted(part: pa.Table) -> pa.Table:
+    """For every pair of every chunk in a range: twice its count in all training texts, and 1 more in one of the chunks that count it."""
+    part, key, size = _held_keys(part)
+    n = np.concatenate([_numbers(x.as_py(), np.int64) for x in part.column("n")])
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    pair = np.cumsum(new) - 1
+    code = 2 * np.add.reduceat(n, np.flatnonzero(new))[pair]
+    some = np.flatnonzero(n)
+    code[some[np.diff(pair[some], prepend=-1) > 0]] += 1
+    out = np.empty_like(code)
+    out[order] = code
+    return _back(part, size, [out])
+
+
+def _matched(names: list[str], kind):
+    """The numbers of a range's (key, *names) for every hash of every chunk in the range, 0 where it has none."""
+
+    def run(part: pa.Table, rows: pa.Table) -> pa.Table:
+        if not part.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())], names=["chunk", "bucket", "found"])
+        part, key, size = _held_keys(part)
+        mine = rows.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(mine)
+        mine = mine[order]
+        at = np.minimum(np.searchsorted(mine, key), max(len(mine) - 1, 0))
+        found = mine[at] == key if len(mine) else np.zeros(len(key), bool)
+        columns = []
+        for name in names:
+            x = np.zeros(len(key), kind)
+            x[found] = rows.column(name).to_numpy()[order][at[found]]
+            columns.append(x)
+        return _back(part, size, columns)
+
+    return run
+
+
+def returned(found: DataFrame, name: str) -> DataFrame:
+    """(chunk, name): what was found for a chunk, in the order of the ranges."""
+    return found.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "found"))).alias(name))
+
+
+def _found(row: pa.RecordBatch, name: str, kind, columns: int = 1) -> np.ndarray:
+    """The numbers that came back to a chunk, a row for each column."""
+    parts = [_numbers(x.as_py(), kind).reshape(columns, -1) for x in row.column(name).flatten().field("found")]
+    return np.concatenate(parts, axis=1) if parts else np.zeros((columns, 0), kind)
+
+
+def _counted(batches):
+    """(row, words, tokens, size, training, code) of the chunks whose pairs are counted."""
+    for batch in batches:
+        for k, opened in enumerate(_opened([batch])):
+            row = batch.slice(k, 1)
+            yield row, *opened[1:], _found(row, "counted", np.int64)[0]
+
+
+def _word_counts(batches):
+    """(word, text, c, kinds, ones, single): a chunk's words in training, how many pairs they end, once each, and how many once each they begin."""
+    for _, words, tokens, _, training, code in _counted(batches):
+        h, before, _, at, _ = sorted_pairs(words, tokens)
+        first, once = code & 1 == 1, code == 3
+        c, kinds, ones, single = (np.bincount(x, minlength=len(words)) for x in (tokens[training], tokens[at[first]], tokens[at[once]], before[at[once]]))
+        texts, h = pa.array(words, pa.binary()), h.view(np.int64)
+        for lo in range(0, len(words), ROWS):
+            some = slice(lo, lo + ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(h[some]), texts[some], *[pa.array(x[some]) for x in (c, kinds, ones, single)]], names=["word", "text", "c", "kinds", "ones", "single"]).filter(pa.array(c[some] > 0))
+
+
+def _repeated(batches):
+    """(before, word, c): the pairs that occur twice or more in training, each from one chunk."""
+    for _, words, tokens, _, _, code in _counted(batches):
+        h, before, _, at, _ = sorted_pairs(words, tokens)
+        at, c, h = at[(code & 1 == 1) & (code > 3)], code[(code & 1 == 1) & (code > 3)] >> 1, h.view(np.int64)
+        for lo in range(0, len(at), ROWS):
+            some = at[lo : lo + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(h[before[some]]), pa.array(h[tokens[some]]), pa.array(c[lo : lo + ROWS])], names=["before", "word", "c"])
+
+
+def repeated_parts(bits: int):
+    """(bucket, chunk, keys, n): the chunks' pairs that occur twice or more in training."""
+
+    def run(batches):
+        for row, words, tokens, _, _, code in _counted(batches):
+            key = np.sort(_tokens_pairs(words, tokens)[2])
+            key = key[_runs(key)[:-1]][code > 3]
+            if len(key):
+                yield _parts(row.column("chunk")[0].as_py(), key, np.zeros(len(key), np.int64), bits)
+
+    return run
+
+
+def word_parts(bits: int):
+    """(bucket, chunk, keys, n): the chunks' words."""
 
     def run(batches):
         for chunk, words, *_ in _opened(batches):
-            for at in range(0, len(words), ROWS):
-                some = words[at : at + ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array(np.full(len(some), chunk)), pa.array(np.arange(at, at + len(some), dtype=np.int32))], names=["word", "chunk", "place"])
+            key = np.sort(word_hashes(words))
+            yield _parts(chunk, key, np.zeros(len(key), np.int64), bits)
 
-    return chunks.select("chunk", "held", "size", "tokens", "words").mapInArrow(run, "word binary, chunk long, place int")
+    return run
 
 
-def chunk_pairs(chunks: DataFrame) -> DataFrame:
-    """(before, word, chunk, place) of every distinct pair of every chunk; its place is its rank among the chunk's pairs."""
+def _bucketed(names: list[str], bits: int):
+    """(bucket, key, *names) of words, or of pairs where there is a column ``before``."""
 
     def run(batches):
-        for chunk, words, tokens, *_ in _opened(batches):
-            cell, names = np.unique(pairs(words, tokens)), pa.array(words, pa.binary())
-            for at in range(0, len(cell), ROWS):
-                some = cell[at : at + ROWS]
-                columns = [names.take(pa.array(some // len(words))), names.take(pa.array(some % len(words))), pa.array(np.full(len(some), chunk)), pa.array(np.arange(at, at + len(some), dtype=np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["before", "word", "chunk", "place"])
+        for batch in batches:
+            key = batch.column("word").to_numpy().view(np.uint64)
+            if "before" in batch.schema.names:
+                key = pair_keys(batch.column("before").to_numpy().view(np.uint64), key)
+            yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(64 - bits)).astype(np.int32)), pa.array(key.view(np.int64)), *[batch.column(x) for x in names]], names=["bucket", "key", *names])
 
-    return chunks.select("chunk", "held", "size", "tokens", "words").mapInArrow(run, "before binary, word binary, chunk long, place int")
+    return run
 
 
 # ---------------------------------------------------------------- seating
@@ -305,17 +496,13 @@ def log_seatings(d: float) -> np.ndarray:
 def small_tables(c: np.ndarray, a: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
     """Tables of dishes of 2 to SMALL customers: the number at which the weights' running sum passes u of their total."""
     table, out = log_seatings(d), np.ones(len(c), np.int64)
-    order = np.argsort(c, kind="stable")
-    edges = np.r_[0, np.flatnonzero(np.diff(c[order])) + 1, len(c)]
-    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        at = order[lo:hi]
-        if not len(at):
-            continue
-        n = int(c[at[0]])
-        for part in np.array_split(at, -(-len(at) * n // 2_000_000)):  # a bounded number of weights at once
-            w = table[n, 1 : n + 1] + np.log(a[part])[:, None] * np.arange(1, n + 1)
+    width = 1 << np.ceil(np.log2(np.maximum(c, 2))).astype(np.int64)  # weights beyond c are 0
+    for m in np.unique(width).tolist():
+        at = np.flatnonzero(width == m)
+        for part in np.array_split(at, -(-len(at) * m // 1_000_000)):  # a bounded number of weights at once
+            w = table[c[part], 1 : m + 1] + np.log(a[part])[:, None] * np.arange(1, m + 1)
             w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-            out[part] = 1 + np.minimum((w < u[part, None] * w[:, -1:]).sum(axis=1), n - 1)
+            out[part] = 1 + np.minimum((w < u[part, None] * w[:, -1:]).sum(axis=1), c[part] - 1)
     return out
 
 
@@ -351,18 +538,18 @@ def likely_tables(c: np.ndarray, a: np.ndarray, d: float) -> tuple[np.ndarray, n
     return c / r, 1 / np.sqrt(curve)
 
 
-def great_tables(c: np.ndarray, a: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
-    """Tables of dishes of many customers and tables, in time that doesn't grow with either.
+def great_tables(c: np.ndarray, a: np.ndarray, d: float, u: np.ndarray, likely: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Tables of dishes of many customers and tables, in time that doesn't grow with either; ``likely`` is their ``likely_tables``.
 
     S_d(c, t) is c! / t! times the coefficient of z^c in f(z)^t, taken by its saddle point; the running integral over nine
     spreads to either side of the likeliest t is passed by u of the whole.  This is an approximation, measured against
     the exact sums: within 0.001 of their distribution function while the saddle point is off the singularity at z = 1
     (c (1 - z) of 20 or more), within 0.03, or a table in 190 on average, when it is close (many customers, few tables)."""
     out = np.ones(len(c), np.int64)
+    mode, spread = likely or likely_tables(c, a, d)
     for part in np.array_split(np.arange(len(c)), -(-len(c) // 500)):
         n, w = c[part, None], a[part, None]
-        mode, spread = likely_tables(c[part], a[part], d)
-        t = np.clip(mode[:, None] + spread[:, None] * np.linspace(-9, 9, 361), 1.0, n - 1.0)
+        t = np.clip(mode[part, None] + spread[part, None] * np.linspace(-9, 9, 361), 1.0, n - 1.0)
         x = _solved(n / t, lambda x: _ratio(x, d))
         r = _ratio(x, d)
         grown = r * (np.exp(-x) / -np.expm1(-x) + (1 - d) - d * np.exp(-d * x) / -np.expm1(-d * x))
@@ -424,17 +611,43 @@ def sample_tables(c: np.ndarray, a: np.ndarray, d: float, rng, u: np.ndarray | N
     return out
 
 
+def _draw(c: int, a: float, d: float, s: float, most: float, top: float, rng) -> int:
+    """One dish of ``sample_tables`` by rejection, by the same numbers of rng, without arrays of one."""
+    while True:
+        least = math.log1p(-rng.random()) - 1e-9
+        t, at, ratio = 1, 1.0, -top
+        while True:
+            opens = rng.beta(s + d * t, at - d * t)
+            gap, slope = math.log1p(-rng.random()), math.log1p(-opens) if opens < 1 else -math.inf
+            at += np.floor(gap / slope) + 1 if slope else math.inf
+            if at > c:
+                break
+            ratio += math.log(a / (s + d * t))
+            t += 1
+            if t > most and ratio < least:
+                break
+        if ratio >= least:
+            return t
+
+
 def seat(c: np.ndarray, a: np.ndarray, d: float, hashed: np.ndarray, seed: int) -> np.ndarray:
     """``sample_tables`` by numbers drawn from the dishes' hashes, so that no draw depends on what lies beside its dish."""
     u, out = uniforms(hashed, seed), np.minimum(c, 1)
     many = c > SMALL
+    out[~many] = sample_tables(c[~many], a[~many], d, None, u[~many])
     if many.any():
         at = np.flatnonzero(many)
-        mode, _ = likely_tables(c[at].astype(float), np.maximum(a[at], 1e-300), d)
-        many[at[(mode >= FAR) & (c[at] - mode >= FAR)]] = False  # those need no other numbers than u
-    out[~many] = sample_tables(c[~many], a[~many], d, None, u[~many])
-    for i in np.flatnonzero(many).tolist():
-        out[i] = sample_tables(c[i : i + 1], a[i : i + 1], d, np.random.default_rng([seed, int(hashed[i])]), u[i : i + 1])[0]
+        n, w = c[at].astype(float), np.maximum(a[at], 1e-300)
+        mode, spread = likely_tables(n, w, d)
+        far = (mode >= FAR) & (n - mode >= FAR)  # those need no other numbers than u
+        if far.any():
+            out[at[far]] = great_tables(n[far], w[far], d, u[at[far]], (mode[far], spread[far]))
+        at, n, w = at[~far], n[~far], w[~far]
+        s = _proposal(n, w, d)
+        most = np.maximum(np.floor((w - s) / d), 0) + 1
+        top = (most - 1) * np.log(w / d) - _log_gamma(s / d + most) + _log_gamma(s / d + 1)
+        for i, *dish in zip(at.tolist(), w.tolist(), s.tolist(), most.tolist(), top.tolist(), strict=True):
+            out[i] = _draw(int(c[i]), dish[0], d, *dish[1:], np.random.default_rng([seed, int(hashed[i])]))
     return out
 
 
@@ -548,16 +761,34 @@ def learn(counts: DataFrame, scratch: Scratch, burn_in: int = BURN_IN, samples:
     word, own), its customers less the discounts; the unknown type's probability by sample; training tokens N and words V.
 
     A pair that occurs once has one table in every seating, so sweeps run over the others."""
-    ks = range(1, samples + 1)
     once = (F.col("c") == 1).cast("long")
-    of = counts.groupBy("word").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("kinds"), F.sum(once).alias("ones"))
-    words = scratch.keep(of.select("word", "c", "kinds", "ones", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("q"), *[F.lit(0.0).alias(f"p{k}") for k in ks]), "words")
-    rooms = scratch.keep(counts.groupBy(F.col("before").alias("room")).agg(F.sum("c").alias("size"), F.sum(once).alias("single"), *[F.lit(0).cast("long").alias(f"r{k}") for k in ks]), "rooms")
-    many = scratch.keep(counts.where("c > 1").select("before", "word", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("ts")), "many")
-    one = counts.agg(F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("kinds") == 1).alias("one"), F.count_if(F.col("kinds") == 2).alias("two")).first()
-    n, v, d, d0 = int(total["n"]), total["v"], discount(one["one"], one["two"]), discount(total["one"], total["two"])
-    unknown, held = [], {"words": "words", "rooms": "rooms", "many": "many"}
+    words = counts.groupBy("word").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("kinds"), F.sum(once).alias("ones")).withColumn("text", F.col("word"))
+    rooms = counts.groupBy(F.col("before").alias("room")).agg(F.sum("c").alias("size"), F.sum(once).alias("single"))
+    known, many, d, unknown, n, v = sweeps(words, rooms, counts.where("c > 1"), scratch, burn_in, samples, seed)
+    ks = range(1, samples + 1)
+    back = [F.coalesce((F.lit(STRENGTH) + F.lit(d) * F.col(f"r{k}")) / (F.lit(STRENGTH) + F.col("size")), F.lit(1.0)).alias(f"b{k}") for k in ks]
+    known = known.select("word", "c", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), *[f"p{k}" for k in ks], *back)
+    own = many.select("before", "word", (F.col("c") - F.lit(d / samples) * F.col("ts")).alias("own")).unionByName(counts.where("c = 1").select("before", "word", F.lit(1 - d).alias("own")))
+    return known, own, unknown, n, v
+
+
+def _hashed(column: pa.Array) -> np.ndarray:
+    """Hashes of words, which may be hashes already."""
+    return hashes(column) if pa.types.is_binary(column.type) else column.to_numpy().view(np.uint64)
+
+
+def sweeps(words: DataFrame, rooms: DataFrame, many: DataFrame, scratch: Scratch, burn_in: int, samples: int, seed: int = 1) -> tuple[DataFrame, DataFrame, float, list[float], int, int]:
+    """Of the words (word, text, c, kinds, ones), their restaurants (room, size, single) and the pairs (before, word, c) of two or
+    more customers: every word's (word, c, size, p1.., r1..), its count, the customers of its restaurant, and by sample its probability
+    without context and its restaurant's tables; every pair's (before, word, c, ts), its customers and the tables of all samples; the
+    discount; the unknown type's probability by sample; training tokens N and words V.  Words are texts, or hashes of their texts."""
+    ks = range(1, samples + 1)
+    words = scratch.keep(words.select("word", "text", "c", "kinds", "ones", F.lit(1).cast("long").alias("t"), *[F.lit(0.0).alias(f"p{k}") for k in ks]), "words")
+    rooms = scratch.keep(rooms.select("room", "size", "single", *[F.lit(0).cast("long").alias(f"r{k}") for k in ks]), "rooms")
+    many = scratch.keep(many.select("before", "word", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("ts")), "many")
+    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("kinds") == 1).alias("one"), F.count_if(F.col("kinds") == 2).alias("two"), F.coalesce(F.sum("ones"), F.lit(0)).alias("ones")).first()
+    n, v, d, d0 = int(total["n"]), total["v"], discount(total["ones"], many.where("c = 2").count()), discount(total["one"], total["two"])
+    key, unknown, held = words.schema["word"].dataType.simpleString(), [], {"words": "words", "rooms": "rooms", "many": "many"}
 
     def keep(df: DataFrame, name: str, sweep: int) -> DataFrame:
         out = scratch.keep(df, f"{name}{sweep}")
@@ -568,22 +799,23 @@ def learn(counts: DataFrame, scratch: Scratch, burn_in: int = BURN_IN, samples:
     for sweep in range(burn_in + samples):
         k = sweep - burn_in + 1  # the sample, if positive
         fresh0 = STRENGTH + d0 * (words.agg(F.sum("t")).first()[0] or 0)
-        model = spelling(words, seed + sweep)
+        model = spelling(words.select(F.col("text").alias("word"), "t"), seed + sweep)
         now = words.join(many.groupBy("word").agg(F.sum("t").alias("_t")), "word", "left").withColumn("_k", _sum("ones", "_t"))
 
         def parents(batches, model=model, fresh0=fresh0, at=seed + 1000 * sweep):
             for batch in batches:
                 if batch.num_rows:
-                    word, c = batch.column("word"), batch.column("_k").to_numpy()
-                    q = np.exp(model.log_probability(word))
-                    t = seat(c, fresh0 * q, d0, hashes(word), at)
+                    c = batch.column("_k").to_numpy()
+                    q = np.exp(model.log_probability(batch.column("text")))
+                    t = seat(c, fresh0 * q, d0, _hashed(batch.column("word")), at)
                     new = {"t": pa.array(t), "q": pa.array(q)}
                     yield pa.RecordBatch.from_arrays([new.get(name, batch.column(name)) for name in batch.schema.names], names=batch.schema.names)
 
-        fields = ["word", "c", "kinds", "ones", "t", "q", *[f"p{i}" for i in ks], "_k"]
-        kinds = "word binary, c long, kinds long, ones long, t long, q double, " + "".join(f"p{i} double, " for i in ks) + "_k long"
-        seated = scratch.keep(now.select(*fields).mapInArrow(parents, kinds), f"seated{sweep}")
-        sums = seated.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("_k"), F.lit(0)).alias("k"), F.coalesce(F.sum("q"), F.lit(0.0)).alias("q")).first()
+        past = [f"p{i}" for i in ks if i < k]
+        fields = ["word", "text", "c", "ones", "t", *past, "_k", F.lit(0.0).alias("q")]
+        kinds = f"word {key}, text binary, c long, ones long, t long, " + "".join(f"{p} double, " for p in past) + "_k long, q double"
+        words = keep(now.select(*fields).mapInArrow(parents, kinds), "words", sweep)
+        sums = words.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.coalesce(F.sum("_k"), F.lit(0)).alias("k"), F.coalesce(F.sum("q"), F.lit(0.0)).alias("q")).first()
         fresh0, whole0 = (STRENGTH + d0 * sums["t"], STRENGTH + sums["k"]) if n else (1.0, 1.0)
         p = (F.col("_k") - F.lit(d0) * F.col("t") + F.lit(fresh0) * F.col("q")) / F.lit(float(whole0))
         tables = rooms.join(many.groupBy(F.col("before").alias("room")).agg(F.sum("t").alias("_t")), "room", "left").withColumn("_r", _sum("single", "_t"))
@@ -599,74 +831,36 @@ def learn(counts: DataFrame, scratch: Scratch, burn_in: int = BURN_IN, samples:
                         before, word = batch.column("before"), batch.column("word")
                         c, t, ts, a = (batch.column(x).to_numpy() for x in ("c", "t", "ts", "a"))
                         with np.errstate(over="ignore"):
-                            hashed = mix(hashes(before)) ^ hashes(word)
+                            hashed = pair_keys(_hashed(before), _hashed(word))
                         yield pa.RecordBatch.from_arrays([before, word, pa.array(c), pa.array(seat(c, a, d, hashed, at)), pa.array(ts + add * t)], names=["before", "word", "c", "t", "ts"])
 
             a = (F.lit(STRENGTH) + F.lit(d) * F.col("_r")) * F.col("_p")
-            given = many.join(seated.select("word", p.alias("_p")), "word").join(tables.select(F.col("room").alias("before"), "_r"), "before")
-            many = keep(given.select("before", "word", "c", "t", "ts", a.alias("a")).mapInArrow(contexts, "before binary, word binary, c long, t long, ts long"), "many", sweep)
+            given = many.join(words.select("word", p.alias("_p")), "word").join(tables.select(F.col("room").alias("before"), "_r"), "before")
+            many = keep(given.select("before", "word", "c", "t", "ts", a.alias("a")).mapInArrow(contexts, f"before {key}, word {key}, c long, t long, ts long"), "many", sweep)
         else:
             many = many.withColumn("ts", F.col("ts") + F.col("t"))
-        words = keep(seated.select(*fields[:-1], p.alias("_p")).select("word", "c", "kinds", "ones", "t", "q", *[F.col("_p" if i == k else f"p{i}").alias(f"p{i}") for i in ks]), "words", sweep)
-        scratch.drop(f"seated{sweep}")
+        words = words.select("word", "text", "c", "ones", "t", *past, *[p.alias(f"p{k}")] * (k > 0))
     known = words.join(rooms.withColumnRenamed("room", "word"), "word", "left")
-    back = [F.coalesce((F.lit(STRENGTH) + F.lit(d) * F.col(f"r{k}")) / (F.lit(STRENGTH) + F.col("size")), F.lit(1.0)).alias(f"b{k}") for k in ks]
-    known = known.select("word", "c", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), *[f"p{k}" for k in ks], *back)
-    own = many.select("before", "word", (F.col("c") - F.lit(d / samples) * F.col("ts")).alias("own")).unionByName(counts.where("c = 1").select("before", "word", F.lit(1 - d).alias("own")))
-    return known, own, unknown, n, v
-
-
-#: Rows of a task's joined words that are packed at once.
-PACKED = 1_000_000
-
-
-def _packed(names: list[str]):
-    """(chunk, found): places of the chunks' words or pairs with their numbers, of up to PACKED rows at a time."""
-
-    def pack(parts):
-        chunk, place, numbers = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((place, chunk))
-        chunk, place, numbers = chunk[order], place[order], numbers[order]
-        edges = np.r_[np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]), len(chunk)]
-        found = [_pack(place[a:b].astype(np.int32).tobytes() + numbers[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(chunk[edges[:-1]]), pa.array(found, pa.binary())], names=["chunk", "found"])
-
-    def run(batches):
-        parts, rows = [], 0
-        for batch in batches:
-            parts.append([batch.column("chunk").to_numpy(), batch.column("place").to_numpy(), np.stack([batch.column(x).to_numpy().astype(float) for x in names], axis=1)])
-            rows += batch.num_rows
-            if rows >= PACKED:
-                yield pack(parts)
-                parts, rows = [], 0
-        if rows:
-            yield pack(parts)
-
-    return run
-
-
-def _filled(row, name: str, table: np.ndarray) -> np.ndarray:
-    """The table with the packed rows of a chunk at their places."""
-    for x in row.column(name).flatten():
-        x = _unpack(x.as_py())
-        m = len(x) // (4 + 8 * table.shape[1])
-        table[np.frombuffer(x, np.int32, m)] = np.frombuffer(x, float, m * table.shape[1], 4 * m).reshape(m, -1)
-    return table
+    return known, many, d, unknown, n, v
 
 
-def _score(n: int, v: int, unknown: list[float]):
+def _score(n: int, v: int, d: float, unknown: list[float]):
     samples = len(unknown)
 
     def run(batches):
         for batch in batches:
-            for k, (_, words, tokens, size, _) in enumerate(_opened([batch])):
-                row = batch.slice(k, 1)
-                of = _filled(row, "of_words", np.tile([0.0, 0.0, *unknown, *[1.0] * samples], (len(words), 1)))
-                count, customers, p, b = of[:, 0], of[:, 1], of[:, 2 : 2 + samples], of[:, 2 + samples :]
-                cell, place = np.unique(pairs(words, tokens), return_inverse=True)
-                own = _filled(row, "of_pairs", np.zeros((len(cell), 1)))[:, 0]
-                before, word = cell // len(words), cell % len(words)
-                log_p = np.log10(own / (STRENGTH + customers[before]) + (b[before] * p[word]).mean(axis=1))
+            for row, words, tokens, size, _, code in _counted([batch]):
+                h, before, _, pair, place = sorted_pairs(words, tokens)
+                of = np.empty((1 + 2 * samples, len(words)))
+                of[:, np.argsort(h)] = _found(row, "of_words", float, 1 + 2 * samples)
+                count, p, r = of[0], of[1 : 1 + samples], of[1 + samples :]
+                p[:, count == 0] = np.array(unknown)[:, None]
+                b = (STRENGTH + d * r) / (STRENGTH + count)  # a word begins as many pairs as it ends
+                c = code >> 1
+                tables = np.where(c > 0, float(samples), 0.0)
+                tables[c > 1] = _found(row, "of_pairs", np.int64)[0]
+                before, word = before[pair], tokens[pair]
+                log_p = np.log10((c - d / samples * tables) / (STRENGTH + count[before]) + sum(b[k, before] * p[k, word] for k in range(samples)) / samples)
                 at = np.cumsum(size) - size
                 base = np.log10((count + 1) / (n + v + 1))
                 score = np.add.reduceat(log_p[place], at)
@@ -680,20 +874,33 @@ def _score(n: int, v: int, unknown: list[float]):
 
 def score_documents(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every document."""
-    scratch = Scratch(docs.sparkSession, "lm")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "lm")
+    columns = ["chunk", "held", "size", "tokens", "words"]
     chunks = scratch.keep(encode(docs), "chunks")
-    counts = scratch.keep(training_pairs(chunks), "counts")
-    known, own, unknown, n, v = learn(counts, scratch, burn_in, samples)
-    # A chunk's words and pairs, as many as its bounded text has, meet in one row, packed by the tasks that joined them.
-    numbers = ["c", "size", *[f"p{k + 1}" for k in range(samples)], *[f"b{k + 1}" for k in range(samples)]]
-    of_words = chunk_words(chunks).join(known.hint("merge"), "word").select("chunk", "place", *numbers).mapInArrow(_packed(numbers), "chunk long, found binary")
-    of_pairs = chunk_pairs(chunks).join(own.hint("merge"), ["before", "word"]).select("chunk", "place", "own").mapInArrow(_packed(["own"]), "chunk long, found binary")
+    tokens = chunks.select(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    bits = bucket_bits(tokens, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = chunks.select(*columns).mapInArrow(pair_parts(bits), PARTS).groupBy("bucket").applyInArrow(counted, FOUND)
+    chunks = scratch.keep(chunks.join(returned(found, "counted").hint("merge"), "chunk"), "counted")
+    scratch.drop("chunks")
+    # In training, a word is followed by another as often as it occurs (a document's end by the first word of one).
+    words = scratch.keep(chunks.select(*columns, "counted").mapInArrow(_word_counts, "word long, text binary, c long, kinds long, ones long, single long").groupBy("word", "text").agg(*[F.sum(x).alias(x) for x in ("c", "kinds", "ones", "single")]), "vocabulary")
+    many = chunks.select(*columns, "counted").mapInArrow(_repeated, "before long, word long, c long")
+    known, many, d, unknown, n, v = sweeps(words, words.select(F.col("word").alias("room"), F.col("c").alias("size"), "single"), many, scratch, burn_in, samples)
+    # What the chunks' words and repeated pairs are given goes back by the ranges.
+    of_pairs = chunks.select(*columns, "counted").mapInArrow(repeated_parts(bits), PARTS).groupBy("bucket")
+    of_pairs = of_pairs.cogroup(many.select("before", "word", "ts").mapInArrow(_bucketed(["ts"], bits), "bucket int, key long, ts long").groupBy("bucket")).applyInArrow(_matched(["ts"], np.int64), FOUND)
+    of_pairs = scratch.keep(of_pairs, "of_pairs")
+    numbers = ["c", *[f"p{k + 1}" for k in range(samples)], *[f"r{k + 1}" for k in range(samples)]]
+    given = known.select("word", *[F.col(x).cast("double").alias(x) for x in numbers])
+    given = given.mapInArrow(_bucketed(numbers, bits), "bucket int, key long, " + ", ".join(f"{x} double" for x in numbers))
+    of_words = chunks.select(*columns).mapInArrow(word_parts(bits), PARTS).groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(_matched(numbers, float), FOUND)
     rows = chunks
-    for found, name in ((of_words, "of_words"), (of_pairs, "of_pairs")):
-        rows = rows.join(found.groupBy("chunk").agg(F.collect_list("found").alias(name)).hint("merge"), "chunk", "left")
-    nothing = F.array().cast("array<binary>")
+    for found, name in ((scratch.keep(of_words, "of_words"), "of_words"), (of_pairs, "of_pairs")):
+        rows = rows.join(returned(found, name).hint("merge"), "chunk", "left")
+    nothing = F.array().cast("array<struct<bucket:int,found:binary>>")
     rows = rows.withColumns({name: F.coalesce(F.col(name), nothing) for name in ("of_words", "of_pairs")})
-    out = rows.mapInArrow(_score(n, v, unknown), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    out = rows.mapInArrow(_score(n, v, d, unknown), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
     return scratch.finish(out)
 
 

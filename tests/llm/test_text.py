@@ -558,3 +558,44 @@ def test_probabilities_of_a_context_add_up(spark, documents):
     for before, mine in own.groupby("before")["own"].sum().items():
         assert abs(mine / (pitman_yor.STRENGTH + size[before]) + back[before] - 1) < 1e-9
     scratch.drop()
+
+
+def test_pairs_that_occur_once_are_no_rows_and_scores_are_those_of_all_pairs(spark, monkeypatch):
+    """The packed ranges give each document what the table of all pairs gives, and no stored table has a row for each single pair."""
+    import random
+
+    from airshed.llm.common import Scratch
+
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 150, 400]))) + " the sea the sea", None, None, None) for k in range(60)] + [(2, None, None, None, None)]
+    docs = frame(spark, rows)
+    scratch = Scratch(spark, "lm-test")
+    counts = scratch.keep(pitman_yor.training_pairs(pitman_yor.encode(docs)), "counts")
+    known, own, unknown, n, v = pitman_yor.learn(counts, scratch)
+    word = {bytes(r["word"]).decode(): r for r in known.collect()}
+    pair = {(bytes(r["before"]).decode(), bytes(r["word"]).decode()): r["own"] for r in own.collect()}
+    once = counts.where("c = 1").count()
+    scratch.drop()
+    stored, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: (stored.append((out := keep(self, df, name)).count()), out)[1])
+    # chunks of one document each, some without training, and of all
+    for size in (1, 1 << 20):
+        monkeypatch.setattr(pitman_yor, "encode", lambda d, f=pitman_yor.encode, size=size: f(d.coalesce(1), size))
+        got = sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in pitman_yor.score_documents(docs).collect())
+        want = []
+        for k, text, *_ in rows:
+            tokens, score, before = [*(text or "").split(), ""], 0.0, ""
+            for w in tokens:
+                p = [word[w][f"p{i}"] if w in word else u for i, u in enumerate(unknown, 1)]
+                b = [word[before][f"b{i}"] if before in word else 1.0 for i in (1, 2, 3)]
+                customers = word[before]["size"] if before in word else 0
+                score += math.log10(pair.get((before, w), 0.0) / (pitman_yor.STRENGTH + customers) + sum(x * y for x, y in zip(p, b)) / 3)
+                before = w
+            want.append((k, len(tokens), score))
+        want.sort()
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert all(abs(x[2] - y[2]) <= 1e-7 * abs(y[2]) for x, y in zip(got, want))
+        monkeypatch.undo()
+        monkeypatch.setattr(Scratch, "keep", lambda self, df, name: (stored.append((out := keep(self, df, name)).count()), out)[1])
+    assert max(stored) < once
