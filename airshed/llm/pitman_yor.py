@@ -80,11 +80,15 @@ def encode(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         part, n = TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text", chunk_bytes):
             held = batch.column("held").to_pylist()
-            found = Words(batch.column("text"), hashes=False)
-            raw = found.raw[~SPACE[found.raw]]
-            length = np.r_[0, np.insert(found.end - found.start, found.at[1:], 0)]  # the end token first, then after every document
-            of = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(np.r_[0, np.cumsum(length)].astype(np.int64)), pa.py_buffer(LOWER[raw])]).dictionary_encode()
-            flat, words, size = of.indices.to_numpy()[1:], _lines(of.dictionary), (np.diff(found.at) + 1).tolist()
+            raw, length, size = [], [np.zeros(1, np.int64)], []  # the end token first, then after every document
+            for piece in slices([batch], "text"):
+                found = Words(piece.column("text"), hashes=False)
+                raw.append(LOWER[found.raw[~SPACE[found.raw]]])
+                length.append(np.insert(found.end - found.start, found.at[1:], 0))
+                size += (np.diff(found.at) + 1).tolist()
+            raw, length = np.concatenate(raw), np.concatenate(length)
+            of = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(np.r_[0, np.cumsum(length)].astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
+            flat, words = of.indices.to_numpy()[1:], _lines(of.dictionary)
             del found, raw, of
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part << 32 | n]), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([size], pa.list_(pa.int64())), pa.array([_pack(flat)], pa.binary()), pa.array([_pack(words)], pa.binary())],
