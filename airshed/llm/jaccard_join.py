@@ -15,12 +15,15 @@ ranges of hashes (compared by a count for each range, so without moving the sets
 are verified by the whole sets, once for each pair.
 
 Hot groups.  Equal sets form a class, which joins as one row.  Shingles of up to ``HOT`` classes
-give their pairs by a join.  Classes that larger shingles connect form families, compared in
-blocks of ``GROUP`` by ``GROUP`` classes, where an index of the block's shingles finds the links
-and only those that connect something leave the task: first all of a family meet one block of
-it, which connects a family of near copies, then those outside its largest component meet all
-of it.  Frequent shingles are dealt over salts where postings meet.  So every link between
-different components is found, and links inside one aren't needed for the components.
+give their pairs by a join.  The classes of a larger one meet in blocks of ``LIST``, with the
+counts of their ranges; all filters hold there, and only pairs that connect something leave the
+task.  What those connect are families: near copies of each other, not all that share a passage.
+They are compared in blocks of ``GROUP`` by ``GROUP`` classes, where an index of the block's
+shingles finds the links and only those that connect something leave the task: first all of a
+family meet one block of it, which connects a family of near copies, then, in families of
+several blocks, those outside its largest component meet all of it.  Frequent shingles are dealt
+over salts where postings meet.  So every link between different components is found, and links
+inside one aren't needed for the components.
 
 Cases: a text of fewer than SIZE words is one shingle; without words (null, empty, blank) the
 set is empty and links with nothing.  Repeated rows and rows with repeated or null doc_ids
@@ -46,6 +49,10 @@ STRETCH = 2_000_000
 GROUP = 500
 #: Classes of a shingle up to which a join gives their pairs.
 HOT = 48
+#: Classes of a larger one that meet in a group, and those of them that are compared with the rest at a time.
+LIST, ROWS = 1000, 64
+#: Counts of ranges compared at once.
+COUNTS = 1 << 21
 
 FOUND = "kind byte, rid long, doc_id long, n long, key long, ranges binary"
 POSTING = "shingle long, salt int, cls long, n int, place int"
@@ -153,6 +160,87 @@ def _possible(n: Column, place: Column, m: Column, other: Column) -> Column:
     return (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT) & (most * (100 + PERCENT) >= (n + m) * PERCENT)
 
 
+class RangeCounts:
+    """The counts by range of several sets, to compare many pairs at once as ``may_link`` does."""
+
+    def __init__(self, n: np.ndarray, counts: list[bytes | None]):
+        self.n, self.counts = n, counts
+        self.size = np.array([len(x) if x is not None else 0 for x in counts], np.int64)
+        self.level: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts over this number of ranges, of the sets with as many or twice as many, and each set's row there."""
+        if size not in self.level:
+            rows = np.full(len(self.counts), -1, np.int64)
+            parts, k = [], 0
+            for own in (size, 2 * size):
+                held = np.flatnonzero(self.size == own)
+                rows[held] = np.arange(k, k + len(held))
+                k += len(held)
+                if len(held):
+                    found = np.frombuffer(b"".join(self.counts[i] for i in held.tolist()), np.uint8)
+                    parts.append(found.reshape(len(held), size, -1).sum(axis=2, dtype=np.int16))
+            self.level[size] = rows, np.concatenate(parts)
+        return self.level[size]
+
+    def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the sets a[k] and b[k] may link, for pairs that pass the length filter."""
+        allowed = self.n[a] + self.n[b] - 2 * overlap_needed(self.n[a], self.n[b])
+        least = np.minimum(self.size[a], self.size[b])
+        out = np.ones(len(a), bool)
+        for size in np.unique(least[least > 0]).tolist():
+            rows, counts = self.at(size)
+            pairs = np.flatnonzero(least == size)
+            for k in range(0, len(pairs), max(1, COUNTS // size)):
+                some = pairs[k : k + max(1, COUNTS // size)]
+                out[some] = np.abs(counts[rows[a[some]]] - counts[rows[b[some]]]).sum(axis=1, dtype=np.int64) <= allowed[some]
+        return out
+
+
+def forest(n: np.ndarray, place: np.ndarray, side: np.ndarray, counts: list[bytes | None]) -> list[tuple[int, int]]:
+    """Pairs of sets that connect what pairs connect that pass all filters, of sets that share a shingle at these places of
+    their orders.  With two sides, only pairs across them count."""
+    order = np.argsort(n, kind="stable")
+    n, place, side = (x[order].astype(np.int64) for x in (n, place, side))
+    held = RangeCounts(n, [counts[k] for k in order.tolist()])
+    two, part, out = side.any(), np.arange(len(n)), []
+    for at in range(0, len(n), ROWS):
+        end = int(np.searchsorted(n, n[min(at + ROWS, len(n)) - 1] * 100 // PERCENT, "right"))
+        x, y = np.arange(at, min(at + ROWS, len(n)))[:, None], np.arange(at, end)[None, :]
+        most = np.minimum(place[x], place[y]) + np.minimum(n[x] - place[x], n[y] - place[y])
+        near = (x < y) & (part[x] != part[y]) & (n[x] * 100 >= n[y] * PERCENT) & (most * (100 + PERCENT) >= (n[x] + n[y]) * PERCENT)
+        a, b = np.nonzero(near & (side[x] != side[y]) if two else near)
+        a, b = a + at, b + at
+        keep = held.may_link(a, b)
+        a, b = a[keep], b[keep]
+        for row in np.unique(a).tolist():
+            others = b[np.searchsorted(a, row, "left") : np.searchsorted(a, row, "right")]
+            parts, first = np.unique(part[others], return_index=True)
+            new = parts != part[row]
+            if new.any():
+                out += [(int(order[row]), int(order[k])) for k in others[first[new]].tolist()]
+                part[np.isin(part, parts[new])] = part[row]
+    return out
+
+
+def _connect_likely(batches):
+    """Pairs (a, b) of the groups; a group's rows come in order."""
+    group, rows = None, []
+
+    def found():
+        cls, n, place, side, counts = zip(*rows, strict=True) if rows else ((),) * 5
+        pairs = forest(np.array(n, np.int64), np.array(place, np.int64), np.array(side, bool), list(counts))
+        return pa.RecordBatch.from_arrays([pa.array([cls[a] for a, _ in pairs], pa.int64()), pa.array([cls[b] for _, b in pairs], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for shingle, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("shingle", "i", "j", "cls", "n", "place", "side", "ranges")), strict=True):
+            if (shingle, i, j) != group:
+                yield found()
+                group, rows = (shingle, i, j), []
+            rows.append(row)
+    yield found()
+
+
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
     need = overlap_needed(len(x), len(y))
     if min(len(x), len(y)) < need:
@@ -268,24 +356,26 @@ def _compare_blocks(batches):
     yield found()
 
 
-def families(held: DataFrame, scratch: Scratch) -> DataFrame:
-    """(cls, family) of the classes that shingles of more than HOT classes connect."""
-    hot = held.where(F.col("size") > HOT).select("shingle", "cls")
-    hub = hot.groupBy("shingle").agg(F.min("cls").alias("hub"))
-    ties = hot.join(hub.hint("merge"), "shingle").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
-    found = components(ties, scratch, "families").select(F.col("node").alias("cls"), F.col("component").alias("family"))
-    members = hot.select("cls").distinct().join(found.hint("merge"), "cls", "left")
-    return scratch.keep(members.select("cls", F.coalesce("family", "cls").alias("family")), "members")
+def families(held: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cls, family) of the classes that pairs connect which share a shingle of more than HOT classes and pass all filters."""
+    hot = held.where(F.col("size") > HOT).join(classes.select("cls", "ranges").hint("merge"), "cls")
+    blocks = F.ceil(F.col("size") / LIST).cast("int")
+    dealt = hot.withColumn("own", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "cls", "n", "place", "ranges")
+    dealt = dealt.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    found = components(dealt.mapInArrow(_connect_likely, "a long, b long"), scratch, "families")
+    least = found.select(F.col("component").alias("cls"), F.col("component").alias("family")).distinct()
+    return scratch.keep(found.select(F.col("node").alias("cls"), F.col("component").alias("family")).unionByName(least), "members")
 
 
 def family_links(members: DataFrame, parts: DataFrame, stored: DataFrame, scratch: Scratch, name: str, one_block: bool) -> DataFrame:
-    """Links (a, b) between unconnected classes of each family: of all of it with one block, or of those outside its
-    largest component with all of it."""
+    """Links (a, b) between unconnected classes of each family: of all of it with one block, or, in families of several
+    blocks, of those outside its largest component with all of it."""
     held = members.join(parts.select(F.col("node").alias("cls"), "component").hint("merge"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     by_part = held.groupBy("family", "component").agg(F.count(F.lit(1)).alias("k"))
     size = by_part.groupBy("family").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.sum("k").alias("all"), (F.sum("k") - F.max("k")).alias("outside"))
     blocks = lambda n: F.ceil(F.col(n) / GROUP).cast("int")
-    size = scratch.keep(size.where("outside > 0").select("family", "largest", blocks("all" if one_block else "outside").alias("xs"), blocks("all").alias("ys")), f"{name}_size")
+    size = scratch.keep(size.where((F.col("outside") > 0) & (F.lit(one_block) | (F.col("all") > GROUP))).select("family", "largest", blocks("all" if one_block else "outside").alias("xs"), blocks("all").alias("ys")), f"{name}_size")
     own = F.xxhash64("cls")
     dealt = held.join(size.hint("merge"), "family").withColumn("i", F.pmod(own, "xs").cast("int")).withColumn("j", F.pmod(own, "ys").cast("int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -306,11 +396,13 @@ def _components(rows: DataFrame, scratch: Scratch) -> DataFrame:
     found = scratch.keep(rows.mapInArrow(_classes, FOUND), "found")
     documents = found.where("kind = 0").select("rid", "doc_id", "n", F.col("key").alias("cls"))
     often = found.where("kind = 1").groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= LEAST_FREQUENT)
-    often = often.orderBy(F.desc("f"), "key").limit(FREQUENT).toPandas()
-    by_rank = often.sort_values(["f", "key"]).assign(rank=np.arange(len(often)))
-    by_rank["hash"] = by_rank["key"].to_numpy(np.int64).view(np.uint64)
-    by_hash = by_rank.sort_values("hash")
-    frequent = spark.sparkContext.broadcast((by_hash["hash"].to_numpy(np.uint64), by_hash["rank"].to_numpy(np.int64), (by_hash["f"].to_numpy(np.int64) // GROUP + 1).astype(np.uint64)))
+    often = often.orderBy(F.desc("f"), "key").limit(FREQUENT).toArrow()
+    key, f = often["key"].to_numpy(), often["f"].to_numpy()
+    rank = np.empty(len(key), np.int64)
+    rank[np.lexsort((key, f))] = np.arange(len(key))
+    hashes = key.view(np.uint64)
+    by_hash = np.argsort(hashes)
+    frequent = spark.sparkContext.broadcast((hashes[by_hash], rank[by_hash], (f[by_hash] // GROUP + 1).astype(np.uint64)))
     classes = found.where("kind = 0 AND n > 0").groupBy(F.col("key").alias("cls")).agg(
         F.min("rid").alias("rid"), F.min_by("doc_id", "rid").alias("doc_id"), F.first("n").alias("n"), F.first("ranges", ignorenulls=True).alias("ranges")
     )
@@ -323,7 +415,7 @@ def _components(rows: DataFrame, scratch: Scratch) -> DataFrame:
     met = scratch.keep(met.where((F.col("least") != F.col("last")) | (F.col("salt") > 0)).drop("least", "last"), "met")
     held = sized(met, scratch)
     pairs = scratch.keep(likely(cold_pairs(held), classes), "pairs")
-    members = families(held, scratch)
+    members = families(held, classes, scratch)
     # The sets of all classes that are to be compared, fetched once.
     asked = pairs.select("cls").unionByName(pairs.select(F.col("hub").alias("cls"))).unionByName(members.select("cls")).distinct()
     asked = scratch.keep(asked.join(classes.select("cls", "rid").hint("merge"), "cls"), "asked")

@@ -191,6 +191,73 @@ def test_jaccard_frequent_shingles_are_salted(spark, monkeypatch):
     assert got == components_by_brute_force(rows)
 
 
+def test_jaccard_shared_passages_make_no_families(spark, monkeypatch):
+    """Texts that only share a passage are no family, however many they are, and their sets stay where they are; near copies are one."""
+    import random
+
+    from airshed.llm.common import Scratch
+
+    monkeypatch.setattr(jaccard_join, "HOT", 6)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 0)  # the passages' shingles are in the prefixes
+    monkeypatch.setattr(jaccard_join, "LIST", 7)  # groups of several blocks
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passages = [[word() for _ in range(30)] for _ in range(3)]
+    rows = []
+    for k in range(60):  # two passages each, so that all three meet
+        text = [word() for _ in range(40)] + passages[k % 3] + [word() for _ in range(20)] + passages[(k + 1) % 3]
+        rows.append((len(rows), " ".join(text), "en", "s", 0))
+    base = [word() for _ in range(120)]
+    for _ in range(30):
+        text = base[:]
+        text[rng.randrange(120)] = word()
+        rows.append((len(rows), " ".join(text), "en", "s", 0))
+    stored, keep = {}, Scratch.keep
+
+    def kept(self, df, name):
+        out = keep(self, df, name)
+        stored[name] = sorted(r[0] for r in out.select(out.columns[0]).collect())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link(frame(spark, rows)).collect()}
+    assert got == components_by_brute_force(rows)
+    assert len(stored["members"]) == 30 and stored["members"] == stored["sets"]
+
+
+def test_forest_connects_what_may_link():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for trial in range(24):
+        k = int(rng.integers(2, 150))
+        base = [np.unique(rng.integers(0, 1 << 63, rng.integers(5, 400), dtype=np.uint64) * np.uint64(2)) for _ in range(4)]
+        sets = []
+        for _ in range(k):
+            b = base[rng.integers(4)]
+            kept = b[rng.random(len(b)) > rng.choice([0, 0.02, 0.05, 0.1, 0.2])]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, rng.integers(1, 6), dtype=np.uint64)])))
+        n, place = np.array([len(s) for s in sets]), np.array([rng.integers(0, max(1, len(s) // 5)) for s in sets])
+        counts = [jaccard_join.ranges(s) if rng.random() > 0.03 else None for s in sets]
+        side = rng.random(k) > 0.5 if trial % 2 else np.zeros(k, bool)
+        found = jaccard_join.forest(n, place, side, counts)
+        part = list(range(k))
+        top = lambda a: a if part[a] == a else top(part[a])
+        for a, b in found:
+            assert top(a) != top(b)
+            part[top(a)] = top(b)
+        may = 0
+        for a in range(k):
+            for b in range(a):
+                if side.any() and side[a] == side[b]:
+                    continue
+                most = min(place[a], place[b]) + min(n[a] - place[a], n[b] - place[b])
+                if 100 * min(n[a], n[b]) >= 80 * max(n[a], n[b]) and most * 180 >= 80 * (n[a] + n[b]) and jaccard_join.may_link(int(n[a]), counts[a], int(n[b]), counts[b]):
+                    may += 1
+                    assert top(a) == top(b)
+        assert len(found) <= may
+
+
 def test_jaccard_keep_one_and_odd_ids(spark, documents, odd):
     df = frame(spark, documents, extra=True)
     out = jaccard_join.keep_one(df)
