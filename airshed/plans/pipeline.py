@@ -82,12 +82,12 @@ class CityPipeline:
             self.cities(), self.stations(), self.air_radius_km, self.air_max_stations))
 
     def air_served(self) -> DataFrame:
-        """Raw measurements of the locations that serve a city: one pass over the raw feed, stored, so that
-        the other locations' rows are neither parsed (a filter on the parsed time would go below the join)
-        nor shuffled."""
+        """Raw measurements of the locations that serve a city, in one pass over the raw feed.  Their time hangs on the
+        joined map, so that the other locations' rows are neither parsed (a filter on the parsed time would go below
+        the join) nor, where the map is broadcast, shuffled."""
         raw = domain.openaq_raw(self.spark, self.sf_dir)
-        return stored(self, "air-served", lambda: raw.join(
-            self.air_map(), F.col("location_id") == F.col("station_id"), "left_semi"))
+        met = raw.join(self.air_map().select("station_id").distinct(), F.col("location_id") == F.col("station_id"))
+        return met.withColumn("datetime", F.when(F.col("station_id").isNotNull(), F.col("datetime"))).select(*raw.columns)
 
     def air_city_days(self) -> DataFrame:
         days = merge.air_location_days(clean.outlier_air(clean.parse_air(self.air_served())))
